@@ -167,7 +167,7 @@ def mixed_content(df: DataFrame) -> DataFrame:
         return F.count_if(normalised(col(c)).isin(*TRUE_WORDS, *FALSE_WORDS) & parse_double(strip(col(c))).isNull())
 
     def date(c):
-        return F.count(F.try_to_date(strip(col(c)), F.lit("yyyy-MM-dd")))
+        return F.count(F.try_to_date(strip(col(c)), "yyyy-MM-dd"))
 
     report = column_report(
         df, text_columns(df),

@@ -45,7 +45,7 @@ def parse_date(c: Column, fmt: str) -> Column:
     has_time = any(ch in fmt.replace("'T'", "") for ch in "HhSsa")
     if has_time:
         return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
-    return F.try_to_date(c, F.lit(fmt)).cast("timestamp_ntz")
+    return F.try_to_date(c, fmt).cast("timestamp_ntz")
 
 
 def _rates(df: DataFrame, columns: Sequence[str], formats: Sequence[str]) -> dict:

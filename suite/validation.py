@@ -29,7 +29,7 @@ def suggested_summary(spark, sf_dir):
     return cf.rules_summary(cf.run_rules(df, cf.suggest_rules(df, YEAR))[0])
 
 
-@query("rules_suggested_lineitem", per_column(("l_linenumber", "l_quantity", "l_extendedprice"), """
+@query("rules_suggested_lineitem", per_column(("l_linenumber", "l_quantity", "l_extendedprice", "l_discount"), """
 select '{c}' as "column", 'no_negative' as rule, count_if({c} < 0) as violations, count_if({c} < 0) = 0 as passed from lineitem"""))
 def suggested_lineitem(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
