@@ -78,11 +78,10 @@ def as_double(name: str) -> Column:
     return col(name).cast("double")
 
 
-def as_key_text(df: DataFrame, name: str) -> Column:
-    """Text form of a value that is equal exactly when the value is (0.0 equals -0.0)."""
-    if isinstance(df.schema[name].dataType, FRACTIONAL):
-        return (col(name) + F.lit(0.0)).cast("string")
-    return col(name).cast("string")
+def as_key(df: DataFrame, name: str) -> Column:
+    """A value as a grouping key: 0.0 and -0.0 are one value."""
+    kind = df.schema[name].dataType
+    return (col(name) + F.lit(0.0)).cast(kind) if isinstance(kind, FRACTIONAL) else col(name)
 
 
 def name_matches(name: str, keywords: Iterable[str], match: str = "substring") -> bool:

@@ -7,42 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import as_double, col, nan_to_null, numeric_columns
+from ..functions.types import col, nan_to_null, numeric_columns
 from ..functions.vocab import CORRELATION_LIMIT
-from ..plans.fused import agg_values, column_report, empty
+from ..plans.fused import agg_values, empty, local_report
+from ..plans.gram import correlations, pair_sums
 
 _PAIRS = "col_a string, col_b string, correlation double"
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Upper triangle in long form, about a hundred pairs per pass; NULL where a column is constant."""
-    names = numeric_columns(df, columns)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    # corr leaves out rows where either side is missing.
-    found = column_report(
-        nan_to_null(df), pairs, {"correlation": lambda p: F.corr(as_double(p[0]), as_double(p[1]))}, _PAIRS,
-        key_columns=lambda p: {"col_a": F.lit(p[0]), "col_b": F.lit(p[1])},
-    )
-    return found.withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
+    """Upper triangle in long form; NULL where a column is constant over the rows both have."""
+    names, r = _matrix(df, columns)
+    rows = [(a, names[j], _value(r[i, j])) for i, a in enumerate(names) for j in range(i + 1, len(names))]
+    return local_report(df, rows, _PAIRS)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Full matrix in long form, the diagonal included."""
+    names, r = _matrix(df, columns)
+    rows = [(a, b, _value(1.0 if i == j and r[i, j] == r[i, j] else r[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return local_report(df, rows, _PAIRS)
+
+
+def _matrix(df: DataFrame, columns: Sequence[str] | None):
     names = numeric_columns(df, columns)
-    upper = correlation_pairs(df, names)
-    clean = nan_to_null(df)
-    diagonal = column_report(
-        clean, names, {"correlation": lambda c: F.when(F.var_pop(as_double(c)) > 0, 1.0)}, _PAIRS,
-        key_columns=lambda c: {"col_a": F.lit(c), "col_b": F.lit(c)},
-    )
-    # Both triangles come from one computation of each pair.
-    mirrored = upper.select(
-        F.inline(F.array(
-            F.struct(F.col("col_a"), F.col("col_b"), "correlation"),
-            F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "correlation"),
-        ))
-    )
-    return mirrored.union(diagonal)
+    return names, correlations(pair_sums(nan_to_null(df), names)[1]) if names else None
+
+
+def _value(r: float) -> float | None:
+    return None if r != r else float(r)
 
 
 def high_correlations(df: DataFrame, threshold: float = CORRELATION_LIMIT, columns: Sequence[str] | None = None) -> DataFrame:

@@ -30,11 +30,11 @@ def date_range_report(df: DataFrame, min_year: int = MIN_YEAR, max_year: int | N
     report = column_report(
         nan_to_null(df), names,
         {
-            "dtype": lambda c: F.lit(df.schema[c].dataType.simpleString()),
             "non_null": lambda c: F.count(col(c)),
             "violations": lambda c: F.count_if(out_of_range(df, c, min_year, top)),
         },
         "column string, dtype string, non_null bigint, violations bigint",
+        facts=lambda c: {"dtype": df.schema[c].dataType.simpleString()},
     )
     return report.filter("violations > 0")
 

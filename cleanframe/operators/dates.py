@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -40,12 +41,32 @@ def spark_format(template: str) -> str:
     return "".join(out)
 
 
+# What a pattern letter can match at most; a failed parse costs an exception, a failed regex next to nothing.
+_SHAPES = {
+    "MM": "(0[1-9]|1[0-2])", "dd": "(0[1-9]|[12][0-9]|3[01])", "HH": "([01][0-9]|2[0-3])", "hh": "(0[1-9]|1[0-2])",
+    "mm": "[0-5][0-9]", "ss": "[0-5][0-9]", "d": "[0-9]{1,2}", "yy": "[0-9]{2}", "yyyy": r"[+-]?[0-9]{4,}",
+}
+
+
+def shape(fmt: str) -> str:
+    """Regex that every text fitting the pattern matches."""
+    out = []
+    for piece in re.finditer(r"'(?P<quoted>[^']*)'|(?P<letters>([A-Za-z])\3*)|(?P<other>.)", fmt, re.S):
+        if piece["letters"]:
+            out.append(_SHAPES.get(piece["letters"], ".+"))
+        else:
+            out.append(re.escape(piece["quoted"] or piece["other"] or "'"))
+    return "^" + "".join(out) + "$"
+
+
 def parse_date(c: Column, fmt: str) -> Column:
     """Zone-free timestamp of a text under a Spark pattern, NULL where it does not fit."""
     has_time = any(ch in fmt.replace("'T'", "") for ch in "HhSsa")
     if has_time:
-        return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
-    return F.try_to_date(c, fmt).cast("timestamp_ntz")
+        parsed = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    else:
+        parsed = F.try_to_date(c, fmt).cast("timestamp_ntz")
+    return F.when(c.rlike(shape(fmt)), parsed)
 
 
 def _rates(df: DataFrame, columns: Sequence[str], formats: Sequence[str]) -> dict:
@@ -135,11 +156,10 @@ def parse_report(df: DataFrame, fit: DateFit) -> DataFrame:
     report = column_report(
         nan_to_null(df), list(formats),
         {
-            "format": lambda c: F.lit(formats[c]),
             "total": lambda c: F.count(col(c)),
             "parsed": lambda c: F.count(parse_date(col(c), formats[c])),
         },
-        "column string, format string, total bigint, parsed bigint",
+        "column string, format string, total bigint, parsed bigint", facts=lambda c: {"format": formats[c]},
     )
     return report.withColumns(
         {"failed": F.col("total") - F.col("parsed"), "parsed_pct": F.try_divide(100.0 * F.col("parsed"), F.col("total"))}

@@ -50,11 +50,11 @@ def missing_report(df: DataFrame, replace_disguised: bool = True) -> DataFrame:
     report = column_report(
         clean, df.columns,
         {
-            "dtype": lambda c: F.lit(dtype_name(df, c)),
             "n_rows": lambda c: F.count("*"),
             "missing_count": lambda c: F.count_if(col(c).isNull()),
         },
         "column string, dtype string, n_rows bigint, missing_count bigint",
+        facts=lambda c: {"dtype": dtype_name(df, c)},
     ).filter("missing_count > 0")
     pct = F.try_divide(100.0 * F.col("missing_count"), F.col("n_rows"))
     return report.withColumn("missing_pct", pct).withColumn("severity", severity(F.round("missing_pct", 2)))

@@ -15,6 +15,7 @@ from ..functions.chi2 import chi2_quantile
 from ..functions.types import as_double, col, nan_to_null, numeric_columns
 from ..functions.vocab import CONFIDENCE
 from ..plans.fused import agg_values
+from ..plans.gram import pair_sums
 
 FLAG = "__multivariate_outlier__"
 CONDITION_LIMIT = 1e12
@@ -63,7 +64,7 @@ class MahalanobisFit:
 
 
 def fit_mahalanobis(df: DataFrame, columns: Sequence[str] | None = None, confidence: float = CONFIDENCE) -> MahalanobisFit:
-    """Fit over rows complete in ``columns`` (default: all numeric): one pass of k means and k(k+1)/2 covariances."""
+    """Fit over rows complete in ``columns`` (default: all numeric): a pass for the means, one for the products."""
     names = numeric_columns(df, columns)
     if columns is not None and len(names) < len(list(columns)):
         raise ValueError(f"not numeric: {[c for c in columns if c not in names]}")
@@ -72,22 +73,21 @@ def fit_mahalanobis(df: DataFrame, columns: Sequence[str] | None = None, confide
         raise ValueError("needs at least two numeric columns")
     clean = nan_to_null(df)
     complete = reduce(lambda a, b: a & b, [col(c).isNotNull() for c in names])
-    x = {c: F.when(complete, as_double(c)) for c in names}
-    exprs = {"total": F.count("*"), "used": F.count_if(complete)}
-    exprs.update({("mean", i): F.avg(x[c]) for i, c in enumerate(names)})
-    exprs.update({("cov", i, j): F.covar_samp(x[names[i]], x[names[j]]) for i in range(k) for j in range(i, k)})
-    v = agg_values(clean, exprs)
-    if v["used"] < k + 1:
-        raise ValueError(f"needs at least {k + 1} complete rows, found {v['used']}")
-    cov = np.array([[v[("cov", min(i, j), max(i, j))] for j in range(k)] for i in range(k)])
+    counts = agg_values(clean, {"total": F.count("*"), "used": F.count_if(complete)})
+    if counts["used"] < k + 1:
+        raise ValueError(f"needs at least {k + 1} complete rows, found {counts['used']}")
+    means, sums = pair_sums(clean.filter(complete), names)
+    n = counts["used"]
+    means = means + np.diag(sums["x"]) / n
+    cov = (sums["xy"] - sums["x"] * sums["y"] / n) / (n - 1)
     scale = np.sqrt(np.diag(cov))
     # Conditioning is judged on the correlation matrix, so that units do not matter.
     if not np.all(scale > 0) or np.linalg.cond(cov / np.outer(scale, scale)) > CONDITION_LIMIT:
         raise SingularCovariance("columns are constant or linearly dependent; drop one of them")
     inverse = np.linalg.inv(cov / np.outer(scale, scale)) / np.outer(scale, scale)
     return MahalanobisFit(
-        tuple(names), tuple(v[("mean", i)] for i in range(k)), tuple(map(tuple, inverse.tolist())),
-        math.sqrt(chi2_quantile(confidence, k)), v["used"], v["total"],
+        tuple(names), tuple(means.tolist()), tuple(map(tuple, inverse.tolist())),
+        math.sqrt(chi2_quantile(confidence, k)), n, counts["total"],
     )
 
 

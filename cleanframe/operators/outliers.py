@@ -48,21 +48,18 @@ def outlier_report(df: DataFrame, columns: Sequence[str] | None = None, quantile
     """Per column: statistics, fences, and how many values each method flags. All columns share each pass."""
     fitted = fit_outliers(df, columns, quantiles)
 
-    def fixed(pick):
-        return lambda c: F.lit(pick(fitted[c])).cast("double")
+    def facts(c: str) -> dict[str, object]:
+        s, (lo, hi) = fitted[c], fences(fitted[c])
+        return {"n": s.count, "mean": s.mean, "std": s.std, "min": s.min, "max": s.max, "q1": s.q1, "q3": s.q3,
+                "iqr": s.iqr, "lower_fence": lo, "upper_fence": hi}
 
     report = column_report(
         nan_to_null(df), list(fitted),
         {
-            "n": lambda c: F.count(col(c)),
-            "mean": fixed(lambda s: s.mean), "std": fixed(lambda s: s.std),
-            "min": fixed(lambda s: s.min), "max": fixed(lambda s: s.max),
-            "q1": fixed(lambda s: s.q1), "q3": fixed(lambda s: s.q3), "iqr": fixed(lambda s: s.iqr),
-            "lower_fence": fixed(lambda s: fences(s)[0]), "upper_fence": fixed(lambda s: fences(s)[1]),
             "zscore_outliers": lambda c: F.count_if(is_z_outlier(fitted[c])),
             "iqr_outliers": lambda c: F.count_if(is_iqr_outlier(fitted[c])),
         },
-        _REPORT,
+        _REPORT, facts,
     )
     return report.withColumns(
         {

@@ -63,9 +63,8 @@ def column_info(df: DataFrame) -> DataFrame:
     """Type and non-missing count of every column."""
     clean = nan_to_null(df)
     return column_report(
-        clean, df.columns,
-        {"dtype": lambda c: F.lit(dtype_name(df, c)), "non_null": lambda c: F.count(col(c))},
-        "column string, dtype string, non_null bigint",
+        clean, df.columns, {"non_null": lambda c: F.count(col(c))}, "column string, dtype string, non_null bigint",
+        facts=lambda c: {"dtype": dtype_name(df, c)},
     )
 
 
@@ -107,7 +106,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
             "min": lambda c: F.min(as_double(c)),
             "max": lambda c: F.max(as_double(c)),
         },
-        "column string, count bigint, mean double, std double, min double, max double",
+        "column string, count bigint, mean double, std double, min double, max double", weight=8,
     )
 
 

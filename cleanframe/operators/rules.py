@@ -95,9 +95,8 @@ def run_rules(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, list[str
     usable = [r for r in rules if not check_rule(df, r)]
     report = column_report(
         nan_to_null(df), usable,
-        {"rule": lambda r: F.lit(r.label), "violations": lambda r: F.count_if(violation(r))},
-        "column string, rule string, violations bigint",
-        key_columns=lambda r: {"column": F.lit(r.column)},
+        {"violations": lambda r: F.count_if(violation(r))}, "column string, rule string, violations bigint",
+        facts=lambda r: {"column": r.column, "rule": r.label},
     )
     return report.withColumn("passed", F.col("violations") == 0), errors
 

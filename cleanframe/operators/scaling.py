@@ -28,7 +28,7 @@ def scaling_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
             "mean": lambda c: F.avg(as_double(c)),
             "std": lambda c: F.stddev_samp(as_double(c)),
         },
-        "column string, n bigint, min double, max double, mean double, std double",
+        "column string, n bigint, min double, max double, mean double, std double", weight=8,
     ).filter(F.col("n") >= MIN_VALUES_SCALE)
     return (
         report.withColumn("range", F.col("max") - F.col("min"))

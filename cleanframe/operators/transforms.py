@@ -46,7 +46,7 @@ def skewness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return column_report(
         nan_to_null(df), numeric_columns(df, columns),
         {"n": lambda c: F.count(col(c)), "skewness": lambda c: skew_expr(as_double(c))},
-        "column string, n bigint, skewness double",
+        "column string, n bigint, skewness double", weight=6,
     )
 
 
@@ -62,7 +62,7 @@ def skewness_report(df: DataFrame, columns: Sequence[str] | None = None) -> Data
             "min": lambda c: F.min(as_double(c)),
             "max": lambda c: F.max(as_double(c)),
         },
-        "column string, n bigint, skewness double, zeros bigint, negatives bigint, min double, max double",
+        "column string, n bigint, skewness double, zeros bigint, negatives bigint, min double, max double", weight=10,
     ).filter(F.col("n") >= MIN_VALUES_SKEW)
     skew, positive = F.col("skewness"), F.col("min") > 0
     flags = {f"can_{m}": positive for m in _NEEDS_POSITIVE}

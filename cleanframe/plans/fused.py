@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import as_key_text, col
+from ..functions.types import as_key, col
 
 AGG_CHUNK = 100
 
@@ -41,10 +41,10 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def agg_values(df: DataFrame, exprs: dict[str, Column]) -> dict:
-    """Evaluate named aggregates eagerly, about a hundred per pass."""
+def agg_values(df: DataFrame, exprs: dict, chunk: int = AGG_CHUNK) -> dict:
+    """Evaluate named aggregates eagerly, ``chunk`` of them per pass."""
     values: dict = {}
-    for group in chunks(list(exprs.items()), AGG_CHUNK):
+    for group in chunks(list(exprs.items()), chunk):
         row = df.agg(*[e.alias(f"v{i}") for i, (_, e) in enumerate(group)]).first()
         values.update({name: row[i] for i, (name, _) in enumerate(group)})
     return values
@@ -55,19 +55,28 @@ def column_report(
     keys: Sequence,
     fields: dict[str, Callable[..., Column]],
     schema: str,
-    key_columns: Callable[..., dict[str, Column]] | None = None,
+    facts: Callable[..., dict[str, object]] | None = None,
+    weight: int | None = None,
 ) -> DataFrame:
-    """Lazy long report: one row per key (a column name or a rule), one column per aggregate in ``fields``."""
+    """Lazy long report: one row per key (a column name or a rule).
+
+    ``fields`` are aggregates; ``facts`` are values known without looking at data (the column name by default, or in
+    addition). ``weight`` is the number of aggregation buffers a key takes, when that is more than its fields.
+    """
     if not keys:
         return empty(df, schema)
-    describe = key_columns or (lambda name: {"column": F.lit(name)})
+    kinds = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields}
+
+    def known(key) -> dict[str, object]:
+        return {**({"column": key} if isinstance(key, str) else {}), **(facts(key) if facts else {})}
+
     parts = []
-    for group in chunks(keys, max(1, AGG_CHUNK // len(fields))):
+    for group in chunks(keys, max(1, AGG_CHUNK // (weight or len(fields)))):
         wide = df.agg(*[fn(key).alias(f"{i}_{f}") for i, key in enumerate(group) for f, fn in fields.items()])
         rows = [
             F.struct(
-                *[c.alias(n) for n, c in describe(key).items()],
-                *[F.col(f"{i}_{f}").alias(f) for f in fields],
+                *[F.lit(v).cast(kinds[n]).alias(n) for n, v in known(key).items()],
+                *[F.col(f"{i}_{f}").cast(kinds[f]).alias(f) for f in fields],
             )
             for i, key in enumerate(group)
         ]
@@ -77,15 +86,30 @@ def column_report(
 
 def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One row per cell: (keep..., column, value as text)."""
-    cells = df.select(*[col(k) for k in keep], *[as_key_text(df, c).alias(f"__cell_{i}") for i, c in enumerate(columns)])
+    cells = df.select(*[col(k) for k in keep], *[as_key(df, c).cast("string").alias(f"__cell_{i}") for i, c in enumerate(columns)])
     stacked = cells.unpivot(list(keep), [f"__cell_{i}" for i in range(len(columns))], "__slot", "value")
     names = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(f"__cell_{i}"), F.lit(c))])
     return stacked.select(*[col(k) for k in keep], names[F.col("__slot")].alias("column"), "value")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n), missing included. Repeats combine before the shuffle, so a hot value costs one row a task."""
-    return long_values(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+    """(column, value as text, n), missing included.
+
+    Columns of one type are counted together in their own type, so rows are expanded and shuffled without turning
+    values into text; only distinct values are. Repeats combine before the shuffle, so a hot value costs one row a task.
+    """
+    by_type: dict[str, list[str]] = {}
+    for c in columns:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    parts = []
+    for names in by_type.values():
+        slots = [str(i) for i in range(len(names))]
+        cells = df.select(*[as_key(df, c).alias(s) for s, c in zip(slots, names)])
+        cells = cells.unpivot([], slots, "slot", "value").withColumn("slot", F.col("slot").cast("int"))
+        counted = cells.groupBy("slot", "value").agg(F.count("*").alias("n"))
+        label = F.array(*[F.lit(c) for c in names])[F.col("slot")]
+        parts.append(counted.select(label.alias("column"), F.col("value").cast("string").alias("value"), "n"))
+    return union_all(parts)
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -95,8 +119,8 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def approx_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Cheap distinct counts (about 2 % off) used to decide where an exact count is worth a shuffle."""
-    return agg_values(df, {c: F.approx_count_distinct(col(c), 0.02) for c in columns})
+    """Cheap distinct counts (about 5 % off) used to decide where an exact count is worth a shuffle."""
+    return agg_values(df, {c: F.approx_count_distinct(col(c)) for c in columns})
 
 
 def exact_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:

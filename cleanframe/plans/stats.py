@@ -1,8 +1,9 @@
 """Fitted numeric statistics: moments in one pass, exact quantiles in a few more.
 
-Exact quantiles never gather a column. ``percentile`` keeps a value -> count map, so it is used only where the column
-is known to hold few distinct values. Elsewhere a sketch brackets each wanted rank, a counting pass proves where the
-bracket lies, and the bracket narrows about a thousandfold per round until its values fit such a map.
+Exact quantiles never gather a column. ``percentile`` keeps a value -> count map, so it is used only where the number
+of distinct values is bounded by the row count or an integer range. Elsewhere a sketch brackets each wanted rank, a
+counting pass proves where the bracket lies, and the bracket narrows several hundredfold per round until its values
+fit such a map or it holds a single value.
 """
 
 from __future__ import annotations
@@ -10,16 +11,20 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import as_double, nan_to_null
+from ..functions.types import INTEGRAL, as_double, nan_to_null
 from .fused import agg_values, chunks
 
 MAP_LIMIT = 100_000
-SKETCH_ACCURACY = 10_000
+PERCENTILE_ACCURACY = 10_000
+SKETCH_K = 4_000  # rank error of the bracketing sketch is about 0.1 %
+SKETCH_MARGIN = 0.002
 MAX_ROUNDS = 64
+MOMENT_CHUNK = 60  # a deviation or skewness takes several buffers; more do not compile
 
 MOMENTS = {
     "count": lambda c: F.count(c),
@@ -92,26 +97,22 @@ def numeric_stats(
     df = nan_to_null(df)
     fields = dict.fromkeys(["count", *want])
     exprs = {(c, f): MOMENTS[f](as_double(c)) for c in columns for f in fields}
-    if probs and quantiles == "exact":
-        exprs.update({(c, "distinct"): F.approx_count_distinct(as_double(c), 0.02) for c in columns})
+    if probs:
         exprs.update({(c, f): MOMENTS[f](as_double(c)) for c in columns for f in ("min", "max")})
-    elif probs:
-        exprs.update(
-            {(c, "sketch"): F.percentile_approx(as_double(c), list(probs), SKETCH_ACCURACY) for c in columns}
-        )
-    values = agg_values(df, exprs)
+    values = agg_values(df, exprs, chunk=MOMENT_CHUNK)
     stats = {c: ColumnStats(c, **{f: values[(c, f)] for f in fields}) for c in columns}
     if probs and quantiles == "exact":
-        _exact_quantiles(df, stats, values, probs)
+        _exact_quantiles(df, stats, {c: (values[(c, "min")], values[(c, "max")]) for c in columns}, probs)
     elif probs:
+        found = agg_values(df, {c: F.percentile_approx(as_double(c), list(probs), PERCENTILE_ACCURACY) for c in columns})
         for c in columns:
-            stats[c].quantiles = dict(zip(probs, values[(c, "sketch")] or [None] * len(probs)))
+            stats[c].quantiles = dict(zip(probs, found[c] or [None] * len(probs)))
     return stats
 
 
 @dataclass
 class _Bracket:
-    """Values in [lo, hi] hold the order statistics ``rank`` and ``rank + 1`` (counted from 0)."""
+    """Values in [lo, hi] hold the order statistics ``rank`` and ``top`` (the next one), both counted from 0."""
 
     column: str
     prob: float
@@ -122,11 +123,17 @@ class _Bracket:
     hi: float
     below: int
     inside: int
-    distinct: int
 
-    def value(self) -> Column:
-        c = as_double(self.column)
-        return F.when(c.between(self.lo, self.hi), c)
+    @property
+    def holds(self) -> Column:
+        return as_double(self.column).between(self.lo, self.hi)
+
+    def moved(self, lo: float, hi: float, below: int, inside: int) -> bool:
+        """Take a narrower bracket if the counts prove that both wanted values lie in it."""
+        if below <= self.rank and self.top < below + inside and (inside < self.inside or hi - lo < self.hi - self.lo):
+            self.lo, self.hi, self.below, self.inside = lo, hi, below, inside
+            return True
+        return False
 
     def disc(self, rank: int) -> Column:
         """Order statistic ``rank`` of the column, read from the values inside the bracket."""
@@ -138,98 +145,107 @@ class _Bracket:
         )
 
 
-def _exact_quantiles(df: DataFrame, stats: dict[str, ColumnStats], values: dict, probs: Sequence[float]) -> None:
+def _exact_quantiles(df: DataFrame, stats: dict[str, ColumnStats], ranges: dict, probs: Sequence[float]) -> None:
     small, brackets = [], []
     for c, s in stats.items():
         s.quantiles = dict.fromkeys(probs)
         if not s.count:
             continue
-        # A column with an infinity has no finite bracket to count in.
-        if values[(c, "distinct")] <= MAP_LIMIT or not math.isfinite(values[(c, "max")] - values[(c, "min")]):
+        low, high = ranges[c]
+        whole = isinstance(df.schema[c].dataType, INTEGRAL)
+        # An infinity leaves no finite bracket, so such a column is counted whole.
+        if s.count <= MAP_LIMIT or (whole and high - low < MAP_LIMIT) or not math.isfinite(high - low):
             small.append(c)
             continue
         for p in probs:
             position = (s.count - 1) * p
             rank = min(int(position), s.count - 1)
-            brackets.append(
-                _Bracket(c, p, rank, position - rank, s.count - 1, values[(c, "min")], values[(c, "max")],
-                         0, s.count, values[(c, "distinct")])
-            )
+            brackets.append(_Bracket(c, p, rank, position - rank, min(rank + 1, s.count - 1), low, high, 0, s.count))
     for group in chunks(small, 8):
         found = agg_values(df, {c: F.percentile(as_double(c), list(probs)) for c in group})
         for c in group:
             stats[c].quantiles = dict(zip(probs, found[c]))
-    if brackets:
-        _narrow(df, brackets)
-        wanted = {}
-        for i, b in enumerate(brackets):
+    for group in chunks(brackets, 24):
+        _narrow(df, group)
+        _read(df, group, stats)
+
+
+def _read(df: DataFrame, brackets: list[_Bracket], stats: dict[str, ColumnStats]) -> None:
+    """Read the order statistics of narrow brackets, from only the rows inside one of them."""
+    wanted = {}
+    for i, b in enumerate(brackets):
+        if b.lo < b.hi:
             wanted[(i, 0)] = b.disc(b.rank)
-            if b.share > 0:
-                wanted[(i, 1)] = b.disc(b.rank + 1)
-        found = agg_values(df, wanted)
-        for i, b in enumerate(brackets):
-            low = found[(i, 0)]
-            stats[b.column].quantiles[b.prob] = low + (found.get((i, 1), low) - low) * b.share
+            if b.share > 0 and b.top > b.rank:
+                wanted[(i, 1)] = b.disc(b.top)
+    found = {}
+    if wanted:
+        inside = reduce(lambda a, b: a | b, [b.holds for b in brackets if b.lo < b.hi])
+        found = agg_values(df.filter(inside), wanted)
+    for i, b in enumerate(brackets):
+        low = found.get((i, 0), b.lo)
+        stats[b.column].quantiles[b.prob] = low + (found.get((i, 1), low) - low) * b.share
 
 
 def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Shrink every bracket until its distinct values fit a map; each round is two fused passes."""
-    margin = 2.0 / SKETCH_ACCURACY
-    for _ in range(MAX_ROUNDS):
-        wide = [b for b in brackets if b.distinct > MAP_LIMIT]
+    """Shrink every bracket until its values fit a map; each round is one sketch pass and one counting pass."""
+    for turn in range(MAX_ROUNDS):
+        wide = [b for b in brackets if b.lo < b.hi and b.inside > MAP_LIMIT]
         if not wide:
             return
+        # Hot values can fill a bracket with rows but few distinct values, which do fit a map.
+        if turn:
+            rough = agg_values(df, {i: F.approx_count_distinct(F.when(b.holds, as_double(b.column))) for i, b in enumerate(wide)})
+            wide = [b for i, b in enumerate(wide) if rough[i] > MAP_LIMIT // 2]
+            if not wide:
+                return
+        spans: dict[tuple, list[_Bracket]] = {}
+        for b in wide:
+            spans.setdefault((b.column, b.lo, b.hi), []).append(b)
         sketches = {}
-        for i, b in enumerate(wide):
-            last = max(b.inside - 1, 1)
-            lo = max(0.0, (b.rank - b.below) / last - margin)
-            hi = min(1.0, (b.rank + 1 - b.below) / last + margin)
-            sketches[i] = F.percentile_approx(b.value(), [lo, hi], SKETCH_ACCURACY)
+        for key, members in spans.items():
+            c = as_double(key[0]).cast("double")
+            ranks = [x for b in members for x in _ranks(b)]
+            sketch = F.kll_sketch_agg_double(F.when(members[0].holds, c), F.lit(SKETCH_K))
+            sketches[key] = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(r) for r in ranks]))
         found = agg_values(df, sketches)
-        checks = {}
-        for i, b in enumerate(wide):
-            lo, hi = found[i]
+        tries = [(b, *found[key][2 * j : 2 * j + 2]) for key, members in spans.items() for j, b in enumerate(members)]
+        counts = {}
+        for i, (b, lo, hi) in enumerate(tries):
             c = as_double(b.column)
-            within = c.between(lo, hi)
-            checks[(i, "below")] = F.count_if(c < lo)
-            checks[(i, "inside")] = F.count_if(within)
-            checks[(i, "distinct")] = F.approx_count_distinct(F.when(within, c), 0.02)
-        counted = agg_values(df, checks)
-        for i, b in enumerate(wide):
-            below, inside = counted[(i, "below")], counted[(i, "inside")]
-            need = min(b.rank + 1, b.top)
-            if below <= b.rank and need < below + inside and inside < b.inside:
-                b.lo, b.hi = found[i]
-                b.below, b.inside, b.distinct = below, inside, counted[(i, "distinct")]
-            else:
+            counts[(i, "below")] = F.count_if(c < lo)
+            counts[(i, "inside")] = F.count_if(c.between(lo, hi))
+        counted = agg_values(df, counts)
+        for i, (b, lo, hi) in enumerate(tries):
+            if not b.moved(lo, hi, counted[(i, "below")], counted[(i, "inside")]):
                 _bisect(df, b)
     raise RuntimeError("quantile brackets did not narrow")
 
 
+def _ranks(b: _Bracket) -> tuple[float, float]:
+    """Ranks inside the bracket that enclose the wanted ones with room for the sketch's error."""
+    last = max(b.inside - 1, 1)
+    lo = max(0.0, (b.rank - b.below) / last - SKETCH_MARGIN)
+    hi = min(1.0, (b.top - b.below) / last + SKETCH_MARGIN)
+    return lo, hi
+
+
 def _bisect(df: DataFrame, b: _Bracket) -> None:
-    """Halve a bracket by value; the exact way on when a sketch bracket misses its rank."""
+    """Split a bracket by value; the exact way on when a sketch misses the rank."""
     mid = b.lo + (b.hi - b.lo) / 2
     c = as_double(b.column)
-    left = c.between(b.lo, mid)
-    right = (c > mid) & (c <= b.hi)
+    left, right = c.between(b.lo, mid), (c > mid) & (c <= b.hi)
     found = agg_values(
         df,
-        {
-            "left": F.count_if(left),
-            "left_max": F.max(F.when(left, c)),
-            "right_min": F.min(F.when(right, c)),
-            "left_distinct": F.approx_count_distinct(F.when(left, c), 0.02),
-            "right_distinct": F.approx_count_distinct(F.when(right, c), 0.02),
-        },
+        {"n": F.count_if(left), "left_max": F.max(F.when(left, c)), "right_min": F.min(F.when(right, c))},
     )
-    edge = b.below + found["left"]
-    if min(b.rank + 1, b.top) < edge:
-        b.hi, b.inside, b.distinct = found["left_max"], found["left"], found["left_distinct"]
+    edge = b.below + found["n"]
+    if b.top < edge:
+        b.hi, b.inside = found["left_max"], found["n"]
     elif b.rank >= edge:
-        b.lo, b.inside, b.below = found["right_min"], b.inside - found["left"], edge
-        b.distinct = found["right_distinct"]
+        b.lo, b.inside, b.below = found["right_min"], b.inside - found["n"], edge
     else:
         # The two wanted values straddle the middle: they are its neighbours.
-        b.lo, b.hi, b.below, b.inside, b.distinct = found["left_max"], found["right_min"], None, None, 2
-        counted = agg_values(df, {"below": F.count_if(c < b.lo), "inside": F.count_if(c.between(b.lo, b.hi))})
-        b.below, b.inside = counted["below"], counted["inside"]
+        lo, hi = found["left_max"], found["right_min"]
+        counted = agg_values(df, {"below": F.count_if(c < lo), "inside": F.count_if(c.between(lo, hi))})
+        b.lo, b.hi, b.below, b.inside = lo, hi, counted["below"], counted["inside"]

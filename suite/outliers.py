@@ -10,8 +10,8 @@ from .base import EVENT_NUMBERS, LINEITEM_NUMBERS, on, per_column, query, rounde
 
 _FIT = """(select avg({c}) m, stddev_samp({c}) s, min({c})::double mn, max({c})::double mx, quantile_cont({c}::double, 0.25) q1, quantile_cont({c}::double, 0.75) q3 from {t})"""
 _FULL = """select '{c}' as "column", count({c}) as n, round(any_value(m), 4) as mean, round(any_value(s), 4) as std, any_value(mn) as min, any_value(mx) as max,
-  round(any_value(q1), 4) as q1, round(any_value(q3), 4) as q3, round(any_value(q3 - q1), 4) as iqr,
-  round(any_value(q1 - 1.5 * (q3 - q1)), 4) as lower_fence, round(any_value(q3 + 1.5 * (q3 - q1)), 4) as upper_fence,
+  round(any_value(q1), 6) as q1, round(any_value(q3), 6) as q3, round(any_value(q3 - q1), 6) as iqr,
+  round(any_value(q1 - 1.5 * (q3 - q1)), 6) as lower_fence, round(any_value(q3 + 1.5 * (q3 - q1)), 6) as upper_fence,
   count_if(s > 0 and abs(({c} - m) / nullif(s, 0)) > 3) as zscore_outliers, count_if({c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1)) as iqr_outliers,
   count_if(s > 0 and abs(({c} - m) / nullif(s, 0)) > 3) > 0 or count_if({c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1)) > 0 as has_outliers,
   greatest(count_if(s > 0 and abs(({c} - m) / nullif(s, 0)) > 3), count_if({c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1))) as most_flagged
@@ -29,17 +29,22 @@ def zscore(spark, sf_dir):
 
 @query("outliers_iqr", f"""select "column", q1, q3, lower_fence, upper_fence, iqr_outliers from ({_of(_FULL, 'events', EVENT_NUMBERS)})""")
 def iqr(spark, sf_dir):
-    return rounded(cf.outlier_report(table(spark, sf_dir, "events")).select("column", "q1", "q3", "lower_fence", "upper_fence", "iqr_outliers"))
+    return rounded(cf.outlier_report(table(spark, sf_dir, "events")).select("column", "q1", "q3", "lower_fence", "upper_fence", "iqr_outliers"), 6)
+
+
+def _rounded_report(report):
+    """Quartiles are exact, so they keep more digits than sums."""
+    return rounded(rounded(report, 4, ("mean", "std")), 6)
 
 
 @query("outliers_report", _of(_FULL, "lineitem", LINEITEM_NUMBERS))
 def report(spark, sf_dir):
-    return rounded(cf.outlier_report(table(spark, sf_dir, "lineitem")))
+    return _rounded_report(cf.outlier_report(table(spark, sf_dir, "lineitem")))
 
 
 @query("outliers_report_documents", _of(_FULL, "documents", ("doc_id", "n_chars")))
 def report_documents(spark, sf_dir):
-    return rounded(cf.outlier_report(table(spark, sf_dir, "documents")))
+    return _rounded_report(cf.outlier_report(table(spark, sf_dir, "documents")))
 
 
 @query("outliers_samples", f"""select 'value' as "column", (row_number() over (order by value))::int as rank, value from (select value from events, {_FIT.replace('{c}', 'value').replace('{t}', 'events')}
