@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,16 @@ def year_columns(df: DataFrame, match: str = "substring") -> list[str]:
     return [c for c in numeric_columns(df) if name_matches(c, YEAR_RANGE_KEYWORDS, match)]
 
 
+def _outside(df: DataFrame, name: str, min_year: int, max_year: int) -> Column:
+    """Comparison with the first days of years, which a Parquet scan can use to skip row groups."""
+    c = col(name)
+    if is_datetime(df, name):
+        return (c < F.lit(date(min_year, 1, 1))) | (c >= F.lit(date(max_year + 1, 1, 1)))
+    return (c < min_year) | (c > max_year)
+
+
 def out_of_range(df: DataFrame, name: str, min_year: int, max_year: int) -> Column:
-    year = F.year(col(name)) if is_datetime(df, name) else col(name)
-    return F.coalesce((year < min_year) | (year > max_year), F.lit(False))
+    return F.coalesce(_outside(df, name, min_year, max_year), F.lit(False))
 
 
 def date_range_report(df: DataFrame, min_year: int = MIN_YEAR, max_year: int | None = None, match: str = "substring") -> DataFrame:
@@ -47,7 +55,7 @@ def date_range_samples(
     clean = nan_to_null(df)
     parts = []
     for c in [*datetime_columns(df), *year_columns(df, match)]:
-        bad = clean.filter(out_of_range(df, c, min_year, top)).select(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
+        bad = clean.filter(_outside(df, c, min_year, top)).select(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
         parts.append(bad)
     if not parts:
         return empty(df, "column string, rank int, value string")

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from ..functions.types import as_double, col, name_matches, nan_to_null, require_columns
 from ..functions.vocab import IDENTITY_KEYWORDS
-from ..plans.fused import empty, value_counts
+from ..plans.fused import agg_values, empty, value_counts
 from ..plans.result import FixResult
 
+BROADCAST_KEYS = 1_000_000  # 8 bytes each
 METHODS = ("keep_first", "keep_last", "drop_all", "do_nothing")
 
 
@@ -21,26 +22,32 @@ def _fingerprint(df: DataFrame) -> Column:
     return F.xxhash64(*[col(c) for c in df.columns])
 
 
-def _suspects(df: DataFrame) -> DataFrame:
-    """Rows whose fingerprint occurs more than once: every duplicate, and almost nothing else.
+def _copies(df: DataFrame) -> DataFrame | None:
+    """Distinct rows that may be repeated, with their number of copies; None when no row is repeated.
 
-    Only the 8-byte hash is shuffled to find them, and copies combine before that, so the full rows move only where
-    there is something to compare.
+    First only 8-byte hashes are shuffled. If few of them repeat, their counted list is broadcast and only the rows it
+    names move; otherwise whole rows are grouped, and copies combine in the map tasks before they move.
     """
     marked = df.withColumn("__fp", _fingerprint(df))
     repeated = marked.groupBy("__fp").agg(F.count("*").alias("n")).filter("n > 1").select("__fp")
-    return marked.join(repeated, "__fp", "left_semi").drop("__fp")
+    found = agg_values(repeated, {"n": F.count("*")})["n"]
+    if found == 0:
+        return None
+    if found <= BROADCAST_KEYS:
+        df = marked.join(F.broadcast(repeated), "__fp", "left_semi").drop("__fp")
+    return df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__copies"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: rows, redundant copies (all but the first of each group) and their percent."""
     clean = _groupable(nan_to_null(df))
-    groups = _suspects(clean).groupBy(*[col(c) for c in clean.columns]).agg(F.count("*").alias("__copies"))
-    redundant = groups.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("n"), F.lit(0).cast("bigint").alias("rows"))
+    groups = _copies(clean)
     total = clean.agg(F.lit(0).cast("bigint").alias("n"), F.count("*").alias("rows"))
+    if groups is not None:
+        redundant = groups.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("n"), F.lit(0).cast("bigint").alias("rows"))
+        total = total.union(redundant)
     return (
-        redundant.union(total)
-        .agg(F.sum("rows").alias("n_rows"), F.sum("n").alias("duplicate_count"))
+        total.agg(F.sum("rows").alias("n_rows"), F.sum("n").alias("duplicate_count"))
         .withColumn("duplicate_pct", F.try_divide(100.0 * F.col("duplicate_count"), F.col("n_rows")))
     )
 
@@ -48,8 +55,11 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def duplicate_samples(df: DataFrame, order_by: Sequence[str], k: int = 5) -> DataFrame:
     """First ``k`` duplicated rows with their number of redundant copies."""
     clean = _groupable(nan_to_null(df))
-    groups = _suspects(clean).groupBy(*[col(c) for c in clean.columns]).agg((F.count("*") - 1).alias("redundant_copies"))
-    return groups.filter("redundant_copies > 0").orderBy(*[col(c) for c in order_by]).limit(k)
+    groups = _copies(clean)
+    if groups is None:
+        return clean.withColumn("redundant_copies", F.lit(0).cast("bigint")).limit(0)
+    counted = groups.withColumn("redundant_copies", F.col("__copies") - 1).drop("__copies")
+    return counted.filter("redundant_copies > 0").orderBy(*[col(c) for c in order_by]).limit(k)
 
 
 def _groupable(df: DataFrame) -> DataFrame:

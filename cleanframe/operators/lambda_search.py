@@ -42,32 +42,47 @@ def boxcox_lambdas(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     clean = nan_to_null(df)
     logs = agg_values(clean, {c: F.avg(F.ln(as_double(c))) for c in columns})
     # Dividing by the geometric mean leaves the best power unchanged and keeps large powers in range.
-    scaled = {c: as_double(c) / F.lit(math.exp(logs[c])) for c in columns}
-    zero = dict.fromkeys(columns, 0.0)
-    return _maximise(clean, scaled, boxcox, zero)
+    centred = clean.select(*[(F.ln(as_double(c)) - F.lit(logs[c])).alias(f"c{i}") for i, c in enumerate(columns)])
+    return _maximise(centred, columns, _boxcox_of_log, dict.fromkeys(columns, 0.0))
 
 
 def yeojohnson_lambdas(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Best Yeo-Johnson power per column; any values."""
     if not columns:
         return {}
-    clean = nan_to_null(df)
-    x = {c: as_double(c) for c in columns}
-    jacobian = agg_values(clean, {c: F.avg(F.signum(x[c]) * F.log1p(F.abs(x[c]))) for c in columns})
-    return _maximise(clean, x, yeojohnson, jacobian)
+    signed = [F.signum(as_double(c)) * F.log1p(F.abs(as_double(c))) for c in columns]
+    logs = nan_to_null(df).select(*[s.alias(f"c{i}") for i, s in enumerate(signed)])
+    jacobian = agg_values(logs, {c: F.avg(f"c{i}") for i, c in enumerate(columns)})
+    return _maximise(logs, columns, _yeojohnson_of_log, jacobian)
+
+
+# The searches read logarithms, so a candidate power costs one exponential a row.
+
+
+def _boxcox_of_log(log: Column, power: float) -> Column:
+    return log if abs(power) < ZERO else (F.exp(log * power) - 1.0) / power
+
+
+def _yeojohnson_of_log(log: Column, power: float) -> Column:
+    """``log`` is sign(x) * log1p(|x|)."""
+    rest = 2.0 - power
+    up = log if abs(power) < ZERO else (F.exp(log * power) - 1.0) / power
+    down = log if abs(rest) < ZERO else (1.0 - F.exp(log * -rest)) / rest
+    return F.when(log >= 0, up).otherwise(down)
 
 
 def _maximise(
-    df: DataFrame, values: dict[str, Column], transform: Callable[[Column, float], Column], jacobian: dict[str, float]
+    logs: DataFrame, columns: Sequence[str], transform: Callable[[Column, float], Column], jacobian: dict[str, float]
 ) -> dict[str, float]:
     """Maximise (power - 1) * jacobian - ln(var) / 2 per column, the mean log-likelihood up to a constant."""
-    best = dict.fromkeys(values, 0.0)
+    values = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
+    best = dict.fromkeys(columns, 0.0)
     for half, points in ROUNDS:
         pending = dict(best)
         for _ in range(20):  # move the interval while the maximum sits on its edge
             nodes = {c: mid + half * np.cos(np.pi * (np.arange(points) + 0.5) / points) for c, mid in pending.items()}
             found = agg_values(
-                df, {(c, i): F.var_pop(transform(values[c], float(p))) for c in pending for i, p in enumerate(nodes[c])},
+                logs, {(c, i): F.var_pop(transform(values[c], float(p))) for c in pending for i, p in enumerate(nodes[c])},
                 chunk=VARIANCE_CHUNK,
             )
             moved = {}

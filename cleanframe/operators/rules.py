@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,23 +71,26 @@ def check_rule(df: DataFrame, rule: Rule) -> str | None:
     return None
 
 
-def violation(rule: Rule) -> Column:
-    """True where a row breaks the rule, false elsewhere; a missing value breaks only ``no_nulls``."""
+def _broken(rule: Rule) -> Column:
+    """The plain comparison, which a filter can push into a scan; NULL where the value is missing."""
     c, p = col(rule.column), rule.params
     if rule.rule == "no_nulls":
         return c.isNull()
     if rule.rule == "no_future_year":
-        broken = c > F.lit(p.get("year", current_year()))
-    elif rule.rule == "no_past_year":
-        broken = c < F.lit(p.get("min_year", MIN_YEAR))
-    elif rule.rule == "no_negative":
-        broken = c < 0
-    else:
-        lo, hi = (0, 100) if rule.rule == "percentage" else (p.get("min"), p.get("max"))
-        below = c < F.lit(lo) if lo is not None else F.lit(False)
-        above = c > F.lit(hi) if hi is not None else F.lit(False)
-        broken = below | above
-    return F.coalesce(broken, F.lit(False))
+        return c > F.lit(p.get("year", current_year()))
+    if rule.rule == "no_past_year":
+        return c < F.lit(p.get("min_year", MIN_YEAR))
+    if rule.rule == "no_negative":
+        return c < 0
+    lo, hi = (0, 100) if rule.rule == "percentage" else (p.get("min"), p.get("max"))
+    if lo is None or hi is None:
+        return c < F.lit(lo) if hi is None else c > F.lit(hi)
+    return (c < F.lit(lo)) | (c > F.lit(hi))
+
+
+def violation(rule: Rule) -> Column:
+    """True where a row breaks the rule, false elsewhere; a missing value breaks only ``no_nulls``."""
+    return F.coalesce(_broken(rule), F.lit(False))
 
 
 def run_rules(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, list[str]]:
@@ -119,7 +123,11 @@ def violating_rows(df: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) ->
         F.when(violation(r), F.struct(F.lit(r.column).alias("column"), F.lit(r.label).alias("rule"), col(r.column).cast("string").alias("value")))
         for r in usable
     ])
-    return nan_to_null(df).select(*[col(k) for k in keep], F.explode(F.filter(broken, lambda b: b.isNotNull())).alias("b")).select(
+    suspects = df
+    if not any(r.rule == "no_nulls" for r in usable):
+        # Looser than the rules only for NaN; it lets the scan skip row groups without violations.
+        suspects = df.filter(reduce(lambda a, b: a | b, [_broken(r) for r in usable]))
+    return nan_to_null(suspects).select(*[col(k) for k in keep], F.explode(F.filter(broken, lambda b: b.isNotNull())).alias("b")).select(
         *[col(k) for k in keep], "b.column", "b.rule", "b.value"
     )
 
