@@ -44,13 +44,15 @@ class MahalanobisFit:
 
     @property
     def distance(self) -> Column:
-        d = [as_double(c) - F.lit(m) for c, m in zip(self.columns, self.means)]
+        values = [as_double(c) for c in self.columns]
+        d = [F.when(~F.isnan(x), x) - F.lit(m) for x, m in zip(values, self.means)]
         terms = []
         for i in range(len(d)):
             row = reduce(lambda a, b: a + b, [F.lit(self.inverse[i][j] * (1.0 if i == j else 2.0)) * d[j] for j in range(i, len(d))])
             terms.append(d[i] * row)
         # Rounding can leave a tiny negative sum at the centre.
-        return F.sqrt(F.greatest(reduce(lambda a, b: a + b, terms), F.lit(0.0)))
+        square = reduce(lambda a, b: a + b, terms)
+        return F.when(square.isNotNull(), F.sqrt(F.greatest(square, F.lit(0.0))))
 
     def apply(self, df: DataFrame, action: str = "flag") -> DataFrame:
         """``flag`` adds a boolean column (false for incomplete rows); ``drop`` removes the outliers."""
