@@ -79,7 +79,7 @@ def identity_duplicates(df: DataFrame, match: str = "substring") -> DataFrame:
     names = [c for c in flat if name_matches(c, IDENTITY_KEYWORDS, match)]
     if not names:
         return empty(df, "column string, dup_count bigint")
-    counts = value_counts(nan_to_null(df), names)
+    counts = value_counts(nan_to_null(df), names, digest=True)
     return counts.groupBy("column").agg(F.sum(F.col("n") - 1).alias("dup_count")).filter("dup_count > 0")
 
 

@@ -62,7 +62,8 @@ def case_variant_groups(df: DataFrame, columns: Sequence[str] | None = None, k:
     spelled = value_counts(df, names).filter(F.col("value").isNotNull()).select("column", F.lower("value").alias("lower_value"), "value")
     groups = spelled.groupBy("column", "lower_value").agg(F.count("*").alias("spellings")).filter("spellings > 1")
     first = top_per_group(groups, ["column"], [F.col("lower_value")], k).select("column", "lower_value", "rank")
-    return first.join(spelled, ["column", "lower_value"]).select("column", "lower_value", "rank", "value")
+    # At most k rows a column, so the broadcast is bounded.
+    return F.broadcast(first).join(spelled, ["column", "lower_value"]).select("column", "lower_value", "rank", "value")
 
 
 def text_value_report(df: DataFrame) -> DataFrame:

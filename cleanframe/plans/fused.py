@@ -92,11 +92,13 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
     return stacked.select(*[col(k) for k in keep], names[F.col("__slot")].alias("column"), "value")
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def value_counts(df: DataFrame, columns: Sequence[str], digest: bool = False) -> DataFrame:
     """(column, value as text, n), missing included.
 
     Columns of one type are counted together in their own type, so rows are expanded and shuffled without turning
     values into text; only distinct values are. Repeats combine before the shuffle, so a hot value costs one row a task.
+    With ``digest`` a text beyond 64 characters is known by its SHA-256, for counts that do not show values: whole
+    texts are still told apart, but do not move.
     """
     by_type: dict[str, list[str]] = {}
     for c in columns:
@@ -104,7 +106,7 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     parts = []
     for names in by_type.values():
         slots = [str(i) for i in range(len(names))]
-        cells = df.select(*[as_key(df, c).alias(s) for s, c in zip(slots, names)])
+        cells = df.select(*[_cell(df, c, digest).alias(s) for s, c in zip(slots, names)])
         cells = cells.unpivot([], slots, "slot", "value").withColumn("slot", F.col("slot").cast("int"))
         counted = cells.groupBy("slot", "value").agg(F.count("*").alias("n"))
         label = F.array(*[F.lit(c) for c in names])[F.col("slot")]
@@ -112,6 +114,14 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return union_all(parts)
 
 
+def _cell(df: DataFrame, name: str, digest: bool) -> Column:
+    key = as_key(df, name)
+    if not digest or not isinstance(df.schema[name].dataType, T.StringType):
+        return key
+    # The marker makes a digest longer than any text that is kept as it is.
+    return F.when(F.length(key) > 64, F.concat(F.lit("sha256:"), F.sha2(key, 256))).otherwise(key)
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each group. Spark limits each group inside every map task before it shuffles."""
     window = Window.partitionBy(*[col(g) for g in group]).orderBy(*order)
@@ -127,6 +137,6 @@ def exact_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Distinct non-missing values per column, by grouping and not by COUNT(DISTINCT) over many columns."""
     if not columns:
         return {}
-    counts = value_counts(df, columns).filter(F.col("value").isNotNull())
+    counts = value_counts(df, columns, digest=True).filter(F.col("value").isNotNull())
     found = {r["column"]: r["n_distinct"] for r in counts.groupBy("column").agg(F.count("*").alias("n_distinct")).collect()}
     return {c: found.get(c, 0) for c in columns}

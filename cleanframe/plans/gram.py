@@ -14,6 +14,7 @@ from .fused import agg_values
 
 NARROW = 10  # columns up to which compiled sums beat handing batches to NumPy
 
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
 _CELLS = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
 
 
@@ -38,17 +39,21 @@ def pair_sums(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, dict[s
         xx = np.repeat(np.diag(xy)[:, None], k, axis=1)
         xs = np.repeat(x[:, None], k, axis=1)
         return means, {"n": np.full((k, k), float(rows)), "x": xs, "y": xs.T, "xx": xx, "yy": xx.T, "xy": xy}
-    cells = df.select(*[c.alias(f"c{i}") for i, c in enumerate(centred)]).mapInPandas(_partial_sums, _CELLS)
-    sums = [F.sum(s).alias(s) for s in ("n", "x", "y", "xx", "yy", "xy")]
-    out = {s: np.zeros((k, k)) for s in ("n", "x", "y", "xx", "yy", "xy")}
-    for r in cells.groupBy("i", "j").agg(*sums).collect():  # k x k rows
-        for s, grid in out.items():
-            grid[r["i"], r["j"]] = r[s]
+    # Few, long tasks: each emits k x k numbers whatever its rows, and merging scan splits takes no shuffle.
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    batches = df.select(*[c.alias(f"c{i}") for i, c in enumerate(centred)]).coalesce(tasks)
+    sums = [F.sum(s).alias(s) for s in SUMS]
+    out = {s: np.zeros((k, k)) for s in SUMS}
+    mirror = {"n": "n", "x": "y", "y": "x", "xx": "yy", "yy": "xx", "xy": "xy"}
+    for r in batches.mapInPandas(_partial_sums, _CELLS).groupBy("i", "j").agg(*sums).collect():  # k x k / 2 rows
+        for s in SUMS:
+            out[s][r["i"], r["j"]] = r[s]
+            out[mirror[s]][r["j"], r["i"]] = r[s]
     return means, out
 
 
 def _partial_sums(batches):
-    """One k x k block of sums per task, whatever the number of rows in it."""
+    """One upper triangle of sums per task, whatever the number of rows in it."""
     total = None
     for pdf in batches:
         values = pdf.to_numpy(dtype=float, na_value=np.nan)
@@ -57,10 +62,8 @@ def _partial_sums(batches):
         block = [there.T @ there, z.T @ there, there.T @ z, (z * z).T @ there, there.T @ (z * z), z.T @ z]
         total = block if total is None else [a + b for a, b in zip(total, block)]
     if total is not None:
-        k = len(total[0])
-        i, j = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
-        names = ("n", "x", "y", "xx", "yy", "xy")
-        yield pd.DataFrame({"i": i.ravel().astype("int32"), "j": j.ravel().astype("int32"), **{s: t.ravel() for s, t in zip(names, total)}})
+        i, j = np.triu_indices(len(total[0]))
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), **{s: t[i, j] for s, t in zip(SUMS, total)}})
 
 
 def correlations(sums: dict[str, np.ndarray]) -> np.ndarray:

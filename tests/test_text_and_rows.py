@@ -292,3 +292,12 @@ def test_fitted_fixes_on_a_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("fixed").collect())) == sorted(map(tuple, cf.apply_fits(batch, *fits).collect()))
     with pytest.raises(TypeError):
         cf.apply_fits(stream, object())
+
+
+def test_long_texts_are_told_apart_by_digest(spark):
+    from cleanframe.plans.fused import exact_distinct
+
+    base = "x" * 5000
+    df = spark.createDataFrame([(base + "a",), (base + "b",), (base + "b",), ("short",), (None,)], "code string")
+    assert exact_distinct(df, ["code"]) == {"code": 3}
+    assert cf.identity_duplicates(df).first()["dup_count"] == 1
