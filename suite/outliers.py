@@ -142,11 +142,8 @@ def multivariate_all(spark, sf_dir):
     return cf.mahalanobis_report(df, cf.fit_mahalanobis(df))
 
 
-_PAIRS = [(a, b) for i, a in enumerate(LINEITEM_NUMBERS) for b in LINEITEM_NUMBERS[i + 1 :]]
-
-
 @query("correlation_matrix", " union all ".join(
-    f"select '{a}' as col_a, '{b}' as col_b, round({'1.0' if a == b else f'corr({a}, {b})'}, 4) as correlation from lineitem {'limit 1' if False else 'having count(*) > 0'}"
+    f"select '{a}' as col_a, '{b}' as col_b, round({'1.0' if a == b else f'corr({a}, {b})'}, 4) as correlation from lineitem having count(*) > 0"
     for a in LINEITEM_NUMBERS for b in LINEITEM_NUMBERS))
 def correlation_matrix(spark, sf_dir):
     return rounded(cf.correlation_matrix(table(spark, sf_dir, "lineitem")))
@@ -159,10 +156,15 @@ def correlation_pairs(spark, sf_dir):
     return rounded(cf.correlation_pairs(view(spark, sf_dir, "dirty_customer")))
 
 
-@query("correlation_high_pairs", f"select col_a, col_b, round(r, 4) as correlation, col_b as drop_candidate from (" + " union all ".join(
-    f"select '{a}' as col_a, '{b}' as col_b, corr({a}, {b}) as r from lineitem" for a, b in _PAIRS) + ") where abs(r) >= 0.6")
+_WITH_REVENUE = (*LINEITEM_NUMBERS, "l_revenue")
+
+
+@query("correlation_high_pairs", "select col_a, col_b, round(r, 4) as correlation, col_b as drop_candidate from (" + " union all ".join(
+    f"select '{a}' as col_a, '{b}' as col_b, corr({a}, {b}) as r from (select *, l_extendedprice * (1 - l_discount) as l_revenue from lineitem)"
+    for i, a in enumerate(_WITH_REVENUE) for b in _WITH_REVENUE[i + 1 :]) + ") where abs(r) >= 0.95")
 def high_correlations(spark, sf_dir):
-    return rounded(cf.high_correlations(table(spark, sf_dir, "lineitem"), 0.6))
+    df = table(spark, sf_dir, "lineitem").withColumn("l_revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return rounded(cf.high_correlations(df))
 
 
 @query("correlation_high_pairs_missing", on("dirty_customer", """select 'balance' as col_a, 'twice' as col_b, round(corr(balance, twice), 4) as correlation, 'twice' as drop_candidate
