@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination_report
+from .language import fit_language, identify
+from .merkle import edit_report
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_groups
+from .quality import fit_quality, score_quality, text_shape
+from .scratch import Scratch
+from .token_store import read_tokens, write_tokens
+from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +43,50 @@ def fold(modulus: int):
 @query("op1_ngram_jaccard_join")
 def op1(spark, sf_dir):
     return ngram_jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op2_merkle_fingerprints")
+def op2(spark, sf_dir):
+    return edit_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_language_kernel")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language(docs.filter(fold(4) != 2).select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_quality_additive")
+def op4(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    shapes = Scratch(spark, "quality").keep(text_shape(table(spark, sf_dir, "documents")), "shapes")
+    model = fit_quality(shapes.filter(fold(3) != 1), labels)
+    return score_quality(shapes, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op5_toxicity_ftrl")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = fit_toxicity(docs.filter(fold(5) != 0).join(labels, "doc_id"))
+    return score_toxicity(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op6_pfair_mixing")
+def op6(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+
+
+@query("op7_token_store")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    root = Scratch(spark, "tokens").root
+    write_tokens(table(spark, sf_dir, "documents"), root, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, root, with_ids=False)
+
+
+@query("op10_spaced_seed_decontamination")
+def op10(spark, sf_dir):
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

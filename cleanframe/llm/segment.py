@@ -15,8 +15,8 @@ _SEED = np.random.default_rng(20240229)
 _LETTER = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _STEP = _U(0x9E3779B97F4A7C15)
 _STEP_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
@@ -85,10 +85,13 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         start = stop
 
 
-def words(texts: pa.Array) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a null or empty text has none."""
+def words(texts: pa.Array, letters: np.ndarray = LOWER) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a null or empty text has none.
+
+    Another table of ``letters`` may map other bytes, for example punctuation to spaces.
+    """
     data, offsets = raw(texts)
-    data = _LOWER[data]
+    data = letters[data]
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
