@@ -14,8 +14,10 @@ from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_groups
 from .quality import fit_quality, score_quality, text_shape
 from .scratch import Scratch
+from .suffix_tree import score_texts
 from .token_store import read_tokens, write_tokens
 from .toxicity import fit_toxicity, score_toxicity
+from .wordpiece import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,3 +92,15 @@ def op7(spark, sf_dir):
 @query("op10_spaced_seed_decontamination")
 def op10(spark, sf_dir):
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_word_piece_counts")
+def op8(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_suffix_tree_scores")
+def op9(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"), fold(5) == 1)

@@ -1,7 +1,7 @@
 """Toxicity by online logistic regression: FTRL-proximal over hashed word n-grams and skip-grams.
 
-Words are runs of letters and digits, A-Z lower-cased. A text's features are the words, word pairs and pairs with one
-word between them that it contains, hashed to 2^20 slots. Each coordinate has its own learning rate; L1 keeps most weights at
+Words are runs of letters and digits, A-Z lower-cased. A text's features are the words, their stems (the first four bytes,
+which inflected and compound words share), word pairs and pairs with one word between them that it contains, hashed to 2^20 slots. Each coordinate has its own learning rate; L1 keeps most weights at
 exactly zero, so what is broadcast is a short list of slots and weights, at most 2^20 of them.
 
 Edge cases. A null or empty text has no features: its score is the base rate. Without labelled rows of both labels the
@@ -19,24 +19,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import labelled_sample
-from .segment import LOWER, Words, mix, slices, words
+from .segment import LOWER, Words, mix, slices, span_hashes, words
 
 BITS = 20
 #: Bound of the sample: labelled texts of each label.
 PER_LABEL = 3000
 #: FTRL-proximal: rate, smoothing, L1, L2, passes over the sample.
-ALPHA, BETA, L1, L2, PASSES = 3.0, 1.0, 12.0, 1.0, 4
+ALPHA, BETA, L1, L2, PASSES = 3.0, 1.0, 6.0, 1.0, 4
 
 _LETTERS = LOWER.copy()
 _LETTERS[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
-_PAIR, _SKIP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
+_PAIR, _SKIP, _STEM = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+STEM = 4
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(document, slot) of every n-gram and skip-gram, repeats included."""
     doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    docs, slots = [doc], [w.hash]
+    stems = span_hashes(w.data, w.begin, np.minimum(w.begin + STEM, w.end)) if len(doc) else w.hash
+    docs, slots = [doc, doc], [w.hash, mix(stems * _STEM)]
     for gap, factor in ((1, _PAIR), (2, _SKIP)):
         same = doc[:-gap] == doc[gap:]
         docs.append(doc[:-gap][same])
