@@ -1,19 +1,17 @@
 """Language-model scores by a probabilistic suffix tree, beside those of a smoothed unigram model.
 
-A text is its words, A-Z lower-cased, and one end. A token's probability is its discounted share of the training tokens plus
-the discounted mass times its probability in the tree, which knows every token, met or not:
-P(w) = max(c - d, 0) / N + d * V / N * tree(w), for c, N, V as counted and the discount d.
-
-The tree predicts the letters (bytes) of a token and its end from the last letters of the same token, with a mark for the
-token's beginning, up to ``depth`` of them. It learns from the distinct training tokens, each once, as what it adds are rare
-and new tokens. A context is considered if it makes up at least ``min_share`` of all letters, which bounds the tree whatever the
-corpus: there are at most 1 / min_share contexts of each length. It is kept if its distribution diverges from that of the
-context one letter shorter (Kullback-Leibler) or if a longer kept one needs it. Distributions are smoothed by the shorter
-context's, down to the root, whose letters count half a time more than seen. In the tree a token's probability is the product over
-its letters, each in the longest context that the tree has. Tree and mixture are distributions over all tokens.
+A text is its words, A-Z lower-cased, and one end. Tokens that make up at least ``min_share`` of all training tokens, and the
+end, are symbols of their own; all others, met or not, share one symbol. The tree predicts each token's symbol from the symbols
+before it in its text, with a mark for the text's beginning, up to ``depth`` of them. A context is considered if it makes up
+at least ``min_share`` of all training tokens, so symbols and contexts are bounded in number whatever the corpus: at most
+1 / min_share of each length. It is kept if its distribution diverges from that of the context one symbol shorter
+(Kullback-Leibler) or if a longer kept one needs it. Distributions are smoothed by the shorter context's, down to the root, whose
+symbols count half a time more than seen. Each symbol is scored in the longest context that the tree has; a token that shares its symbol
+is scored further by its discounted share of that symbol's tokens, and a token never met by the discounted mass. So the
+scores are log10 probabilities over the training tokens and one unknown token, as those of the unigram model are.
 
 All training texts are counted. Texts are cut into blocks; each block lists its distinct tokens once, tokens are counted over
-all blocks, scored once a block and sent back to their block, so that no token travels once for each time it is used.
+all blocks and their counts sent back to the blocks, so that no token travels once for each time it is used.
 
 Edge cases. A null or empty text is the end token alone. Repeated rows are each counted and scored; a null id is held out
 if the fold says so, else trained on. Without training texts the counts are 0 and the tree is uniform.
@@ -29,24 +27,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .segment import raw, slices, words
+from .segment import slices, words
 
-DEPTH = 6
-MIN_SHARE = 5e-6
-#: A context is kept if it diverges by this much (nats a letter) and by so much in all its letters together.
+DEPTH = 3
+MIN_SHARE = 2e-4
+#: A context is kept if it diverges by this much (nats a token) and by so much in all its tokens together.
 DIVERGENCE, EVIDENCE = 1e-3, 30.0
-#: Weight of the shorter context's distribution, in letters.
-SMOOTHING = 4.0
-#: Taken off each count of a training token, for the tree's share.
+#: Weight of the shorter context's distribution, in tokens.
+SMOOTHING = 20.0
+#: Taken off each count of a token that shares its symbol, for tokens never met.
 DISCOUNT = 0.75
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
 
 #: The end of a text as a token; no word contains a line break.
 END = b"\n"
-_MARK = 0x20
+#: Symbol of all tokens that have none of their own; others follow by falling count, and last the mark of a beginning.
+OTHER = 0
+# A context and a next symbol in one number: 14 bits for each symbol, nearest lowest, then the next one, then the length.
 _U = np.uint64
-_NEXT = _U(0xFF) << _U(48)
+_BITS = 14
+_NEXT = _U((1 << _BITS) - 1) << _U(3 * _BITS)
+_LENGTH = _U(4 * _BITS)
 
 _BLOCKS = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, words array<binary>, n array<bigint>"
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -105,37 +107,32 @@ def _blocks(batches):
 
 
 @dataclass
-class Letters:
-    """Tokens laid out as letters: a mark, the token's bytes, a mark (the end of a text has no second one)."""
+class Symbols:
+    """Texts as symbols: each text begins with the mark, which is not predicted itself."""
 
     data: np.ndarray
-    token: np.ndarray  # of each predicted letter
+    text: np.ndarray  # of each predicted symbol
     at: np.ndarray  # its place in data
-    back: np.ndarray  # letters before it in the token
+    back: np.ndarray  # symbols before it in its text, the mark included
 
     def context(self, d: int, rows: np.ndarray) -> np.ndarray:
-        """Code of the last d letters: the bytes, nearest lowest, under the length."""
-        code = np.full(len(rows), d, _U) << _U(56)
+        code = np.full(len(rows), d, _U) << _LENGTH
         for k in range(d):
-            code |= self.data[self.at[rows] - 1 - k].astype(_U) << _U(8 * k)
+            code |= self.data[self.at[rows] - 1 - k] << _U(_BITS * k)
         return code
 
     def next(self, rows: np.ndarray) -> np.ndarray:
-        return self.data[self.at[rows]].astype(_U) << _U(48)
+        return self.data[self.at[rows]] << _U(3 * _BITS)
 
 
-def _letters(tokens: pa.Array) -> Letters:
-    data, offsets = raw(tokens.cast(pa.large_binary()).view(pa.large_string()) if pa.types.is_binary(tokens.type) or pa.types.is_large_binary(tokens.type) else tokens)
-    size = np.diff(offsets)
-    last = np.ones(len(size), np.int64)
-    last[(size == 1) & (data[np.minimum(offsets[:-1], max(len(data) - 1, 0))] == END[0]) if len(data) else np.zeros(len(size), bool)] = 0
-    full = 1 + size + last
-    begin = np.cumsum(full) - full
-    out = np.full(int(full.sum()), _MARK, np.uint8)
-    out[np.repeat(begin + 1 - offsets[:-1], size) + np.arange(len(data))] = data
-    token = np.repeat(np.arange(len(size)), full - 1)
-    back = np.arange(len(token)) - np.repeat(np.cumsum(full - 1) - (full - 1), full - 1) + 1
-    return Letters(out, token, begin[token] + back, back)
+def _symbols(symbol: np.ndarray, size: np.ndarray, mark: int) -> Symbols:
+    """Lay out the symbols of texts of the given sizes."""
+    begin = np.cumsum(size + 1) - size - 1
+    text = np.repeat(np.arange(len(size)), size)
+    back = np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size) + 1
+    data = np.full(len(symbol) + len(size), mark, _U)
+    data[begin[text] + back] = symbol
+    return Symbols(data, text, begin[text] + back, back)
 
 
 def _combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,34 +149,38 @@ def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _shorter(context: np.ndarray, d: int) -> np.ndarray:
-    """A context of d letters without its farthest one."""
-    return (context & _U((1 << 8 * (d - 1)) - 1)) | (_U(d - 1) << _U(56))
+    """A context of d symbols without its farthest one."""
+    return (context & _U((1 << _BITS * (d - 1)) - 1)) | (_U(d - 1) << _LENGTH)
 
 
-def _context_counts(depths: tuple[int, ...], frequent):
-    """(context with next letter, times) in the training tokens, one row for each and task; contexts of the longer
-    depths only where the context one letter shorter is frequent."""
+def _numbered(tokens: np.ndarray, names: list[bytes], number: dict[bytes, int]) -> np.ndarray:
+    """Symbol of each token of a block."""
+    own = np.fromiter((number.get(name, OTHER) for name in names), _U, len(names))
+    return own[tokens]
+
+
+def _context_counts(depths: tuple[int, ...], frequent, vocabulary):
+    """(context, context with next symbol, times) in the training texts, one row for each and task; contexts of the
+    longer depths only where the context one symbol shorter is frequent."""
 
     def run(batches):
-        known = frequent.value
+        known, number = frequent.value, vocabulary.value
         total = (np.zeros(0, _U), np.zeros(0, np.int64))
-        held: list = []
-        size = 0
         for batch in batches:
-            letters, times = _letters(batch.column("word")), batch.column("c").to_numpy()
-            for d in depths:
-                rows = np.flatnonzero(letters.back >= d)
-                context = letters.context(d, rows)
-                if d == depths[0] and d:
-                    good = _member(known, _shorter(context, d)) >= 0
-                    rows, context = rows[good], context[good]
-                keys, n = _combined(context | letters.next(rows), times[letters.token[rows]])
-                held.append((keys, n))
-                size += len(keys)
-            if size > 500_000:
-                total = _combined(*(np.concatenate(x) for x in zip(total, *held)))
-                held, size = [], 0
-        keys, n = _combined(*(np.concatenate(x) for x in zip(total, *held)))
+            for row in batch.to_pylist():
+                size, held = np.array(row["n_tokens"]), np.array(row["held_out"], bool)
+                symbol = _numbered(_unpacked(row["tokens"]), row["words"], number)
+                s = _symbols(symbol[np.repeat(~held, size)], size[~held], len(number) + 1)
+                parts = [total]
+                for d in depths:
+                    rows = np.flatnonzero(s.back >= d)
+                    context = s.context(d, rows)
+                    if d == depths[0] and d:
+                        good = _member(known, _shorter(context, d)) >= 0
+                        rows, context = rows[good], context[good]
+                    parts.append(_combined(context | s.next(rows), np.ones(len(rows))))
+                total = _combined(*(np.concatenate(x) for x in zip(*parts)))
+        keys, n = total
         for low in range(0, len(keys), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array((keys[low : low + 50_000] & ~_NEXT).view(np.int64)), pa.array(keys[low : low + 50_000].view(np.int64)), pa.array(n[low : low + 50_000])], ["context", "key", "n"])
 
@@ -212,40 +213,40 @@ class SuffixTree:
     unseen: float
     depth: int
 
-    def token_scores(self, tokens: pa.Array) -> np.ndarray:
-        """log10 probability of each token."""
-        letters = _letters(tokens)
-        log = np.zeros(len(letters.token))
-        open_ = np.arange(len(log))  # letters not found yet; those in the tree pass to shorter contexts
+    def score(self, s: Symbols) -> np.ndarray:
+        """log10 probability of each predicted symbol."""
+        log = np.zeros(len(s.at))
+        left = np.arange(len(log))  # symbols not found yet
         for d in range(self.depth, -1, -1):
-            rows = open_[letters.back[open_] >= d]
-            context = letters.context(d, rows)
+            rows = left[s.back[left] >= d]
+            context = s.context(d, rows)
             kept = _member(self.contexts, context)
             rows, context, kept = rows[kept >= 0], context[kept >= 0], kept[kept >= 0]
-            at = _member(self.keys, context | letters.next(rows))
-            log[rows] += np.where(at >= 0, self.logs[at], self.backoff[kept]) if len(self.logs) else 0.0
+            at = _member(self.keys, context | s.next(rows))
+            if len(self.logs):
+                log[rows] += np.where(at >= 0, self.logs[at], self.backoff[kept])
             done = np.zeros(len(log), bool)
             done[rows[at >= 0]] = True
-            open_ = open_[~done[open_]]
-        log[open_] += self.unseen
-        return np.bincount(letters.token, log, len(tokens))
+            left = left[~done[left]]
+        log[left] += self.unseen
+        return log
 
 
-def grow(keys: np.ndarray, n: np.ndarray, depth: int, smoothing: float = SMOOTHING, divergence: float = DIVERGENCE, evidence: float = EVIDENCE) -> SuffixTree:
-    """The tree from counts of (context, next letter); every context's shorter ones are among them."""
+def grow(keys: np.ndarray, n: np.ndarray, depth: int, symbols: int, smoothing: float = SMOOTHING, divergence: float = DIVERGENCE, evidence: float = EVIDENCE) -> SuffixTree:
+    """The tree from counts of (context, next symbol); every context's shorter ones are among them."""
     order = np.argsort(keys)
     keys, n = keys[order], n[order].astype(float)
     context, which = np.unique(keys & ~_NEXT, return_inverse=True)
     total = np.bincount(which, n, len(context)) if len(keys) else np.zeros(0)
-    length = (context >> _U(56)).astype(int)
+    length = (context >> _LENGTH).astype(int)
     prob = np.zeros(len(keys))
     gain = np.zeros(len(context))
     root_total = total[length == 0].sum()
-    unseen = 0.5 / (root_total + 128)
+    unseen = 0.5 / (root_total + 0.5 * symbols)
     for d in range(depth + 1):
         own = np.flatnonzero(length[which] == d) if len(keys) else np.zeros(0, int)
         if d == 0:
-            prob[own] = (n[own] + 0.5) / (root_total + 128)
+            prob[own] = (n[own] + 0.5) / (root_total + 0.5 * symbols)
             continue
         parent = _member(keys, _shorter(keys[own] & ~_NEXT, d) | (keys[own] & _NEXT))
         before = prob[parent]
@@ -258,64 +259,54 @@ def grow(keys: np.ndarray, n: np.ndarray, depth: int, smoothing: float = SMOOTHI
         keep[parents] = True
     good = keep[which] if len(keys) else np.zeros(0, bool)
     back = np.where(length == 0, np.log10(unseen), np.log10(smoothing / (total + smoothing)))
-    # At the root an unseen letter has its final price: nothing shorter follows.
+    # Below the root nothing shorter follows: an unseen symbol has its final price.
     back[length == 0] = 0.0
     return SuffixTree(context[keep], back[keep], keys[good], np.log10(prob[good]), float(np.log10(unseen)), depth)
 
 
-def fit_tree(tokens: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) -> SuffixTree:
-    """Learn from (word binary, c): distinct tokens with what each counts, level by level.
+def fit_tree(blocks: DataFrame, number: dict[bytes, int], train_tokens: int, depth: int = DEPTH, min_share: float = MIN_SHARE) -> SuffixTree:
+    """Learn from the training texts of all blocks, level by level.
 
-    What reaches the driver are the letters of contexts that make up ``min_share`` of all letters: a bounded number.
+    What reaches the driver are the next symbols of contexts that make up ``min_share`` of all tokens: a bounded number.
     """
-    spark = tokens.sparkSession
-    letters = tokens.agg(F.sum(F.col("c") * (F.length("word") + F.when(F.col("word") == F.lit(END), 0).otherwise(1)))).first()[0] or 0
+    spark = blocks.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vocabulary = spark.sparkContext.broadcast(number)
     known, keys, n = np.zeros(0, _U), [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-    flat = min(2, depth)  # lengths up to this are counted at once: few contexts whatever the corpus
-    for depths in [tuple(range(flat + 1)), *[(d,) for d in range(flat + 1, depth + 1)]]:
+    for depths in [(0, 1), *[(d,) for d in range(2, depth + 1)]]:
         shared = spark.sparkContext.broadcast(known)
-        counts = tokens.select("word", "c").mapInArrow(_context_counts(depths, shared), "context bigint, key bigint, n bigint")
-        got = counts.repartition(width, "context").mapInArrow(_frequent(max(1.0, min_share * letters)), "key bigint, n bigint").toArrow()
+        counts = blocks.select("n_tokens", "held_out", "tokens", "words").mapInArrow(_context_counts(depths, shared, vocabulary), "context bigint, key bigint, n bigint")
+        got = counts.repartition(width, "context").mapInArrow(_frequent(max(1.0, min_share * train_tokens)), "key bigint, n bigint").toArrow()
         shared.destroy()
         keys.append(got.column("key").to_numpy().view(_U))
         n.append(got.column("n").to_numpy())
         known = np.unique(keys[-1] & ~_NEXT)
         if not len(known):
             break
-    return grow(np.concatenate(keys), np.concatenate(n), depth)
-
-
-def _priced(tree):
-    """Each row's token with its score; rows of one token stand together, so it is scored once a batch."""
-
-    def run(batches):
-        t = SuffixTree(**tree.value)
-        for batch in batches:
-            names = batch.column("word").dictionary_encode()
-            score = t.token_scores(names.dictionary)[names.indices.to_numpy()]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("slot"), batch.column("c"), pa.array(score)], ["block", "slot", "c", "log"])
-
-    return run
+    return grow(np.concatenate(keys), np.concatenate(n), depth, len(number) + 1)
 
 
-def _totals(train_tokens: int, distinct: int):
-    """Sum the scores of a block's documents: left its texts, right the price of each of its tokens."""
+def _totals(tree, vocabulary, counts: dict[str, int]):
+    """Sum the scores of a block's texts: left the block, right the training count of each of its tokens."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        slot = right.column("slot").to_numpy()
-        c, log = np.zeros(len(slot), np.int64), np.zeros(len(slot))
-        c[slot], log[slot] = right.column("c").to_numpy(), right.column("log").to_numpy()
-        base = np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1)))
-        spared = DISCOUNT * distinct / train_tokens if train_tokens else 1.0
-        log = np.log10(np.maximum(c - DISCOUNT, 0) / max(train_tokens, 1) + spared * 10.0 ** np.maximum(log, -300))
+        t, number = SuffixTree(**tree.value), vocabulary.value
+        c = np.zeros(right.num_rows, np.int64)
+        c[right.column("slot").to_numpy()] = right.column("c").to_numpy()
+        n, v, other, kinds = (counts[k] for k in ("train_tokens", "distinct", "other_tokens", "other_distinct"))
+        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+        # Within the shared symbol: discounted counts, and the rest for a token never met.
+        within = np.where(c > 0, np.maximum(c - DISCOUNT, 1e-9), DISCOUNT * kinds) / other if other else np.ones(len(c))
         out = []
         for row in left.to_pylist():
             tokens, size = _unpacked(row["tokens"]), np.array(row["n_tokens"])
+            symbol = _numbered(tokens, row["words"], number)
+            log = t.score(_symbols(symbol, size, len(number) + 1))
+            log += np.where(symbol == OTHER, np.log10(within)[tokens], 0.0)
             begin = np.cumsum(size) - size
-            sums = [np.add.reduceat(v[tokens], begin) for v in ((c > 0).astype(np.int64), base, log)]
+            sums = [np.add.reduceat(x, begin) for x in ((c > 0).astype(np.int64)[tokens], base[tokens], log)]
             out.append(pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": size,
-                                 "n_known": sums[0], "train_tokens": np.full(len(size), train_tokens), "base_score": sums[1], "score": sums[2]}))
+                                 "n_known": sums[0], "train_tokens": np.full(len(size), n), "base_score": sums[1], "score": sums[2]}))
         return pa.concat_tables(out)
 
     return run
@@ -334,9 +325,13 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float
     same = Window.partitionBy("word")
     counted = listed.withColumns({"c": F.sum("n").over(same), "place": F.row_number().over(same.orderBy("block"))}).drop("n")
     counted = scratch.keep(counted, "counted")
-    trained = counted.filter("place = 1 and c > 0").select("word", "c")
+    trained = counted.filter("place = 1 and c > 0")
     n, v = trained.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = spark.sparkContext.broadcast(vars(fit_tree(trained.withColumn("c", F.lit(1).cast("bigint")), depth, min_share)))
-    priced = counted.select("block", "slot", "word", "c").mapInArrow(_priced(tree), "block bigint, slot int, c bigint, log double")
-    texts = blocks.select("block", "doc_id", "held_out", "n_tokens", "tokens")
-    return texts.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(_totals(n, v), _SCORED)
+    own = trained.filter((F.col("c") >= F.lit(min_share * n)) | (F.col("word") == F.lit(END))).select("word", "c").collect()  # at most 1 / min_share, and the end
+    own = sorted(((bytes(r["word"]), r["c"]) for r in own), key=lambda x: (-x[1], x[0]))
+    number = {word: k + 1 for k, (word, _) in enumerate(own)}
+    number.setdefault(END, len(number) + 1)
+    counts = {"train_tokens": n, "distinct": v, "other_tokens": n - sum(c for _, c in own), "other_distinct": v - len(own)}
+    tree = spark.sparkContext.broadcast(vars(fit_tree(blocks, number, n, depth, min_share)))
+    run = _totals(tree, spark.sparkContext.broadcast(number), counts)
+    return blocks.groupBy("block").cogroup(counted.select("block", "slot", "c").groupBy("block")).applyInArrow(run, _SCORED)
