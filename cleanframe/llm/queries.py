@@ -12,6 +12,7 @@ from .language import fit_language, identify
 from .merkle import edit_report
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_groups
+from .oracle import DECONTAMINATION, MERKLE, MIXING, NGRAM_JOIN
 from .quality import fit_quality, score_quality, text_shape
 from .scratch import Scratch
 from .suffix_tree import score_texts
@@ -42,12 +43,12 @@ def fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-@query("op1_ngram_jaccard_join")
+@query("op1_ngram_jaccard_join", NGRAM_JOIN)
 def op1(spark, sf_dir):
     return ngram_jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-@query("op2_merkle_fingerprints")
+@query("op2_merkle_fingerprints", MERKLE)
 def op2(spark, sf_dir):
     return edit_report(table(spark, sf_dir, "documents"))
 
@@ -75,7 +76,7 @@ def op5(spark, sf_dir):
     return score_toxicity(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
-@query("op6_pfair_mixing")
+@query("op6_pfair_mixing", MIXING)
 def op6(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
 
@@ -89,7 +90,7 @@ def op7(spark, sf_dir):
     return read_tokens(spark, root, with_ids=False)
 
 
-@query("op10_spaced_seed_decontamination")
+@query("op10_spaced_seed_decontamination", DECONTAMINATION)
 def op10(spark, sf_dir):
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
