@@ -101,8 +101,8 @@ grams as (
   select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
   from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as i from split)),
 sizes as (select split.doc_id, count(g) as n from split left join grams on grams.doc_id = split.doc_id group by 1),
-pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
-links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both >= 80 * (x.n + y.n - both)),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as common from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)),
 reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on l.a = r.b)
 select s.doc_id, s.n as n_shingles, min(r.b) as component_id from sizes s join reach r on r.a = s.doc_id group by 1, 2
 """
