@@ -84,4 +84,4 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, percent: int = 8
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     bad = contaminated(docs, benchmark, percent).select(F.col("doc_id").alias("met_id"), F.col("text_key").alias("met_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("met_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("met_key")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["met_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["met_key"]), "left_anti")

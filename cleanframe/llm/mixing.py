@@ -76,14 +76,14 @@ def cycle(targets: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, part_rows: int) -> DataFrame:
-    """``docs`` with place, from 0, within mix_source in the order of mix_key, doc_id, mix_tie."""
+    """``docs`` with place, from 0, within mix_source in the order of mix_key, mix_id, mix_tie."""
     bits = min(16, max(0, (docs.count() // part_rows).bit_length()))
     part = F.shiftright(F.conv(F.substring("mix_key", 1, 4), 16, 10).cast("int"), 16 - bits)
     docs = docs.withColumn("mix_part", part)
     counts = docs.groupBy("mix_source", "mix_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("mix_source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("mix_source", "mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_shift"))
-    inside = Window.partitionBy("mix_source", "mix_part").orderBy("mix_key", F.col("doc_id").asc_nulls_first(), "mix_tie")
+    inside = Window.partitionBy("mix_source", "mix_part").orderBy("mix_key", F.col("mix_id").asc_nulls_first(), "mix_tie")
     docs = docs.withColumn("mix_inside", F.row_number().over(inside) - 1)
     return docs.join(shift, ["mix_source", "mix_part"]).withColumn("mix_place", F.col("mix_shift") + F.col("mix_inside")).drop("mix_part", "mix_shift", "mix_inside")
 
@@ -96,12 +96,12 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     replaced.
     """
     docs = docs.drop("mix_block", "mix_slot", "mix_offset")
-    names = docs.columns
-    keyed = docs.withColumns({
-        "mix_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "mix_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
-        "mix_tie": F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")),
-    })
+    # The row travels as one column, so none of its names can clash.
+    keyed = docs.select(
+        F.struct("*").alias("mix_row"), F.col("doc_id").alias("mix_id"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("mix_key"),
+        F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("mix_tie"))
     sizes = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.count("*").alias("n_rows"))
     slots = cycle(target_quanta(sizes, weights, quanta, temper)).withColumnRenamed("source", "mix_source")
     placed = _numbered(keyed, part_rows)
@@ -110,4 +110,4 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     placed = placed.join(share, "mix_source").withColumns({"mix_block": block, "mix_offset": (F.col("mix_place") % block_rows).cast("int"), "turn": (block % F.col("mix_quanta")).cast("int")})
     placed = placed.join(slots, ["mix_source", "turn"])
     slot = F.floor(F.col("mix_block") / F.col("mix_quanta")) * F.col("length") + F.col("slot")
-    return placed.select(*[F.col(f"`{n}`") for n in names], "mix_block", slot.alias("mix_slot"), "mix_offset")
+    return placed.select("mix_row.*", "mix_block", slot.alias("mix_slot"), "mix_offset")
