@@ -22,7 +22,8 @@ def pair_violation(rule: str, col_a: str, col_b: str, tolerance: float = AGE_TOL
         broken = b < a
     elif rule == "age_matches_birth_year":
         year = current_year() if as_of_year is None else as_of_year
-        broken = F.abs(a - (F.lit(year) - b)) > tolerance
+        # As doubles: a sentinel such as the least integer must not overflow.
+        broken = F.abs(a.cast("double") - (F.lit(float(year)) - b.cast("double"))) > tolerance
     elif rule == "a_less_than_b":
         broken = a >= b
     elif rule == "a_greater_than_b":

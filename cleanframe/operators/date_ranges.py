@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import MAXYEAR, MINYEAR, date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,9 @@ def _outside(df: DataFrame, name: str, min_year: int, max_year: int) -> Column:
     """Comparison with the first days of years, which a Parquet scan can use to skip row groups."""
     c = col(name)
     if is_datetime(df, name):
-        return (c < F.lit(date(min_year, 1, 1))) | (c >= F.lit(date(max_year + 1, 1, 1)))
+        early = c < F.lit(date(min_year, 1, 1)) if MINYEAR <= min_year <= MAXYEAR else F.lit(min_year > MAXYEAR) & c.isNotNull()
+        late = c >= F.lit(date(max_year + 1, 1, 1)) if MINYEAR <= max_year + 1 <= MAXYEAR else F.lit(max_year < MINYEAR) & c.isNotNull()
+        return early | late
     return (c < min_year) | (c > max_year)
 
 

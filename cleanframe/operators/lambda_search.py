@@ -19,6 +19,7 @@ from ..plans.fused import agg_values
 
 ROUNDS = ((2.5, 17), (0.3, 9), (0.03, 7))  # half-width and points per round
 ZERO = 1e-10
+MOVES = 20  # moves of the interval before a power is given up
 VARIANCE_CHUNK = 9  # more variances in one pass outgrow what the JVM compiles
 
 
@@ -35,8 +36,8 @@ def yeojohnson(x: Column, power: float) -> Column:
     return F.when(x >= 0, up).otherwise(F.when(x < 0, down))
 
 
-def boxcox_lambdas(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Best Box-Cox power per column; every value must be above 0."""
+def boxcox_lambdas(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Best Box-Cox power per column, None where no power is best; every value must be above 0."""
     if not columns:
         return {}
     clean = nan_to_null(df)
@@ -46,8 +47,8 @@ def boxcox_lambdas(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return _maximise(centred, columns, _boxcox_of_log, dict.fromkeys(columns, 0.0))
 
 
-def yeojohnson_lambdas(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Best Yeo-Johnson power per column; any values."""
+def yeojohnson_lambdas(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Best Yeo-Johnson power per column, None where no power is best; any values."""
     if not columns:
         return {}
     signed = [F.signum(as_double(c)) * F.log1p(F.abs(as_double(c))) for c in columns]
@@ -73,13 +74,18 @@ def _yeojohnson_of_log(log: Column, power: float) -> Column:
 
 def _maximise(
     logs: DataFrame, columns: Sequence[str], transform: Callable[[Column, float], Column], jacobian: dict[str, float]
-) -> dict[str, float]:
-    """Maximise (power - 1) * jacobian - ln(var) / 2 per column, the mean log-likelihood up to a constant."""
+) -> dict[str, float | None]:
+    """Maximise (power - 1) * jacobian - ln(var) / 2 per column, the mean log-likelihood up to a constant.
+
+    None for a column whose likelihood is not finite (an infinity), or still grows after MOVES moves of the interval.
+    """
     values = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
-    best = dict.fromkeys(columns, 0.0)
+    best: dict[str, float | None] = {c: 0.0 if jacobian[c] is not None and math.isfinite(jacobian[c]) else None for c in columns}
     for half, points in ROUNDS:
-        pending = dict(best)
-        for _ in range(20):  # move the interval while the maximum sits on its edge
+        pending = {c: mid for c, mid in best.items() if mid is not None}
+        for _ in range(MOVES):  # move the interval while the maximum sits on its edge
+            if not pending:
+                break
             nodes = {c: mid + half * np.cos(np.pi * (np.arange(points) + 0.5) / points) for c, mid in pending.items()}
             found = agg_values(
                 logs, {(c, i): F.var_pop(transform(values[c], float(p))) for c in pending for i, p in enumerate(nodes[c])},
@@ -89,6 +95,9 @@ def _maximise(
             for c, mid in pending.items():
                 spread = [found[(c, i)] for i in range(points)]
                 usable = [i for i, v in enumerate(spread) if v is not None and 0.0 < v < math.inf]
+                if len(usable) < 3:
+                    best[c] = None
+                    continue
                 t = (nodes[c][usable] - mid) / half
                 y = np.array([(nodes[c][i] - 1.0) * jacobian[c] - math.log(spread[i]) / 2.0 for i in usable])
                 curve = np.polynomial.Chebyshev.fit(t, y, len(usable) - 1, domain=[-1, 1])
@@ -97,7 +106,6 @@ def _maximise(
                 best[c] = mid + half * top
                 if abs(top) == 1.0:
                     moved[c] = best[c]
-            if not moved:
-                break
             pending = moved
+        best.update(dict.fromkeys(pending))
     return best

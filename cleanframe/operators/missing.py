@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from ..functions.vocab import CORRELATED_MISSING_PCT, SEVERITY_LOW, SEVERITY_MED
 from ..plans.fused import agg_values, column_report, empty, local_report, value_counts
 from ..plans.result import FixResult
 from ..plans.stats import numeric_stats
-from .profile import categorical_summary, missing_cells, numeric_summary
+from .profile import categorical_summary, missing_counts, numeric_summary
 
 METHODS = ("fill_mean", "fill_median", "fill_mode", "fill_custom", "drop_rows", "drop_column", "do_nothing")
 
@@ -61,21 +60,22 @@ def missing_report(df: DataFrame, replace_disguised: bool = True) -> DataFrame:
 
 
 def missing_summary(df: DataFrame, replace_disguised: bool = True) -> DataFrame:
-    """One row for the table: missing cells, rows with any, clean columns and disguised cells. One pass."""
-    texts = text_columns(df) if replace_disguised else []
-    # The flags read the original cells, everything else the cleaned ones, in the same pass.
-    flags = {f"__disguised_{i}": is_disguised(col(c)) for i, c in enumerate(texts)}
-    marked = df.withColumns(flags) if flags else df
-    marked = hide_disguised(marked, texts) if flags else nan_to_null(marked)
-    any_missing = reduce(lambda a, b: a | b, [col(c).isNull() for c in df.columns])
+    """One row for the table: missing cells, rows with any, clean columns and disguised cells.
+
+    Columns are counted in chunks; rows with any missing cell are counted in one pass over all columns.
+    """
+    clean = hide_disguised(df) if replace_disguised else nan_to_null(df)
     zero = F.lit(0).cast("bigint")
-    row = marked.agg(
-        F.count("*").alias("n_rows"),
-        F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
-        missing_cells(df).alias("missing_cells"),
-        F.count_if(any_missing).alias("rows_with_missing"),
-        sum((F.when(F.count_if(col(c).isNull()) == 0, 1).otherwise(0) for c in df.columns), zero).alias("clean_columns"),
-        sum((F.count_if(F.col(f)) for f in flags), zero).alias("disguised_cells"),
+    columns = missing_counts(clean).select("n_rows", "missing", (F.col("missing") == 0).cast("bigint").alias("is_clean"), F.lit(1).cast("bigint").alias("is_column"), zero.alias("rows"), zero.alias("disguised"))
+    some = F.exists(F.array(*[col(c).isNull() for c in df.columns]), lambda missing: missing)
+    rows = clean.agg(F.count("*").alias("n_rows"), F.count_if(some).alias("rows")).select("n_rows", zero.alias("missing"), zero.alias("is_clean"), zero.alias("is_column"), "rows", zero.alias("disguised"))
+    parts = columns.unionByName(rows)
+    if replace_disguised and text_columns(df):
+        hidden = disguised_report(df).select(zero.alias("n_rows"), zero.alias("missing"), zero.alias("is_clean"), zero.alias("is_column"), zero.alias("rows"), "disguised")
+        parts = parts.unionByName(hidden)
+    row = parts.agg(
+        F.max("n_rows").alias("n_rows"), F.sum("is_column").alias("n_columns"), F.sum("missing").alias("missing_cells"),
+        F.sum("rows").alias("rows_with_missing"), F.sum("is_clean").alias("clean_columns"), F.sum("disguised").alias("disguised_cells"),
     )
     return row.withColumns(
         {
@@ -88,8 +88,7 @@ def missing_summary(df: DataFrame, replace_disguised: bool = True) -> DataFrame:
 def correlated_missing(df: DataFrame, replace_disguised: bool = True, min_pct: float = CORRELATED_MISSING_PCT) -> DataFrame:
     """Column pairs that are missing on the same rows: shared rows and the share of each column's missing rows.
 
-    Each row yields the pairs of its own missing columns, and they are summed per (a, b) inside the map task, so what
-    is shuffled is bounded by tasks x column pairs, whatever the number of rows.
+    Rows are counted by their list of missing columns first, and only the distinct lists are expanded to pairs.
     """
     schema = "col_a string, col_b string, shared_rows bigint, pct_of_a double, pct_of_b double"
     clean = hide_disguised(df) if replace_disguised else nan_to_null(df)
@@ -102,7 +101,8 @@ def correlated_missing(df: DataFrame, replace_disguised: bool = True, min_pct: f
     pairs = F.flatten(
         F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))
     )
-    shared = holes.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("shared_rows"))
+    lists = holes.groupBy("ids").agg(F.count("*").alias("rows"))
+    shared = lists.select("rows", F.inline(pairs)).groupBy("a", "b").agg(F.sum("rows").alias("shared_rows"))
     name = F.array(*[F.lit(c) for c in names])
     total = F.array(*[F.lit(counts[c]).cast("bigint") for c in names])
     report = shared.select(

@@ -82,6 +82,8 @@ def fit_mahalanobis(df: DataFrame, columns: Sequence[str] | None = None, confide
     n = counts["used"]
     means = means + np.diag(sums["x"]) / n
     cov = (sums["xy"] - sums["x"] * sums["y"] / n) / (n - 1)
+    if not np.all(np.isfinite(cov)):
+        raise ValueError(f"not all values are finite: {[c for c, v in zip(names, np.diag(cov)) if not math.isfinite(v)]}")
     scale = np.sqrt(np.diag(cov))
     # Conditioning is judged on the correlation matrix, so that units do not matter.
     if not np.all(scale > 0) or np.linalg.cond(cov / np.outer(scale, scale)) > CONDITION_LIMIT:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -28,12 +29,19 @@ def fit_outliers(df: DataFrame, columns: Sequence[str] | None = None, quantiles:
 
 
 def fences(s: ColumnStats) -> tuple[float, float]:
-    return s.q1 - IQR_FACTOR * s.iqr, s.q3 + IQR_FACTOR * s.iqr
+    """Lower and upper fence; where the quartiles are not finite there is none on either side."""
+    lo, hi = s.q1 - IQR_FACTOR * s.iqr, s.q3 + IQR_FACTOR * s.iqr
+    return (lo, hi) if math.isfinite(lo) and math.isfinite(hi) else (-math.inf, math.inf)
+
+
+def has_z(s: ColumnStats) -> bool:
+    """Whether z-scores exist: an infinity leaves a column without mean or deviation, a constant without deviation."""
+    return bool(s.std) and math.isfinite(s.mean) and math.isfinite(s.std)
 
 
 def is_z_outlier(s: ColumnStats) -> Column:
     x = as_double(s.column)
-    if not s.std:
+    if not has_z(s):
         return x.isNotNull() & F.lit(False)
     return F.abs((x - F.lit(s.mean)) / F.lit(s.std)) > Z_LIMIT
 
@@ -136,10 +144,14 @@ def fit_outlier_fix(df: DataFrame, plan: dict[str, str], quantiles: str = "exact
                 continue
             lo, hi = fences(s)
             if method == "cap_zscore":
-                if not s.std:
-                    applied.append({"column": c, "method": method, "note": "constant column, no change"})
+                if not has_z(s):
+                    note = "constant column, no change" if s.std == 0 else "not all values are finite, no change"
+                    applied.append({"column": c, "method": method, "note": note})
                     continue
                 lo, hi = s.mean - Z_LIMIT * s.std, s.mean + Z_LIMIT * s.std
+            if math.isinf(lo):
+                applied.append({"column": c, "method": method, "note": "quartiles are not finite, no change"})
+                continue
             steps.append((c, "keep" if method == "remove" else "cap", lo, hi))
             applied.append({"column": c, "method": method, "lower": lo, "upper": hi})
     return OutlierFit(tuple(steps), tuple(applied), tuple(errors))

@@ -68,21 +68,20 @@ def column_info(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_cells(df: DataFrame) -> Column:
-    """Aggregate: number of missing cells over all columns."""
-    total = F.lit(0).cast("bigint")
-    for c in df.columns:
-        total = total + F.count_if(col(c).isNull())
-    return total
+def missing_counts(clean: DataFrame) -> DataFrame:
+    """(column, n_rows, missing) of every column, read in chunks of columns, so that wide tables compile."""
+    return column_report(
+        clean, clean.columns, {"n_rows": lambda c: F.count("*"), "missing": lambda c: F.count_if(col(c).isNull())},
+        "column string, n_rows bigint, missing bigint",
+    )
 
 
 def status(df: DataFrame) -> DataFrame:
-    """One row: shape and total missing cells, in a single pass."""
-    clean = nan_to_null(df)
-    return clean.agg(
-        F.count("*").alias("n_rows"),
-        F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
-        missing_cells(clean).alias("missing_cells"),
+    """One row: shape and total missing cells; each column is read once."""
+    return missing_counts(nan_to_null(df)).agg(
+        F.max("n_rows").alias("n_rows"),
+        F.count("*").alias("n_columns"),
+        F.sum("missing").alias("missing_cells"),
     )
 
 

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.types import col, is_numeric, name_matches, nan_to_null, numeric_columns
 from ..functions.vocab import (
@@ -139,6 +140,18 @@ def rule_samples(df: DataFrame, rules: Sequence[Rule], order_by: Sequence[str],
     return top_per_group(rows, ["column", "rule"], order, k).select("column", "rule", "rank", "value")
 
 
+def _fitting(df: DataFrame, name: str, value) -> tuple[object, str | None]:
+    """A replacement in the column's own kind, or why there is none."""
+    if is_numeric(df, name):
+        try:
+            return (value if isinstance(value, (int, float)) else float(value)), None
+        except (TypeError, ValueError):
+            return None, f"'{name}' holds numbers; '{value}' is not one"
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return str(value), None
+    return value, None
+
+
 def fix_violations(df: DataFrame, rule: Rule, action: str, value=None) -> FixResult:
     """``replace`` by a value, ``set_null`` or ``drop_rows`` where the rule is broken now."""
     problem = check_rule(df, rule)
@@ -146,6 +159,8 @@ def fix_violations(df: DataFrame, rule: Rule, action: str, value=None) -> FixRes
         problem = f"unknown action '{action}'; valid: replace, set_null, drop_rows"
     if problem is None and action == "replace" and value is None:
         problem = "replace needs a value"
+    if problem is None and action == "replace":
+        value, problem = _fitting(df, rule.column, value)
     if problem:
         return FixResult(df, errors=[problem])
     clean, broken, c = nan_to_null(df), violation(rule), col(rule.column)

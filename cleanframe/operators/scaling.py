@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -89,7 +90,9 @@ def fit_scale(df: DataFrame, plan: dict[str, str], quantiles: str = "exact") ->
             centre, spread = s.mean, s.std
         else:
             centre, spread = s.median, s.iqr or 1.0
-        if spread:
+        if not math.isfinite(centre) or not math.isfinite(spread):
+            errors.append(f"'{c}' has values that are not finite; {method} has no scale")
+        elif spread:
             steps.append((c, centre, spread))
             applied.append({"column": c, "method": method, "centre": centre, "spread": spread})
         else:

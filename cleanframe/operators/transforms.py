@@ -51,7 +51,10 @@ def skewness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def skewness_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Skew class, recommended transform and which transforms apply, all from one pass."""
+    """Skew class, recommended transform and which transforms apply, all from one pass.
+
+    A column with an infinity has no skewness and counts as 0.
+    """
     report = column_report(
         nan_to_null(df), numeric_columns(df, columns),
         {
@@ -64,7 +67,7 @@ def skewness_report(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         },
         "column string, n bigint, skewness double, zeros bigint, negatives bigint, min double, max double", weight=10,
     ).filter(F.col("n") >= MIN_VALUES_SKEW)
-    skew, positive = F.col("skewness"), F.col("min") > 0
+    skew, positive = F.round("skewness", 4), F.col("min") > 0  # classes go by four decimals
     flags = {f"can_{m}": positive for m in _NEEDS_POSITIVE}
     flags.update({f"can_{m}": F.col("min") >= 0 for m in _NEEDS_NON_NEGATIVE})
     return report.withColumns(
@@ -142,7 +145,8 @@ def fit_transform(df: DataFrame, plan: dict[str, str]) -> TransformFit:
         else:
             steps.append((c, method, None))
     powers = {**boxcox_lambdas(df, search["boxcox"]), **yeojohnson_lambdas(df, search["yeojohnson"])}
-    steps = [(c, m, powers.get(c)) for c, m, _ in steps]
+    errors += [f"'{c}': no power is best; its likelihood is not finite or has no maximum" for c, p in powers.items() if p is None]
+    steps = [(c, m, powers.get(c)) for c, m, _ in steps if powers.get(c, 0.0) is not None]
     applied += [{"column": c, "method": m, "lambda": p, "skew_before": stats[c].skew} for c, m, p in steps]
     return TransformFit(tuple(steps), tuple(applied), tuple(errors))
 

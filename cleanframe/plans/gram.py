@@ -25,8 +25,8 @@ def pair_sums(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, dict[s
     cancelling. The driver sees k x k numbers.
     """
     k = len(columns)
-    first = agg_values(df, {(c, f): g(as_double(c)) for c in columns for f, g in (("mean", F.avg), ("n", F.count))})
-    rows = agg_values(df, {"n": F.count("*")})["n"]
+    first = agg_values(df, {"n": F.count("*"), **{(c, f): g(as_double(c)) for c in columns for f, g in (("mean", F.avg), ("n", F.count))}})
+    rows = first["n"]
     means = np.array([first[(c, "mean")] if first[(c, "mean")] is not None else 0.0 for c in columns], dtype=float)
     full = [first[(c, "n")] == rows for c in columns]
     centred = [as_double(c) - F.lit(float(m)) for c, m in zip(columns, means)]
@@ -39,9 +39,8 @@ def pair_sums(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, dict[s
         xx = np.repeat(np.diag(xy)[:, None], k, axis=1)
         xs = np.repeat(x[:, None], k, axis=1)
         return means, {"n": np.full((k, k), float(rows)), "x": xs, "y": xs.T, "xx": xx, "yy": xx.T, "xy": xy}
-    # Few, long tasks: each emits k x k numbers whatever its rows, and merging scan splits takes no shuffle.
-    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
-    batches = df.select(*[c.alias(f"c{i}") for i, c in enumerate(centred)]).coalesce(tasks)
+    # A task emits k x k numbers whatever its rows; they combine by (i, j) before the shuffle.
+    batches = df.select(*[c.alias(f"c{i}") for i, c in enumerate(centred)])
     sums = [F.sum(s).alias(s) for s in SUMS]
     out = {s: np.zeros((k, k)) for s in SUMS}
     mirror = {"n": "n", "x": "y", "y": "x", "xx": "yy", "yy": "xx", "xy": "xy"}

@@ -39,19 +39,23 @@ def _scans(as_of_year: int | None, quantiles: str) -> dict[str, Callable[[DataFr
 
 
 def scan_all(df: DataFrame, as_of_year: int | None = None, quantiles: str = "exact") -> dict[str, ScanOutcome]:
-    """Run the scans in order; one that fails does not stop the others."""
+    """Run the scans in order; one that fails, when it is planned or when it reads the data, does not stop the others.
+
+    A report has a row per column or rule, so it is read at once and held as local rows.
+    """
     out = {}
     for task, scan in _scans(as_of_year, quantiles).items():
         try:
-            out[task] = ScanOutcome(scan(df))
+            report = scan(df)
+            out[task] = ScanOutcome(df.sparkSession.createDataFrame(report.collect(), report.schema))
         except Exception as exc:
             out[task] = ScanOutcome(None, str(exc))
     return out
 
 
 def issue_report(df: DataFrame, as_of_year: int | None = None, quantiles: str = "exact", tasks: Sequence[str] = TASKS) -> DataFrame:
-    """(task, signal, has_issue): columns with issues, missing cells, redundant rows, columns with outliers, columns to
-    transform, suggested rules. A failed scan counts as an issue and shows a NULL signal."""
+    """(task, signal, has_issue, error): columns with issues, missing cells, redundant rows, columns with outliers, columns
+    to transform, suggested rules. A failed scan counts as an issue, shows a NULL signal and says why."""
     signals: dict[str, Callable[[], DataFrame]] = {
         "columns": lambda: columns_report(df).agg(F.count_if("has_issue")),
         "missing": lambda: missing_summary(df).select("missing_cells"),
@@ -64,10 +68,10 @@ def issue_report(df: DataFrame, as_of_year: int | None = None, quantiles: str =
     for task in tasks:
         try:
             value = signals[task]().first()[0]
-            rows.append((task, value, value > 0))
-        except Exception:
-            rows.append((task, None, True))
-    return local_report(df, rows, "task string, signal bigint, has_issue boolean")
+            rows.append((task, value, value > 0, None))
+        except Exception as exc:
+            rows.append((task, None, True, str(exc)))
+    return local_report(df, rows, "task string, signal bigint, has_issue boolean, error string")
 
 
 def issue_count(df: DataFrame, as_of_year: int | None = None, quantiles: str = "exact") -> DataFrame:

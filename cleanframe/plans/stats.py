@@ -23,6 +23,7 @@ MAP_LIMIT = 100_000
 PERCENTILE_ACCURACY = 10_000
 SKETCH_K = 4_000  # rank error of the bracketing sketch is about 0.1 %
 SKETCH_MARGIN = 0.002
+SKETCH_PARTS = 256  # groups of tasks whose sketches merge before the last merge
 MAX_ROUNDS = 64
 MOMENT_CHUNK = 60  # a deviation or skewness takes several buffers; more do not compile
 
@@ -81,7 +82,8 @@ class ColumnStats:
 def skew_expr(c: Column) -> Column:
     """Bias-corrected skewness as an aggregate expression."""
     n = F.count(c).cast("double")
-    return F.when(n >= 3, F.coalesce(F.skewness(c) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    skew = F.skewness(c) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
+    return F.when(n >= 3, F.coalesce(F.nanvl(skew, F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
 
 
 def numeric_stats(
@@ -153,14 +155,22 @@ def _exact_quantiles(df: DataFrame, stats: dict[str, ColumnStats], ranges: dict,
             continue
         low, high = ranges[c]
         whole = isinstance(df.schema[c].dataType, INTEGRAL)
-        # An infinity leaves no finite bracket, so such a column is counted whole.
-        if s.count <= MAP_LIMIT or (whole and high - low < MAP_LIMIT) or not math.isfinite(high - low):
+        if s.count <= MAP_LIMIT or (whole and high - low < MAP_LIMIT):
             small.append(c)
             continue
+        finite = _finite(df, c, s.count) if math.isinf(low) or math.isinf(high) else (low, high, 0, s.count)
+        low, high, below, inside = finite
         for p in probs:
             position = (s.count - 1) * p
             rank = min(int(position), s.count - 1)
-            brackets.append(_Bracket(c, p, rank, position - rank, min(rank + 1, s.count - 1), low, high, 0, s.count))
+            share, top = position - rank, min(rank + 1, s.count - 1)
+            ends = [-math.inf if r < below else math.inf if r >= below + inside else None for r in (rank, top)]
+            if ends[0] is not None:  # the wanted value is itself an infinity
+                s.quantiles[p] = ends[0] if share == 0 or ends[1] is None or ends[0] == ends[1] else math.nan
+            elif ends[1] is not None and share > 0:
+                s.quantiles[p] = ends[1]
+            else:
+                brackets.append(_Bracket(c, p, rank, share, rank if ends[1] is not None else top, low, high, below, inside))
     for group in chunks(small, 8):
         found = agg_values(df, {c: F.percentile(as_double(c), list(probs)) for c in group})
         for c in group:
@@ -170,6 +180,14 @@ def _exact_quantiles(df: DataFrame, stats: dict[str, ColumnStats], ranges: dict,
         _read(df, group, stats)
 
 
+def _finite(df: DataFrame, name: str, count: int) -> tuple[float, float, int, int]:
+    """Range of a column's finite values, the infinities below them, and the number of finite values."""
+    c = as_double(name).cast("double")
+    real = F.when(F.abs(c) < F.lit(math.inf), c)
+    found = agg_values(df, {"low": F.min(real), "high": F.max(real), "below": F.count_if(c == F.lit(-math.inf)), "inside": F.count(real)})
+    return found["low"], found["high"], found["below"], found["inside"]
+
+
 def _read(df: DataFrame, brackets: list[_Bracket], stats: dict[str, ColumnStats]) -> None:
     """Read the order statistics of narrow brackets, from only the rows inside one of them."""
     wanted = {}
@@ -205,10 +223,8 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
         sketches = {}
         for key, members in spans.items():
             c = as_double(key[0]).cast("double")
-            ranks = [x for b in members for x in _ranks(b)]
-            sketch = F.kll_sketch_agg_double(F.when(members[0].holds, c), F.lit(SKETCH_K))
-            sketches[key] = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(r) for r in ranks]))
-        found = agg_values(df, sketches)
+            sketches[key] = (F.when(members[0].holds, c), [x for b in members for x in _ranks(b)])
+        found = _sketched(df, sketches)
         tries = [(b, *found[key][2 * j : 2 * j + 2]) for key, members in spans.items() for j, b in enumerate(members)]
         counts = {}
         for i, (b, lo, hi) in enumerate(tries):
@@ -222,6 +238,17 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
     raise RuntimeError("quantile brackets did not narrow")
 
 
+def _sketched(df: DataFrame, wanted: dict[tuple, tuple[Column, list[float]]]) -> dict[tuple, list[float]]:
+    """Quantiles of each column from sketches, merged in two levels: sketches of some tasks first, then theirs."""
+    part = (F.spark_partition_id() % SKETCH_PARTS).alias("part")
+    partial = df.groupBy(part).agg(*[F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(f"s{i}") for i, (c, _) in enumerate(wanted.values())])
+    merged = partial.agg(*[
+        F.kll_sketch_get_quantile_double(F.kll_merge_agg_double(F.col(f"s{i}"), F.lit(SKETCH_K)), F.array(*[F.lit(r) for r in ranks])).alias(f"q{i}")
+        for i, (_, ranks) in enumerate(wanted.values())
+    ]).first()
+    return {key: merged[i] for i, key in enumerate(wanted)}
+
+
 def _ranks(b: _Bracket) -> tuple[float, float]:
     """Ranks inside the bracket that enclose the wanted ones with room for the sketch's error."""
     last = max(b.inside - 1, 1)

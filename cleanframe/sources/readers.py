@@ -14,7 +14,6 @@ from ..functions.vocab import CSV_NA_TOKENS
 from ..plans.fused import agg_values
 
 OVERFLOW = "__overflow"
-COLUMN_JSON_LIMIT = 256 * 1024 * 1024
 
 EXTENSIONS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "json", ".parquet": "parquet", ".orc": "orc"}
 MIME_TYPES = {
@@ -102,41 +101,18 @@ def _typed(raw: DataFrame, infer: bool) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
-    """JSON lines, an array of objects, or one object of columns.
+    """JSON lines, or an array of objects.
 
-    Prefer JSON lines for large data: they split across tasks, while any other document is one record of one task.
+    Prefer JSON lines for large data: they split across tasks, while an array is one record of one task. One object that
+    spans lines, such as an object of columns, is refused: it is a single record whatever its size.
     """
     if lines is None:
         head = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value").alias("v")).limit(1).collect()
         first = head[0]["v"] if head else ""
         lines = first.startswith("{") and first.endswith("}")
-    table = spark.read.option("multiLine", not lines).json(path)
-    kinds = {type(f.dataType) for f in table.schema.fields}
-    if kinds in ({T.ArrayType}, {T.StructType}) and len(table.limit(2).collect()) == 1:
-        return nan_to_null(_column_oriented(spark, path, table))
-    return nan_to_null(table)
-
-
-def _column_oriented(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
-    """Rows of one object of columns ({"a": [..], ..} or {"a": {"0": .., ..}, ..})."""
-    size = spark.read.format("binaryFile").load(path).select(F.sum("length")).first()[0]
-    if size > COLUMN_JSON_LIMIT:
-        raise ValueError("a column-oriented JSON document is a single record; convert it to JSON lines first")
-    names = table.columns
-    if isinstance(table.schema.fields[0].dataType, T.ArrayType):
-        return table.select(F.inline(F.arrays_zip(*[col(n) for n in names])))
-    as_map = T.StructType([T.StructField(f.name, T.MapType(T.StringType(), _common_type(f.dataType))) for f in table.schema.fields])
-    record = spark.read.schema(as_map).option("multiLine", True).json(path)
-    keys = F.array_distinct(F.flatten(F.array(*[F.map_keys(col(n)) for n in names])))
-    rows = F.transform(keys, lambda k: F.struct(*[F.try_element_at(col(n), k).alias(n) for n in names]))
-    return record.select(F.inline(rows))
-
-
-def _common_type(struct: T.StructType) -> T.DataType:
-    kinds = {f.dataType for f in struct.fields}
-    if len(kinds) == 1:
-        return kinds.pop()
-    return T.DoubleType() if kinds <= {T.LongType(), T.DoubleType()} else T.StringType()
+        if first.startswith("{") and not lines:
+            raise ValueError("a JSON object that spans lines is one record; write JSON lines, an object for each row")
+    return nan_to_null(spark.read.option("multiLine", not lines).json(path))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:

@@ -80,13 +80,37 @@ def remove(spark, sf_dir):
     return cf.fix_outliers(table(spark, sf_dir, "events"), {"value": "remove"}).df
 
 
+_WITH_INFINITY = """
+select event_id, case when event_id % 97 = 0 then 'Infinity'::double when event_id % 89 = 0 then '-Infinity'::double else value end as value from events"""
+
+
+def _with_infinity(spark, sf_dir):
+    endless = F.when(F.col("event_id") % 97 == 0, float("inf")).when(F.col("event_id") % 89 == 0, float("-inf"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(endless, F.col("value")).alias("value"))
+
+
+@query("outliers_report_infinity", f"""select 'value' as "column", count(value) as n, min(value) as min, max(value) as max, round(any_value(q1), 6) as q1, round(any_value(q3), 6) as q3,
+  0::bigint as zscore_outliers, count_if(value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)) as iqr_outliers
+from ({_WITH_INFINITY}), (select quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from ({_WITH_INFINITY}))""")
+def report_infinity(spark, sf_dir):
+    """No z-scores where the mean is not finite; quartiles and fences stand."""
+    report = cf.outlier_report(_with_infinity(spark, sf_dir), ["value"])
+    return rounded(report.select("column", "n", "min", "max", "q1", "q3", "zscore_outliers", "iqr_outliers"), 6)
+
+
+@query("outliers_cap_zscore_infinity", _WITH_INFINITY)
+def cap_zscore_infinity(spark, sf_dir):
+    """A column without a finite deviation stays as it is."""
+    return cf.fix_outliers(_with_infinity(spark, sf_dir), {"value": "cap_zscore"}).df
+
+
 @query("outliers_fix_plan", f"""with kept as (select * exclude (m, s, mn, mx, q1, q3) from documents, {_fit('n_chars', 'documents')} where n_chars between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1))
-select doc_id, lang, source, n_chars, round(least(greatest(doc_id, m - 3 * s), m + 3 * s), 6) as doc_cap from kept, {_fit('doc_id', 'kept')}""")
+select doc_id, text, lang, source, n_chars, round(least(greatest(doc_id, m - 3 * s), m + 3 * s), 6) as doc_cap from kept, {_fit('doc_id', 'kept')}""")
 def fix_plan(spark, sf_dir):
     """The removal changes the statistics the later cap sees; text, unknown and non-numeric entries are reported."""
     df = table(spark, sf_dir, "documents").withColumn("doc_cap", F.col("doc_id"))
     out = cf.fix_outliers(df, {"n_chars": "remove", "doc_cap": "cap_zscore", "lang": "remove", "nope": "remove"}).df
-    return rounded(out.drop("text"), 6)
+    return rounded(out, 6)
 
 
 # Two columns: the quadratic form and the inverse covariance in closed form. Cutoff: square root of the 97.5 % quantile of chi-square with 2 degrees.

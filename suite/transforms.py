@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 import cleanframe as cf
@@ -23,31 +25,26 @@ def skewness(spark, sf_dir):
 @query("skew_report", f"""select "column", n, round(s, 4) as skewness, zeros, negatives, min, max, {_LEVEL} as level,
   case when s > 0 then 'right' when s < 0 then 'left' else 'none' end as direction, {_ADVICE} as recommended, abs(s) >= 0.5 as needs_transform,
   min > 0 as can_log, min > 0 as can_boxcox, min > 0 as can_reciprocal, min >= 0 as can_log1p, min >= 0 as can_sqrt, true as can_yeojohnson
-from (select * replace (case when abs(s) < 1e-9 then 0 else s end as s) from ({_SKEW}))""")
+from (select * replace (round(s, 4) as s) from ({_SKEW}))""")
 def skew_report(spark, sf_dir):
-    report = cf.skewness_report(table(spark, sf_dir, "events"))
-    # A symmetric column's skewness is rounding noise around 0 in either engine; its sign means nothing.
-    noise = F.abs("skewness") < 1e-9
-    clean = report.withColumns({"direction": F.when(noise, "none").otherwise(F.col("direction")), "skewness": F.when(noise, 0.0).otherwise(F.col("skewness"))})
-    return rounded(clean)
+    return rounded(cf.skewness_report(table(spark, sf_dir, "events")))
 
 
 def _positive(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("value > 0").select("event_id", "value")
 
 
-def _transform(name: str, method: str, sql: str | None, source: str = "events where value > 0"):
-    @query(f"transform_{name}", f"select event_id, round({sql}, 6) as value from {source}" if sql else None)
+def _transform(name: str, method: str, sql: str, source: str):
+    @query(f"transform_{name}", f"select event_id, round({sql}, 6) as value from {source}")
     def run(spark, sf_dir):
-        return rounded(cf.fix_skew(_positive(spark, sf_dir), {"value": method}).df, 6)
+        df = table(spark, sf_dir, "events").select("event_id", "value") if source == "events" else _positive(spark, sf_dir)
+        return rounded(cf.fix_skew(df, {"value": method}).df, 6)
 
 
-_transform("log", "log", "ln(value)")
-_transform("log1p", "log1p", "ln(1 + value)")
-_transform("sqrt", "sqrt", "sqrt(value)")
-_transform("reciprocal", "reciprocal", "1.0 / value")
-_transform("boxcox", "boxcox", None)
-_transform("yeojohnson", "yeojohnson", None)
+_transform("log", "log", "ln(value)", "events where value > 0")
+_transform("log1p", "log1p", "ln(1 + value)", "events")
+_transform("sqrt", "sqrt", "sqrt(value)", "events")
+_transform("reciprocal", "reciprocal", "1.0 / value", "events where value > 0")
 
 # Best power by two nested grids over the mean log-likelihood.
 _BOXCOX = """with x as (select value, ln(value) as lx from events where value > 0), g as (select avg(lx) as m from x),
@@ -78,6 +75,25 @@ def yeojohnson_power(spark, sf_dir):
     return df.agg(F.lit(round(power, 3)).alias("power"))
 
 
+def _at_rounded_power(df, column: str, method: str):
+    """The transform at its fitted power, rounded to three decimals as in the SQL."""
+    fit = cf.fit_transform(df, {column: method})
+    steps = tuple((c, m, round(power, 3)) for c, m, power in fit.steps)
+    return rounded(replace(fit, steps=steps).apply(df), 6)
+
+
+@query("transform_boxcox", f"""select event_id, round(case when abs(power) < 1e-10 then ln(value) else (pow(value, power) - 1) / power end, 6) as value
+  from events, ({_BOXCOX}) where value > 0""")
+def boxcox_values(spark, sf_dir):
+    return _at_rounded_power(_positive(spark, sf_dir), "value", "boxcox")
+
+
+@query("transform_yeojohnson", f"""select c_custkey, round(case when c_acctbal >= 0 then case when abs(power) < 1e-10 then ln(1 + c_acctbal) else (pow(c_acctbal + 1, power) - 1) / power end
+  else case when abs(2 - power) < 1e-10 then -ln(1 - c_acctbal) else -(pow(1 - c_acctbal, 2 - power) - 1) / (2 - power) end end, 6) as c_acctbal from customer, ({_YEO})""")
+def yeojohnson_values(spark, sf_dir):
+    return _at_rounded_power(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "yeojohnson")
+
+
 @query("transform_plan", """select o_orderkey, o_custkey, round(sqrt(o_totalprice), 6) as o_totalprice from orders""")
 def transform_plan(spark, sf_dir):
     """log is refused on a column that holds 0; an unknown column and an unknown method are reported."""

@@ -67,11 +67,11 @@ def run_set(spark, sf_dir):
 
 
 @query("rules_violating_rows", on("dirty_customer", """
-select c_custkey, 'balance' as "column", 'no_negative' as rule from dirty_customer where balance < 0
-union all select c_custkey, 'balance', 'no_nulls' from dirty_customer where balance is null
-union all select c_custkey, 'nation_id', 'custom_range(max=20,min=5)' from dirty_customer where nation_id < 5 or nation_id > 20"""))
+select c_custkey, 'balance' as "column", 'no_negative' as rule, round(balance, 6) as value from dirty_customer where balance < 0
+union all select c_custkey, 'balance', 'no_nulls', null from dirty_customer where balance is null
+union all select c_custkey, 'nation_id', 'custom_range(max=20,min=5)', nation_id from dirty_customer where nation_id < 5 or nation_id > 20"""))
 def violating(spark, sf_dir):
-    return cf.violating_rows(view(spark, sf_dir, "dirty_customer"), _SET, ["c_custkey"]).drop("value")
+    return cf.violating_rows(view(spark, sf_dir, "dirty_customer"), _SET, ["c_custkey"]).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @query("rules_samples", on("people", """
@@ -143,6 +143,14 @@ _cross("a_less_than_b", "people", "a_less_than_b", "age", "birth_year", "age >=
 _cross("a_greater_than_b", "dirty_customer", "a_greater_than_b", "balance", "nation_id", "balance <= nation_id")
 
 
+@query("cross_age_sentinel", on("people", """select 'age_matches_birth_year' as rule, count(*) as rows_checked, count_if(person_id % 13 = 0 or abs(age - (2025 - birth_year)) > 2) as violations,
+  count_if(person_id % 13 = 0 or abs(age - (2025 - birth_year)) > 2) = 0 as passed from people"""))
+def cross_sentinel(spark, sf_dir):
+    """The least integer stands for an unknown year of birth; subtracting it does not overflow."""
+    least = F.when(F.col("person_id") % 13 == 0, F.lit(-(2**31))).otherwise(F.col("birth_year")).cast("int")
+    return cf.cross_column_report(view(spark, sf_dir, "people").withColumn("birth_year", least), "age_matches_birth_year", "age", "birth_year", as_of_year=YEAR)
+
+
 @query("cross_samples", on("people", "select person_id, age, birth_year from people where abs(age - (2025 - birth_year)) > 2 order by person_id limit 5"))
 def cross_samples(spark, sf_dir):
     return cf.cross_column_samples(view(spark, sf_dir, "people"), "age_matches_birth_year", "age", "birth_year", ["person_id"], as_of_year=YEAR)
