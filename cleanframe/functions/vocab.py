@@ -85,6 +85,20 @@ DATE_FORMATS = (
     "MMM d, yyyy",
     "yyyyMMdd",
 )
+# Further formats, tried after those: minutes only, fractions, offsets, month names.
+MORE_DATE_FORMATS = (
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "MMMM d, yyyy",
+    "d MMMM yyyy",
+    "d-MMM-yyyy",
+)
 
 # strftime directive -> Spark datetime pattern
 STRFTIME = {

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import col, is_datetime, is_text, nan_to_null, text_columns
-from ..functions.vocab import DATE_FORMATS, DATE_RATE, STRFTIME
+from ..functions.vocab import DATE_FORMATS, DATE_RATE, MORE_DATE_FORMATS, STRFTIME
 from ..plans.fused import agg_values, column_report, empty, local_report
 from ..plans.result import FixResult
 from .columns import sample_values
@@ -41,10 +41,13 @@ def spark_format(template: str) -> str:
     return "".join(out)
 
 
+KNOWN_FORMATS = DATE_FORMATS + MORE_DATE_FORMATS
+
 # What a pattern letter can match at most; a failed parse costs an exception, a failed regex next to nothing.
 _SHAPES = {
     "MM": "(0[1-9]|1[0-2])", "dd": "(0[1-9]|[12][0-9]|3[01])", "HH": "([01][0-9]|2[0-3])", "hh": "(0[1-9]|1[0-2])",
     "mm": "[0-5][0-9]", "ss": "[0-5][0-9]", "d": "[0-9]{1,2}", "yy": "[0-9]{2}", "yyyy": r"[+-]?[0-9]{4,}",
+    "SSSSSS": "[0-9]{1,6}", "XXX": "(Z|[+-][0-9]{2}:[0-9]{2})", "MMM": "[A-Za-z]{3}", "MMMM": "[A-Za-z]{3,9}",
 }
 
 
@@ -60,10 +63,17 @@ def shape(fmt: str) -> str:
 
 
 def parse_date(c: Column, fmt: str) -> Column:
-    """Zone-free timestamp of a text under a Spark pattern, NULL where it does not fit."""
-    has_time = any(ch in fmt.replace("'T'", "") for ch in "HhSsa")
-    if has_time:
-        parsed = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    """Zone-free timestamp of a text under a Spark pattern, NULL where it does not fit.
+
+    The session's time zone plays no part: a time without an offset is that time on the wall, one with an offset is the
+    time in UTC.
+    """
+    letters = re.sub("'[^']*'", "", fmt)
+    if any(ch in letters for ch in "HhSsa"):
+        # Read as UTC and counted from the epoch, so that no zone skips or repeats an hour.
+        instant = F.try_to_timestamp(c, F.lit(fmt)) if any(ch in letters for ch in "Xx") else F.try_to_timestamp(F.concat(c, F.lit("Z")), F.lit(fmt + "XXX"))
+        seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+        parsed = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
     else:
         parsed = F.try_to_date(c, fmt).cast("timestamp_ntz")
     return F.when(c.rlike(shape(fmt)), parsed)
@@ -75,7 +85,7 @@ def _rates(df: DataFrame, columns: Sequence[str], formats: Sequence[str]) -> dic
     return agg_values(df, exprs)
 
 
-def best_formats(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = DATE_FORMATS) -> dict[str, str | None]:
+def best_formats(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = KNOWN_FORMATS) -> dict[str, str | None]:
     """Format under which most values of each column parse; the earlier format wins a tie, None if nothing parses."""
     counts = _rates(df, columns, formats)
     best = {c: max(formats, key=lambda f: counts[(c, f)]) for c in columns}
@@ -83,7 +93,7 @@ def best_formats(df: DataFrame, columns: Sequence[str], formats: Sequence[str] =
 
 
 def detect_dates(
-    df: DataFrame, formats: Sequence[str] = DATE_FORMATS, sample: int | None = None, order_by: Sequence[str] = ()
+    df: DataFrame, formats: Sequence[str] = KNOWN_FORMATS, sample: int | None = None, order_by: Sequence[str] = ()
 ) -> DataFrame:
     """Text columns of which at least 70 % of the values parse under one format.
 

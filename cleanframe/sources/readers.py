@@ -53,16 +53,17 @@ def read_orc(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.orc(path))
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool | None = None) -> DataFrame:
     """Comma-separated with a header. Rows with too many fields are skipped, short rows padded with missing.
 
-    ``multiline`` allows line breaks inside quotes; such files cannot be split, so it is off unless asked for.
+    ``multiline`` allows line breaks inside quotes; such files cannot be split. By default a pass over the lines looks for
+    one with an odd number of quotes, which only a quoted line break leaves.
     """
     raw = _delimited(spark, path, ",", multiline)
     return _typed(raw.filter(F.col(OVERFLOW).isNull()).drop(OVERFLOW), infer)
 
 
-def read_tsv(spark: SparkSession, path: str, infer: bool = True, multiline: bool = False) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, infer: bool = True, multiline: bool | None = None) -> DataFrame:
     """Tab-separated with a header. A row with too many fields fails the read."""
     raw = _delimited(spark, path, "\t", multiline)
     width = len(raw.columns) - 1
@@ -71,8 +72,14 @@ def read_tsv(spark: SparkSession, path: str, infer: bool = True, multiline: bool
     return _typed(checked.drop(OVERFLOW), infer)
 
 
-def _delimited(spark: SparkSession, path: str, sep: str, multiline: bool) -> DataFrame:
+def _breaks_quotes(spark: SparkSession, path: str) -> bool:
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def _delimited(spark: SparkSession, path: str, sep: str, multiline: bool | None) -> DataFrame:
     """Every column as text, plus an overflow column that only a row with too many fields fills."""
+    multiline = _breaks_quotes(spark, path) if multiline is None else multiline
     reader = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"')
     reader = reader.option("multiLine", multiline)
     names = reader.csv(path).columns

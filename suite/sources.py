@@ -34,6 +34,15 @@ def read_csv(spark, sf_dir):
     return load(spark, path)
 
 
+@query("read_csv_quoted_breaks", "select c_custkey, c_name || chr(10) || 'second, \"line\"' as c_name, c_mktsegment from customer")
+def read_csv_breaks(spark, sf_dir):
+    """Line breaks, commas and quotes inside quotes."""
+    path = _scratch(spark, "breaks.csv")
+    broken = F.concat("c_name", F.lit("\n"), F.lit('second, "line"'))
+    write_table(table(spark, sf_dir, "customer").select("c_custkey", broken.alias("c_name"), "c_mktsegment"), path, "csv")
+    return load(spark, path)
+
+
 @query("read_tsv", "select c_custkey, c_name, c_nationkey::bigint as c_nationkey, c_acctbal, c_mktsegment from customer")
 def read_tsv(spark, sf_dir):
     path = _scratch(spark, "customer.tsv")

@@ -171,3 +171,20 @@ def parse_given(spark, sf_dir):
 def parse_report(spark, sf_dir):
     df = view(spark, sf_dir, "dated_orders")
     return rounded(cf.parse_report(df, cf.fit_dates(df, ["order_text"])), 6)
+
+
+_DAY = "substr(cast(o_orderdate as string), 1, 10)"
+
+
+def _dates(name: str, text: str, sql: str):
+    """Texts of one shape, built alike in both engines, against the timestamps they mean."""
+    @query(f"dates_parse_{name}", f"select o_orderkey, {sql} as moment from orders")
+    def run(spark, sf_dir):
+        return cf.parse_dates(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(text).alias("moment")), ["moment"]).df
+
+
+_dates("iso_fraction", f"{_DAY} || 'T10:20:30.' || lpad(cast(o_orderkey % 1000 as string), 3, '0')",
+       "cast(substr(o_orderdate::varchar, 1, 10) || ' 10:20:30.' || lpad((o_orderkey % 1000)::varchar, 3, '0') as timestamp)")
+_dates("offset", f"{_DAY} || 'T23:30:00-05:00'", "cast(substr(o_orderdate::varchar, 1, 10) || ' 23:30:00' as timestamp) + interval 5 hour")
+_dates("month_name", "date_format(o_orderdate, 'MMMM d, yyyy')", "cast(substr(o_orderdate::varchar, 1, 10) as timestamp)")
+_dates("minutes", f"{_DAY} || ' 07:45'", "cast(substr(o_orderdate::varchar, 1, 10) || ' 07:45:00' as timestamp)")
