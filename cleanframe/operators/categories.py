@@ -13,7 +13,8 @@ from ..functions.vocab import CATEGORY_LIMIT
 from ..plans.fused import approx_distinct, empty, exact_distinct, value_counts
 from ..plans.result import FixResult
 
-LITERAL_MAP_LIMIT = 5_000
+LITERAL_MAP_LIMIT = 50  # a literal map is searched pair by pair
+BROADCAST_PAIRS = 1_000_000
 
 _GROUPS = "column string, norm string, value string, n bigint, canonical string, group_rows bigint, affected bigint"
 
@@ -63,17 +64,21 @@ def harmonise_mapping(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def apply_mapping(df: DataFrame, column: str, mapping: dict[str, str] | DataFrame) -> DataFrame:
     """Replace variants by their canonical form; other values and missing stay.
 
-    A dict becomes a literal map and the fix stays row-local. A DataFrame (variant, canonical), or a larger dict, is
-    joined instead, and Spark broadcasts it only if its own size estimate allows.
+    A small dict becomes a literal map and the fix stays row-local. A DataFrame (variant, canonical), or a larger dict, is
+    joined instead: broadcast up to a counted number of pairs, else by a shuffle that missing values take no part in.
+    A variant that is listed twice takes its smallest form.
     """
     require_columns(df, [column])
     if isinstance(mapping, dict) and len(mapping) <= LITERAL_MAP_LIMIT:
         return df.withColumn(column, _lookup(col(column), mapping)) if mapping else df
     if isinstance(mapping, dict):
         mapping = df.sparkSession.createDataFrame(list(mapping.items()), "variant string, canonical string")
-    pairs = mapping.select(F.col("variant").alias("__variant"), F.col("canonical").alias("__canonical")).dropDuplicates(["__variant"])
-    joined = df.join(pairs, col(column) == F.col("__variant"), "left")
-    return joined.withColumn(column, F.coalesce("__canonical", col(column))).drop("__variant", "__canonical")
+    pairs = mapping.filter("variant is not null").groupBy(F.col("variant").alias("__variant")).agg(F.min("canonical").alias("__canonical"))
+    few = pairs.count() <= BROADCAST_PAIRS
+    there = df if few else df.filter(col(column).isNotNull())
+    joined = there.join(F.broadcast(pairs) if few else pairs, col(column) == F.col("__variant"), "left")
+    mapped = joined.withColumn(column, F.coalesce("__canonical", col(column))).drop("__variant", "__canonical")
+    return mapped if few else mapped.unionByName(df.filter(col(column).isNull()))
 
 
 def _lookup(c: Column, mapping: dict[str, str]) -> Column:

@@ -22,6 +22,16 @@ def _fingerprint(df: DataFrame) -> Column:
     return F.xxhash64(*[col(c) for c in df.columns])
 
 
+def _repeated(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, int]:
+    """The table with the hash of its keys, the hashes that occur more than once, and their number."""
+    keyed = _groupable(df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keys)]))
+    hashed = keyed.select(_fingerprint(keyed).alias("__fp"))
+    repeated = hashed.groupBy("__fp").agg(F.count("*").alias("n")).filter("n > 1").select("__fp")
+    exprs = {f.name: (F.sort_array(F.map_entries(col(f.name))) if isinstance(f.dataType, T.MapType) else (col(f.name) + F.lit(0.0)).cast(f.dataType) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else col(f.name))
+             for f in df.schema.fields if f.name in keys}
+    return df.withColumn("__fp", F.xxhash64(*[exprs[c] for c in keys])), repeated, agg_values(repeated, {"n": F.count("*")})["n"]
+
+
 def _copies(df: DataFrame) -> DataFrame | None:
     """Distinct rows that may be repeated, with their number of copies; None when no row is repeated.
 
@@ -100,19 +110,33 @@ def drop_duplicate_rows(
     keys = list(subset) if subset else list(df.columns)
     whole_row = set(keys) == set(df.columns)
     done = [{"method": method, "subset": list(subset) if subset else None}]
+    maps = [f.name for f in clean.schema.fields if isinstance(f.dataType, T.MapType)]
+    if whole_row and maps:
+        # Maps cannot be grouped: their sorted entries stand for them, and one row of each group is returned.
+        plain = _groupable(clean.select(F.struct("*").alias("__row"), *[col(c).alias(f"__k{i}") for i, c in enumerate(clean.columns)]))
+        groups = plain.groupBy(*[f"__k{i}" for i in range(len(clean.columns))]).agg(F.count("*").alias("__copies"), F.first("__row").alias("__row"))
+        return FixResult((groups.filter("__copies = 1") if method == "drop_all" else groups).select("__row.*"), done)
     if whole_row:
         if method != "drop_all":
             return FixResult(clean.dropDuplicates(), done)
         counted = clean.groupBy(*[col(c) for c in keys]).agg(F.count("*").alias("__copies"))
         return FixResult(counted.filter("__copies = 1").select(*[col(c) for c in df.columns]), done)
     if method == "drop_all":
+        # Rows whose key hash occurs once stay where they are; only the others are grouped, exactly.
+        marked, repeated, found = _repeated(clean, keys)
+        if found == 0:
+            return FixResult(clean, done)
+        alone = None
+        if found <= BROADCAST_KEYS:
+            alone = marked.join(F.broadcast(repeated), "__fp", "left_anti").drop("__fp")
+            clean = marked.join(F.broadcast(repeated), "__fp", "left_semi").drop("__fp")
         rest = [c for c in df.columns if c not in keys]
         single = clean.groupBy(*[col(c) for c in keys]).agg(
             F.count("*").alias("__copies"), F.first(F.struct(*[col(c) for c in rest])).alias("__row")
         )
         picked = {c: F.col("__row").getField(c) for c in rest}
         out = single.filter("__copies = 1").select(*[picked[c].alias(c) if c in picked else col(c) for c in df.columns])
-        return FixResult(out, done)
+        return FixResult(out if alone is None else alone.unionByName(out), done)
     if not order_by:
         return FixResult(df, errors=[f"{method} over a subset needs order_by: rows of a distributed table have no order"])
     ties = [c for c in df.columns if c not in keys and c not in order_by and not isinstance(df.schema[c].dataType, T.MapType)]

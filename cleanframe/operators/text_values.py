@@ -44,8 +44,16 @@ def case_variants(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     names = text_columns(df, columns)
     if not names:
         return empty(df, "column string, n_distinct bigint, n_distinct_lower bigint, n_variants bigint")
-    values = value_counts(df, names).filter(F.col("value").isNotNull())
-    per_lower = values.groupBy("column", F.lower("value").alias("lower_value")).agg(F.count("*").alias("spellings"))
+
+    def known(c):
+        """A long text by its digest, so that whole texts do not move."""
+        return F.when(F.length(c) > 64, F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))).otherwise(c)
+
+    cells = df.select(*[F.when(col(c).isNotNull(), F.struct(known(col(c)).alias("own"), known(F.lower(col(c))).alias("lower"))).alias(str(i)) for i, c in enumerate(names)])
+    cells = cells.unpivot([], [str(i) for i in range(len(names))], "slot", "value").filter("value is not null")
+    label = F.array(*[F.lit(c) for c in names])[F.col("slot").cast("int")]
+    values = cells.groupBy("slot", "value").agg(F.count("*").alias("n")).select(label.alias("column"), "value.lower")
+    per_lower = values.groupBy("column", "lower").agg(F.count("*").alias("spellings"))
     return per_lower.groupBy("column").agg(
         F.sum("spellings").alias("n_distinct"),
         F.count("*").alias("n_distinct_lower"),
