@@ -65,24 +65,28 @@ class LanguageModel:
         return best, (e / e.sum(1, keepdims=True))[np.arange(len(f)), best]
 
 
-def fit(present: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Nyström landmarks and ridge regression on presence rows (bounded by the sample)."""
+def _unit_rows(bits: np.ndarray) -> np.ndarray:
+    """Packed presence rows as vectors of length 1."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
+def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    """Nyström landmarks and ridge regression on packed presence rows (bounded by the sample), a few rows unpacked at a time."""
     languages = sorted(set(labels))
     truth = np.array([languages.index(x) for x in labels])
-    x = present.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     chosen = np.concatenate([np.flatnonzero(truth == k)[:landmarks] for k in range(len(languages))])
-    marks = x[chosen]
+    marks = _unit_rows(bits[chosen])
     kernel = (marks @ marks.T).astype(np.float64)
     value, vector = np.linalg.eigh(kernel)
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])  # W^-1/2
-    phi = (x @ marks.T) @ root
+    phi = np.concatenate([_unit_rows(bits[k : k + 64]) @ marks.T for k in range(0, len(bits), 64)]) @ root
     target = np.where(truth[:, None] == np.arange(len(languages)), 1.0, -1.0)
     share = np.bincount(truth, minlength=len(languages)) / len(truth)
     weight = (1 / share)[truth][:, None]  # languages count alike, however many rows they have
     beta = np.linalg.solve(phi.T @ (phi * weight) + ridge * len(truth) * np.eye(phi.shape[1]), phi.T @ (target * weight))
-    return LanguageModel(languages, (marks.T @ (root @ beta)).astype(np.float32))
+    return LanguageModel(languages, marks.T @ (root @ beta).astype(np.float32))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +106,7 @@ def fit_language(docs: DataFrame, label: str = "lang", key: str = "doc_id", per_
     if not got:
         return None
     got.sort(key=lambda r: (r["label"], bytes(r["bits"])))
-    bits = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in got]), axis=1).astype(bool)
+    bits = np.array([np.frombuffer(r["bits"], np.uint8) for r in got])
     return fit(bits, [r["label"] for r in got], landmarks)
 
 
