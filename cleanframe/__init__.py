@@ -17,10 +17,12 @@ from .operators.missing import (
     missing_report, missing_rows, missing_summary, mode_values, rows_lost, top_values_change,
 )
 from .operators.multivariate import fit_mahalanobis, mahalanobis_report, mahalanobis_samples
-from .operators.outliers import fit_outlier_fix, fit_outliers, fix_outliers, outlier_report, outlier_samples
+from .operators.outliers import (
+    fit_outlier_fix, fit_outliers, fix_outliers, outlier_report, outlier_samples, outlier_totals, skipped_columns,
+)
 from .operators.patterns import check_pattern, detect_patterns, pattern_violations
 from .operators.profile import (
-    categorical_describe, categorical_summary, column_info, min_max, numeric_describe, numeric_summary, overview, preview, status,
+    categorical_describe, categorical_summary, column_info, fix_effect, min_max, numeric_describe, numeric_summary, overview, preview, status,
 )
 from .operators.rules import Rule, fix_violations, rule_samples, rules_summary, run_rules, suggest_rules, violating_rows
 from .operators.scaling import fit_scale, fix_scale, scaling_report

@@ -77,6 +77,22 @@ def outlier_report(df: DataFrame, columns: Sequence[str] | None = None, quantile
     )
 
 
+def skipped_columns(df: DataFrame, columns: Sequence[str] | None = None, need: int = MIN_VALUES_OUTLIER) -> DataFrame:
+    """Numeric columns with fewer values than a report needs, which it leaves out: (column, n, reason)."""
+    report = column_report(nan_to_null(df), numeric_columns(df, columns), {"n": lambda c: F.count(col(c))}, "column string, n bigint")
+    return report.filter(F.col("n") < need).withColumn("reason", F.concat(F.lit("fewer than "), F.lit(str(need)), F.lit(" values")))
+
+
+def outlier_totals(df: DataFrame, columns: Sequence[str] | None = None, quantiles: str = "exact") -> DataFrame:
+    """One row: columns analysed, with outliers, clean, and skipped for want of values."""
+    report = outlier_report(df, columns, quantiles).select("has_outliers", F.lit(False).alias("skipped"))
+    left_out = skipped_columns(df, columns).select(F.lit(False).alias("has_outliers"), F.lit(True).alias("skipped"))
+    return report.union(left_out).agg(
+        F.count_if(~F.col("skipped")).alias("analysed"), F.count_if("has_outliers").alias("with_outliers"),
+        F.count_if(~F.col("skipped") & ~F.col("has_outliers")).alias("clean"), F.count_if("skipped").alias("skipped"),
+    )
+
+
 def outlier_samples(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5, quantiles: str = "exact") -> DataFrame:
     """Up to ``k`` values outside the fences per column, smallest first."""
     fitted = fit_outliers(df, columns, quantiles)

@@ -85,6 +85,14 @@ def status(df: DataFrame) -> DataFrame:
     )
 
 
+def fix_effect(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a fix did, in numbers: rows and missing cells before and after. Each side is read once, when asked for."""
+    sides = status(before).select(F.lit("before").alias("side"), "n_rows", "missing_cells").union(status(after).select(F.lit("after"), "n_rows", "missing_cells"))
+    one = {f"{c}_{s}": F.max(F.when(F.col("side") == s, F.col(c))) for c in ("n_rows", "missing_cells") for s in ("before", "after")}
+    row = sides.agg(*[e.alias(name) for name, e in one.items()])
+    return row.withColumns({"rows_removed": F.col("n_rows_before") - F.col("n_rows_after"), "missing_added": F.col("missing_cells_after") - F.col("missing_cells_before")})
+
+
 def min_max(df: DataFrame) -> DataFrame:
     """Range of every numeric column, as context for range rules."""
     return column_report(

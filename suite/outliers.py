@@ -200,3 +200,33 @@ def high_correlations_missing(spark, sf_dir):
     less = df.select("balance", F.when(F.col("c_custkey") % 3 != 0, F.col("balance") * 2 + 1).alias("twice"))
     more = df.select("balance", F.coalesce("balance", F.lit(0.0)).alias("again"))
     return rounded(cf.high_correlations(less).unionByName(cf.high_correlations(more)))
+
+
+_SPARSE = "select event_id, value, case when event_id < 3 then value end as rare from events"
+
+
+def _sparse(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "value", F.when(F.col("event_id") < 3, F.col("value")).alias("rare"))
+
+
+@query("outliers_skipped", f"""select 'rare' as "column", count(rare) as n, 'fewer than 4 values' as reason from ({_SPARSE}) having count(rare) < 4""")
+def skipped(spark, sf_dir):
+    return cf.skipped_columns(_sparse(spark, sf_dir))
+
+
+@query("outliers_totals", f"""select count_if(not few) as analysed, count_if(not few and has_outliers) as with_outliers, count_if(not few and not has_outliers) as clean, count_if(few) as skipped from (
+  select false as few, has_outliers from ({_of(_FULL, 'events', ('event_id', 'value'))}) union all select count(rare) < 4, false from ({_SPARSE}))""")
+def totals(spark, sf_dir):
+    return cf.outlier_totals(_sparse(spark, sf_dir))
+
+
+@query("fix_effect", on("dirty_customer", f"""select (select count(*) from dirty_customer) as n_rows_before, count(*) as n_rows_after,
+  (select count_if(balance is null) + count_if(nation_id is null) + count_if(segment is null) from dirty_customer)::bigint as missing_cells_before,
+  (count_if(balance is null) + count_if(nation_id is null) + count_if(segment is null))::bigint as missing_cells_after,
+  (select count(*) from dirty_customer) - count(*) as rows_removed,
+  (count_if(balance is null) + count_if(nation_id is null) + count_if(segment is null))::bigint - (select count_if(balance is null) + count_if(nation_id is null) + count_if(segment is null) from dirty_customer)::bigint as missing_added
+  from dirty_customer, {_fit('balance', 'dirty_customer')} where balance is null or balance between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)"""))
+def effect(spark, sf_dir):
+    """Rows and missing cells before and after a removal of outliers."""
+    df = view(spark, sf_dir, "dirty_customer")
+    return cf.fix_effect(df, cf.fix_outliers(df, {"balance": "remove"}).df)
