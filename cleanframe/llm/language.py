@@ -147,4 +147,8 @@ def known_language(docs: DataFrame, model: LanguageModel | None, least: float =
 
     Rejected are texts without a letter and texts no more like one language than another.
     """
-    return identify(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
+    if {"lang_pred", "score"} & set(docs.columns):  # the row's own columns of these names stay
+        rows = docs.select("text", F.struct("*").alias("whole_row"))
+        return identify(rows, model).filter(known).select("whole_row.*")
+    return identify(docs, model).filter(known).select(*[F.col(f"`{c}`") for c in docs.columns])
