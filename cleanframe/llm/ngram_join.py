@@ -34,6 +34,8 @@ COUNTER_BITS = 20
 COUNTER_BLOCK = 1 << 14
 #: A prefix n-gram counted in more documents than this is dealt to several tasks.
 HOT = 50_000
+#: Ids of dropped documents that are broadcast, 8 bytes each.
+BROADCAST_IDS = 2_000_000
 
 _PROFILE = "doc_id bigint, n_shingles bigint, cls bigint, block int, counts binary"
 _POSTING = "gram bigint, cls bigint, n int, pos int, salt int"
@@ -311,4 +313,6 @@ def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     """
     groups = ngram_jaccard_groups(docs, n, percent)
     gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
+    if gone.count() <= BROADCAST_IDS:  # else both sides are shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti")
