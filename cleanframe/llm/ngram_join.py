@@ -126,12 +126,15 @@ def min_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def _postings(counters, n: int, percent: int):
-    """Prefix n-grams of each class, rarest first; a class met twice in a task counts once."""
+def _postings(counters, n: int, percent: int, hot: int):
+    """Prefix n-grams of each class, rarest first; a class met twice in a task counts once.
+
+    The salt is 0 for an n-gram that one task has whole, and 1 or more for each part of one that is split.
+    """
 
     def run(batches):
         counts = counters.value
-        hot = max(HOT, 8 * int(counts.mean()))
+        most = max(hot, 8 * int(counts.mean()))
         seen: set[int] = set()
         out: list[tuple] = []
         held = 0
@@ -146,8 +149,9 @@ def _postings(counters, n: int, percent: int):
             often = counts[grams >> np.uint64(64 - COUNTER_BITS)]
             size = len(grams)
             prefix = np.lexsort((grams, often))[: size - min_overlap(size, percent) + 1]
-            parts = np.maximum(-(-often[prefix].astype(np.int64) // hot), 1)
-            out.append((grams[prefix].view(np.int64), np.full(len(prefix), cls), np.full(len(prefix), size), np.arange(len(prefix)), cls % parts))
+            parts = np.maximum(-(-often[prefix].astype(np.int64) // most), 1)
+            salt = np.where(parts > 1, cls % parts + 1, 0)
+            out.append((grams[prefix].view(np.int64), np.full(len(prefix), cls), np.full(len(prefix), size), np.arange(len(prefix)), salt))
             held += len(prefix)
             if held >= 50_000:
                 yield _table(out)
@@ -166,7 +170,8 @@ def _table(out: list[tuple]) -> pa.RecordBatch:
 def _shared(batches):
     """Of one partition of postings, those whose n-gram stands in the prefix of another class, or is dealt to several tasks.
 
-    A partition holds a hash share of the prefix n-grams; one that many classes have is split by its salt.
+    A partition holds a hash share of the prefix n-grams; one that many documents have is split by its salt, and as its
+    other classes may be in other partitions, all its postings stay.
     """
     parts = [[batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)] for batch in batches]
     if not parts:
@@ -264,7 +269,7 @@ def _crossing(live: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
-def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, partitions: int | None = None) -> DataFrame:
+def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, partitions: int | None = None, hot: int = HOT) -> DataFrame:
     """Groups of documents (doc_id, text) under the links ``100 * intersection >= percent * union`` of word n-gram sets.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest id reachable by links), and ``cls``, the
@@ -277,7 +282,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds:
     rows = profile.filter("block is null").select("doc_id", "n_shingles", "cls")
 
     counters = spark.sparkContext.broadcast(_counters(profile))
-    postings = docs.select("text").mapInArrow(_postings(counters, n, percent), _POSTING)
+    postings = docs.select("text").mapInArrow(_postings(counters, n, percent, hot), _POSTING)
     width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     live = scratch.keep(postings.repartition(width, "gram", "salt").mapInArrow(_shared, "gram bigint, cls bigint, n int, pos int"), "live")
 

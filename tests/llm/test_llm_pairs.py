@@ -71,6 +71,16 @@ def test_groups_match_brute_force(spark):
     assert Counter(tuple(r) for r in got) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("hot", [5, 20])
+def test_groups_match_brute_force_where_hot_grams_are_split(spark, hot):
+    rows = rows_with_edges()
+    for k in range(12):  # one class of many copies and one near copy: two classes share every hot n-gram
+        words = [f"w{k}x{i}" for i in range(40)]
+        rows += [(1000 + 100 * k + i, " ".join(words)) for i in range(30)] + [(1099 + 100 * k, " ".join([*words, "more"]))]
+    got = ngram_jaccard_groups(frame(spark, rows), hot=hot).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(tuple(r) for r in got) == brute_groups(rows)
+
+
 def test_one_of_each_group_keeps_columns_and_empty_texts(spark):
     rows = [(1, "a b c d e f g h i j k"), (2, "a b c d e f g h i j k"), (3, None), (4, ""), (None, "z z")]
     kept = one_of_each_group(frame(spark, rows))
