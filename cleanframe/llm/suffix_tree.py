@@ -1,17 +1,19 @@
 """Language-model scores by a probabilistic suffix tree, beside those of a smoothed unigram model.
 
-A text is its words, A-Z lower-cased, and one end. Tokens that make up at least ``min_share`` of all training tokens, and the
-end, are symbols of their own; all others, met or not, share one symbol. The tree predicts each token's symbol from the symbols
-before it in its text, with a mark for the text's beginning, up to ``depth`` of them. A context is considered if it makes up
-at least ``min_share`` of all training tokens, so symbols and contexts are bounded in number whatever the corpus: at most
-1 / min_share of each length. It is kept if its distribution diverges from that of the context one symbol shorter
-(Kullback-Leibler) or if a longer kept one needs it. Distributions are smoothed by the shorter context's, down to the root, whose
-symbols count half a time more than seen. Each symbol is scored in the longest context that the tree has; a token that shares its symbol
-is scored further by its discounted share of that symbol's tokens, and a token never met by the discounted mass. So the
-scores are log10 probabilities over the training tokens and one unknown token, as those of the unigram model are.
+A text is its words, A-Z lower-cased, and one end. Tokens met at least ``min_count`` times in training, and the end, are symbols
+of their own; all others, met or not, share one symbol. The tree predicts each token's symbol from the symbols before it in its
+text, with a mark for the text's beginning, up to ``depth`` of them. Every context met at least ``min_count`` times in training
+is considered, so symbols and contexts grow with the corpus. It is kept if its distribution diverges from that of the longest
+kept context shorter than it (Kullback-Leibler). Distributions are smoothed by that shorter context's, down to the root, whose
+symbols count half a time more than seen. A token that shares its symbol is scored further by its discounted share of that
+symbol's tokens, and a token never met by the discounted mass. So the scores are log10 probabilities over the training tokens and
+one unknown token, as those of the unigram model are.
 
 All training texts are counted. Texts are cut into blocks; each block lists its distinct tokens once, tokens are counted over
-all blocks and their counts sent back to the blocks, so that no token travels once for each time it is used.
+all blocks and their counts sent back to the blocks, so that no token travels once for each time it is used. The tree is
+never gathered: for each length, a block sends its distinct (context, next symbol) by hash of the context to the task that has all
+of that context, which counts, tests and answers with the symbol's probability there. Symbols, contexts and pairs are known by
+64-bit hashes.
 
 Edge cases. A null or empty text is the end token alone. Repeated rows are each counted and scored; a null id is held out
 if the fold says so, else trained on. Without training texts the counts are 0 and the tree is uniform.
@@ -27,10 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .segment import slices, words
+from .segment import mix, slices, span_hashes, words
 
 DEPTH = 3
-MIN_SHARE = 2e-4
+#: Times that a token with a symbol of its own, and a context, is met in training at least: what is met once cannot be met again.
+MIN_COUNT = 2
 #: A context is kept if it diverges by this much (nats a token) and by so much in all its tokens together.
 DIVERGENCE, EVIDENCE = 1e-3, 30.0
 #: Weight of the shorter context's distribution, in tokens.
@@ -42,8 +45,6 @@ BLOCK_BYTES = 16 << 20
 
 #: The end of a text as a token; no word contains a line break.
 END = b"\n"
-#: Symbol of all tokens that have none of their own; others follow by falling count, and last the mark of a beginning.
-OTHER = 0
 # A context and a next symbol in one number: 14 bits for each symbol, nearest lowest, then the next one, then the length.
 _U = np.uint64
 _BITS = 14
@@ -51,6 +52,8 @@ _NEXT = _U((1 << _BITS) - 1) << _U(3 * _BITS)
 _LENGTH = _U(4 * _BITS)
 
 _BLOCKS = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, words array<binary>, n array<bigint>"
+_STATE = "block bigint, bucket int, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, symbols binary, counts binary, prob binary, alive binary, context binary, pair binary, n binary, before binary"
+_ANSWER = "block bigint, bucket int, prob binary"
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -115,15 +118,6 @@ class Symbols:
     at: np.ndarray  # its place in data
     back: np.ndarray  # symbols before it in its text, the mark included
 
-    def context(self, d: int, rows: np.ndarray) -> np.ndarray:
-        code = np.full(len(rows), d, _U) << _LENGTH
-        for k in range(d):
-            code |= self.data[self.at[rows] - 1 - k] << _U(_BITS * k)
-        return code
-
-    def next(self, rows: np.ndarray) -> np.ndarray:
-        return self.data[self.at[rows]] << _U(3 * _BITS)
-
 
 def _symbols(symbol: np.ndarray, size: np.ndarray, mark: int) -> Symbols:
     """Lay out the symbols of texts of the given sizes."""
@@ -135,11 +129,6 @@ def _symbols(symbol: np.ndarray, size: np.ndarray, mark: int) -> Symbols:
     return Symbols(data, text, begin[text] + back, back)
 
 
-def _combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, which = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(which, counts, len(distinct)).astype(np.int64)
-
-
 def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key, or -1."""
     if not len(sorted_keys):
@@ -153,55 +142,6 @@ def _shorter(context: np.ndarray, d: int) -> np.ndarray:
     return (context & _U((1 << _BITS * (d - 1)) - 1)) | (_U(d - 1) << _LENGTH)
 
 
-def _numbered(tokens: np.ndarray, names: list[bytes], number: dict[bytes, int]) -> np.ndarray:
-    """Symbol of each token of a block."""
-    own = np.fromiter((number.get(name, OTHER) for name in names), _U, len(names))
-    return own[tokens]
-
-
-def _context_counts(depths: tuple[int, ...], frequent, vocabulary):
-    """(context, context with next symbol, times) in the training texts, one row for each and task; contexts of the
-    longer depths only where the context one symbol shorter is frequent."""
-
-    def run(batches):
-        known, number = frequent.value, vocabulary.value
-        total = (np.zeros(0, _U), np.zeros(0, np.int64))
-        for batch in batches:
-            for row in batch.to_pylist():
-                size, held = np.array(row["n_tokens"]), np.array(row["held_out"], bool)
-                symbol = _numbered(_unpacked(row["tokens"]), row["words"], number)
-                s = _symbols(symbol[np.repeat(~held, size)], size[~held], len(number) + 1)
-                parts = [total]
-                for d in depths:
-                    rows = np.flatnonzero(s.back >= d)
-                    context = s.context(d, rows)
-                    if d == depths[0] and d:
-                        good = _member(known, _shorter(context, d)) >= 0
-                        rows, context = rows[good], context[good]
-                    parts.append(_combined(context | s.next(rows), np.ones(len(rows))))
-                total = _combined(*(np.concatenate(x) for x in zip(*parts)))
-        keys, n = total
-        for low in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array((keys[low : low + 50_000] & ~_NEXT).view(np.int64)), pa.array(keys[low : low + 50_000].view(np.int64)), pa.array(n[low : low + 50_000])], ["context", "key", "n"])
-
-    return run
-
-
-def _frequent(least: float):
-    """Contexts of a partition, which has all rows of each, that are met at least so often: (key, n)."""
-
-    def run(batches):
-        parts = [(b.column("key").to_numpy().view(_U), b.column("n").to_numpy()) for b in batches]
-        if not parts:
-            return
-        keys, n = _combined(*(np.concatenate(x) for x in zip(*parts)))
-        context, which = np.unique(keys & ~_NEXT, return_inverse=True)
-        good = np.bincount(which, n, len(context))[which] >= least
-        yield pa.RecordBatch.from_arrays([pa.array(keys[good].view(np.int64)), pa.array(n[good])], ["key", "n"])
-
-    return run
-
-
 @dataclass
 class SuffixTree:
     """Kept contexts with what an unseen letter costs there, and their letters with log10 probabilities; both sorted."""
@@ -213,27 +153,12 @@ class SuffixTree:
     unseen: float
     depth: int
 
-    def score(self, s: Symbols) -> np.ndarray:
-        """log10 probability of each predicted symbol."""
-        log = np.zeros(len(s.at))
-        left = np.arange(len(log))  # symbols not found yet
-        for d in range(self.depth, -1, -1):
-            rows = left[s.back[left] >= d]
-            context = s.context(d, rows)
-            kept = _member(self.contexts, context)
-            rows, context, kept = rows[kept >= 0], context[kept >= 0], kept[kept >= 0]
-            at = _member(self.keys, context | s.next(rows))
-            if len(self.logs):
-                log[rows] += np.where(at >= 0, self.logs[at], self.backoff[kept])
-            done = np.zeros(len(log), bool)
-            done[rows[at >= 0]] = True
-            left = left[~done[left]]
-        log[left] += self.unseen
-        return log
-
 
 def grow(keys: np.ndarray, n: np.ndarray, depth: int, symbols: int, smoothing: float = SMOOTHING, divergence: float = DIVERGENCE, evidence: float = EVIDENCE) -> SuffixTree:
-    """The tree from counts of (context, next symbol); every context's shorter ones are among them."""
+    """A tree of few symbols in memory, from counts of (context, next symbol); every context's shorter ones are among them.
+
+    ``score_texts`` does not use it: its tree is a table.
+    """
     order = np.argsort(keys)
     keys, n = keys[order], n[order].astype(float)
     context, which = np.unique(keys & ~_NEXT, return_inverse=True)
@@ -264,60 +189,179 @@ def grow(keys: np.ndarray, n: np.ndarray, depth: int, symbols: int, smoothing: f
     return SuffixTree(context[keep], back[keep], keys[good], np.log10(prob[good]), float(np.log10(unseen)), depth)
 
 
-def fit_tree(blocks: DataFrame, number: dict[bytes, int], train_tokens: int, depth: int = DEPTH, min_share: float = MIN_SHARE) -> SuffixTree:
-    """Learn from the training texts of all blocks, level by level.
+def _zipped(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _unzipped(blob: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+#: Shared symbol and mark of a beginning, as hashes.
+_OTHER, _MARK = _U(0), _U(1)
+_STEP, _PAIR = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+
+
+def _word_hashes(names: list[bytes]) -> np.ndarray:
+    end = np.cumsum([len(x) for x in names], dtype=np.int64)
+    return span_hashes(np.frombuffer(b"".join(names), np.uint8), end - [len(x) for x in names], end)
 
-    What reaches the driver are the next symbols of contexts that make up ``min_share`` of all tokens: a bounded number.
-    """
-    spark = blocks.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vocabulary = spark.sparkContext.broadcast(number)
-    known, keys, n = np.zeros(0, _U), [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-    for depths in [(0, 1), *[(d,) for d in range(2, depth + 1)]]:
-        shared = spark.sparkContext.broadcast(known)
-        counts = blocks.select("n_tokens", "held_out", "tokens", "words").mapInArrow(_context_counts(depths, shared, vocabulary), "context bigint, key bigint, n bigint")
-        got = counts.repartition(width, "context").mapInArrow(_frequent(max(1.0, min_share * train_tokens)), "key bigint, n bigint").toArrow()
-        shared.destroy()
-        keys.append(got.column("key").to_numpy().view(_U))
-        n.append(got.column("n").to_numpy())
-        known = np.unique(keys[-1] & ~_NEXT)
-        if not len(known):
-            break
-    return grow(np.concatenate(keys), np.concatenate(n), depth, len(number) + 1)
-
-
-def _totals(tree, vocabulary, counts: dict[str, int]):
-    """Sum the scores of a block's texts: left the block, right the training count of each of its tokens."""
+
+@dataclass
+class Pairs:
+    """Distinct (context, next symbol) of a block at one length, where the context may be met often enough."""
+
+    rows: np.ndarray  # predicted symbols that have such a context
+    which: np.ndarray  # the pair of each
+    first: np.ndarray  # a row of each pair
+    context: np.ndarray  # of each pair
+    pair: np.ndarray
+    bucket: np.ndarray
+
+
+def _pairs(symbol: np.ndarray, size: np.ndarray, alive: np.ndarray, d: int, width: int) -> Pairs:
+    s = _symbols(symbol, size, _MARK)
+    rows = np.flatnonzero(alive & (s.back >= d))
+    context = np.full(len(rows), d, _U)
+    for k in range(d):
+        context = mix(context + s.data[s.at[rows] - 1 - k] * _STEP + _PAIR)
+    pair, first, which = np.unique(mix(context * _PAIR + s.data[s.at[rows]] * _STEP), return_index=True, return_inverse=True)
+    context = context[first]
+    return Pairs(rows, which, first, context, pair, (context % _U(width)).astype(np.int64))
+
+
+def _in_buckets(p: Pairs) -> list[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its pairs, those of one context together."""
+    order = np.lexsort((p.context, p.bucket))
+    at = np.flatnonzero(np.diff(p.bucket[order], prepend=-1))
+    return [(int(p.bucket[part[0]]), part) for part in np.split(order, at[1:])] if len(order) else []
+
+
+def _asked(row: dict, d: int, width: int):
+    """The block itself and, for each bucket, its pairs with their training counts and probabilities so far."""
+    symbol = np.frombuffer(row["symbols"], _U)[_unpacked(row["tokens"])]
+    size, held = np.array(row["n_tokens"]), np.array(row["held_out"], bool)
+    prob = _unzipped(row["prob"], np.float32)
+    p = _pairs(symbol, size, np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=len(symbol)).astype(bool), d, width)
+    n = np.bincount(p.which, np.repeat(~held, size)[p.rows], len(p.pair)).astype(np.uint32)
+    before = prob[p.rows[p.first]]
+    empty = dict.fromkeys(("context", "pair", "n", "before"))
+    yield row | {"bucket": None} | empty
+    for bucket, at in _in_buckets(p):
+        yield dict.fromkeys(row) | {"block": row["block"], "bucket": bucket, "context": _zipped(p.context[at]), "pair": p.pair[at].tobytes(), "n": _zipped(n[at]), "before": _zipped(before[at])}
+
+
+_STATE_TYPES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
+                          *[(x, pa.binary()) for x in ("tokens", "symbols", "counts", "prob", "alive", "context", "pair", "n", "before")]])
+
+
+def _begun(n: int, symbols: int, other: int, min_count: int, width: int):
+    """Blocks with the counts of their tokens: each token's symbol and its probability at the root, and the pairs of length 1."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        t, number = SuffixTree(**tree.value), vocabulary.value
         c = np.zeros(right.num_rows, np.int64)
         c[right.column("slot").to_numpy()] = right.column("c").to_numpy()
-        n, v, other, kinds = (counts[k] for k in ("train_tokens", "distinct", "other_tokens", "other_distinct"))
-        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        # Within the shared symbol: discounted counts, and the rest for a token never met.
-        within = np.where(c > 0, np.maximum(c - DISCOUNT, 1e-9), DISCOUNT * kinds) / other if other else np.ones(len(c))
+        out = []
+        for row in left.to_pylist():
+            names = row.pop("words")
+            own = (c >= min_count) | np.array([x == END for x in names])
+            hashes = np.where(own, _word_hashes(names), _OTHER)
+            root = (np.where(own, c, other) + 0.5) / (n + 0.5 * symbols)
+            tokens = _unpacked(row["tokens"])
+            row |= {"symbols": hashes.tobytes(), "counts": _zipped(c), "prob": _zipped(root[tokens].astype(np.float32)), "alive": np.packbits(np.ones(len(tokens), bool)).tobytes()}
+            out += _asked(row, 1, width)
+        return pa.Table.from_pylist(out, _STATE_TYPES)
+
+    return run
+
+
+def _answer(min_count: int):
+    """Probability of each asked pair, in the order asked, with its context if that is kept; NaN where the context is too rare,
+    and negative where the pair is, which is then too rare as a context of the next length.
+
+    A task has all rows of each of its contexts.
+    """
+
+    def run(batches):
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        if not rows:
+            return
+        pair = np.concatenate([np.frombuffer(r["pair"], _U) for r in rows])
+        context, n, before = (np.concatenate([_unzipped(r[k], kind) for r in rows]) for k, kind in (("context", _U), ("n", np.uint32), ("before", np.float32)))
+        _, which = np.unique(context, return_inverse=True)
+        _, first, same = np.unique(pair, return_index=True, return_inverse=True)
+        total, seen = np.bincount(which, n), np.bincount(same, n)
+        prob = (seen[same] + SMOOTHING * before) / (total[which] + SMOOTHING)
+        share = seen / np.maximum(total[which[first]], 1)
+        gain = np.bincount(which[first], share * np.log(prob[first] / before[first]), len(total))
+        keep = (gain >= DIVERGENCE) & (gain * total >= EVIDENCE)
+        prob = np.where(total[which] < min_count, np.nan, np.where(keep[which], prob, before))
+        prob = np.where(seen[same] < min_count, -prob, prob).astype(np.float32)
+        ends = np.cumsum([len(r["pair"]) // 8 for r in rows])
+        for r, part in zip(rows, np.split(prob, ends[:-1])):
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([_zipped(part)], pa.binary())], ["block", "bucket", "prob"])
+
+    return run
+
+
+def _told(d: int, depth: int, width: int, counts: dict[str, int]):
+    """Blocks with the answers for length ``d``: the pairs of the next length, or after the last one the scores."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        answers = dict(zip(right.column("bucket").to_pylist(), right.column("prob").to_pylist()))
         out = []
         for row in left.to_pylist():
             tokens, size = _unpacked(row["tokens"]), np.array(row["n_tokens"])
-            symbol = _numbered(tokens, row["words"], number)
-            log = t.score(_symbols(symbol, size, len(number) + 1))
-            log += np.where(symbol == OTHER, np.log10(within)[tokens], 0.0)
-            begin = np.cumsum(size) - size
-            sums = [np.add.reduceat(x, begin) for x in ((c > 0).astype(np.int64)[tokens], base[tokens], log)]
-            out.append(pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": size,
-                                 "n_known": sums[0], "train_tokens": np.full(len(size), n), "base_score": sums[1], "score": sums[2]}))
-        return pa.concat_tables(out)
+            symbol = np.frombuffer(row["symbols"], _U)[tokens]
+            alive = np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=len(symbol)).astype(bool)
+            prob = _unzipped(row["prob"], np.float32).copy()
+            p = _pairs(symbol, size, alive, d, width)
+            told = np.full(len(p.pair), np.nan, np.float32)
+            for bucket, at in _in_buckets(p):
+                told[at] = _unzipped(answers[bucket], np.float32)
+            told = told[p.which]
+            good = ~np.isnan(told)
+            prob[p.rows[good]] = np.abs(told[good])
+            # A context and its last symbol are a context of the symbol that follows.
+            alive = np.zeros(len(symbol) + 1, bool)
+            alive[p.rows + 1] = told > 0
+            alive = alive[:-1]
+            if d < depth:
+                out += _asked(row | {"prob": _zipped(prob), "alive": np.packbits(alive).tobytes()}, d + 1, width)
+            else:
+                out.append(_scores(row, tokens, size, symbol, prob, counts))
+        return pa.Table.from_pylist(out, _STATE_TYPES) if d < depth else pa.concat_tables(out)
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = MIN_SHARE) -> DataFrame:
+def _scores(row: dict, tokens: np.ndarray, size: np.ndarray, symbol: np.ndarray, prob: np.ndarray, counts: dict[str, int]) -> pa.Table:
+    """Sum the scores of a block's texts."""
+    c = _unzipped(row["counts"], np.int64)
+    n, v, other, kinds = (counts[k] for k in ("train_tokens", "distinct", "other_tokens", "other_distinct"))
+    base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    # Within the shared symbol: discounted counts, and the rest for a token never met.
+    within = np.where(c > 0, np.maximum(c - DISCOUNT, 1e-9), DISCOUNT * kinds) / other if other else np.ones(len(c))
+    log = np.log10(prob.astype(np.float64)) + np.where(symbol == _OTHER, np.log10(within)[tokens], 0.0)
+    begin = np.cumsum(size) - size
+    sums = [np.add.reduceat(x, begin) for x in ((c > 0).astype(np.int64)[tokens], base[tokens], log)]
+    return pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": size,
+                     "n_known": sums[0], "train_tokens": np.full(len(size), n), "base_score": sums[1], "score": sums[2]})
+
+
+def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int = MIN_COUNT) -> DataFrame:
     """Score every row of (doc_id, text) by a tree learnt from the rows for which the column ``held_out`` is false.
 
     Returns doc_id, held_out, n_tokens, n_known (tokens met in training), train_tokens, base_score and score (log10).
     """
+    if depth < 1:
+        raise ValueError("depth must be 1 at least")
     spark = docs.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark, "suffix-tree")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     blocks = scratch.keep(docs.mapInArrow(_blocks, _BLOCKS), "blocks")
@@ -325,13 +369,19 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float
     same = Window.partitionBy("word")
     counted = listed.withColumns({"c": F.sum("n").over(same), "place": F.row_number().over(same.orderBy("block"))}).drop("n")
     counted = scratch.keep(counted, "counted")
-    trained = counted.filter("place = 1 and c > 0")
-    n, v = trained.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    own = trained.filter((F.col("c") >= F.lit(min_share * n)) | (F.col("word") == F.lit(END))).select("word", "c").collect()  # at most 1 / min_share, and the end
-    own = sorted(((bytes(r["word"]), r["c"]) for r in own), key=lambda x: (-x[1], x[0]))
-    number = {word: k + 1 for k, (word, _) in enumerate(own)}
-    number.setdefault(END, len(number) + 1)
-    counts = {"train_tokens": n, "distinct": v, "other_tokens": n - sum(c for _, c in own), "other_distinct": v - len(own)}
-    tree = spark.sparkContext.broadcast(vars(fit_tree(blocks, number, n, depth, min_share)))
-    run = _totals(tree, spark.sparkContext.broadcast(number), counts)
-    return blocks.groupBy("block").cogroup(counted.select("block", "slot", "c").groupBy("block")).applyInArrow(run, _SCORED)
+    own = (F.col("c") >= min_count) | (F.col("word") == F.lit(END))
+    n, v, n_own, v_own, ends = counted.filter("place = 1 and c > 0").agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(own, F.col("c"))), F.lit(0)), F.count_if(own), F.count_if(F.col("word") == F.lit(END))).first()
+    counts = {"train_tokens": n, "distinct": v, "other_tokens": n - n_own, "other_distinct": v - v_own}
+    symbols = v_own + 1 - ends + 1  # the end has one, met or not, and the others share one
+    begun = _begun(n, symbols, n - n_own, min_count, width)
+    state = scratch.keep(blocks.drop("n").groupBy("block").cogroup(counted.select("block", "slot", "c").groupBy("block")).applyInArrow(begun, _STATE), "state0")
+    scratch.drop("blocks", "counted")
+    for d in range(1, depth + 1):
+        asked = state.filter("bucket is not null").select("block", "bucket", "context", "pair", "n", "before").repartition(width, "bucket")
+        answers = asked.mapInArrow(_answer(min_count), _ANSWER)
+        told = state.filter("bucket is null").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(d, depth, width, counts), _STATE if d < depth else _SCORED)
+        if d == depth:
+            return told
+        state = scratch.keep(told, f"state{d}")
+        scratch.drop(f"state{d - 1}")

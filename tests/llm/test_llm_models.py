@@ -227,6 +227,18 @@ def test_scores_match_brute_force_base(spark):
     assert sum(r["score"] for r in new) > sum(r["base_score"] for r in new)
 
 
+def test_passages_of_ordinary_words_are_recognised(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: f"w{rng.integers(0, 20_000)}"
+    passage = " ".join(f"rare{k}" for k in range(30))  # each word far below one in 5,000 tokens
+    rows = [(k, " ".join(word() for _ in range(1000))) for k in range(60)]
+    rows += [(100 + k, passage) for k in range(6)] + [(200, passage), (201, " ".join(reversed(passage.split())))]
+    got = {r["doc_id"]: r for r in score_texts(frame(spark, rows), F.col("doc_id") >= 200).collect()}
+    assert got[200]["base_score"] == pytest.approx(got[201]["base_score"])
+    assert got[200]["score"] > 0.5 * got[200]["base_score"]
+    assert got[200]["score"] > got[201]["score"] + 30
+
+
 def test_scores_without_training_texts(spark):
     assert score_texts(frame(spark, []), fold(5) == 1).count() == 0
     got = score_texts(frame(spark, EDGES[:6]), F.lit(True)).collect()
