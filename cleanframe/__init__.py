@@ -12,6 +12,7 @@ from .operators.dates import detect_dates, fit_dates, parse_dates, parse_report
 from .operators.duplicates import (
     deduplication_impact, drop_duplicate_rows, duplicate_count, duplicate_samples, identity_duplicates,
 )
+from .operators.fuzzy import fuzzy_duplicates, fuzzy_report, fuzzy_samples
 from .operators.missing import (
     correlated_missing, disguised_report, distribution_change, fill_options, fit_missing, fix_missing, hide_disguised,
     missing_report, missing_rows, missing_summary, mode_values, rows_lost, top_values_change,

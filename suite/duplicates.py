@@ -89,3 +89,39 @@ def impact(spark, sf_dir):
     row = cf.deduplication_impact(before, after, "value")
     return row.select("count_before", "count_after", *[F.round(f"mean_{s}", 4).alias(f"mean_{s}") for s in ("before", "after")],
                       *[F.round(f"sum_{s}", 2).alias(f"sum_{s}") for s in ("before", "after")])
+
+
+def _similar(values: str, percent: int) -> str:
+    """Pairs of normal values by edit distance, each shown by its most frequent spelling, and the other spellings of a value."""
+    return f"""
+with spelled as (select s as spelling, lower(trim(regexp_replace(s, '\\s+', ' ', 'g'))) as normal, count(*) as n from ({values}) where s is not null group by all),
+  normal as (select normal, arg_min(spelling, (-n, spelling)) as value, max(n) as own, sum(n)::bigint as n_rows, length(normal) as len from spelled where normal <> '' group by normal),
+  pairs as (
+    select a.value as va, b.value as vb, a.n_rows as ra, b.n_rows as rb, levenshtein(a.normal, b.normal) as distance, greatest(a.len, b.len) as len
+    from normal a join normal b on a.value < b.value and abs(a.len - b.len) * 100 <= {100 - percent} * greatest(a.len, b.len))
+select va as value_a, vb as value_b, ra as rows_a, rb as rows_b, distance::int as distance, round(100.0 - 100.0 * distance / len, 6) as similarity
+from pairs where distance * 100 <= {100 - percent} * len
+union all select value, spelling, own, n, 0, 100.0 from normal join spelled using (normal) where spelling <> value"""
+
+
+_PART_TEXT = "p_name || ' ' || p_brand || case when p_partkey % 3 = 0 then '  ' || p_type when p_partkey % 5 = 0 then ' ' || lower(p_type) else ' ' || p_type end"
+
+
+@query("duplicates_fuzzy_urls", _similar("select url as s from pages", 90))
+def fuzzy_urls(spark, sf_dir):
+    return rounded(cf.fuzzy_duplicates(table(spark, sf_dir, "pages"), "url", 90), 6)
+
+
+@query("duplicates_fuzzy_parts", _similar(f"select {_PART_TEXT} as s from part", 92))
+def fuzzy_parts(spark, sf_dir):
+    """Descriptions of the same few words: many values share every segment."""
+    parts = table(spark, sf_dir, "part").select(F.expr(_PART_TEXT).alias("description"))
+    return rounded(cf.fuzzy_duplicates(parts, "description", 92), 6)
+
+
+@query("duplicates_fuzzy_report", f"""with found as ({_similar("select url as s from pages", 95)})
+select 'url' as "column", count(*) filter (where distance > 0) as n_pairs, count(*) filter (where distance = 0) as n_spellings,
+  round(max(similarity) filter (where distance > 0), 6) as max_similarity,
+  (select count(distinct v) from (select value_a as v from found where distance > 0 union all select value_b from found where distance > 0)) as n_values from found having count(*) > 0""")
+def fuzzy_report(spark, sf_dir):
+    return rounded(cf.fuzzy_report(table(spark, sf_dir, "pages"), ["url"], 95), 6)
