@@ -12,6 +12,7 @@ from ..functions.text import parse_double, parse_long, strip
 from ..functions.types import col, nan_to_null
 from ..functions.vocab import CSV_NA_TOKENS
 from ..plans.fused import agg_values
+from .quoted import breaks_quotes, quoted_records
 
 OVERFLOW = "__overflow"
 
@@ -56,8 +57,8 @@ def read_orc(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool | None = None) -> DataFrame:
     """Comma-separated with a header. Rows with too many fields are skipped, short rows padded with missing.
 
-    ``multiline`` allows line breaks inside quotes; such files cannot be split. By default a pass over the lines looks for
-    one with an odd number of quotes, which only a quoted line break leaves.
+    Line breaks inside quotes are found by a pass over the lines; such files are then read in splits that start at true
+    records. ``multiline`` skips that pass: False where no quotes hold line breaks, True for Spark's reader of unsplit files.
     """
     raw = _delimited(spark, path, ",", multiline)
     return _typed(raw.filter(F.col(OVERFLOW).isNull()).drop(OVERFLOW), infer)
@@ -72,19 +73,18 @@ def read_tsv(spark: SparkSession, path: str, infer: bool = True, multiline: bool
     return _typed(checked.drop(OVERFLOW), infer)
 
 
-def _breaks_quotes(spark: SparkSession, path: str) -> bool:
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
-
-
 def _delimited(spark: SparkSession, path: str, sep: str, multiline: bool | None) -> DataFrame:
     """Every column as text, plus an overflow column that only a row with too many fields fills."""
-    multiline = _breaks_quotes(spark, path) if multiline is None else multiline
-    reader = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"')
-    reader = reader.option("multiLine", multiline)
+    split = multiline is None and breaks_quotes(spark, path, sep)
+    how = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    reader = spark.read.options(**how, header=True, multiLine=split or bool(multiline))
     names = reader.csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW]])
-    raw = reader.schema(schema).option("mode", "PERMISSIVE").csv(path)
+    if split:
+        fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in schema.names)
+        raw = quoted_records(spark, path, sep).select(F.from_csv("value", fields, how).alias("r")).select("r.*")
+    else:
+        raw = reader.schema(schema).csv(path)
     return raw.withColumns({n: F.when(~col(n).isin(*CSV_NA_TOKENS), col(n)) for n in names})
 
 
