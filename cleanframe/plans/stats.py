@@ -1,9 +1,8 @@
 """Fitted numeric statistics: moments in one pass, exact quantiles in a few more.
 
-Exact quantiles never gather a column. ``percentile`` keeps a value -> count map, so it is used only where the number
-of distinct values is bounded by the row count or an integer range. Elsewhere a sketch brackets each wanted rank, a
-counting pass proves where the bracket lies, and the bracket narrows several hundredfold per round until its values
-fit such a map or it holds a single value.
+Exact quantiles never gather a column. A column of few distinct values is counted by value, and ranks are looked up in the
+counts. Elsewhere a sketch brackets each wanted rank, a counting pass proves where the bracket lies, and the bracket narrows
+several hundredfold per round until few distinct values are left, or one.
 """
 
 from __future__ import annotations
@@ -11,16 +10,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import INTEGRAL, as_double, nan_to_null
 from .fused import agg_values, chunks
+from .ranks import Wanted, ranked_values
 
-MAP_LIMIT = 100_000
-PERCENTILE_ACCURACY = 10_000
+MAP_LIMIT = 100_000  # values that are counted one by one
 SKETCH_K = 4_000  # rank error of the bracketing sketch is about 0.1 %
 SKETCH_MARGIN = 0.002
 SKETCH_PARTS = 256  # groups of tasks whose sketches merge before the last merge
@@ -106,9 +104,13 @@ def numeric_stats(
     if probs and quantiles == "exact":
         _exact_quantiles(df, stats, {c: (values[(c, "min")], values[(c, "max")]) for c in columns}, probs)
     elif probs:
-        found = agg_values(df, {c: F.percentile_approx(as_double(c), list(probs), PERCENTILE_ACCURACY) for c in columns})
-        for c in columns:
-            stats[c].quantiles = dict(zip(probs, found[c] or [None] * len(probs)))
+        held = [c for c in columns if stats[c].count]
+        for group in chunks(held, 60):
+            found = _sketched(df, {c: (as_double(c).cast("double"), list(probs)) for c in group})
+            for c in group:
+                stats[c].quantiles = dict(zip(probs, found[c]))
+        for c in set(columns) - set(held):
+            stats[c].quantiles = dict.fromkeys(probs)
     return stats
 
 
@@ -137,15 +139,6 @@ class _Bracket:
             return True
         return False
 
-    def disc(self, rank: int) -> Column:
-        """Order statistic ``rank`` of the column, read from the values inside the bracket."""
-        name = self.column.replace("`", "``")
-        share = repr((rank - self.below + 0.5) / self.inside)
-        return F.expr(
-            f"percentile_disc({share}D) WITHIN GROUP (ORDER BY CASE WHEN CAST(`{name}` AS DOUBLE) "
-            f"BETWEEN {self.lo!r}D AND {self.hi!r}D THEN CAST(`{name}` AS DOUBLE) END)"
-        )
-
 
 def _exact_quantiles(df: DataFrame, stats: dict[str, ColumnStats], ranges: dict, probs: Sequence[float]) -> None:
     small, brackets = [], []
@@ -172,9 +165,12 @@ def _exact_quantiles(df: DataFrame, stats: dict[str, ColumnStats], ranges: dict,
             else:
                 brackets.append(_Bracket(c, p, rank, share, rank if ends[1] is not None else top, low, high, below, inside))
     for group in chunks(small, 8):
-        found = agg_values(df, {c: F.percentile(as_double(c), list(probs)) for c in group})
-        for c in group:
-            stats[c].quantiles = dict(zip(probs, found[c]))
+        places = {c: [((stats[c].count - 1) * p, p) for p in probs] for c in group}
+        ranks = {c: sorted({r for x, _ in places[c] for r in (math.floor(x), math.ceil(x))}) for c in group}
+        found = ranked_values(df, [Wanted(c, *ranges[c], tuple(ranks[c])) for c in group])
+        for i, c in enumerate(group):
+            for x, p in places[c]:
+                stats[c].quantiles[p] = _between(found[(i, math.floor(x))], found[(i, math.ceil(x))], x - math.floor(x))
     for group in chunks(brackets, 24):
         _narrow(df, group)
         _read(df, group, stats)
@@ -188,30 +184,35 @@ def _finite(df: DataFrame, name: str, count: int) -> tuple[float, float, int, in
     return found["low"], found["high"], found["below"], found["inside"]
 
 
+def _between(low: float, high: float, share: float) -> float:
+    if share == 0 or low == high:
+        return low
+    return low * (1 - share) + high * share if math.isinf(low) or math.isinf(high) else low + (high - low) * share
+
+
 def _read(df: DataFrame, brackets: list[_Bracket], stats: dict[str, ColumnStats]) -> None:
     """Read the order statistics of narrow brackets, from only the rows inside one of them."""
-    wanted = {}
-    for i, b in enumerate(brackets):
-        if b.lo < b.hi:
-            wanted[(i, 0)] = b.disc(b.rank)
-            if b.share > 0 and b.top > b.rank:
-                wanted[(i, 1)] = b.disc(b.top)
-    found = {}
-    if wanted:
-        inside = reduce(lambda a, b: a | b, [b.holds for b in brackets if b.lo < b.hi])
-        found = agg_values(df.filter(inside), wanted)
-    for i, b in enumerate(brackets):
-        low = found.get((i, 0), b.lo)
-        stats[b.column].quantiles[b.prob] = low + (found.get((i, 1), low) - low) * b.share
+    open_ = [b for b in brackets if b.lo < b.hi]
+    ends = {id(b): (b.rank - b.below, b.top - b.below) for b in open_}
+    found = ranked_values(df, [Wanted(b.column, b.lo, b.hi, tuple(sorted(set(ends[id(b)])))) for b in open_])
+    for i, b in enumerate(open_):
+        low, high = (found[(i, r)] for r in ends[id(b)])
+        stats[b.column].quantiles[b.prob] = _between(low, high, b.share)
+    for b in brackets:
+        if b.lo == b.hi:
+            stats[b.column].quantiles[b.prob] = b.lo
 
 
 def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Shrink every bracket until its values fit a map; each round is one sketch pass and one counting pass."""
+    """Shrink every bracket until few values are left; each round is one sketch pass and one counting pass.
+
+    A bracket that is still wide after all rounds is read as it is: more values are counted, with the same result.
+    """
     for turn in range(MAX_ROUNDS):
         wide = [b for b in brackets if b.lo < b.hi and b.inside > MAP_LIMIT]
         if not wide:
             return
-        # Hot values can fill a bracket with rows but few distinct values, which do fit a map.
+        # Hot values can fill a bracket with rows but few distinct values, which can be counted.
         if turn:
             rough = agg_values(df, {i: F.approx_count_distinct(F.when(b.holds, as_double(b.column))) for i, b in enumerate(wide)})
             wide = [b for i, b in enumerate(wide) if rough[i] > MAP_LIMIT // 2]
@@ -235,7 +236,6 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
         for i, (b, lo, hi) in enumerate(tries):
             if not b.moved(lo, hi, counted[(i, "below")], counted[(i, "inside")]):
                 _bisect(df, b)
-    raise RuntimeError("quantile brackets did not narrow")
 
 
 def _sketched(df: DataFrame, wanted: dict[tuple, tuple[Column, list[float]]]) -> dict[tuple, list[float]]:

@@ -11,6 +11,7 @@ import cleanframe as cf
 from cleanframe.functions.chi2 import chi2_quantile
 from cleanframe.operators.multivariate import SingularCovariance
 from cleanframe.plans import gram, stats
+from cleanframe.plans.ranks import Wanted, ranked_values
 
 RNG = np.random.default_rng(7)
 
@@ -112,6 +113,33 @@ def test_singular_covariance_is_refused(spark):
         cf.fit_mahalanobis(df, ["a"])
 
 
+def test_ranks_of_many_distinct_integers(spark):
+    """100,000 distinct integers, a hot one among them, in many partitions: ranks come from counts, no task holds a column's values."""
+    hot = F.when(F.col("id") % 3 == 0, 777).otherwise((F.col("id") * 7919) % 100_000)
+    df = spark.range(0, 400_000, 1, 200).select(hot.alias("x"), (hot / 7).alias("y"), (-hot * 1e300).alias("z"))
+    pdf, probs = df.toPandas(), (0.0, 0.1, 0.25, 0.5, 0.777, 0.999, 1.0)
+    got = stats.numeric_stats(df, ["x", "y", "z"], probs=probs)
+    for c in pdf:
+        assert [got[c].quantiles[p] for p in probs] == pytest.approx(pdf[c].quantile(list(probs)).tolist(), rel=1e-12)
+
+
+def test_ranked_values_of_any_range(spark):
+    values = [-math.inf, -1.5, -1.5, -0.0, 0.0, 3.0, 8e307, 1.7e308, math.inf]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    wanted = [Wanted("x", -math.inf, math.inf, tuple(range(9))), Wanted("x", -2.0, 3.0, (0, 4)), Wanted("x", 3.0, 3.0, (0,))]
+    got = ranked_values(df, wanted)
+    assert [got[(0, r)] for r in range(9)] == values
+    assert (got[(1, 0)], got[(1, 4)], got[(2, 0)]) == (-1.5, 3.0, 3.0)
+    assert ranked_values(df, []) == {}
+
+
+def test_quantiles_beyond_all_rounds(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MAP_LIMIT", 10)
+    monkeypatch.setattr(stats, "MAX_ROUNDS", 0)
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    assert stats.numeric_stats(df, ["x"], probs=(0.25, 0.5))["x"].quantiles == {0.25: 249.75, 0.5: 499.5}
+
+
 @pytest.mark.parametrize("p, k, value", [(0.975, 2, 7.3778), (0.975, 3, 9.3484), (0.95, 1, 3.8415), (0.99, 10, 23.2093)])
 def test_chi2_quantile(p, k, value):
     assert chi2_quantile(p, k) == pytest.approx(value, abs=1e-4)
