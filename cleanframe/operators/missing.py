@@ -15,6 +15,7 @@ from ..functions.types import (
 )
 from ..functions.vocab import CORRELATED_MISSING_PCT, SEVERITY_LOW, SEVERITY_MEDIUM
 from ..plans.fused import agg_values, column_report, empty, local_report, value_counts
+from ..plans.frequent import top_texts
 from ..plans.result import FixResult
 from ..plans.stats import numeric_stats
 from .profile import categorical_summary, missing_counts, numeric_summary
@@ -123,10 +124,14 @@ def missing_rows(df: DataFrame, column: str, order_by: Sequence[str], k: int = 5
 def mode_values(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     """Most frequent value per column, the smallest on a tie; no entry for a column without values.
 
-    Values are counted by a two-level aggregate, so no task holds a column's value map.
+    Values are counted by a two-level aggregate, so no task holds a column's value map, and texts under their digests.
     """
+    texts = text_columns(df, columns)
+    tops, _ = top_texts(df, texts, 1)
+    modes: dict[str, object] = {c: top[0][0] for c, top in tops.items() if top}
+    columns = [c for c in columns if c not in texts]
     if not columns:
-        return {}
+        return modes
     counts = value_counts(df, columns).filter(F.col("value").isNotNull())
     whole = [c for c in columns if isinstance(df.schema[c].dataType, INTEGRAL)]
     numeric = numeric_columns(df, columns)
@@ -138,7 +143,7 @@ def mode_values(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
         F.col("value").alias("value"),
     )
     best = counts.groupBy("column").agg(F.min(order).alias("best")).select("column", F.col("best.value").alias("value"))
-    return {r["column"]: r["value"] for r in best.collect()}  # one row a column
+    return modes | {r["column"]: r["value"] for r in best.collect()}  # one row a column
 
 
 def fill_options(df: DataFrame, replace_disguised: bool = True) -> DataFrame:

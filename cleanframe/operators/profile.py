@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import as_double, col, dtype_name, nan_to_null, numeric_columns, text_columns
 from ..plans.fused import column_report, empty, local_report, top_per_group, value_counts
+from ..plans.frequent import top_texts
 from ..plans.stats import numeric_stats
 
 
@@ -44,19 +45,9 @@ def categorical_describe(df: DataFrame, columns: Sequence[str] | None = None) ->
     schema = "column string, count bigint, n_unique bigint, top string, freq bigint"
     if not names:
         return empty(df, schema)
-    present = F.col("value").isNotNull()
-    best = F.min(F.when(present, F.struct((-F.col("n")).alias("minus_n"), F.col("value").alias("value"))))
-    return (
-        value_counts(df, names)
-        .groupBy("column")
-        .agg(
-            F.sum(F.when(present, F.col("n")).otherwise(0)).alias("count"),
-            F.count("value").alias("n_unique"),
-            best.alias("best"),
-        )
-        .select("column", "count", "n_unique", F.coalesce("best.value", F.lit("NaN")).alias("top"),
-                (-F.col("best.minus_n")).alias("freq"))
-    )
+    tops, totals = top_texts(df, names, 1)
+    rows = [(c, *totals[c], *(tops[c][0] if tops[c] else ("NaN", None))) for c in names]
+    return local_report(df, rows, schema)
 
 
 def column_info(df: DataFrame) -> DataFrame:
@@ -123,6 +114,12 @@ def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None, k:
     names = [c for c in wanted if c not in numeric_columns(df)]
     if not names:
         return empty(df, "column string, rank int, value string, n bigint")
-    counts = value_counts(df, names).filter(F.col("value").isNotNull())
-    return top_per_group(counts, ["column"], [F.col("n").desc(), F.col("value")], k).select("column", "rank", "value", "n")
-
+    texts = text_columns(df, names)
+    tops, _ = top_texts(df, texts, k)
+    rows = [(c, i, value, n) for c in texts for i, (value, n) in enumerate(tops[c], 1)]
+    report = local_report(df, rows, "column string, rank int, value string, n bigint")
+    others = [c for c in names if c not in texts]
+    if not others:
+        return report
+    counts = value_counts(df, others).filter(F.col("value").isNotNull())
+    return report.unionByName(top_per_group(counts, ["column"], [F.col("n").desc(), F.col("value")], k).select("column", "rank", "value", "n"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TEXT_METHODS, has_outer_space, has_special
 from ..functions.types import col, is_text, text_columns
-from ..plans.fused import column_report, empty, long_values, top_per_group, value_counts
+from ..plans.fused import column_report, empty, long_values, top_per_group
+from ..plans.frequent import known, texts_of, variant_keys
 from ..plans.result import FixResult
 
 
@@ -44,11 +45,6 @@ def case_variants(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     names = text_columns(df, columns)
     if not names:
         return empty(df, "column string, n_distinct bigint, n_distinct_lower bigint, n_variants bigint")
-
-    def known(c):
-        """A long text by its digest, so that whole texts do not move."""
-        return F.when(F.length(c) > 64, F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))).otherwise(c)
-
     cells = df.select(*[F.when(col(c).isNotNull(), F.struct(known(col(c)).alias("own"), known(F.lower(col(c))).alias("lower"))).alias(str(i)) for i, c in enumerate(names)])
     cells = cells.unpivot([], [str(i) for i in range(len(names))], "slot", "value").filter("value is not null")
     label = F.array(*[F.lit(c) for c in names])[F.col("slot").cast("int")]
@@ -67,11 +63,13 @@ def case_variant_groups(df: DataFrame, columns: Sequence[str] | None = None, k:
     schema = "column string, lower_value string, rank int, value string"
     if not names:
         return empty(df, schema)
-    spelled = value_counts(df, names).filter(F.col("value").isNotNull()).select("column", F.lower("value").alias("lower_value"), "value")
-    groups = spelled.groupBy("column", "lower_value").agg(F.count("*").alias("spellings")).filter("spellings > 1")
-    first = top_per_group(groups, ["column"], [F.col("lower_value")], k).select("column", "lower_value", "rank")
-    # At most k rows a column, so the broadcast is bounded.
-    return F.broadcast(first).join(spelled, ["column", "lower_value"]).select("column", "lower_value", "rank", "value")
+    keys = variant_keys(df, names, F.lower, k)
+    if not keys:
+        return empty(df, schema)
+    label = F.array(*[F.lit(c) for c in names])[F.col("slot")]
+    spelled = texts_of(df, names, keys, F.lower).select(label.alias("column"), F.lower("text").alias("lower_value"), F.col("text").alias("value"))
+    window = Window.partitionBy("column").orderBy("lower_value")
+    return spelled.withColumn("rank", F.dense_rank().over(window)).filter(F.col("rank") <= k).select("column", "lower_value", "rank", "value")
 
 
 def text_value_report(df: DataFrame) -> DataFrame:
