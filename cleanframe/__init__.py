@@ -33,6 +33,7 @@ from .operators.text_values import (
 from .operators.transforms import fit_transform, fix_skew, skew_change, skewness, skewness_report
 from .plans.result import FixResult
 from .plans.scan_all import issue_count, issue_report, scan_all
+from .plans.state import ColumnState, TableState, fit_state, remembered
 from .plans.stats import numeric_stats
 from .sources.readers import load, write_table
 from .sources.versions import VersionHistory

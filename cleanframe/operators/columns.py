@@ -15,6 +15,7 @@ from ..functions.types import (
 from ..functions.vocab import CARDINALITY_FLOOR, CARDINALITY_SHARE, FALSE_WORDS, ID_KEYWORDS, TRUE_WORDS
 from ..plans.fused import agg_values, approx_distinct, column_report, exact_distinct, local_report, long_values, top_per_group
 from ..plans.result import FixResult
+from ..plans.state import remembered_state
 
 APPROX_SLACK = 0.65  # the screen is about 5 % off; this leaves seven standard errors
 
@@ -59,6 +60,8 @@ def columns_report(df: DataFrame) -> DataFrame:
     text = set(text_columns(df))
     none = F.array().cast("array<string>")
     issues = {c: name_issues(c) for c in df.columns}
+    schema = "column string, suggested_name string, needs_fix boolean, dtype string, issues array<string>"
+    state = remembered_state(df)
 
     def all_issues(c: str):
         named = F.array(*[F.lit(i) for i in issues[c]]) if issues[c] else none
@@ -68,11 +71,14 @@ def columns_report(df: DataFrame) -> DataFrame:
         numeric = (counted > 0) & (counted == F.count(numeric_text(col(c))))
         return F.concat(named, F.when(numeric, F.array(F.lit("numeric_as_text"))).otherwise(none))
 
-    found = column_report(
-        df, df.columns, {"issues": all_issues},
-        "column string, suggested_name string, needs_fix boolean, dtype string, issues array<string>",
-        facts=lambda c: {"suggested_name": clean_name(c), "needs_fix": clean_name(c) != c, "dtype": dtype_name(df, c)},
-    )
+    def facts(c: str) -> dict[str, object]:
+        return {"suggested_name": clean_name(c), "needs_fix": clean_name(c) != c, "dtype": dtype_name(df, c)}
+
+    if state:
+        numbers = {c: ["numeric_as_text"] for c, s in state.columns.items() if c in text and 0 < s.count == s.numeric_texts}
+        found = local_report(df, [(c, *facts(c).values(), [*issues[c], *numbers.get(c, [])]) for c in df.columns], schema)
+    else:
+        found = column_report(df, df.columns, {"issues": all_issues}, schema, facts=facts)
     return found.withColumn("has_issue", F.col("needs_fix") | (F.size("issues") > 0))
 
 

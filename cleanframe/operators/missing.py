@@ -17,6 +17,7 @@ from ..functions.vocab import CORRELATED_MISSING_PCT, SEVERITY_LOW, SEVERITY_MED
 from ..plans.fused import agg_values, column_report, empty, local_report, value_counts
 from ..plans.frequent import top_texts
 from ..plans.result import FixResult
+from ..plans.state import remembered_state
 from ..plans.stats import numeric_stats
 from .profile import categorical_summary, missing_counts, numeric_summary
 
@@ -46,16 +47,15 @@ def severity(pct: Column) -> Column:
 
 def missing_report(df: DataFrame, replace_disguised: bool = True) -> DataFrame:
     """Columns with missing cells: count, percent, type, severity. One pass."""
-    clean = hide_disguised(df) if replace_disguised else nan_to_null(df)
-    report = column_report(
-        clean, df.columns,
-        {
-            "n_rows": lambda c: F.count("*"),
-            "missing_count": lambda c: F.count_if(col(c).isNull()),
-        },
-        "column string, dtype string, n_rows bigint, missing_count bigint",
-        facts=lambda c: {"dtype": dtype_name(df, c)},
-    ).filter("missing_count > 0")
+    clean, state = hide_disguised(df) if replace_disguised else nan_to_null(df), remembered_state(df)
+    schema = "column string, dtype string, n_rows bigint, missing_count bigint"
+    if state:
+        counted = [(c, dtype_name(df, c), s.n_rows, s.missing + s.disguised * replace_disguised) for c, s in state.columns.items()]
+        report = local_report(df, counted, schema)
+    else:
+        fields = {"n_rows": lambda c: F.count("*"), "missing_count": lambda c: F.count_if(col(c).isNull())}
+        report = column_report(clean, df.columns, fields, schema, facts=lambda c: {"dtype": dtype_name(df, c)})
+    report = report.filter("missing_count > 0")
     pct = F.try_divide(100.0 * F.col("missing_count"), F.col("n_rows"))
     return report.withColumn("missing_pct", pct).withColumn("severity", severity(F.round("missing_pct", 2)))
 

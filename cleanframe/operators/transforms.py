@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.types import as_double, col, is_numeric, nan_to_null, numeric_columns
 from ..functions.vocab import MIN_VALUES_SKEW
-from ..plans.fused import column_report
+from ..plans.fused import column_report, local_report
 from ..plans.result import FixResult
+from ..plans.state import remembered_state
 from ..plans.stats import numeric_stats, skew_expr
 from .lambda_search import boxcox, boxcox_lambdas, yeojohnson, yeojohnson_lambdas
 
@@ -55,18 +56,24 @@ def skewness_report(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
     A column with an infinity has no skewness and counts as 0.
     """
-    report = column_report(
-        nan_to_null(df), numeric_columns(df, columns),
-        {
-            "n": lambda c: F.count(col(c)),
-            "skewness": lambda c: skew_expr(as_double(c)),
-            "zeros": lambda c: F.count_if(as_double(c) == 0),
-            "negatives": lambda c: F.count_if(as_double(c) < 0),
-            "min": lambda c: F.min(as_double(c)),
-            "max": lambda c: F.max(as_double(c)),
-        },
-        "column string, n bigint, skewness double, zeros bigint, negatives bigint, min double, max double", weight=10,
-    ).filter(F.col("n") >= MIN_VALUES_SKEW)
+    schema, state = "column string, n bigint, skewness double, zeros bigint, negatives bigint, min double, max double", remembered_state(df)
+    if state:
+        stats = numeric_stats(df, numeric_columns(df, columns), want=("min", "max", "skew_pop", "zeros", "negatives"))
+        report = local_report(df, [(c, s.count, s.skew, s.zeros, s.negatives, s.min, s.max) for c, s in stats.items()], schema)
+    else:
+        report = column_report(
+            nan_to_null(df), numeric_columns(df, columns),
+            {
+                "n": lambda c: F.count(col(c)),
+                "skewness": lambda c: skew_expr(as_double(c)),
+                "zeros": lambda c: F.count_if(as_double(c) == 0),
+                "negatives": lambda c: F.count_if(as_double(c) < 0),
+                "min": lambda c: F.min(as_double(c)),
+                "max": lambda c: F.max(as_double(c)),
+            },
+            schema, weight=10,
+        )
+    report = report.filter(F.col("n") >= MIN_VALUES_SKEW)
     skew, positive = F.round("skewness", 4), F.col("min") > 0  # classes go by four decimals
     flags = {f"can_{m}": positive for m in _NEEDS_POSITIVE}
     flags.update({f"can_{m}": F.col("min") >= 0 for m in _NEEDS_NON_NEGATIVE})

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators.columns import columns_report
 from ..operators.duplicates import duplicate_count
-from ..operators.missing import missing_report, missing_summary
+from ..operators.missing import missing_report
 from ..operators.outliers import outlier_report
 from ..operators.rules import suggested_rules_report
 from ..operators.transforms import skewness_report
 from .fused import local_report
+from .state import TableState, fit_state, remembered
 
 TASKS = ("columns", "missing", "duplicates", "outliers", "transforms", "validation")
 
@@ -38,18 +39,28 @@ def _scans(as_of_year: int | None, quantiles: str) -> dict[str, Callable[[DataFr
     }
 
 
+def _state(df: DataFrame) -> TableState | None:
+    """Shared statistics; where they fail, every scan reads the table by itself, and only those fail that must."""
+    try:
+        return fit_state(df)
+    except Exception:
+        return None
+
+
 def scan_all(df: DataFrame, as_of_year: int | None = None, quantiles: str = "exact") -> dict[str, ScanOutcome]:
     """Run the scans in order; one that fails, when it is planned or when it reads the data, does not stop the others.
 
-    A report has a row per column or rule, so it is read at once and held as local rows.
+    A report has a row per column or rule, so it is read at once and held as local rows. Counts, moments and ranges of all
+    columns come from one pass that the scans share.
     """
     out = {}
-    for task, scan in _scans(as_of_year, quantiles).items():
-        try:
-            report = scan(df)
-            out[task] = ScanOutcome(df.sparkSession.createDataFrame(report.collect(), report.schema))
-        except Exception as exc:
-            out[task] = ScanOutcome(None, str(exc))
+    with remembered(df, _state(df)):
+        for task, scan in _scans(as_of_year, quantiles).items():
+            try:
+                report = scan(df)
+                out[task] = ScanOutcome(df.sparkSession.createDataFrame(report.collect(), report.schema))
+            except Exception as exc:
+                out[task] = ScanOutcome(None, str(exc))
     return out
 
 
@@ -58,19 +69,21 @@ def issue_report(df: DataFrame, as_of_year: int | None = None, quantiles: str =
     to transform, suggested rules. A failed scan counts as an issue, shows a NULL signal and says why."""
     signals: dict[str, Callable[[], DataFrame]] = {
         "columns": lambda: columns_report(df).agg(F.count_if("has_issue")),
-        "missing": lambda: missing_summary(df).select("missing_cells"),
+        "missing": lambda: missing_report(df).agg(F.coalesce(F.sum("missing_count"), F.lit(0))),
         "duplicates": lambda: duplicate_count(df).select("duplicate_count"),
         "outliers": lambda: outlier_report(df, quantiles=quantiles).agg(F.count_if("has_outliers")),
         "transforms": lambda: skewness_report(df).agg(F.count_if("needs_transform")),
         "validation": lambda: suggested_rules_report(df, as_of_year).agg(F.count("*")),
     }
     rows = []
-    for task in tasks:
-        try:
-            value = signals[task]().first()[0]
-            rows.append((task, value, value > 0, None))
-        except Exception as exc:
-            rows.append((task, None, True, str(exc)))
+    shared = sum(task in ("columns", "missing", "outliers", "transforms") for task in tasks) > 1
+    with remembered(df, _state(df) if shared else None):
+        for task in tasks:
+            try:
+                value = signals[task]().first()[0]
+                rows.append((task, value, value > 0, None))
+            except Exception as exc:
+                rows.append((task, None, True, str(exc)))
     return local_report(df, rows, "task string, signal bigint, has_issue boolean, error string")
 
 

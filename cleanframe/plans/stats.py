@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.types import INTEGRAL, as_double, nan_to_null
 from .fused import agg_values, chunks
 from .ranks import Wanted, ranked_values
+from .state import remembered_state
 
 MAP_LIMIT = 100_000  # values that are counted one by one
 SKETCH_K = 4_000  # rank error of the bracketing sketch is about 0.1 %
@@ -94,12 +95,12 @@ def numeric_stats(
     """Fit ``want`` (keys of MOMENTS) and the quantiles ``probs`` for every column, all columns per pass."""
     if quantiles not in ("exact", "approx"):
         raise ValueError("quantiles must be 'exact' or 'approx'")
-    df = nan_to_null(df)
+    state, df = remembered_state(df), nan_to_null(df)
     fields = dict.fromkeys(["count", *want])
     exprs = {(c, f): MOMENTS[f](as_double(c)) for c in columns for f in fields}
     if probs:
         exprs.update({(c, f): MOMENTS[f](as_double(c)) for c in columns for f in ("min", "max")})
-    values = agg_values(df, exprs, chunk=MOMENT_CHUNK)
+    values = {(c, f): getattr(state.columns[c], f) for c, f in exprs} if state else agg_values(df, exprs, chunk=MOMENT_CHUNK)
     stats = {c: ColumnStats(c, **{f: values[(c, f)] for f in fields}) for c in columns}
     if probs and quantiles == "exact":
         _exact_quantiles(df, stats, {c: (values[(c, "min")], values[(c, "max")]) for c in columns}, probs)
