@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +20,37 @@ from ..plans.gram import pair_sums
 
 FLAG = "__multivariate_outlier__"
 CONDITION_LIMIT = 1e12
+WIDE = 24  # columns from which a product of matrices per batch replaces an expression of k x k terms
 
 
 class SingularCovariance(ValueError):
     """The columns are linearly dependent (or nearly so): there is no usable inverse covariance."""
 
 
+def _complete(columns: Sequence[str]) -> Column:
+    return F.forall(F.array(*[col(c).isNotNull() for c in columns]), lambda there: there)
+
+
+def _whitened(means: np.ndarray, inverse: np.ndarray):
+    """Length of each row after whitening: with ``inverse = C C'`` the distance is the length of ``C' (x - mean)``."""
+    turn = np.linalg.cholesky(inverse)
+
+    @F.arrow_udf("double")
+    def distance(rows: pa.Array) -> pa.Array:
+        there = rows.is_valid().to_numpy(zero_copy_only=False)
+        centred = rows.drop_null().flatten().to_numpy().reshape(-1, len(means)) - means
+        out = np.zeros(len(rows))
+        out[there] = np.linalg.norm(centred @ turn, axis=1)
+        return pa.array(out, mask=~there)
+
+    return distance
+
+
 @dataclass(frozen=True)
 class MahalanobisFit:
-    """Means, inverse covariance (k x k, on the driver) and cutoff; ``distance`` is a row-local expression."""
+    """Means, inverse covariance (k x k, on the driver) and cutoff; ``distance`` is row-local: an expression of few columns, or
+    a batched product of matrices for many.
+    """
 
     columns: tuple[str, ...]
     means: tuple[float, ...]
@@ -40,12 +63,15 @@ class MahalanobisFit:
 
     @property
     def complete(self) -> Column:
-        return reduce(lambda a, b: a & b, [col(c).isNotNull() for c in self.columns])
+        return _complete(self.columns)
 
     @property
     def distance(self) -> Column:
-        values = [as_double(c) for c in self.columns]
-        d = [F.when(~F.isnan(x), x) - F.lit(m) for x, m in zip(values, self.means)]
+        values = [F.when(~F.isnan(as_double(c)), as_double(c)) for c in self.columns]
+        if len(values) >= WIDE:
+            row = F.array(*values)
+            return _whitened(np.array(self.means), np.array(self.inverse))(F.when(F.forall(row, lambda x: x.isNotNull()), row))
+        d = [x - F.lit(m) for x, m in zip(values, self.means)]
         terms = []
         for i in range(len(d)):
             row = reduce(lambda a, b: a + b, [F.lit(self.inverse[i][j] * (1.0 if i == j else 2.0)) * d[j] for j in range(i, len(d))])
@@ -74,7 +100,7 @@ def fit_mahalanobis(df: DataFrame, columns: Sequence[str] | None = None, confide
     if k < 2:
         raise ValueError("needs at least two numeric columns")
     clean = nan_to_null(df)
-    complete = reduce(lambda a, b: a & b, [col(c).isNotNull() for c in names])
+    complete = _complete(names)
     counts = agg_values(clean, {"total": F.count("*"), "used": F.count_if(complete)})
     if counts["used"] < k + 1:
         raise ValueError(f"needs at least {k + 1} complete rows, found {counts['used']}")

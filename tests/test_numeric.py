@@ -113,6 +113,27 @@ def test_singular_covariance_is_refused(spark):
         cf.fit_mahalanobis(df, ["a"])
 
 
+@pytest.mark.parametrize("k", [30, 400])
+def test_mahalanobis_of_wide_tables(spark, k):
+    mixing = RNG.normal(size=(k, k)) / k + np.eye(k)
+    values = RNG.normal(size=(3 * k, k)) @ mixing * np.logspace(-3, 3, k)
+    values[5] *= 4
+    pdf = pd.DataFrame(values, columns=[f"c{i}" for i in range(k)])
+    pdf.iloc[2, 1] = np.nan
+    df = spark.createDataFrame(pdf.reset_index())
+    names = list(pdf)
+    full = pdf.dropna()
+    fit = cf.fit_mahalanobis(df, names)
+    centred = (full - full.mean()).to_numpy()
+    want = np.sqrt(np.einsum("ij,ij->i", centred @ np.linalg.inv(np.cov(full.to_numpy().T)), centred))
+    got = {r["index"]: r["d"] for r in df.select("index", fit.distance.alias("d")).collect()}
+    assert [got[i] for i in full.index] == pytest.approx(want.tolist(), rel=1e-6) and got[2] is None
+    report = cf.mahalanobis_report(df, fit).first()
+    assert (report["rows_analysed"], report["rows_incomplete"], report["outliers"]) == (len(full), 1, int((want > fit.cutoff).sum()))
+    assert fit.apply(df, "drop").count() == len(pdf) - report["outliers"] and report["outliers"] >= 1
+    assert cf.mahalanobis_samples(df, fit, ["index"], 1).first()["index"] == 5
+
+
 def test_ranks_of_many_distinct_integers(spark):
     """100,000 distinct integers, a hot one among them, in many partitions: ranks come from counts, no task holds a column's values."""
     hot = F.when(F.col("id") % 3 == 0, 777).otherwise((F.col("id") * 7919) % 100_000)
