@@ -13,7 +13,7 @@ from ..functions.types import col, dtype_name, is_datetime, is_numeric, is_text,
 from ..functions.vocab import FALSE_WORDS, TRUE_WORDS
 from ..plans.fused import agg_values
 from ..plans.result import FixResult
-from .dates import best_formats, parse_date
+from .dates import KNOWN_FORMATS, best_formats, parse_date
 
 TYPES = ("int64", "float64", "object", "bool", "datetime64[ns]", "category")
 
@@ -51,7 +51,8 @@ def cast_columns(df: DataFrame, changes: dict[str, str], mode: str = "strict") -
     """Cast columns to int64, float64, bool, category, datetime64[ns] or text (any other name).
 
     In ``strict`` mode int64 and float64 fail as a whole on a bad or (int64) missing value, as one pass of counts
-    over all named columns shows before anything is changed. Dates and booleans always turn bad values into missing.
+    over all named columns shows before anything is changed. So does a date column none of whose values fits a known
+    format. Other bad dates, and booleans, always become missing.
     """
     errors, applied, warnings = [], [], []
     clean = nan_to_null(df)
@@ -59,9 +60,8 @@ def cast_columns(df: DataFrame, changes: dict[str, str], mode: str = "strict") -
     errors += [f"'{c}' not in the table" for c in changes if c not in known]
     dates = [c for c, to in known.items() if to == "datetime64[ns]" and is_text(df, c)]
     formats = best_formats(clean, dates) if dates else {}
-    for c in dates:
-        if not formats.get(c):
-            formats[c] = "yyyy-MM-dd"
+    unknown = {c for c in dates if not formats.get(c)}
+    formats |= dict.fromkeys(unknown, KNOWN_FORMATS[0])
     exprs = {c: _expr(clean, c, to, formats) for c, to in known.items()}
     counts = agg_values(
         clean,
@@ -75,6 +75,9 @@ def cast_columns(df: DataFrame, changes: dict[str, str], mode: str = "strict") -
         if mode == "strict" and whole and (bad or (to == "int64" and missing)):
             errors.append(f"'{c}' cannot become {to}: {bad} bad and {missing} missing values")
             continue
+        if mode == "strict" and c in unknown and bad:
+            errors.append(f"'{c}' cannot become {to}: none of its {bad} values fits one of {', '.join(KNOWN_FORMATS)}")
+            continue
         if is_datetime(df, c) and to == "datetime64[ns]":
             continue
         metadata = {"category": True} if to == "category" else {"category": False}

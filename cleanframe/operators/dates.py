@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import col, is_datetime, is_text, nan_to_null, text_columns
 from ..functions.vocab import DATE_FORMATS, DATE_RATE, MORE_DATE_FORMATS, STRFTIME
-from ..plans.fused import agg_values, column_report, empty, local_report
+from ..plans.fused import agg_values, column_report, empty, local_report, value_counts
 from ..plans.result import FixResult
 from .columns import sample_values
 
@@ -62,6 +62,46 @@ def shape(fmt: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+# The same in classes of characters: 9 for a digit, a for a run of letters.
+_CLASSES = {
+    "MM": "99", "dd": "99", "HH": "99", "hh": "99", "mm": "99", "ss": "99", "d": "9{1,2}", "yy": "99", "yyyy": r"[+-]?9{4,5}",
+    "SSSSSS": "9{1,6}", "XXX": "(a|[+-]99:99)", "MMM": "a", "MMMM": "a",
+}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_TO_CLASS = str.maketrans("0123456789" + _LETTERS, "9" * 10 + "a" * len(_LETTERS))
+SHAPE_LETTERS = 64  # no known format writes more
+
+
+def class_shape(fmt: str) -> str | None:
+    """Regex over the character classes of a text that fits the pattern; None for a pattern that ``shape`` knows only roughly."""
+    out = []
+    for piece in re.finditer(r"'(?P<quoted>[^']*)'|(?P<letters>([A-Za-z])\3*)|(?P<other>.)", fmt, re.S):
+        if piece["letters"] and piece["letters"] not in _CLASSES:
+            return None
+        out.append(_CLASSES[piece["letters"]] if piece["letters"] else re.escape(re.sub("a+", "a", (piece["quoted"] or piece["other"] or "'").translate(_TO_CLASS))))
+    joined = re.sub("a+", "a", "".join(out))
+    return None if "a(" in joined else joined
+
+
+def _value_shape(c: Column) -> Column:
+    """Character classes of a text that may be a date, else an empty text: few distinct values, whatever the texts are."""
+    classes = F.regexp_replace(F.translate(c, "0123456789" + _LETTERS, "9" * 10 + "a" * len(_LETTERS)), "a+", "a")
+    short = F.when(F.length(c) <= SHAPE_LETTERS, classes)
+    return F.when(c.isNotNull(), F.when(short.contains("9") & short.rlike(r"^[9a +\-/.:,]*$"), short).otherwise(""))
+
+
+def _fitting(df: DataFrame, columns: Sequence[str], formats: Sequence[str]) -> tuple[dict[str, int], dict[str, list[str]]]:
+    """Values of each column, and the formats that the shape of any of them allows; one text pass, few rows to the driver."""
+    known = {f: class_shape(f) for f in formats}
+    shapes = value_counts(df.select(*[_value_shape(col(c)).alias(c) for c in columns]), columns).filter("value is not null").collect()
+    count, allowed = dict.fromkeys(columns, 0), {c: set() for c in columns}
+    for r in shapes:
+        count[r["column"]] += r["n"]
+        if r["value"]:
+            allowed[r["column"]] |= {f for f, known_shape in known.items() if re.fullmatch(known_shape, r["value"])}
+    return count, {c: [f for f in formats if f in allowed[c]] for c in columns}
+
+
 def parse_date(c: Column, fmt: str) -> Column:
     """Zone-free timestamp of a text under a Spark pattern, NULL where it does not fit.
 
@@ -76,13 +116,18 @@ def parse_date(c: Column, fmt: str) -> Column:
         parsed = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
     else:
         parsed = F.try_to_date(c, fmt).cast("timestamp_ntz")
-    return F.when(c.rlike(shape(fmt)), parsed)
+    # the microseconds of a year beyond five digits, which needs a sign, do not fit a timestamp
+    return F.when(c.rlike(shape(fmt)) & ~c.rlike("[+-][0-9]{6,}"), parsed)
 
 
 def _rates(df: DataFrame, columns: Sequence[str], formats: Sequence[str]) -> dict:
-    exprs = {(c, "n"): F.count(col(c)) for c in columns}
-    exprs.update({(c, f): F.count(parse_date(col(c), f)) for c in columns for f in formats})
-    return agg_values(df, exprs)
+    """Values of each column, and how many parse under each format. Only formats that some value's shape allows are tried."""
+    if all(class_shape(f) and not set(re.sub("a+|9", "", f.translate(_TO_CLASS))) - set(" +-/.:,'") for f in formats):
+        count, fitting = _fitting(df, columns, formats)
+    else:
+        count, fitting = agg_values(df, {c: F.count(col(c)) for c in columns}), dict.fromkeys(columns, formats)
+    rates = agg_values(df, {(c, f): F.count(parse_date(col(c), f)) for c in columns for f in fitting[c]})
+    return dict.fromkeys(((c, f) for c in columns for f in formats), 0) | rates | {(c, "n"): count[c] for c in columns}
 
 
 def best_formats(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = KNOWN_FORMATS) -> dict[str, str | None]:

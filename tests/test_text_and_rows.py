@@ -1,6 +1,8 @@
 """Text, types, missing cells, duplicates, validation and versions on small tables with awkward content."""
 
 import math
+import random
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -403,3 +405,30 @@ def test_mapping_ways_agree(spark, monkeypatch):
     for limit in (10, 0):
         monkeypatch.setattr(module, "BROADCAST_PAIRS", limit)
         assert sorted(str(r["c"]) for r in cf.apply_mapping(df, "c", pairs).collect()) == ["1", "3", "None", "z"]
+
+
+def test_a_date_column_of_no_known_format_is_refused(spark):
+    df = spark.createDataFrame([("quarter one", None), ("quarter two", None)], "t string, empty string")
+    strict = cf.cast_columns(df, {"t": "datetime64[ns]", "empty": "datetime64[ns]"})
+    assert len(strict.errors) == 1 and "yyyy-MM-dd" in strict.errors[0] and dict(strict.df.dtypes) == {"t": "string", "empty": "timestamp_ntz"}
+    assert [r["t"] for r in strict.df.collect()] == ["quarter one", "quarter two"]
+    loose = cf.cast_columns(df, {"t": "datetime64[ns]"}, mode="try")
+    assert not loose.errors and loose.warnings and {r["t"] for r in loose.df.collect()} == {None}
+
+
+def test_shapes_allow_every_format_that_parses(spark):
+    from cleanframe.operators import dates
+
+    rng = random.Random(11)
+    days = [datetime(1970, 1, 1) + timedelta(days=rng.randrange(30_000), seconds=rng.randrange(86_400), microseconds=rng.randrange(10**6)) for _ in range(6)]
+    styles = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d", "%m/%d/%Y", "%d.%m.%Y", "%d %b %Y", "%B %d, %Y", "%b %d, %Y", "%Y%m%d", "%d-%b-%Y",
+              "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S+02:00", "%Y-%m-%d %H:%M:%SZ", "%Y-%m-%dT%H:%M"]
+    texts = [d.strftime(s) for d in days for s in styles] + ["", " ", "no date", "12 main street", "2024-13-01", "+12345678-01-02", "+" + "9" * 70 + "-01-02", "x" * 200 + "1", "é1", None]
+    df = spark.createDataFrame([(t, "name" if t else t) for t in texts], "t string, plain string")
+    got = dates._rates(df, ["t", "plain"], dates.KNOWN_FORMATS)
+    want = df.agg(*[F.count(dates.parse_date(F.col("t"), f)).alias(f"f{i}") for i, f in enumerate(dates.KNOWN_FORMATS)]).first()
+    assert [got[("t", f)] for f in dates.KNOWN_FORMATS] == list(want) and sum(want) > 90
+    assert got[("t", "n")] == len(texts) - 1 and not any(got[("plain", f)] for f in dates.KNOWN_FORMATS)
+    assert dates._fitting(df, ["plain"], dates.KNOWN_FORMATS)[1]["plain"] == []
+    odd = dates._rates(df, ["t"], ["yyyy-MM-dd", "yyyy 'day' D"])
+    assert odd[("t", "yyyy-MM-dd")] == got[("t", "yyyy-MM-dd")]
