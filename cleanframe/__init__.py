@@ -31,6 +31,7 @@ from .operators.text_values import (
     case_variant_groups, case_variants, clean_text, special_scan, text_samples, text_value_report, whitespace_scan,
 )
 from .operators.transforms import fit_transform, fix_skew, skew_change, skewness, skewness_report
+from .plans.observed import write_fixed
 from .plans.result import FixResult
 from .plans.scan_all import issue_count, issue_report, scan_all
 from .plans.state import ColumnState, TableState, fit_state, remembered

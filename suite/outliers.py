@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 import cleanframe as cf
+from cleanframe.sources.shared import shared_folder
 
 from .base import EVENT_NUMBERS, LINEITEM_NUMBERS, on, per_column, query, rounded, table, view
 
@@ -220,13 +223,33 @@ def totals(spark, sf_dir):
     return cf.outlier_totals(_sparse(spark, sf_dir))
 
 
-@query("fix_effect", on("dirty_customer", f"""select (select count(*) from dirty_customer) as n_rows_before, count(*) as n_rows_after,
+_EFFECT = on("dirty_customer", f"""select (select count(*) from dirty_customer) as n_rows_before, count(*) as n_rows_after,
   (select count_if(balance is null) + count_if(nation_id is null) + count_if(segment is null) from dirty_customer)::bigint as missing_cells_before,
   (count_if(balance is null) + count_if(nation_id is null) + count_if(segment is null))::bigint as missing_cells_after,
   (select count(*) from dirty_customer) - count(*) as rows_removed,
   (count_if(balance is null) + count_if(nation_id is null) + count_if(segment is null))::bigint - (select count_if(balance is null) + count_if(nation_id is null) + count_if(segment is null) from dirty_customer)::bigint as missing_added
-  from dirty_customer, {_fit('balance', 'dirty_customer')} where balance is null or balance between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)"""))
+  from dirty_customer, {_fit('balance', 'dirty_customer')} where balance is null or balance between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)""")
+
+
+@query("fix_effect", _EFFECT)
 def effect(spark, sf_dir):
     """Rows and missing cells before and after a removal of outliers."""
     df = view(spark, sf_dir, "dirty_customer")
     return cf.fix_effect(df, cf.fix_outliers(df, {"balance": "remove"}).df)
+
+
+@query("fix_effect_written", _EFFECT)
+def effect_written(spark, sf_dir):
+    """The same numbers, observed by the job that writes the fixed table."""
+    fit = cf.fit_outlier_fix(view(spark, sf_dir, "dirty_customer"), {"balance": "remove"})
+    return cf.write_fixed(view(spark, sf_dir, "dirty_customer"), fit, f"{shared_folder(spark)}/{uuid.uuid4().hex}/fixed")
+
+
+@query("fix_effect_duplicates", on("dup_events", """select count(*) as n_rows_before, any_value(n) as n_rows_after, count_if(value is null)::bigint as missing_cells_before,
+  any_value(m)::bigint as missing_cells_after, round(sum(value), 2) as total_before, round(any_value(s), 2) as total_after, count(*) - any_value(n) as rows_removed,
+  (any_value(m) - count_if(value is null))::bigint as missing_added
+  from dup_events, (select count(*) as n, count_if(value is null) as m, sum(value) as s from (select distinct * from dup_events))"""))
+def effect_duplicates(spark, sf_dir):
+    """Duplicates removed and written: rows and the sum of a column on both sides, from one job."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/distinct"
+    return rounded(cf.write_fixed(view(spark, sf_dir, "dup_events"), cf.drop_duplicate_rows, path, measures={"total": lambda t: F.sum("value")}), 2)

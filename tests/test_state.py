@@ -74,3 +74,18 @@ def test_state_equals_the_scans_own_pass(spark):
         assert remembered_state(df) is not None and remembered_state(df.select("*")) is None
         shared = [rows(f(df)) for f in (cf.columns_report, cf.missing_report, cf.skewness_report, cf.outlier_report)]
     assert str(shared) == str(alone)
+
+
+def test_a_written_fix_tells_its_effect_without_another_pass(spark, tmp_path):
+    df = mixed(spark)
+    fit = cf.fit_missing(df, {"x": {"method": "fill_mean"}, "t": {"method": "drop_rows"}, "nothing": {"method": "drop_column"}})
+    want = cf.fix_effect(df, fit.apply(df)).first().asDict()
+    measures = {"total": lambda t: F.sum("x"), "gone": lambda t: F.count("nothing"), "first": lambda t: F.min("money")}
+    read, row = passes(spark, df, lambda t: cf.write_fixed(t, fit, str(tmp_path / "out"), measures=measures).first().asDict())
+    assert read == 1 and {k: row[k] for k in want} == want and want["rows_removed"] > 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == row["n_rows_after"]
+    assert row["total_before"] < row["total_after"] or row["rows_removed"] and (row["gone_before"], row["gone_after"], row["first_before"]) == (0, None, "$0")
+    again = cf.write_fixed(df, lambda t: cf.drop_duplicate_rows(t.select("flag")), str(tmp_path / "csv"), fmt="csv").first()
+    assert (again["n_rows_before"], again["n_rows_after"]) == (300, 2)
+    nothing = cf.write_fixed(df.limit(0), fit, str(tmp_path / "none")).first()
+    assert (nothing["n_rows_before"], nothing["n_rows_after"], nothing["missing_cells_before"]) == (0, 0, 0)
