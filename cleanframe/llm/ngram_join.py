@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
 from .scratch import Scratch
@@ -37,6 +38,9 @@ HOT = 50_000
 #: Ids of dropped documents that are broadcast, 8 bytes each.
 BROADCAST_IDS = 2_000_000
 
+#: Column that a row's class travels in, beside columns of any other name.
+CLASS = "__ngram_class"
+
 _PROFILE = "doc_id bigint, n_shingles bigint, cls bigint, block int, counts binary"
 _POSTING = "gram bigint, cls bigint, n int, pos int, salt int"
 _SETS = "cls bigint, grams binary"
@@ -272,8 +276,8 @@ def _crossing(live: DataFrame, percent: int) -> DataFrame:
 def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, partitions: int | None = None, hot: int = HOT) -> DataFrame:
     """Groups of documents (doc_id, text) under the links ``100 * intersection >= percent * union`` of word n-gram sets.
 
-    Returns one row per input row: doc_id, n_shingles, component_id (smallest id reachable by links), and ``cls``, the
-    class of equal sets (null for an empty set).
+    Returns one row per input row: doc_id, n_shingles, component_id (smallest id reachable by links), ``cls``, the
+    class of equal sets, and ``comp``, the smallest class of the group (both null for an empty set).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
@@ -303,21 +307,52 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds:
 
     members = rows.filter("cls is not null").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = members.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    grouped = members.join(names, "comp").select("doc_id", "n_shingles", "component_id", "cls")
-    alone = rows.filter("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "cls")
+    grouped = members.join(names, "comp").select("doc_id", "n_shingles", "component_id", "cls", "comp")
+    alone = rows.filter("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "cls", F.col("cls").alias("comp"))
     done = scratch.keep(grouped.union(alone), "groups")
     counters.destroy()
     scratch.drop("profile", "live", "sets")
     return done
 
 
+def _classed(n: int):
+    """The rows with the class of their set."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            for low, high in slices(texts):
+                grams, first = gram_hashes(words(texts.slice(low, high - low)), n)
+                own = [np.unique(grams[a:b]) for a, b in zip(first[:-1], first[1:])]
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_class(g) if len(g) else None for g in own], pa.int64())], [*part.schema.names, CLASS])
+
+    return run
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids to broadcast, if their counted number allows it; else both sides are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Documents without those whose group has a smaller id; rows that repeat an id and set collapse to one.
+    """One document of each group, one that has the smallest id; so rows that repeat an id and set collapse to one.
 
-    Documents with an empty set, or a null id, stay.
+    Documents with an empty set, or a null id, stay. A row is judged by its id and its set: of rows that share an id but not their texts, each
+    goes with its own group. Of rows that are equal in both, the one with the smallest hash of all its columns stays.
     """
     groups = ngram_jaccard_groups(docs, n, percent)
-    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    if gone.count() <= BROADCAST_IDS:  # else both sides are shuffled
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+    named = groups.filter("doc_id is not null and cls is not null")
+    gone = _small(named.filter("component_id < doc_id").select("doc_id").distinct())
+    shared = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    if shared.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti")
+    shared = _small(shared)
+    alone = docs.join(shared, "doc_id", "left_anti").join(gone, "doc_id", "left_anti")
+    kind = T.StructType([*docs.schema.fields, T.StructField(CLASS, T.LongType())])
+    held = docs.join(shared, "doc_id", "left_semi").select(docs.columns).mapInArrow(_classed(n), kind)
+    first = named.filter("component_id = doc_id").select(F.col("doc_id").alias(f"{CLASS}_id"), F.col("cls").alias(f"{CLASS}_set"), F.col("comp").alias(f"{CLASS}_group")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = held.join(first, (F.col("doc_id") == F.col(f"{CLASS}_id")) & (F.col(CLASS) == F.col(f"{CLASS}_set")))
+    kept = kept.groupBy(f"{CLASS}_group").agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+    return alone.unionByName(kept.select(docs.columns)).unionByName(held.filter(F.col(CLASS).isNull()).select(docs.columns))

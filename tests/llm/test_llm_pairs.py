@@ -88,6 +88,19 @@ def test_one_of_each_group_keeps_columns_and_empty_texts(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4]
 
 
+def test_rows_that_share_an_id_go_with_their_own_group(spark):
+    a, b = "a b c d e f g h i j k l m n", "totally clean words that nothing else in here says at all"
+    near = a.replace("n", "o")
+    rows = [(1, a), (1, a), (5, a), (5, b), (6, b), (6, b), (2, near), (2, None), (2, ""), (7, near), (7, "x y z"), (None, a), (8, "p q r s t u v w"), (8, "p q r s t u v w x")]
+    kept = one_of_each_group(frame(spark, rows))
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == frame(spark, rows).columns
+    twin = [(8, "p q r s t u v w"), (8, "p q r s t u v w x")]  # one group of one id: either may stay
+    assert sum(got.pop(t, 0) for t in twin) == 1
+    assert got == Counter([(1, a), (5, b), (2, None), (2, ""), (7, "x y z"), (None, a)])
+    assert one_of_each_group(frame(spark, [])).collect() == []
+
+
 def test_groups_of_an_empty_table(spark):
     assert ngram_jaccard_groups(frame(spark, [])).count() == 0
 
