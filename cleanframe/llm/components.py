@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
 
     Each turn points every vertex and its neighbours to the smallest of them, first those above it, then those below it,
     until nothing changes. Minima are combined before the shuffle, so a vertex with many edges is no hot key, and the
-    edges of a turn are written, so a lost executor redoes one turn only.
+    edges of a turn are written, so a lost executor redoes one turn only. Tables of earlier turns are deleted.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     before, turn = None, 0
@@ -29,9 +29,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         edges = scratch.keep(small, f"{name}-small{turn}")
+        scratch.drop(f"{name}-large{turn}", f"{name}-small{turn - 1}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before, turn = now, turn + 1
-    return scratch.keep(edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("cls"), "comp").union(
+    labels = scratch.keep(edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("cls"), "comp").union(
         edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct()).groupBy("cls").agg(F.min("comp").alias("comp")), name)
+    scratch.drop(f"{name}-small{turn}")
+    return labels

@@ -38,6 +38,8 @@ HOT = 50_000
 #: Ids of dropped documents that are broadcast, 8 bytes each.
 BROADCAST_IDS = 2_000_000
 
+#: Sets that a task holds before it hands them on.
+SET_BYTES = 1 << 21
 #: Column that a row's class travels in, beside columns of any other name.
 CLASS = "__ngram_class"
 
@@ -201,13 +203,15 @@ def _set_rows(n: int, wanted_key: str = "cls"):
 
     def run(batches):
         out: list[tuple[int, bytes]] = []
+        held = 0
         for batch, row, grams in _sets(batches, n):
             cls = _class(grams) if len(grams) else None
             if cls == batch.column(wanted_key)[row].as_py():
                 out.append((cls, grams.tobytes()))
-            if len(out) >= 500:
+                held += grams.nbytes
+            if held >= SET_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["cls", "grams"])
-                out = []
+                out, held = [], 0
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["cls", "grams"])
 
     return run
@@ -303,7 +307,10 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds:
         new = scratch.keep(_verified(pairs, sets, percent), f"links{turn}")
         if labels is None or not new.isEmpty():
             links = new if links is None else links.union(new)
-            labels = connected_components(links, scratch, f"round{turn}")
+            old, labels = labels, connected_components(links, scratch, f"round{turn}")
+            if old is not None:
+                scratch.drop(f"round{last}")
+            last = turn
 
     members = rows.filter("cls is not null").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = members.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -311,7 +318,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds:
     alone = rows.filter("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "cls", F.col("cls").alias("comp"))
     done = scratch.keep(grouped.union(alone), "groups")
     counters.destroy()
-    scratch.drop("profile", "live", "sets")
+    scratch.drop("profile", "live", "sets", f"round{last}", *[f"links{turn}" for turn in range(rounds + 1)])
     return done
 
 
