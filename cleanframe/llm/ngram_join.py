@@ -35,7 +35,7 @@ COUNTER_BITS = 20
 COUNTER_BLOCK = 1 << 14
 #: A prefix n-gram counted in more documents than this is dealt to several tasks.
 HOT = 50_000
-#: Ids of dropped documents that are broadcast, 8 bytes each.
+#: Ids of documents that are broadcast, with a class at most: 16 bytes each.
 BROADCAST_IDS = 2_000_000
 
 #: Sets that a task holds before it hands them on.
@@ -277,6 +277,11 @@ def _crossing(live: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids to broadcast, if their counted number allows it; else both sides are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, partitions: int | None = None, hot: int = HOT) -> DataFrame:
     """Groups of documents (doc_id, text) under the links ``100 * intersection >= percent * union`` of word n-gram sets.
 
@@ -296,6 +301,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds:
 
     # One document of each class that has a candidate; a null id is found by its text.
     chosen = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(live.select("cls").distinct(), "cls", "left_semi")
+    chosen = _small(scratch.keep(chosen, "chosen"))
     whole = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"])).select("text", "cls")
     sets = scratch.keep(whole.mapInArrow(_set_rows(n), _SETS), "sets")
 
@@ -318,7 +324,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds:
     alone = rows.filter("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "cls", F.col("cls").alias("comp"))
     done = scratch.keep(grouped.union(alone), "groups")
     counters.destroy()
-    scratch.drop("profile", "live", "sets", f"round{last}", *[f"links{turn}" for turn in range(rounds + 1)])
+    scratch.drop("profile", "live", "chosen", "sets", f"round{last}", *[f"links{turn}" for turn in range(rounds + 1)])
     return done
 
 
@@ -337,11 +343,6 @@ def _classed(n: int):
     return run
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    """Ids to broadcast, if their counted number allows it; else both sides are shuffled."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, one that has the smallest id; so rows that repeat an id and set collapse to one.
 
