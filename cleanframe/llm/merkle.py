@@ -1,15 +1,18 @@
 """Document fingerprints as Merkle trees, with DataFrame functions only.
 
-A text's paragraphs are its lines. A section is a run of paragraphs that ends after an empty one, or after one whose digest
-begins with 0 or 1 (one in eight), so that an edit moves no other section's borders. A paragraph's node is the SHA-256 of
-its text, a section's that of its paragraphs' nodes, the root that of its sections' nodes: equal roots mean equal texts,
-and where roots differ, the differing sections and paragraphs locate the edit.
-
-Likeness looks one level below, at the pieces of the paragraphs (sentences, cut at 120 letters): twice the letters in
-pieces that both texts have, over the letters in the pieces of both (a piece met twice counts once).
-
-Edge cases. A null text is the empty text, which has one empty paragraph. Two empty texts have likeness 1, an empty and
-another one 0. Rows that repeat an id stand in the order of their texts' digests; a null id is the lowest.
+A text's paragraphs are its lines. The leaves are the pieces of the paragraphs: sentences, cut at 120 letters. A leaf's node is
+the SHA-256 of its letters, a paragraph's that of its leaves' nodes. A section is a run of paragraphs that ends after an empty
+one, or after one whose node begins with 0 or 1 (one in eight), so that an edit moves no other section's borders; its node is
+the SHA-256 of its paragraphs' nodes, and the root that of its sections' nodes. Equal roots mean equal texts, and where
+roots differ, the differing sections, paragraphs and leaves locate the edit.
+
+The likeness of two fingerprints compares the leaves of their trees as multisets: twice the letters in leaves that both have, over
+the letters of both. A leaf met twice in one tree and once in the other is shared once.
+
+Edge cases. A null text is the empty text, which has one empty paragraph and no leaf. Two texts without a leaf have likeness 1 if
+they are equal, else 0; one without and one with leaves have 0. Each step is linear in the text but for a sort of its leaves, so
+very long texts are not special. Rows that repeat an id stand in the order of their texts' digests; a null id is the lowest.
+Only doc_id and text are read, so other columns do not matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pieces: up to 120 letters, ending at a sentence end or a line end.
+#: Leaves: up to 120 letters, ending at a sentence end or a line end.
 PIECE = r"[^.!?\n]{1,120}[.!?\n]*|[.!?\n]+"
 SECTION_ENDS = "01"
 
@@ -26,53 +29,80 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def paragraph_nodes(text: Column) -> Column:
-    """Digest of each line, with its length, in order."""
-    return F.transform(F.split(_text(text), "\n", -1), lambda p: F.struct(F.sha2(p.cast("binary"), 256).alias("node"), F.length(p).alias("letters")))
+def leaf_nodes(text: Column) -> Column:
+    """(node, letters) of the leaves of each line, in order."""
+    leaf = lambda x: F.struct(F.sha2(x.cast("binary"), 256).alias("node"), F.length(x).alias("letters"))
+    return F.transform(F.split(_text(text), "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), leaf))
+
+
+def _digest(nodes: Column) -> Column:
+    return F.sha2(F.array_join(nodes["node"], "").cast("binary"), 256)
+
+
+def paragraph_nodes(leaves: Column) -> Column:
+    """(node, leaves) of each line: its digest and how many leaves it has."""
+    return F.transform(leaves, lambda p: F.struct(_digest(p).alias("node"), F.size(p).alias("leaves")))
 
 
-def section_nodes(paragraphs: Column) -> Column:
-    """(node, paragraphs) of each section: a fold over the paragraphs' nodes."""
-    empty = F.expr("cast(array() as array<struct<node:string,paragraphs:int>>)")
+def section_ends(paragraphs: Column) -> Column:
+    """Numbers, from 0, of the paragraphs that end a section."""
+    last = F.size(paragraphs) - 1
 
-    def closed(state):
-        section = F.struct(F.sha2(state["open"].cast("binary"), 256).alias("node"), state["n"].alias("paragraphs"))
-        return F.concat(state["done"], F.array(section))
+    def ends(k):
+        p = F.get(paragraphs, k)
+        return F.substring(p["node"], 1, 1).isin(*SECTION_ENDS) | (p["leaves"] == 0)
 
-    def step(state, p):
-        grown = F.struct(state["done"].alias("done"), F.concat(state["open"], p["node"]).alias("open"), (state["n"] + 1).alias("n"))
-        ends = F.substring(p["node"], 1, 1).isin(*SECTION_ENDS) | (p["letters"] == 0)
-        return F.when(ends, F.struct(closed(grown).alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))).otherwise(grown)
+    return F.array_union(F.filter(F.sequence(F.lit(0), last), ends), F.array(last))
 
-    start = F.struct(empty.alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
-    return F.aggregate(paragraphs, start, step, lambda s: F.when(s["n"] > 0, closed(s)).otherwise(s["done"]))
 
+def section_nodes(paragraphs: Column, ends: Column) -> Column:
+    """(node, paragraphs) of each section; both arguments are columns of a table, so that no section computes them anew."""
 
-def root(sections: Column) -> Column:
-    """Fingerprint of a document: the digest of its sections' nodes."""
-    return F.sha2(F.array_join(F.transform(sections, lambda s: s["node"]), "").cast("binary"), 256)
+    def section(end, k):
+        begin = F.coalesce(F.get(ends, k - 1), F.lit(-1)) + 1
+        return F.struct(_digest(F.slice(paragraphs, begin + 1, end - begin + 1)).alias("node"), (end - begin + 1).alias("paragraphs"))
+
+    return F.transform(ends, section)
+
+
+def with_bag(docs: DataFrame, leaves: str, name: str) -> DataFrame:
+    """``docs`` with a column ``name``, the multiset of a tree's leaves: each as letters, digest and its number among equal ones.
+
+    Equal leaves stand together in sorted order, and are numbered from where they begin.
+    """
+    text = F.transform(F.flatten(leaves), lambda x: F.concat_ws(":", x["letters"].cast("string"), x["node"]))
+    docs = docs.withColumn(f"{name}_sorted", F.array_sort(text))
+    s = F.col(f"{name}_sorted")
+    new = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k) != F.get(s, k - 1)))
+    docs = docs.withColumn(f"{name}_new", F.when(F.size(s) > 0, new).otherwise(F.expr("cast(array() as array<int>)")))
+    first = F.col(f"{name}_new")
 
+    def equal(begin, k):
+        count = F.coalesce(F.get(first, k + 1), F.size(s)) - begin
+        return F.transform(F.sequence(F.lit(1), count), lambda j: F.concat_ws(":", F.get(s, begin), j.cast("string")))
 
-def pieces(text: Column) -> Column:
-    """Distinct (hash, letters) of the pieces of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(_text(text), F.lit(PIECE), F.lit(0)), lambda p: F.struct(F.xxhash64(p).alias("h"), F.length(p).alias("letters"))))
+    return docs.withColumn(name, F.flatten(F.transform(first, equal))).drop(f"{name}_sorted", f"{name}_new")
 
 
-def _letters(pieces: Column) -> Column:
-    return F.aggregate(pieces, F.lit(0).cast("bigint"), lambda a, p: a + p["letters"])
+def _letters(bag: Column) -> Column:
+    return F.aggregate(bag, F.lit(0).cast("bigint"), lambda a, x: a + F.substring_index(x, ":", 1).cast("bigint"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1, from the pieces of two texts."""
+def likeness(a: Column, b: Column, equal: Column) -> Column:
+    """0 to 1, from the leaves of two trees; ``equal`` decides where neither has any."""
     both, total = _letters(F.array_intersect(a, b)), _letters(a) + _letters(b)
-    return F.when(total > 0, 2.0 * both / total).otherwise(F.lit(1.0))
+    return F.when(total > 0, 2.0 * both / total).otherwise(F.when(equal, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
 def with_tree(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the tree of a text column: paragraphs, sections, fingerprint (the root) and pieces."""
-    docs = docs.withColumn(f"{prefix}paragraphs", paragraph_nodes(F.col(text)))
-    docs = docs.withColumn(f"{prefix}sections", section_nodes(F.col(f"{prefix}paragraphs")))
-    return docs.withColumns({f"{prefix}fingerprint": root(F.col(f"{prefix}sections")), f"{prefix}pieces": pieces(F.col(text))})
+    """``docs`` with the tree of a text column: leaves (as a multiset), paragraphs, sections and fingerprint (the root)."""
+    names = {x: f"{prefix}{x}" for x in ("nodes", "paragraphs", "ends", "sections", "fingerprint", "leaves")}
+    docs = docs.withColumn(names["nodes"], leaf_nodes(F.col(text)))
+    docs = docs.withColumn(names["paragraphs"], paragraph_nodes(F.col(names["nodes"])))
+    docs = docs.withColumn(names["ends"], section_ends(F.col(names["paragraphs"])))
+    docs = docs.withColumn(names["sections"], section_nodes(F.col(names["paragraphs"]), F.col(names["ends"])))
+    docs = docs.withColumn(names["fingerprint"], _digest(F.col(names["sections"])))
+    return with_bag(docs, names["nodes"], names["leaves"]).drop(names["nodes"], names["ends"])
 
 
 def first_difference(a: Column, b: Column) -> Column:
@@ -127,15 +157,17 @@ def edit_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text: the last third replaced by the beginning of the next document.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_sections, changed_sections,
-    first_change): likeness to the edited text and to the next document's text, and where the edit is.
+    first_change): likeness of the fingerprint to that of the edited text and of the next document, and where the edit is.
     """
     rows = with_next(docs)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", 1, n - third), F.substring("next_text", F.lit(1), third)))
-    rows = with_tree(with_tree(rows), "edited", "edited_").withColumn("next_pieces", pieces(F.col("next_text")))
+    rows = with_tree(with_tree(rows), "edited", "edited_").withColumn("next_nodes", leaf_nodes(F.col("next_text")))
+    rows = with_bag(rows, "next_nodes", "next_leaves")
     return rows.select(
         "doc_id", n.cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("pieces"), F.col("edited_pieces")).alias("near_edited"), likeness(F.col("pieces"), F.col("next_pieces")).alias("near_next"),
+        likeness(F.col("leaves"), F.col("edited_leaves"), F.col("text") == F.col("edited")).alias("near_edited"),
+        likeness(F.col("leaves"), F.col("next_leaves"), F.col("text") == F.col("next_text")).alias("near_next"),
         F.size("sections").alias("n_sections"), changed_sections(F.col("sections"), F.col("edited_sections")).alias("changed_sections"),
         first_difference(F.col("paragraphs"), F.col("edited_paragraphs")).alias("first_change"))

@@ -14,10 +14,16 @@ near as (
   from ordered a join ordered b on b.i = a.i % a.n + 1),
 texts as (select *, left(text, n_chars - third) || left(following, third) as edited from near),
 sides as (
-  select doc_id, 'a' as side, text as t from texts union all select doc_id, 'b', edited from texts),
+  select doc_id, 'a' as side, text as t from texts union all select doc_id, 'b', edited from texts union all select doc_id, 'c', following from texts),
 paragraphs as (
   select doc_id, side, unnest(string_split(t, chr(10))) as p, generate_subscripts(string_split(t, chr(10)), 1) as k from sides),
-nodes as (select doc_id, side, k, p, sha256(p) as node from paragraphs),
+cut as (select doc_id, side, k, p, list_transform(regexp_extract_all(p, '{PIECE}'), lambda x: {{'node': sha256(x), 'letters': length(x)}}) as l from paragraphs),
+nodes as (select doc_id, side, k, p, sha256(coalesce(array_to_string(list_transform(l, lambda x: x.node), ''), '')) as node from cut where side <> 'c'),
+leaves as (select doc_id, side, l.node as node, l.letters as letters, count(*) as n from (select doc_id, side, unnest(l) as l from cut) group by all),
+totals as (select doc_id, side, sum(n * letters) as letters from leaves group by all),
+shared as (
+  select a.doc_id, b.side, sum(least(a.n, b.n) * a.letters) as letters
+  from leaves a join leaves b on a.side = 'a' and b.side <> 'a' and a.doc_id = b.doc_id and a.node = b.node group by all),
 placed as (
   select *, coalesce(sum((left(node, 1) in ('0', '1') or length(p) = 0)::int)
     over (partition by doc_id, side order by k rows between unbounded preceding and 1 preceding), 0) as section from nodes),
@@ -27,21 +33,18 @@ changes as (
   select a.doc_id, min(case when a.node is distinct from b.node then coalesce(a.k, b.k) - 1 end)::bigint as first_change
   from (select * from nodes where side = 'a') a full join (select * from nodes where side = 'b') b on a.doc_id = b.doc_id and a.k = b.k
   group by 1),
-pieces as (
-  select doc_id, text, edited, n_chars, list_distinct(regexp_extract_all(text, '{PIECE}')) as a,
-    list_distinct(regexp_extract_all(edited, '{PIECE}')) as b, list_distinct(regexp_extract_all(following, '{PIECE}')) as c from texts),
 letters as (
-  select doc_id, edited, n_chars,
-    coalesce(list_sum(list_transform(a, lambda x: length(x))), 0) as la, coalesce(list_sum(list_transform(b, lambda x: length(x))), 0) as lb,
-    coalesce(list_sum(list_transform(c, lambda x: length(x))), 0) as lc,
-    coalesce(list_sum(list_transform(list_intersect(a, b), lambda x: length(x))), 0) as lab,
-    coalesce(list_sum(list_transform(list_intersect(a, c), lambda x: length(x))), 0) as lac from pieces),
+  select t.doc_id, t.text, t.edited, t.following, t.n_chars, coalesce(ta.letters, 0) as la, coalesce(tb.letters, 0) as lb, coalesce(tc.letters, 0) as lc,
+    coalesce(sb.letters, 0) as lab, coalesce(sc.letters, 0) as lac
+  from texts t left join totals ta on ta.doc_id = t.doc_id and ta.side = 'a' left join totals tb on tb.doc_id = t.doc_id and tb.side = 'b'
+  left join totals tc on tc.doc_id = t.doc_id and tc.side = 'c' left join shared sb on sb.doc_id = t.doc_id and sb.side = 'b'
+  left join shared sc on sc.doc_id = t.doc_id and sc.side = 'c'),
 changed as (
   select s.doc_id, count(*) filter (where not list_contains(r.own, s.node))::int as changed_sections
   from (select distinct doc_id, node from sections where side = 'b') s join (select * from roots where side = 'a') r on r.doc_id = s.doc_id group by 1)
 select l.doc_id, n_chars::bigint as n_chars, sha256(edited) as edited_sha256, ra.root as fingerprint, rb.root as edited_fingerprint,
-  case when la + lb > 0 then 2.0::double * lab / (la + lb) else 1.0::double end as near_edited,
-  case when la + lc > 0 then 2.0::double * lac / (la + lc) else 1.0::double end as near_next,
+  case when la + lb > 0 then 2.0::double * lab / (la + lb) when text = edited then 1.0::double else 0.0::double end as near_edited,
+  case when la + lc > 0 then 2.0::double * lac / (la + lc) when text = following then 1.0::double else 0.0::double end as near_next,
   ra.n_sections, changed_sections, first_change
 from letters l join roots ra on ra.doc_id = l.doc_id and ra.side = 'a' join roots rb on rb.doc_id = l.doc_id and rb.side = 'b'
 join changes on changes.doc_id = l.doc_id join changed on changed.doc_id = l.doc_id

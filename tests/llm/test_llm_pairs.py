@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cleanframe.llm.components import connected_components
 from cleanframe.llm.decontaminate import contaminated, contamination_report, without_benchmark
-from cleanframe.llm.merkle import edit_report, likeness, pieces, with_tree
+from cleanframe.llm.merkle import PIECE, edit_report, likeness, with_tree
 from cleanframe.llm.ngram_join import ngram_jaccard_groups, one_of_each_group
 from cleanframe.llm.scratch import Scratch
 
@@ -123,7 +123,17 @@ def test_edits_match_python(spark):
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert (got[i]["fingerprint"] == got[i]["edited_fingerprint"]) == (edited == text)
         assert (got[i]["first_change"] is None) == (edited == text)
-        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
+        for name, other in (("near_edited", edited), ("near_next", following)):
+            a, b = (Counter(x for line in t.split("\n") for x in re.findall(PIECE, line)) for t in (text, other))
+            both, total = (sum(n * len(x) for x, n in c.items()) for c in (a & b, a + b))
+            assert got[i][name] == pytest.approx(2 * both / total if total else float(text == other))
+
+
+def test_repeated_lines_count_as_often_as_they_stand(spark):
+    rows = [(2, "The same line again.\n" * 2000), (1, "something else " * 5000), (0, "\n\n"), (-1, "\n")]
+    got = {r["doc_id"]: r for r in edit_report(frame(spark, rows)).collect()}
+    assert got[2]["near_edited"] == pytest.approx(2 / 3, abs=0.01)
+    assert got[0]["near_next"] == 0.0 and got[0]["near_edited"] == 1.0
 
 
 def test_edits_with_repeated_and_missing_ids(spark):
@@ -137,9 +147,9 @@ def test_tree_tells_texts_apart_and_finds_the_edit(spark):
     a, b = "one.\ntwo.\nthree.\nfour.", "one.\ntwo.\nthree!\nfour."
     r = with_tree(spark.createDataFrame([(a, b, a)], "text string, other string, again string"))
     r = with_tree(with_tree(r, "other", "o_"), "again", "g_").select(
-        F.col("fingerprint") == F.col("g_fingerprint"), F.col("fingerprint") == F.col("o_fingerprint"), likeness(pieces(F.col("text")), pieces(F.col("other")))).first()
+        F.col("fingerprint") == F.col("g_fingerprint"), F.col("fingerprint") == F.col("o_fingerprint"), likeness(F.col("leaves"), F.col("o_leaves"), F.lit(False))).first()
     assert r[0] and not r[1]
-    assert r[2] == pytest.approx(2 * (5 + 5 + 5) / (2 * (5 + 5 + 7 + 5)), abs=0.02)
+    assert r[2] == pytest.approx(2 * (4 + 4 + 5) / (2 * (4 + 4 + 6 + 5)))
 
 
 def brute_placements(rows, items, percent=80):
