@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from .decontaminate import MASKS
 from .merkle import PIECE
 from .mixing import BLOCK_ROWS, QUANTA, TEMPER
 
@@ -74,22 +73,20 @@ from numbered join slots on slots.source = mixed and turn = (place // {BLOCK_ROW
 _WORDS = "string_split_regex(trim(lower(coalesce(text, '')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x09-\\x0D\\x20]+')"
 
 
-def _seeds(table: str, key: str) -> str:
-    each = " union all ".join(
-        f"select {key}, p, '{n}' || " + " || chr(0) || ".join(f"w[p + {k + 1}]" for k in mask) + f" as seed from placed_{table} where p + {mask[-1]} < len(w)"
-        for n, mask in enumerate(MASKS))
-    return f"placed_{table} as (select {key}, w, unnest(range(len(w))) as p from {table}), seeds_{table} as ({each})"
-
-
+#: Of 6 words or more, 80 % agree only where three words in a row do.
 DECONTAMINATION = f"""
 with docs as (select row_number() over () as row, doc_id, {_WORDS} as w from documents),
-items as (select * from (select row_number() over () as item, item_id, {_WORDS} as w from benchmark) where len(w) >= 6),
-{_seeds("docs", "row")}, {_seeds("items", "item")},
-met as (select distinct d.row, i.item, d.p - i.p as start from seeds_docs d join seeds_items i on d.seed = i.seed),
+every as (select row_number() over () as item, item_id, {_WORDS} as w from benchmark),
+items as (select * from every where len(w) >= 6),
+threes_docs as (select row, p, w[p + 1:p + 3] as three from (select row, w, unnest(range(len(w) - 2)) as p from docs)),
+threes_items as (select item, p, w[p + 1:p + 3] as three from (select item, w, unnest(range(len(w) - 2)) as p from items)),
+met as (select distinct d.row, i.item, d.p - i.p as start from threes_docs d join threes_items i on d.three = i.three),
 laid as (
   select met.row, items.item_id, len(items.w)::int as item_words, len(list_filter(range(len(items.w)), lambda k:
     start + k >= 0 and start + k < len(docs.w) and docs.w[start + k + 1] = items.w[k + 1]))::int as agree
-  from met join docs on docs.row = met.row join items on items.item = met.item),
+  from met join docs on docs.row = met.row join items on items.item = met.item
+  union all
+  select docs.row, item_id, len(every.w)::int, len(every.w)::int from docs join every on docs.w = every.w where len(every.w) < 6 and every.w[1] <> ''),
 best as (select row, item_id, max({{'agree': agree, 'item_words': item_words}}) as b from laid where 100 * agree >= 80 * item_words group by all),
 found as (select row, count(*) as n_items, max(b) as b from best group by 1)
 select doc_id, n_items is not null as contaminated, coalesce(n_items, 0) as n_items, b.agree as agree, b.item_words as item_words

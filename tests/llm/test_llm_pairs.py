@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from cleanframe.llm.components import connected_components
-from cleanframe.llm.decontaminate import contaminated, contamination_report, without_benchmark
+from cleanframe.llm.decontaminate import MASKS, contaminated, contamination_report, without_benchmark
 from cleanframe.llm.merkle import PIECE, edit_report, likeness, with_tree
 from cleanframe.llm.ngram_join import ngram_jaccard_groups, one_of_each_group
 from cleanframe.llm.scratch import Scratch
@@ -161,7 +162,7 @@ def brute_placements(rows, items, percent=80):
         for item, words in ((k, split(t)) for k, t in items):
             for start in range(-len(words) + 1, len(w)):
                 agree = sum(1 for k, x in enumerate(words) if 0 <= start + k < len(w) and w[start + k] == x)
-                if len(words) >= 6 and 100 * agree >= percent * len(words):
+                if (len(words) >= 6 or words == w) and 100 * agree >= percent * len(words):
                     best = found.get((i, item))
                     if best is None or agree > best[1]:
                         found[(i, item)] = (start, agree, len(words))
@@ -188,6 +189,8 @@ def test_decontamination_matches_brute_force(spark):
     want = brute_placements(rows, items)
     got = {(r["doc_id"], r["item_id"]): (r["start"], r["agree"], r["item_words"]) for r in contaminated(docs, bench).collect()}
     assert got == want and len(want) > 15
+    shuffled = contaminated(docs, bench, placed_at_once=0)
+    assert {(r["doc_id"], r["item_id"]): (r["start"], r["agree"], r["item_words"]) for r in shuffled.collect()} == want
     in_blocks = {(r["doc_id"], r["item_id"]): (r["start"], r["agree"], r["item_words"]) for r in contaminated(docs, bench, seeds_at_once=50).collect()}
     assert in_blocks == want
     report = contamination_report(docs, bench).collect()
@@ -197,6 +200,31 @@ def test_decontamination_matches_brute_force(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r["contaminated"] for r in report)
 
 
+def test_a_seed_is_left_whichever_words_are_replaced():
+    for n in range(6, 25):
+        seeds = [{s + k for k in mask} for mask in MASKS for s in range(n - mask[-1])]
+        for replaced in combinations(range(n), n // 5):
+            assert any(seed.isdisjoint(replaced) for seed in seeds), (n, replaced)
+
+
+def test_items_that_agree_in_just_enough_words_are_found(spark):
+    rng = random.Random(5)
+    items, rows = [], []
+    for n in [*range(6, 26), 30, 45, 60]:
+        words = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for t in range(12):
+            text = list(words)
+            for k in rng.sample(range(n), n // 5 + (t == 11)):  # the last one has a word too few
+                text[k] = f"other{t}"
+            cut = ["before"] * rng.randint(0, 9) + text + ["after"] * rng.randint(0, 9)
+            rows.append((100 * n + t, " ".join(cut)))
+    items += [(1, "one"), (2, "Two words"), (5, "a b c d e"), (-1, ""), (-2, None)]
+    rows += [(1, "ONE "), (2, "one two"), (3, "two\nwords"), (4, "a b c d e"), (5, "a b c d x"), (6, "a b c d e f"), (7, ""), (8, None)]
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(i, i // 100) for i, _ in rows if i >= 100 and i % 100 != 11} | {(1, 1), (3, 2), (4, 5)}
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = frame(spark, [(1, "some text of more than six words here")]), spark.createDataFrame([], "item_id bigint, text string")
     assert contamination_report(docs, bench).collect()[0]["contaminated"] is False
