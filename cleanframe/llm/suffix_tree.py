@@ -13,9 +13,9 @@ All training texts are counted. Texts are cut into blocks; each block lists its
 all blocks and their counts sent back to the blocks, so that no token travels once for each time it is used. The tree is
 never gathered: for each length, a block sends its distinct (context, next symbol) by hash of the context to the task that has all
 of that context, which counts, tests and answers with the symbol's probability there. Symbols, contexts and pairs are known by
-64-bit hashes.
+64-bit hashes. A context too rare to gather the evidence asked for, by a bound that holds for every distribution, is not asked about.
 
-Edge cases. A null or empty text is the end token alone. Repeated rows are each counted and scored; a null id is held out
+Edge cases. A null or empty text is the end token alone; a very long text is a block of its own. Repeated rows are each counted and scored; a null id is held out
 if the fold says so, else trained on. Without training texts the counts are 0 and the tree is uniform.
 """
 
@@ -45,14 +45,11 @@ BLOCK_BYTES = 16 << 20
 
 #: The end of a text as a token; no word contains a line break.
 END = b"\n"
-# A context and a next symbol in one number: 14 bits for each symbol, nearest lowest, then the next one, then the length.
 _U = np.uint64
-_BITS = 14
-_NEXT = _U((1 << _BITS) - 1) << _U(3 * _BITS)
-_LENGTH = _U(4 * _BITS)
 
 _BLOCKS = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, words array<binary>, n array<bigint>"
-_STATE = "block bigint, bucket int, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, symbols binary, counts binary, prob binary, alive binary, context binary, pair binary, n binary, before binary"
+_STATE = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, symbols binary, counts binary, prob binary, alive binary"
+_ASKED = "block bigint, bucket int, context binary, pair binary, n binary, before binary"
 _ANSWER = "block bigint, bucket int, prob binary"
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -129,66 +126,6 @@ def _symbols(symbol: np.ndarray, size: np.ndarray, mark: int) -> Symbols:
     return Symbols(data, text, begin[text] + back, back)
 
 
-def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def _shorter(context: np.ndarray, d: int) -> np.ndarray:
-    """A context of d symbols without its farthest one."""
-    return (context & _U((1 << _BITS * (d - 1)) - 1)) | (_U(d - 1) << _LENGTH)
-
-
-@dataclass
-class SuffixTree:
-    """Kept contexts with what an unseen letter costs there, and their letters with log10 probabilities; both sorted."""
-
-    contexts: np.ndarray
-    backoff: np.ndarray
-    keys: np.ndarray
-    logs: np.ndarray
-    unseen: float
-    depth: int
-
-
-def grow(keys: np.ndarray, n: np.ndarray, depth: int, symbols: int, smoothing: float = SMOOTHING, divergence: float = DIVERGENCE, evidence: float = EVIDENCE) -> SuffixTree:
-    """A tree of few symbols in memory, from counts of (context, next symbol); every context's shorter ones are among them.
-
-    ``score_texts`` does not use it: its tree is a table.
-    """
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order].astype(float)
-    context, which = np.unique(keys & ~_NEXT, return_inverse=True)
-    total = np.bincount(which, n, len(context)) if len(keys) else np.zeros(0)
-    length = (context >> _LENGTH).astype(int)
-    prob = np.zeros(len(keys))
-    gain = np.zeros(len(context))
-    root_total = total[length == 0].sum()
-    unseen = 0.5 / (root_total + 0.5 * symbols)
-    for d in range(depth + 1):
-        own = np.flatnonzero(length[which] == d) if len(keys) else np.zeros(0, int)
-        if d == 0:
-            prob[own] = (n[own] + 0.5) / (root_total + 0.5 * symbols)
-            continue
-        parent = _member(keys, _shorter(keys[own] & ~_NEXT, d) | (keys[own] & _NEXT))
-        before = prob[parent]
-        seen = total[which[own]]
-        prob[own] = (n[own] + smoothing * before) / (seen + smoothing)
-        gain += np.bincount(which[own], n[own] / seen * np.log(prob[own] / before), len(context))
-    keep = (length == 0) | ((gain >= divergence) & (gain * total >= evidence))
-    for d in range(depth, 1, -1):
-        parents = _member(context, _shorter(context[keep & (length == d)], d))
-        keep[parents] = True
-    good = keep[which] if len(keys) else np.zeros(0, bool)
-    back = np.where(length == 0, np.log10(unseen), np.log10(smoothing / (total + smoothing)))
-    # Below the root nothing shorter follows: an unseen symbol has its final price.
-    back[length == 0] = 0.0
-    return SuffixTree(context[keep], back[keep], keys[good], np.log10(prob[good]), float(np.log10(unseen)), depth)
-
-
 def _zipped(x: np.ndarray) -> bytes:
     import zstandard
 
@@ -241,26 +178,43 @@ def _in_buckets(p: Pairs) -> list[tuple[int, np.ndarray]]:
     return [(int(p.bucket[part[0]]), part) for part in np.split(order, at[1:])] if len(order) else []
 
 
-def _asked(row: dict, d: int, width: int):
-    """The block itself and, for each bucket, its pairs with their training counts and probabilities so far."""
-    symbol = np.frombuffer(row["symbols"], _U)[_unpacked(row["tokens"])]
-    size, held = np.array(row["n_tokens"]), np.array(row["held_out"], bool)
-    prob = _unzipped(row["prob"], np.float32)
-    p = _pairs(symbol, size, np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=len(symbol)).astype(bool), d, width)
-    n = np.bincount(p.which, np.repeat(~held, size)[p.rows], len(p.pair)).astype(np.uint32)
-    before = prob[p.rows[p.first]]
-    empty = dict.fromkeys(("context", "pair", "n", "before"))
-    yield row | {"bucket": None} | empty
-    for bucket, at in _in_buckets(p):
-        yield dict.fromkeys(row) | {"block": row["block"], "bucket": bucket, "context": _zipped(p.context[at]), "pair": p.pair[at].tobytes(), "n": _zipped(n[at]), "before": _zipped(before[at])}
+def _asked(d: int, width: int):
+    """For each block and bucket, the pairs of length ``d`` with their training counts and probabilities so far."""
+
+    def run(batches):
+        for row in (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+            symbol = np.frombuffer(row["symbols"], _U)[_unpacked(row["tokens"])]
+            size, held = np.array(row["n_tokens"]), np.array(row["held_out"], bool)
+            prob = _unzipped(row["prob"], np.float32)
+            p = _pairs(symbol, size, np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=len(symbol)).astype(bool), d, width)
+            n = np.bincount(p.which, np.repeat(~held, size)[p.rows], len(p.pair)).astype(np.uint32)
+            before = prob[p.rows[p.first]]
+            for bucket, at in _in_buckets(p):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (_zipped(p.context[at]), p.pair[at].tobytes(), _zipped(n[at]), _zipped(before[at]))]],
+                    ["block", "bucket", "context", "pair", "n", "before"])
+
+    return run
+
+
+def least_count(n: int, symbols: int, min_count: int) -> int:
+    """How often a context must be met at least to be kept.
+
+    A pair met k times has a probability of k / size or more under every shorter context, so t tokens cannot diverge by more than
+    t log((size + smoothing) / (t + smoothing)) in all. A context met less often than this bound allows is never kept.
+    """
+    size, t = n + 0.5 * symbols + SMOOTHING, max(1, min_count)
+    while t < size and t * np.log((size + SMOOTHING) / (t + SMOOTHING)) < EVIDENCE:
+        t += 1
+    return t
 
 
-_STATE_TYPES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
-                          *[(x, pa.binary()) for x in ("tokens", "symbols", "counts", "prob", "alive", "context", "pair", "n", "before")]])
+_STATE_TYPES = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
+                          *[(x, pa.binary()) for x in ("tokens", "symbols", "counts", "prob", "alive")]])
 
 
-def _begun(n: int, symbols: int, other: int, min_count: int, width: int):
-    """Blocks with the counts of their tokens: each token's symbol and its probability at the root, and the pairs of length 1."""
+def _begun(n: int, symbols: int, other: int, min_count: int):
+    """Blocks with the counts of their tokens: each token's symbol and its probability at the root."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         c = np.zeros(right.num_rows, np.int64)
@@ -273,13 +227,13 @@ def _begun(n: int, symbols: int, other: int, min_count: int, width: int):
             root = (np.where(own, c, other) + 0.5) / (n + 0.5 * symbols)
             tokens = _unpacked(row["tokens"])
             row |= {"symbols": hashes.tobytes(), "counts": _zipped(c), "prob": _zipped(root[tokens].astype(np.float32)), "alive": np.packbits(np.ones(len(tokens), bool)).tobytes()}
-            out += _asked(row, 1, width)
+            out.append(row)
         return pa.Table.from_pylist(out, _STATE_TYPES)
 
     return run
 
 
-def _answer(min_count: int):
+def _answer(least: int):
     """Probability of each asked pair, in the order asked, with its context if that is kept; NaN where the context is too rare,
     and negative where the pair is, which is then too rare as a context of the next length.
 
@@ -299,8 +253,8 @@ def _answer(min_count: int):
         share = seen / np.maximum(total[which[first]], 1)
         gain = np.bincount(which[first], share * np.log(prob[first] / before[first]), len(total))
         keep = (gain >= DIVERGENCE) & (gain * total >= EVIDENCE)
-        prob = np.where(total[which] < min_count, np.nan, np.where(keep[which], prob, before))
-        prob = np.where(seen[same] < min_count, -prob, prob).astype(np.float32)
+        prob = np.where(total[which] < least, np.nan, np.where(keep[which], prob, before))
+        prob = np.where(seen[same] < least, -prob, prob).astype(np.float32)
         ends = np.cumsum([len(r["pair"]) // 8 for r in rows])
         for r, part in zip(rows, np.split(prob, ends[:-1])):
             yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([_zipped(part)], pa.binary())], ["block", "bucket", "prob"])
@@ -309,7 +263,7 @@ def _answer(min_count: int):
 
 
 def _told(d: int, depth: int, width: int, counts: dict[str, int]):
-    """Blocks with the answers for length ``d``: the pairs of the next length, or after the last one the scores."""
+    """Blocks with the answers for length ``d``: their probabilities so far, or after the last one the scores."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("prob").to_pylist()))
@@ -331,7 +285,7 @@ def _told(d: int, depth: int, width: int, counts: dict[str, int]):
             alive[p.rows + 1] = told > 0
             alive = alive[:-1]
             if d < depth:
-                out += _asked(row | {"prob": _zipped(prob), "alive": np.packbits(alive).tobytes()}, d + 1, width)
+                out.append(row | {"prob": _zipped(prob), "alive": np.packbits(alive).tobytes()})
             else:
                 out.append(_scores(row, tokens, size, symbol, prob, counts))
         return pa.Table.from_pylist(out, _STATE_TYPES) if d < depth else pa.concat_tables(out)
@@ -374,13 +328,14 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int =
         F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(own, F.col("c"))), F.lit(0)), F.count_if(own), F.count_if(F.col("word") == F.lit(END))).first()
     counts = {"train_tokens": n, "distinct": v, "other_tokens": n - n_own, "other_distinct": v - v_own}
     symbols = v_own + 1 - ends + 1  # the end has one, met or not, and the others share one
-    begun = _begun(n, symbols, n - n_own, min_count, width)
+    begun, least = _begun(n, symbols, n - n_own, min_count), least_count(n, symbols, min_count)
     state = scratch.keep(blocks.drop("n").groupBy("block").cogroup(counted.select("block", "slot", "c").groupBy("block")).applyInArrow(begun, _STATE), "state0")
     scratch.drop("blocks", "counted")
     for d in range(1, depth + 1):
-        asked = state.filter("bucket is not null").select("block", "bucket", "context", "pair", "n", "before").repartition(width, "bucket")
-        answers = asked.mapInArrow(_answer(min_count), _ANSWER)
-        told = state.filter("bucket is null").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(d, depth, width, counts), _STATE if d < depth else _SCORED)
+        # Pairs go straight from the blocks into the shuffle; a block finds them again when their answers come.
+        asked = state.select("block", "held_out", "n_tokens", "tokens", "symbols", "prob", "alive").mapInArrow(_asked(d, width), _ASKED).repartition(width, "bucket")
+        answers = asked.mapInArrow(_answer(least), _ANSWER)
+        told = state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(d, depth, width, counts), _STATE if d < depth else _SCORED)
         if d == depth:
             return told
         state = scratch.keep(told, f"state{d}")

@@ -19,7 +19,7 @@ from cleanframe.llm.mixing import cycle, mix_sources, target_quanta
 from cleanframe.llm.quality import FEATURES, fit_quality, score_quality, shape, text_shape
 from cleanframe.llm.queries import QUERIES, fold
 from cleanframe.llm.segment import gram_hashes, slices, words
-from cleanframe.llm.suffix_tree import _NEXT, grow, score_texts
+from cleanframe.llm.suffix_tree import DISCOUNT, DIVERGENCE, EVIDENCE, SMOOTHING, score_texts
 from cleanframe.llm.token_store import PieceEncoder, TokenFile, fetch_tokens, read_index, read_tokens, write_tokens
 from cleanframe.llm.toxicity import fit_toxicity, score_toxicity
 from cleanframe.llm.wordpiece import build, byte_vocabulary, token_counts
@@ -75,6 +75,11 @@ def test_language_edges(spark):
     assert {r["doc_id"] for r in rows if r["lang_pred"] == "und"} == {1, 2, 3, 4}
     assert known_language(docs, model).count() == docs.count()
     assert {r["doc_id"] for r in known_language(frame(spark, EDGES[:4]), model).collect()} == set()
+    foreign = [(1, "これは日本語の文章です。今日は天気がいいですね。"), (2, "Это предложение написано на русском языке"), (3, "안녕하세요 오늘은 날씨가 좋네요")]
+    for languages in (["en", "de"], ["en", "de", "fr", "es"]):
+        own = docs.filter(F.col("lang").isin(languages))
+        few = fit_language(own)
+        assert known_language(frame(spark, foreign), few).count() == 0 and known_language(own, few).count() == own.count()
     none = fit_language(docs.withColumn("lang", F.lit(None).cast("string")))
     assert none is None and {r["lang_pred"] for r in identify(frame(spark, EDGES), none).collect()} == {"und"}
     assert identify(frame(spark, []), model).count() == 0
@@ -245,31 +250,72 @@ def test_scores_without_training_texts(spark):
     assert len(got) == 6 and all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in got)
 
 
-def test_every_context_of_a_tree_is_a_distribution():
+class Tree:
+    """The tree of a few texts in memory: counts by context, kept contexts, and the probability of any token after any context."""
+
+    def __init__(self, texts, depth=3, least=2):
+        self.tokens = Counter(t for text in texts for t in text)
+        self.own = {t for t, c in self.tokens.items() if c >= least} | {"\n"}
+        rest = [c for t, c in self.tokens.items() if t not in self.own]
+        self.n, self.other, self.kinds, self.symbols = sum(self.tokens.values()), sum(rest), len(rest), len(self.own) + 1
+        self.next = {}
+        for text in texts:
+            s = ["<"] + [self.symbol(t) for t in text]
+            for at in range(1, len(s)):
+                for d in range(1, min(depth, at) + 1):
+                    self.next.setdefault(tuple(s[at - d : at]), Counter())[s[at]] += 1
+        self.kept = set()
+        for context in sorted(self.next, key=len):
+            seen, total = self.next[context], sum(self.next[context].values())
+            gain = sum(c / total * math.log(self.smoothed(context, x) / self.prob(context[1:], x)) for x, c in seen.items())
+            if total >= least and gain >= DIVERGENCE and gain * total >= EVIDENCE:
+                self.kept.add(context)
+
+    def symbol(self, t):
+        return t if t in self.own else None
+
+    def smoothed(self, context, x):
+        seen = self.next[context]
+        return (seen[x] + SMOOTHING * self.prob(context[1:], x)) / (sum(seen.values()) + SMOOTHING)
+
+    def prob(self, context, x):
+        if not context:
+            return ((self.other if x is None else self.tokens[x]) + 0.5) / (self.n + 0.5 * self.symbols)
+        return self.smoothed(context, x) if context in self.kept else self.prob(context[1:], x)
+
+    def token(self, context, t):
+        p = self.prob(context, self.symbol(t))
+        if t in self.own or not self.other:
+            return p
+        c = self.tokens[t]
+        return p * (max(c - DISCOUNT, 1e-9) if c else DISCOUNT * self.kinds) / self.other
+
+    def score(self, text, depth=3):
+        s = ["<"] + [self.symbol(t) for t in text]
+        return sum(math.log10(self.token(tuple(s[max(0, k + 1 - depth) : k + 1]), t)) for k, t in enumerate(text))
+
+
+def test_scores_match_a_tree_in_memory(spark):
     rng = np.random.default_rng(1)
-    text, symbols = rng.integers(0, 4, 4000), 5
-    text[1::2] = (text[::2] + 1) % 4  # a strong dependence
-    keys = Counter()
-    for d in range(3):
-        for at in range(d, len(text)):
-            context = sum(int(text[at - 1 - k]) << (14 * k) for k in range(d)) | (d << 56)
-            keys[context | (int(text[at]) << 42)] += 1
-    tree = grow(np.array(list(keys), np.uint64), np.array(list(keys.values())), 2, symbols)
-    assert len(tree.contexts) > 1
-    logs = dict(zip(tree.keys.tolist(), tree.logs))
-
-    def log(context, d, x, kept):
-        if context | (x << 42) in logs:
-            return logs[context | (x << 42)]
-        if d == 0:
-            return tree.unseen
-        shorter = (context & ((1 << 14 * (d - 1)) - 1)) | ((d - 1) << 56)
-        return kept[context] + log(shorter, d - 1, x, kept)
-
-    kept = dict(zip(tree.contexts.tolist(), tree.backoff))
-    for context in kept:
-        assert sum(10 ** log(context, context >> 56, x, kept) for x in range(symbols)) == pytest.approx(1, abs=1e-9)
-    assert not (tree.contexts & _NEXT).any()
+
+    def chain(n, back=2):
+        """Words that depend on the last one and the one ``back`` places ago, but for one in ten."""
+        x = rng.integers(0, 4, back).tolist()
+        while len(x) < n + back:
+            x.append((x[-1] + x[-back]) % 4 if rng.random() < 0.9 else int(rng.integers(0, 4)))
+        return [f"{'abcd'[back]}{v}" if rng.random() < 0.98 else f"w{rng.integers(0, 60)}" for v in x[back:]]
+
+    passage = [f"rare{k}" for k in range(12)]
+    rows = [(k, " ".join(chain(int(rng.integers(1, 120)), 2 + k % 2))) for k in range(80)] + [(100 + k, " ".join(passage * (1 + k % 2))) for k in range(20)]
+    rows += [(200, " ".join(passage)), (201, "never met words"), (202, " ".join(chain(300))), (203, ""), (204, None), (50, "once only words c1 c2 c3")]
+    text = {i: [*(t or "").split(), "\n"] for i, t in rows if i >= 200}
+    tree = Tree([[*(t or "").split(), "\n"] for i, t in rows if i < 200])
+    assert {len(c) for c in tree.kept} == {1, 2, 3}
+    for context in [*tree.kept, ("<",), ()]:  # over the training tokens and one unknown token
+        assert sum(tree.token(context, t) for t in [*tree.tokens, "unknown"]) == pytest.approx(1, abs=1e-6)
+    got = {r["doc_id"]: r["score"] for r in score_texts(frame(spark, rows), F.col("doc_id") >= 200).collect()}
+    for i, t in text.items():
+        assert got[i] == pytest.approx(tree.score(t), rel=1e-4)
 
 
 def test_vocabulary_bytes_are_complete():
