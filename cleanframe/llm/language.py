@@ -4,14 +4,16 @@ Two texts are as alike as the sets of byte n-grams (1 to 4 letters, all lengths
 k(s, t) = |S ∩ T| / sqrt(|S| |T|). Landmarks, some texts of each language, span the kernel's feature space (Nyström):
 phi(s) = k(s, landmarks) W^-1/2. One kernel ridge regression for each language learns +1 against -1 on phi. N-grams are
 counted as present in a table of 2^16 slots. Since scoring is linear in the landmark kernels, they fold into one matrix
-of slots by languages, and a batch of texts is scored by one product with it.
+of slots by languages, and a batch of texts is scored by one product with it. Beside it stands which slots each language's
+landmarks have, from which a text of no learned language is known.
 
-Edge cases. A text without a letter, or null, is ``und`` with score 0. Without labelled rows every text is ``und``. Ties
+Edge cases. Very long texts are read whole, a few at a time. A text without a letter, or null, is ``und`` with score 0. Without labelled rows every text is ``und``. Ties
 go to the language first in alphabetical order. Repeated rows and extra columns do not matter; null labels teach nothing.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +34,9 @@ RIDGE = 1e-2
 #: Confidence of a decision: softmax of the regressions' outputs times this.
 SHARPNESS = 3.0
 UNKNOWN = "und"
+RESULTS = ("lang_pred", "score", "lang_familiar")
+#: A text is of a learned language if so much of its n-grams, beyond chance, is known from that language's landmarks.
+LEAST_FAMILIAR = 0.2
 
 
 def presence(texts: list[str]) -> np.ndarray:
@@ -52,17 +57,18 @@ def presence(texts: list[str]) -> np.ndarray:
 class LanguageModel:
     languages: list[str]
     weights: np.ndarray  # slots x languages
-
-    def outputs(self, present: np.ndarray) -> np.ndarray:
-        """Regression outputs of a batch of presence rows."""
-        norm = np.sqrt(np.maximum(present.sum(1), 1))[:, None]
-        return (present.astype(np.float32) @ self.weights) / norm
-
-    def predict(self, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        f = self.outputs(present).astype(np.float64) * SHARPNESS
+    seen: np.ndarray  # slots x languages: 1 where a landmark of the language has the slot
+
+    def predict(self, present: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language of each presence row, its share among the learned ones, and how familiar the text is in it."""
+        n = np.maximum(present.sum(1), 1)
+        both = (present.astype(np.float32) @ np.hstack([self.weights, self.seen])).astype(np.float64)
+        f = both[:, : len(self.languages)] / np.sqrt(n)[:, None] * SHARPNESS
+        rows, best = np.arange(len(f)), f.argmax(1)
         e = np.exp(f - f.max(1, keepdims=True))
-        best = f.argmax(1)
-        return best, (e / e.sum(1, keepdims=True))[np.arange(len(f)), best]
+        chance = self.seen.mean(0)[best]  # of a foreign n-gram to meet a taken slot
+        share = both[rows, len(self.languages) + best] / n
+        return best, (e / e.sum(1, keepdims=True))[rows, best], (share - chance) / np.maximum(1 - chance, 1e-9)
 
 
 def _unit_rows(bits: np.ndarray) -> np.ndarray:
@@ -75,7 +81,9 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     """Nyström landmarks and ridge regression on packed presence rows (bounded by the sample), a few rows unpacked at a time."""
     languages = sorted(set(labels))
     truth = np.array([languages.index(x) for x in labels])
-    chosen = np.concatenate([np.flatnonzero(truth == k)[:landmarks] for k in range(len(languages))])
+    # Landmarks are spread over the sample by a hash of their features, whatever the order of the rows.
+    place = np.array([zlib.crc32(row.tobytes()) for row in bits])
+    chosen = np.concatenate([own[np.argsort(place[own], kind="stable")][:landmarks] for own in (np.flatnonzero(truth == k) for k in range(len(languages)))])
     marks = _unit_rows(bits[chosen])
     kernel = (marks @ marks.T).astype(np.float64)
     value, vector = np.linalg.eigh(kernel)
@@ -86,7 +94,8 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     share = np.bincount(truth, minlength=len(languages)) / len(truth)
     weight = (1 / share)[truth][:, None]  # languages count alike, however many rows they have
     beta = np.linalg.solve(phi.T @ (phi * weight) + ridge * len(truth) * np.eye(phi.shape[1]), phi.T @ (target * weight))
-    return LanguageModel(languages, marks.T @ (root @ beta).astype(np.float32))
+    seen = [np.unpackbits(np.bitwise_or.reduce(bits[chosen[truth[chosen] == k]], axis=0)) for k in range(len(languages))]
+    return LanguageModel(languages, marks.T @ (root @ beta).astype(np.float32), np.array(seen, np.float32).T)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,37 +127,47 @@ def _predict(model):
             for low, high in slices(texts, 1 << 20):
                 for at in range(low, high, 64):
                     part = texts.slice(at, min(64, high - at)).to_pylist()
-                    names, scores = [UNKNOWN] * len(part), np.zeros(len(part))
+                    names, scores, familiar = [UNKNOWN] * len(part), np.zeros(len(part)), np.zeros(len(part))
                     known = [k for k, t in enumerate(part) if t and any(map(str.isalpha, t))]
                     if m is not None and known:
-                        best, score = m.predict(presence([part[k] for k in known]))
-                        scores[known] = score
+                        best, scores[known], familiar[known] = m.predict(presence([part[k] for k in known]))
                         for k, b in zip(known, best):
                             names[k] = m.languages[b]
                     yield pa.RecordBatch.from_arrays(
-                        [*batch.slice(at, len(part)).columns, pa.array(names), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                        [*batch.slice(at, len(part)).columns, pa.array(names), pa.array(scores, pa.float64()), pa.array(familiar, pa.float64())], [*batch.schema.names, *RESULTS])
 
     return run
 
 
+def _identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """``docs``, which has no columns of these names, with lang_pred, score and lang_familiar."""
+    spark = docs.sparkSession
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(name, kind) for name, kind in zip(RESULTS, (T.StringType(), T.DoubleType(), T.DoubleType()))]])
+    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(vars(model) if model else None)), schema)
+
+
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """The columns of ``docs`` with lang_pred and score (0 to 1); columns of these names are replaced.
 
     ``text`` is read as string; the model (slots x languages) is broadcast.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(vars(model) if model else None)), schema)
+    docs = docs.drop("lang_pred", "score")
+    if "lang_familiar" in docs.columns:  # the row's own column of this name stays
+        rows = _identified(docs.select("text", F.struct("*").alias("whole_row")), model)
+        return rows.withColumn("whole_row", F.col("whole_row").withField("text", F.col("text"))).select("whole_row.*", "lang_pred", "score")
+    return _identified(docs, model).drop("lang_familiar")
 
 
-def known_language(docs: DataFrame, model: LanguageModel | None, least: float = 0.3) -> DataFrame:
-    """Documents whose language is one of the learned ones, with at least the given score; the columns of ``docs``.
+def known_language(docs: DataFrame, model: LanguageModel | None, least: float = LEAST_FAMILIAR) -> DataFrame:
+    """Documents whose language is one of the learned ones; the columns of ``docs``.
 
-    Rejected are texts without a letter and texts no more like one language than another.
+    Rejected are texts without a letter and those too little of whose n-grams the landmarks of their language have: 0 is
+    what chance gives a text in a foreign script, 1 a text all of whose n-grams are known. The regressions themselves
+    cannot tell: they are near 0 for such a text. The bar looks at one language, so it does not depend on their number.
     """
-    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
-    if {"lang_pred", "score"} & set(docs.columns):  # the row's own columns of these names stay
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_familiar") >= least)
+    if set(RESULTS) & set(docs.columns):  # the row's own columns of these names stay
         rows = docs.select("text", F.struct("*").alias("whole_row"))
-        return identify(rows, model).filter(known).select("whole_row.*")
-    return identify(docs, model).filter(known).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return _identified(rows, model).filter(known).select("whole_row.*")
+    return _identified(docs, model).filter(known).select(*[F.col(f"`{c}`") for c in docs.columns])
