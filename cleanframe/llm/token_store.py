@@ -67,11 +67,12 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        # Sorted hashes of the pieces met, and where each stands in begin and size: 16 bytes a piece.
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.size, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
-        """Encode new pieces, many in one text: each begins with a space, where the tokenizer cuts anyway."""
+        """Encode new pieces, sorted by hash, many in one text: each begins with a space, where the tokenizer cuts anyway."""
         lone = np.array([not (len(p) > 1 and p[0] == 0x20 and _STARTS[p[1]]) for p in pieces])
         order = np.argsort(~lone, kind="stable")
         pieces = [pieces[k] for k in order.tolist()]
@@ -85,7 +86,10 @@ class PieceEncoder:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.place.update(zip(hashes[order].tolist(), range(len(self.size), len(self.size) + len(pieces))))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(self.size), len(self.size) + len(order))
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.place = np.insert(self.known, at, hashes), np.insert(self.place, at, place)
         self.begin = np.concatenate([self.begin, self.used + last - size])
         self.size = np.concatenate([self.size, size])
         self.used += len(ids)
@@ -101,12 +105,14 @@ class PieceEncoder:
         at = np.flatnonzero(cut)
         begin, end = at[:-1], at[1:]
         distinct, first, which = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
-        if len(self.place) > KEPT_PIECES:
+        if len(self.known) > KEPT_PIECES:
             self._forget()
-        new = np.array([h not in self.place for h in distinct.tolist()])
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] != distinct
         if new.any():
             self._learn(distinct[new], [data[begin[k] : end[k]].tobytes() for k in first[new].tolist()])
-        place = np.fromiter(map(self.place.__getitem__, distinct.tolist()), np.int64, len(distinct))[which]
+        place = self.place[np.searchsorted(self.known, distinct)][which]
         size = self.size[place]
         last = np.cumsum(size)
         ids = self.ids[(self.begin[place] - last + size).repeat(size) + np.arange(last[-1])]
