@@ -3,11 +3,32 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import shared_folder
 
+#: Bytes of rows handed to Python at once; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def writing(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> Iterator[None]:
+    """Session settings for writing one step: its shuffle files are deleted when it has ended, not when the driver happens to
+    collect garbage, and rows go to Python in batches bounded by bytes. A step that loses files while it runs makes them again.
+    """
+    ours = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
 class Scratch:
     """A fresh folder under ``spark.checkpoint.dir``. A written table cuts the lineage: lost executors cost no redo."""
@@ -18,9 +39,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
         """Write a table and read it back."""
-        df.write.mode("errorifexists").parquet(self.path(name))
+        with writing(self.spark, batch_bytes):
+            df.write.mode("errorifexists").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

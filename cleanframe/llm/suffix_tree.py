@@ -9,11 +9,11 @@ symbols count half a time more than seen. A token that shares its symbol is scor
 symbol's tokens, and a token never met by the discounted mass. So the scores are log10 probabilities over the training tokens and
 one unknown token, as those of the unigram model are.
 
-All training texts are counted. Texts are cut into blocks; each block lists its distinct tokens once, tokens are counted over
-all blocks and their counts sent back to the blocks, so that no token travels once for each time it is used. The tree is
-never gathered: for each length, a block sends its distinct (context, next symbol) by hash of the context to the task that has all
-of that context, which counts, tests and answers with the symbol's probability there. Symbols, contexts and pairs are known by
-64-bit hashes. A context too rare to gather the evidence asked for, by a bound that holds for every distribution, is not asked about.
+All training texts are counted. Texts are cut into blocks; a block sends its distinct tokens, known by 64-bit hashes, in buckets of
+hashes to the task that has all of a bucket, which counts them over all blocks and answers with their counts, so that no token
+travels once for each time it is used. The tree is never gathered: for each length, a block sends its distinct (context, next
+symbol) by hash of the context in the same way, and the answer is the symbol's probability there. Contexts and pairs are
+64-bit hashes too. A context too rare to gather the evidence asked for, by a bound that holds for every distribution, is not asked about.
 
 Edge cases. A null or empty text is the end token alone; a very long text is a block of its own. Repeated rows are each counted and scored; a null id is held out
 if the fold says so, else trained on. Without training texts the counts are 0 and the tree is uniform.
@@ -21,11 +21,14 @@ if the fold says so, else trained on. Without training texts the counts are 0 an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -42,29 +45,49 @@ SMOOTHING = 20.0
 DISCOUNT = 0.75
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
+#: Buckets for each shuffle partition: a task answers one bucket after the other.
+BUCKETS = 4
 
-#: The end of a text as a token; no word contains a line break.
-END = b"\n"
 _U = np.uint64
+#: The end of a text as a token; no word contains a line break.
+END = span_hashes(np.frombuffer(b"\n", np.uint8), np.array([0]), np.array([1]))[0]
 
-_BLOCKS = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, words array<binary>, n array<bigint>"
+_BLOCKS = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, symbols binary, n binary"
+_LISTED = "block bigint, bucket int, symbols binary, n binary"
+_COUNTED = "block bigint, bucket int, c binary, train_tokens bigint, distinct bigint, own_tokens bigint, own_distinct bigint, ends bigint"
 _STATE = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, symbols binary, counts binary, prob binary, alive binary"
 _ASKED = "block bigint, bucket int, context binary, pair binary, n binary, before binary"
 _ANSWER = "block bigint, bucket int, prob binary"
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _packed(index: np.ndarray) -> bytes:
-    """Token numbers of a block, byte by byte, compressed: common tokens have small numbers."""
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of four bytes, byte by byte, compressed: equal leading bytes lie together."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(blob: bytes, kind="<u4") -> np.ndarray:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(index.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view(kind).ravel()
+
+
+def _zipped(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
+def _unzipped(blob: bytes, kind) -> np.ndarray:
     import zstandard
 
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def _row(row: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([row], schema)
 
 
 def _blocks(batches):
@@ -76,15 +99,13 @@ def _blocks(batches):
         texts = batch.column("text")
         for low, high in slices(texts, BLOCK_BYTES):
             part = texts.slice(low, high - low)
-            hashes, counts, spans, at = [], [], [], 0
+            hashes, counts = [], []
             for a, b in slices(part):
                 w = words(part.slice(a, b - a))
                 hashes.append(w.hash)
                 counts.append(np.diff(w.first))
-                spans.append((at, w))
-                at += len(w.hash)
             count = np.concatenate(counts)
-            distinct, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
             held = batch.column("held_out").slice(low, high - low).to_numpy(zero_copy_only=False).astype(bool)
             trained = np.bincount(which, np.repeat(~held, count), minlength=len(distinct)).astype(np.int64)
             # Tokens by falling frequency, then the end; the end follows each document's words.
@@ -93,16 +114,11 @@ def _blocks(batches):
             rank[order] = np.arange(len(distinct))
             tokens = np.full(len(which) + len(count), len(distinct), np.int64)
             tokens[np.arange(len(which)) + np.repeat(np.arange(len(count)), count)] = rank[which]
-            starts = np.array([s for s, _ in spans])
-            names = []
-            for k in first[order].tolist():
-                s, w = spans[int(np.searchsorted(starts, k, "right")) - 1]
-                names.append(w.text(k - s))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([batch.column("doc_id").slice(low, high - low).to_pylist()], pa.list_(pa.int64())),
-                 pa.array([held.tolist()]), pa.array([(count + 1).tolist()], pa.list_(pa.int64())), pa.array([_packed(tokens)], pa.binary()),
-                 pa.array([[*names, END]], pa.list_(pa.binary())), pa.array([[*trained[order].tolist(), int((~held).sum())]], pa.list_(pa.int64()))],
-                ["block", "doc_id", "held_out", "n_tokens", "tokens", "words", "n"])
+                 pa.array([held.tolist()]), pa.array([(count + 1).tolist()], pa.list_(pa.int64())),
+                 *[pa.array([x], pa.binary()) for x in (_packed(tokens.astype("<u4")), np.append(distinct[order], END).tobytes(), _zipped(np.append(trained[order], int((~held).sum()))))]],
+                ["block", "doc_id", "held_out", "n_tokens", "tokens", "symbols", "n"])
             number += 1
 
 
@@ -126,26 +142,66 @@ def _symbols(symbol: np.ndarray, size: np.ndarray, mark: int) -> Symbols:
     return Symbols(data, text, begin[text] + back, back)
 
 
-def _zipped(x: np.ndarray) -> bytes:
-    import zstandard
+#: Shared symbol and mark of a beginning, as hashes.
+_OTHER, _MARK = _U(0), _U(1)
+_STEP, _PAIR = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
+def _rows(batches) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
-def _unzipped(blob: bytes, kind) -> np.ndarray:
-    import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+def _buckets(rows) -> Iterator[list[dict]]:
+    """The rows of each bucket; those of a task come in the order of their buckets."""
+    return (list(part) for _, part in groupby(_rows(rows), itemgetter("bucket")))
 
 
-#: Shared symbol and mark of a beginning, as hashes.
-_OTHER, _MARK = _U(0), _U(1)
-_STEP, _PAIR = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+def _in_buckets(key: np.ndarray, bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its keys, in their order."""
+    order = np.lexsort((key, bucket))
+    at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    return [(int(bucket[part[0]]), part) for part in np.split(order, at[1:])] if len(order) else []
+
+
+def _dealt(hashes: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
+    return _in_buckets(hashes, (hashes % _U(width)).astype(np.int64))
+
+
+def _listed(width: int):
+    """For each block and bucket, the distinct tokens and how often each is trained on."""
+
+    def run(batches):
+        for row in _rows(batches):
+            hashes, n = np.frombuffer(row["symbols"], _U), _unzipped(row["n"], np.int64)
+            for bucket, at in _dealt(hashes, width):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([hashes[at].tobytes()], pa.binary()), pa.array([_zipped(n[at])], pa.binary())],
+                    ["block", "bucket", "symbols", "n"])
 
+    return run
+
+
+_COUNTED_TYPES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("c", pa.binary()),
+                            *[(x, pa.int64()) for x in ("train_tokens", "distinct", "own_tokens", "own_distinct", "ends")]])
+
+
+def _counted(min_count: int):
+    """Counts of the tokens of a block, in the order sent, and a row without a block that sums up the bucket."""
+
+    def run(batches):
+        for rows in _buckets(batches):
+            hashes = [np.frombuffer(r["symbols"], _U) for r in rows]
+            distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
+            c = np.bincount(which, np.concatenate([_unzipped(r["n"], np.int64) for r in rows]), len(distinct)).astype(np.int64)
+            own = (c >= min_count) | (distinct == END)
+            yield _row({"train_tokens": int(c.sum()), "distinct": int((c > 0).sum()), "own_tokens": int(c[own].sum()),
+                        "own_distinct": int((c[own] > 0).sum()), "ends": int((c[distinct == END] > 0).sum())}, _COUNTED_TYPES)
+            for r, part in zip(rows, np.split(c[which], np.cumsum([len(x) for x in hashes])[:-1])):
+                yield _row({"block": r["block"], "bucket": r["bucket"], "c": _zipped(part)}, _COUNTED_TYPES)
 
-def _word_hashes(names: list[bytes]) -> np.ndarray:
-    end = np.cumsum([len(x) for x in names], dtype=np.int64)
-    return span_hashes(np.frombuffer(b"".join(names), np.uint8), end - [len(x) for x in names], end)
+    return run
 
 
 @dataclass
@@ -157,7 +213,7 @@ class Pairs:
     first: np.ndarray  # a row of each pair
     context: np.ndarray  # of each pair
     pair: np.ndarray
-    bucket: np.ndarray
+    buckets: list[tuple[int, np.ndarray]]  # places of the pairs, those of one context together
 
 
 def _pairs(symbol: np.ndarray, size: np.ndarray, alive: np.ndarray, d: int, width: int) -> Pairs:
@@ -168,30 +224,23 @@ def _pairs(symbol: np.ndarray, size: np.ndarray, alive: np.ndarray, d: int, widt
         context = mix(context + s.data[s.at[rows] - 1 - k] * _STEP + _PAIR)
     pair, first, which = np.unique(mix(context * _PAIR + s.data[s.at[rows]] * _STEP), return_index=True, return_inverse=True)
     context = context[first]
-    return Pairs(rows, which, first, context, pair, (context % _U(width)).astype(np.int64))
-
-
-def _in_buckets(p: Pairs) -> list[tuple[int, np.ndarray]]:
-    """Each bucket with the places of its pairs, those of one context together."""
-    order = np.lexsort((p.context, p.bucket))
-    at = np.flatnonzero(np.diff(p.bucket[order], prepend=-1))
-    return [(int(p.bucket[part[0]]), part) for part in np.split(order, at[1:])] if len(order) else []
+    return Pairs(rows, which, first, context, pair, _dealt(context, width))
 
 
 def _asked(d: int, width: int):
     """For each block and bucket, the pairs of length ``d`` with their training counts and probabilities so far."""
 
     def run(batches):
-        for row in (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+        for row in _rows(batches):
             symbol = np.frombuffer(row["symbols"], _U)[_unpacked(row["tokens"])]
             size, held = np.array(row["n_tokens"]), np.array(row["held_out"], bool)
-            prob = _unzipped(row["prob"], np.float32)
+            prob = _unpacked(row["prob"], np.float32)
             p = _pairs(symbol, size, np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=len(symbol)).astype(bool), d, width)
             n = np.bincount(p.which, np.repeat(~held, size)[p.rows], len(p.pair)).astype(np.uint32)
             before = prob[p.rows[p.first]]
-            for bucket, at in _in_buckets(p):
+            for bucket, at in p.buckets:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (_zipped(p.context[at]), p.pair[at].tobytes(), _zipped(n[at]), _zipped(before[at]))]],
+                    [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (_zipped(p.context[at]), p.pair[at].tobytes(), _packed(n[at]), _packed(before[at]))]],
                     ["block", "bucket", "context", "pair", "n", "before"])
 
     return run
@@ -213,21 +262,23 @@ _STATE_TYPES = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())
                           *[(x, pa.binary()) for x in ("tokens", "symbols", "counts", "prob", "alive")]])
 
 
-def _begun(n: int, symbols: int, other: int, min_count: int):
+def _begun(n: int, symbols: int, other: int, min_count: int, least: int, width: int):
     """Blocks with the counts of their tokens: each token's symbol and its probability at the root."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = np.zeros(right.num_rows, np.int64)
-        c[right.column("slot").to_numpy()] = right.column("c").to_numpy()
+        answers = dict(zip(right.column("bucket").to_pylist(), right.column("c").to_pylist()))
         out = []
         for row in left.to_pylist():
-            names = row.pop("words")
-            own = (c >= min_count) | np.array([x == END for x in names])
-            hashes = np.where(own, _word_hashes(names), _OTHER)
+            hashes, tokens = np.frombuffer(row["symbols"], _U), _unpacked(row["tokens"])
+            c = np.zeros(len(hashes), np.int64)
+            for bucket, at in _dealt(hashes, width):
+                c[at] = _unzipped(answers[bucket], np.int64)
+            own = (c >= min_count) | (hashes == END)
             root = (np.where(own, c, other) + 0.5) / (n + 0.5 * symbols)
-            tokens = _unpacked(row["tokens"])
-            row |= {"symbols": hashes.tobytes(), "counts": _zipped(c), "prob": _zipped(root[tokens].astype(np.float32)), "alive": np.packbits(np.ones(len(tokens), bool)).tobytes()}
-            out.append(row)
+            # A symbol met too seldom is no context of the next one. The mark is met as often as the end.
+            alive = np.ones(len(tokens), bool)
+            alive[1:] = ~(own & (c < least))[tokens[:-1]]
+            out.append(row | {"symbols": np.where(own, hashes, _OTHER).tobytes(), "counts": _zipped(c), "prob": _packed(root.astype(np.float32)[tokens]), "alive": np.packbits(alive).tobytes()})
         return pa.Table.from_pylist(out, _STATE_TYPES)
 
     return run
@@ -237,27 +288,25 @@ def _answer(least: int):
     """Probability of each asked pair, in the order asked, with its context if that is kept; NaN where the context is too rare,
     and negative where the pair is, which is then too rare as a context of the next length.
 
-    A task has all rows of each of its contexts.
+    A bucket has all rows of each of its contexts.
     """
 
     def run(batches):
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        if not rows:
-            return
-        pair = np.concatenate([np.frombuffer(r["pair"], _U) for r in rows])
-        context, n, before = (np.concatenate([_unzipped(r[k], kind) for r in rows]) for k, kind in (("context", _U), ("n", np.uint32), ("before", np.float32)))
-        _, which = np.unique(context, return_inverse=True)
-        _, first, same = np.unique(pair, return_index=True, return_inverse=True)
-        total, seen = np.bincount(which, n), np.bincount(same, n)
-        prob = (seen[same] + SMOOTHING * before) / (total[which] + SMOOTHING)
-        share = seen / np.maximum(total[which[first]], 1)
-        gain = np.bincount(which[first], share * np.log(prob[first] / before[first]), len(total))
-        keep = (gain >= DIVERGENCE) & (gain * total >= EVIDENCE)
-        prob = np.where(total[which] < least, np.nan, np.where(keep[which], prob, before))
-        prob = np.where(seen[same] < least, -prob, prob).astype(np.float32)
-        ends = np.cumsum([len(r["pair"]) // 8 for r in rows])
-        for r, part in zip(rows, np.split(prob, ends[:-1])):
-            yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([_zipped(part)], pa.binary())], ["block", "bucket", "prob"])
+        for rows in _buckets(batches):
+            pair = np.concatenate([np.frombuffer(r["pair"], _U) for r in rows])
+            _, which = np.unique(np.concatenate([_unzipped(r["context"], _U) for r in rows]), return_inverse=True)
+            n, before = (np.concatenate([_unpacked(r[k], kind) for r in rows]) for k, kind in (("n", np.uint32), ("before", np.float32)))
+            _, first, same = np.unique(pair, return_index=True, return_inverse=True)
+            total, seen = np.bincount(which, n), np.bincount(same, n)
+            prob = (seen[same] + SMOOTHING * before) / (total[which] + SMOOTHING)
+            share = seen / np.maximum(total[which[first]], 1)
+            gain = np.bincount(which[first], share * np.log(prob[first] / before[first]), len(total))
+            keep = (gain >= DIVERGENCE) & (gain * total >= EVIDENCE)
+            prob = np.where(total[which] < least, np.nan, np.where(keep[which], prob, before))
+            prob = np.where(seen[same] < least, -prob, prob).astype(np.float32)
+            ends = np.cumsum([len(r["pair"]) // 8 for r in rows])
+            for r, part in zip(rows, np.split(prob, ends[:-1])):
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([_packed(part)], pa.binary())], ["block", "bucket", "prob"])
 
     return run
 
@@ -272,11 +321,11 @@ def _told(d: int, depth: int, width: int, counts: dict[str, int]):
             tokens, size = _unpacked(row["tokens"]), np.array(row["n_tokens"])
             symbol = np.frombuffer(row["symbols"], _U)[tokens]
             alive = np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=len(symbol)).astype(bool)
-            prob = _unzipped(row["prob"], np.float32).copy()
+            prob = _unpacked(row["prob"], np.float32).copy()
             p = _pairs(symbol, size, alive, d, width)
             told = np.full(len(p.pair), np.nan, np.float32)
-            for bucket, at in _in_buckets(p):
-                told[at] = _unzipped(answers[bucket], np.float32)
+            for bucket, at in p.buckets:
+                told[at] = _unpacked(answers[bucket], np.float32)
             told = told[p.which]
             good = ~np.isnan(told)
             prob[p.rows[good]] = np.abs(told[good])
@@ -285,7 +334,7 @@ def _told(d: int, depth: int, width: int, counts: dict[str, int]):
             alive[p.rows + 1] = told > 0
             alive = alive[:-1]
             if d < depth:
-                out.append(row | {"prob": _zipped(prob), "alive": np.packbits(alive).tobytes()})
+                out.append(row | {"prob": _packed(prob), "alive": np.packbits(alive).tobytes()})
             else:
                 out.append(_scores(row, tokens, size, symbol, prob, counts))
         return pa.Table.from_pylist(out, _STATE_TYPES) if d < depth else pa.concat_tables(out)
@@ -315,28 +364,30 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int =
     if depth < 1:
         raise ValueError("depth must be 1 at least")
     spark = docs.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = BUCKETS * tasks
     scratch = Scratch(spark, "suffix-tree")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    blocks = scratch.keep(docs.mapInArrow(_blocks, _BLOCKS), "blocks")
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("slot", "item")).select("block", "slot", F.col("item.words").alias("word"), F.col("item.n").alias("n"))
-    same = Window.partitionBy("word")
-    counted = listed.withColumns({"c": F.sum("n").over(same), "place": F.row_number().over(same.orderBy("block"))}).drop("n")
-    counted = scratch.keep(counted, "counted")
-    own = (F.col("c") >= min_count) | (F.col("word") == F.lit(END))
-    n, v, n_own, v_own, ends = counted.filter("place = 1 and c > 0").agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(own, F.col("c"))), F.lit(0)), F.count_if(own), F.count_if(F.col("word") == F.lit(END))).first()
+
+    def answered(asked: DataFrame, answer, schema: str, name: str) -> DataFrame:
+        """Each bucket in one task, which answers it; kept, so that the questions' shuffle files go."""
+        return scratch.keep(asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, schema), name)
+
+    blocks = scratch.keep(docs.mapInArrow(_blocks, _BLOCKS), "blocks", 2 * BLOCK_BYTES)
+    counted = answered(blocks.select("block", "symbols", "n").mapInArrow(_listed(width), _LISTED), _counted(min_count), _COUNTED, "counted")
+    n, v, n_own, v_own, ends = counted.filter("block is null").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("train_tokens", "distinct", "own_tokens", "own_distinct", "ends")]).first()
     counts = {"train_tokens": n, "distinct": v, "other_tokens": n - n_own, "other_distinct": v - v_own}
     symbols = v_own + 1 - ends + 1  # the end has one, met or not, and the others share one
-    begun, least = _begun(n, symbols, n - n_own, min_count), least_count(n, symbols, min_count)
-    state = scratch.keep(blocks.drop("n").groupBy("block").cogroup(counted.select("block", "slot", "c").groupBy("block")).applyInArrow(begun, _STATE), "state0")
+    least = least_count(n, symbols, min_count)
+    begun = _begun(n, symbols, n - n_own, min_count, least, width)
+    state = scratch.keep(blocks.drop("n").groupBy("block").cogroup(counted.filter("block is not null").select("block", "bucket", "c").groupBy("block")).applyInArrow(begun, _STATE), "state0")
     scratch.drop("blocks", "counted")
     for d in range(1, depth + 1):
-        # Pairs go straight from the blocks into the shuffle; a block finds them again when their answers come.
-        asked = state.select("block", "held_out", "n_tokens", "tokens", "symbols", "prob", "alive").mapInArrow(_asked(d, width), _ASKED).repartition(width, "bucket")
-        answers = asked.mapInArrow(_answer(least), _ANSWER)
+        asked = state.select("block", "held_out", "n_tokens", "tokens", "symbols", "prob", "alive").mapInArrow(_asked(d, width), _ASKED)
+        answers = answered(asked, _answer(least), _ANSWER, f"answers{d}")
+        # A block finds its pairs again when their answers come.
         told = state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(d, depth, width, counts), _STATE if d < depth else _SCORED)
         if d == depth:
             return told
         state = scratch.keep(told, f"state{d}")
-        scratch.drop(f"state{d - 1}")
+        scratch.drop(f"state{d - 1}", f"answers{d}")
