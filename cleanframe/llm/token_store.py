@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import writing
 from .segment import raw, slices, span_hashes
 
 #: The seekable zstandard format (fixed values).
@@ -247,7 +248,8 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 0, or
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"order{i}") for i, c in enumerate(order)])
     by = [*[f"order{i}" for i in range(len(order))], F.xxhash64("text")]
     dealt = docs.repartitionByRange(files, *by).sortWithinPartitions(*by).select("doc_id", "text")
-    dealt.mapInArrow(_write(f"{root}/data", tokenizer, end_id, frame_tokens), _INDEX).write.parquet(f"{root}/index")
+    with writing(spark):
+        dealt.mapInArrow(_write(f"{root}/data", tokenizer, end_id, frame_tokens), _INDEX).write.parquet(f"{root}/index")
     return read_index(spark, root)
 
 
