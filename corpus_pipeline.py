@@ -19,7 +19,7 @@ from cleanframe.llm.decontaminate import without_benchmark
 from cleanframe.llm.language import fit_language, known_language
 from cleanframe.llm.mixing import mix_sources
 from cleanframe.llm.ngram_join import one_of_each_group
-from cleanframe.llm.scratch import Scratch
+from cleanframe.llm.scratch import Scratch, writing
 from cleanframe.llm.token_store import read_tokens, write_tokens
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,6 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(scratch.path(name))
+        with writing(spark):
+            stage(spark, docs, sf_dir).write.parquet(scratch.path(name))
         docs = spark.read.parquet(scratch.path(name))
     return docs
