@@ -14,6 +14,8 @@ hashes to the task that has all of a bucket, which counts them over all blocks a
 travels once for each time it is used. The tree is never gathered: for each length, a block sends its distinct (context, next
 symbol) by hash of the context in the same way, and the answer is the symbol's probability there. Contexts and pairs are
 64-bit hashes too. A context too rare to gather the evidence asked for, by a bound that holds for every distribution, is not asked about.
+A token without a longer context to ask about is summed up, and its probability no longer carried. Probabilities are kept to 15 bits
+after the leading one (an error of 7e-6 of a token's log10), so that tables and shuffles are small.
 
 Edge cases. A null or empty text is the end token alone; a very long text is a block of its own. Repeated rows are each counted and scored; a null id is held out
 if the fold says so, else trained on. Without training texts the counts are 0 and the tree is uniform.
@@ -55,7 +57,7 @@ END = span_hashes(np.frombuffer(b"\n", np.uint8), np.array([0]), np.array([1]))[
 _BLOCKS = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, symbols binary, n binary"
 _LISTED = "block bigint, bucket int, symbols binary, n binary"
 _COUNTED = "block bigint, bucket int, c binary, train_tokens bigint, distinct bigint, own_tokens bigint, own_distinct bigint, ends bigint"
-_STATE = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, symbols binary, counts binary, prob binary, alive binary"
+_STATE = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, symbols binary, sums binary, prob binary, alive binary"
 _ASKED = "block bigint, bucket int, context binary, pair binary, n binary, before binary"
 _ANSWER = "block bigint, bucket int, prob binary"
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -86,6 +88,22 @@ def _unzipped(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+def _rounded(p: np.ndarray) -> np.ndarray:
+    """Positive numbers as floats of four bytes, the last of them zero."""
+    return ((p.astype(np.float32).view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
+def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers in order, a place of each, and the number of each place. Faster than ``np.unique``, as any place will do."""
+    order = np.argsort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = order[new]
+    return x[first], first, which
+
+
 def _row(row: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([row], schema)
 
@@ -105,7 +123,7 @@ def _blocks(batches):
                 hashes.append(w.hash)
                 counts.append(np.diff(w.first))
             count = np.concatenate(counts)
-            distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
+            distinct, _, which = _grouped(np.concatenate(hashes))
             held = batch.column("held_out").slice(low, high - low).to_numpy(zero_copy_only=False).astype(bool)
             trained = np.bincount(which, np.repeat(~held, count), minlength=len(distinct)).astype(np.int64)
             # Tokens by falling frequency, then the end; the end follows each document's words.
@@ -158,15 +176,10 @@ def _buckets(rows) -> Iterator[list[dict]]:
     return (list(part) for _, part in groupby(_rows(rows), itemgetter("bucket")))
 
 
-def _in_buckets(key: np.ndarray, bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Each bucket with the places of its keys, in their order."""
-    order = np.lexsort((key, bucket))
-    at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    return [(int(bucket[part[0]]), part) for part in np.split(order, at[1:])] if len(order) else []
-
-
-def _dealt(hashes: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
-    return _in_buckets(hashes, (hashes % _U(width)).astype(np.int64))
+def _cuts(hashes: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Buckets of hashes in order, with the range of each. A bucket is a range of hashes."""
+    at = np.searchsorted((hashes >> _U(32)) * _U(width) >> _U(32), np.arange(width + 1, dtype=_U))
+    return [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
 
 
 def _listed(width: int):
@@ -175,7 +188,9 @@ def _listed(width: int):
     def run(batches):
         for row in _rows(batches):
             hashes, n = np.frombuffer(row["symbols"], _U), _unzipped(row["n"], np.int64)
-            for bucket, at in _dealt(hashes, width):
+            order = np.argsort(hashes)
+            for bucket, a, b in _cuts(hashes[order], width):
+                at = order[a:b]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([hashes[at].tobytes()], pa.binary()), pa.array([_zipped(n[at])], pa.binary())],
                     ["block", "bucket", "symbols", "n"])
@@ -193,7 +208,7 @@ def _counted(min_count: int):
     def run(batches):
         for rows in _buckets(batches):
             hashes = [np.frombuffer(r["symbols"], _U) for r in rows]
-            distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
+            distinct, _, which = _grouped(np.concatenate(hashes))
             c = np.bincount(which, np.concatenate([_unzipped(r["n"], np.int64) for r in rows]), len(distinct)).astype(np.int64)
             own = (c >= min_count) | (distinct == END)
             yield _row({"train_tokens": int(c.sum()), "distinct": int((c > 0).sum()), "own_tokens": int(c[own].sum()),
@@ -211,20 +226,33 @@ class Pairs:
     rows: np.ndarray  # predicted symbols that have such a context
     which: np.ndarray  # the pair of each
     first: np.ndarray  # a row of each pair
-    context: np.ndarray  # of each pair
+    context: np.ndarray  # of each pair, in order
     pair: np.ndarray
-    buckets: list[tuple[int, np.ndarray]]  # places of the pairs, those of one context together
+    buckets: list[tuple[int, int, int]]
 
 
-def _pairs(symbol: np.ndarray, size: np.ndarray, alive: np.ndarray, d: int, width: int) -> Pairs:
-    s = _symbols(symbol, size, _MARK)
+def _pairs(hashes: np.ndarray, tokens: np.ndarray, size: np.ndarray, alive: np.ndarray, d: int, width: int) -> Pairs:
+    """Pairs by context, then by symbol: every task that reads the block finds the same order."""
+    kinds, _, kind = _grouped(hashes)
+    symbol = kind[tokens]
+    s = _symbols(kinds[symbol], size, _MARK)
     rows = np.flatnonzero(alive & (s.back >= d))
     context = np.full(len(rows), d, _U)
     for k in range(d):
         context = mix(context + s.data[s.at[rows] - 1 - k] * _STEP + _PAIR)
-    pair, first, which = np.unique(mix(context * _PAIR + s.data[s.at[rows]] * _STEP), return_index=True, return_inverse=True)
-    context = context[first]
-    return Pairs(rows, which, first, context, pair, _dealt(context, width))
+    contexts, _, ranked = _grouped(context)
+    key, first, which = _grouped(ranked.astype(_U) << _U(32) | symbol[rows].astype(_U))
+    context = contexts[(key >> _U(32)).astype(np.int64)]
+    return Pairs(rows, which, first, context, mix(context * _PAIR + kinds[(key & _U(0xFFFFFFFF)).astype(np.int64)] * _STEP), _cuts(context, width))
+
+
+def _begin(row: dict, d: int, width: int) -> tuple[np.ndarray, Pairs, np.ndarray]:
+    """Which tokens of a block are asked about at length ``d``, their pairs, and their probabilities so far."""
+    tokens, size = _unpacked(row["tokens"]), np.array(row["n_tokens"])
+    alive = np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=len(tokens)).astype(bool)
+    p = _pairs(_unzipped(row["symbols"], _U), tokens, size, alive, d, width)
+    prob = _unpacked(row["prob"], np.float32)
+    return alive, p, prob[tokens[p.rows]] if d == 1 else prob  # at the root, by token
 
 
 def _asked(d: int, width: int):
@@ -232,15 +260,12 @@ def _asked(d: int, width: int):
 
     def run(batches):
         for row in _rows(batches):
-            symbol = np.frombuffer(row["symbols"], _U)[_unpacked(row["tokens"])]
-            size, held = np.array(row["n_tokens"]), np.array(row["held_out"], bool)
-            prob = _unpacked(row["prob"], np.float32)
-            p = _pairs(symbol, size, np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=len(symbol)).astype(bool), d, width)
-            n = np.bincount(p.which, np.repeat(~held, size)[p.rows], len(p.pair)).astype(np.uint32)
-            before = prob[p.rows[p.first]]
-            for bucket, at in p.buckets:
+            _, p, prob = _begin(row, d, width)
+            n = np.bincount(p.which, np.repeat(~np.array(row["held_out"], bool), row["n_tokens"])[p.rows], len(p.pair)).astype(np.uint32)
+            before = prob[p.first]
+            for bucket, a, b in p.buckets:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (_zipped(p.context[at]), p.pair[at].tobytes(), _packed(n[at]), _packed(before[at]))]],
+                    [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (_zipped(p.context[a:b]), p.pair[a:b].tobytes(), _packed(n[a:b]), _packed(before[a:b]))]],
                     ["block", "bucket", "context", "pair", "n", "before"])
 
     return run
@@ -259,26 +284,38 @@ def least_count(n: int, symbols: int, min_count: int) -> int:
 
 
 _STATE_TYPES = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
-                          *[(x, pa.binary()) for x in ("tokens", "symbols", "counts", "prob", "alive")]])
+                          *[(x, pa.binary()) for x in ("tokens", "symbols", "sums", "prob", "alive")]])
 
 
-def _begun(n: int, symbols: int, other: int, min_count: int, least: int, width: int):
-    """Blocks with the counts of their tokens: each token's symbol and its probability at the root."""
+def _by_text(size: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Sums over the tokens of each text, or over those in ``rows``."""
+    text = np.repeat(np.arange(len(size)), size)
+    return np.bincount(text if rows is None else text[rows], x, len(size))
+
+
+def _begun(counts: dict[str, int], symbols: int, min_count: int, least: int, width: int):
+    """Blocks with the counts of their tokens: each token's symbol and its probability at the root; sums that need no context."""
+    n, v, other, kinds = (counts[k] for k in ("train_tokens", "distinct", "other_tokens", "other_distinct"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("c").to_pylist()))
         out = []
         for row in left.to_pylist():
-            hashes, tokens = np.frombuffer(row["symbols"], _U), _unpacked(row["tokens"])
-            c = np.zeros(len(hashes), np.int64)
-            for bucket, at in _dealt(hashes, width):
-                c[at] = _unzipped(answers[bucket], np.int64)
+            hashes, tokens, size = np.frombuffer(row["symbols"], _U), _unpacked(row["tokens"]), np.array(row["n_tokens"])
+            order, c = np.argsort(hashes), np.zeros(len(hashes), np.int64)
+            for bucket, a, b in _cuts(hashes[order], width):
+                c[order[a:b]] = _unzipped(answers[bucket], np.int64)
             own = (c >= min_count) | (hashes == END)
-            root = (np.where(own, c, other) + 0.5) / (n + 0.5 * symbols)
+            root = _rounded((np.where(own, c, other) + 0.5) / (n + 0.5 * symbols))
+            base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+            # Within the shared symbol: discounted counts, and the rest for a token never met.
+            within = np.where(c > 0, np.maximum(c - DISCOUNT, 1e-9), DISCOUNT * kinds) / other if other else np.ones(len(c))
             # A symbol met too seldom is no context of the next one. The mark is met as often as the end.
             alive = np.ones(len(tokens), bool)
             alive[1:] = ~(own & (c < least))[tokens[:-1]]
-            out.append(row | {"symbols": np.where(own, hashes, _OTHER).tobytes(), "counts": _zipped(c), "prob": _packed(root.astype(np.float32)[tokens]), "alive": np.packbits(alive).tobytes()})
+            log = np.where(own, 0.0, np.log10(within))[tokens] + np.where(alive, 0.0, np.log10(root.astype(np.float64))[tokens])
+            sums = np.array([_by_text(size, (c > 0)[tokens]), _by_text(size, base[tokens]), _by_text(size, log)])
+            out.append(row | {"symbols": _zipped(np.where(own, hashes, _OTHER)), "sums": sums.tobytes(), "prob": _packed(root), "alive": np.packbits(alive).tobytes()})
         return pa.Table.from_pylist(out, _STATE_TYPES)
 
     return run
@@ -294,16 +331,16 @@ def _answer(least: int):
     def run(batches):
         for rows in _buckets(batches):
             pair = np.concatenate([np.frombuffer(r["pair"], _U) for r in rows])
-            _, which = np.unique(np.concatenate([_unzipped(r["context"], _U) for r in rows]), return_inverse=True)
+            which = _grouped(np.concatenate([_unzipped(r["context"], _U) for r in rows]))[2]
             n, before = (np.concatenate([_unpacked(r[k], kind) for r in rows]) for k, kind in (("n", np.uint32), ("before", np.float32)))
-            _, first, same = np.unique(pair, return_index=True, return_inverse=True)
+            _, first, same = _grouped(pair)
             total, seen = np.bincount(which, n), np.bincount(same, n)
             prob = (seen[same] + SMOOTHING * before) / (total[which] + SMOOTHING)
             share = seen / np.maximum(total[which[first]], 1)
             gain = np.bincount(which[first], share * np.log(prob[first] / before[first]), len(total))
             keep = (gain >= DIVERGENCE) & (gain * total >= EVIDENCE)
-            prob = np.where(total[which] < least, np.nan, np.where(keep[which], prob, before))
-            prob = np.where(seen[same] < least, -prob, prob).astype(np.float32)
+            prob = _rounded(np.where(keep[which], prob, before))
+            prob = np.where(total[which] < least, np.float32(np.nan), np.where(seen[same] < least, -prob, prob))
             ends = np.cumsum([len(r["pair"]) // 8 for r in rows])
             for r, part in zip(rows, np.split(prob, ends[:-1])):
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([_packed(part)], pa.binary())], ["block", "bucket", "prob"])
@@ -311,51 +348,41 @@ def _answer(least: int):
     return run
 
 
-def _told(d: int, depth: int, width: int, counts: dict[str, int]):
+def _told(d: int, depth: int, width: int, train_tokens: int):
     """Blocks with the answers for length ``d``: their probabilities so far, or after the last one the scores."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("prob").to_pylist()))
         out = []
         for row in left.to_pylist():
-            tokens, size = _unpacked(row["tokens"]), np.array(row["n_tokens"])
-            symbol = np.frombuffer(row["symbols"], _U)[tokens]
-            alive = np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=len(symbol)).astype(bool)
-            prob = _unpacked(row["prob"], np.float32).copy()
-            p = _pairs(symbol, size, alive, d, width)
+            size = np.array(row["n_tokens"])
+            alive, p, prob = _begin(row, d, width)
             told = np.full(len(p.pair), np.nan, np.float32)
-            for bucket, at in p.buckets:
-                told[at] = _unpacked(answers[bucket], np.float32)
+            for bucket, a, b in p.buckets:
+                told[a:b] = _unpacked(answers[bucket], np.float32)
             told = told[p.which]
-            good = ~np.isnan(told)
-            prob[p.rows[good]] = np.abs(told[good])
-            # A context and its last symbol are a context of the symbol that follows.
-            alive = np.zeros(len(symbol) + 1, bool)
-            alive[p.rows + 1] = told > 0
-            alive = alive[:-1]
+            prob = np.where(np.isnan(told), prob, np.abs(told))
+            # A context and its last symbol are a context of the symbol that follows, met no more often than those it ends with.
+            longer = np.zeros(len(alive) + 1, bool)
             if d < depth:
-                out.append(row | {"prob": _packed(prob), "alive": np.packbits(alive).tobytes()})
+                longer[p.rows + 1] = told > 0
+                longer[:-1] &= alive
+                begin = np.cumsum(size) - size
+                for k in range(d):  # the first tokens of a text have no context of that length
+                    longer[(begin + k)[size > k]] = False
+            stays = longer[p.rows]
+            sums = np.frombuffer(row["sums"]).reshape(3, -1).copy()
+            sums[2] += _by_text(size, np.log10(prob[~stays].astype(np.float64)), p.rows[~stays])
+            if d < depth:
+                out.append(row | {"sums": sums.tobytes(), "prob": _packed(prob[stays]), "alive": np.packbits(longer[:-1]).tobytes()})
             else:
-                out.append(_scores(row, tokens, size, symbol, prob, counts))
+                out.append(pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": size, "n_known": sums[0].astype(np.int64),
+                                     "train_tokens": np.full(len(size), train_tokens), "base_score": sums[1], "score": sums[2]}))
         return pa.Table.from_pylist(out, _STATE_TYPES) if d < depth else pa.concat_tables(out)
 
     return run
 
 
-def _scores(row: dict, tokens: np.ndarray, size: np.ndarray, symbol: np.ndarray, prob: np.ndarray, counts: dict[str, int]) -> pa.Table:
-    """Sum the scores of a block's texts."""
-    c = _unzipped(row["counts"], np.int64)
-    n, v, other, kinds = (counts[k] for k in ("train_tokens", "distinct", "other_tokens", "other_distinct"))
-    base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    # Within the shared symbol: discounted counts, and the rest for a token never met.
-    within = np.where(c > 0, np.maximum(c - DISCOUNT, 1e-9), DISCOUNT * kinds) / other if other else np.ones(len(c))
-    log = np.log10(prob.astype(np.float64)) + np.where(symbol == _OTHER, np.log10(within)[tokens], 0.0)
-    begin = np.cumsum(size) - size
-    sums = [np.add.reduceat(x, begin) for x in ((c > 0).astype(np.int64)[tokens], base[tokens], log)]
-    return pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": size,
-                     "n_known": sums[0], "train_tokens": np.full(len(size), n), "base_score": sums[1], "score": sums[2]})
-
-
 def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int = MIN_COUNT) -> DataFrame:
     """Score every row of (doc_id, text) by a tree learnt from the rows for which the column ``held_out`` is false.
 
@@ -379,14 +406,14 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int =
     counts = {"train_tokens": n, "distinct": v, "other_tokens": n - n_own, "other_distinct": v - v_own}
     symbols = v_own + 1 - ends + 1  # the end has one, met or not, and the others share one
     least = least_count(n, symbols, min_count)
-    begun = _begun(n, symbols, n - n_own, min_count, least, width)
+    begun = _begun(counts, symbols, min_count, least, width)
     state = scratch.keep(blocks.drop("n").groupBy("block").cogroup(counted.filter("block is not null").select("block", "bucket", "c").groupBy("block")).applyInArrow(begun, _STATE), "state0")
     scratch.drop("blocks", "counted")
     for d in range(1, depth + 1):
         asked = state.select("block", "held_out", "n_tokens", "tokens", "symbols", "prob", "alive").mapInArrow(_asked(d, width), _ASKED)
         answers = answered(asked, _answer(least), _ANSWER, f"answers{d}")
         # A block finds its pairs again when their answers come.
-        told = state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(d, depth, width, counts), _STATE if d < depth else _SCORED)
+        told = state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(d, depth, width, n), _STATE if d < depth else _SCORED)
         if d == depth:
             return told
         state = scratch.keep(told, f"state{d}")
