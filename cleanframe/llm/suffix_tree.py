@@ -47,6 +47,8 @@ SMOOTHING = 20.0
 DISCOUNT = 0.75
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
+#: Bytes of a symbol's hash that tell it from the others that follow a context.
+SYMBOL_BYTES = 7
 #: Buckets for each shuffle partition: a task answers one bucket after the other.
 BUCKETS = 4
 
@@ -58,22 +60,25 @@ _BLOCKS = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens
 _LISTED = "block bigint, bucket int, symbols binary, n binary"
 _COUNTED = "block bigint, bucket int, c binary, train_tokens bigint, distinct bigint, own_tokens bigint, own_distinct bigint, ends bigint"
 _STATE = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, symbols binary, sums binary, prob binary, alive binary"
-_ASKED = "block bigint, bucket int, context binary, pair binary, n binary, before binary"
+_ASKED = "block bigint, bucket int, context binary, symbol binary, n binary, before binary"
 _ANSWER = "block bigint, bucket int, prob binary"
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Numbers of four bytes, byte by byte, compressed: equal leading bytes lie together."""
+def _packed(x: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of a few bytes, byte by byte, compressed: equal leading bytes lie together."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, -width:].T).tobytes())
 
 
-def _unpacked(blob: bytes, kind="<u4") -> np.ndarray:
+def _unpacked(blob: bytes, kind="<u4", width: int = 4) -> np.ndarray:
     import zstandard
 
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view(kind).ravel()
+    held = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(width, -1)
+    out = np.zeros((held.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, -width:] = held.T
+    return out.view(kind).ravel()
 
 
 def _zipped(x: np.ndarray) -> bytes:
@@ -94,14 +99,14 @@ def _rounded(p: np.ndarray) -> np.ndarray:
 
 
 def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct numbers in order, a place of each, and the number of each place. Faster than ``np.unique``, as any place will do."""
+    """Distinct numbers in order, a place of each, and the number of each place. Smaller and faster than ``np.unique``, as any place will do."""
     order = np.argsort(x)
+    x = x[order]
     new = np.ones(len(x), bool)
-    new[1:] = x[order[1:]] != x[order[:-1]]
-    which = np.empty(len(x), np.int64)
-    which[order] = np.cumsum(new) - 1
-    first = order[new]
-    return x[first], first, which
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    which = np.empty(len(x), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], order[new], which
 
 
 def _row(row: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -140,26 +145,6 @@ def _blocks(batches):
             number += 1
 
 
-@dataclass
-class Symbols:
-    """Texts as symbols: each text begins with the mark, which is not predicted itself."""
-
-    data: np.ndarray
-    text: np.ndarray  # of each predicted symbol
-    at: np.ndarray  # its place in data
-    back: np.ndarray  # symbols before it in its text, the mark included
-
-
-def _symbols(symbol: np.ndarray, size: np.ndarray, mark: int) -> Symbols:
-    """Lay out the symbols of texts of the given sizes."""
-    begin = np.cumsum(size + 1) - size - 1
-    text = np.repeat(np.arange(len(size)), size)
-    back = np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size) + 1
-    data = np.full(len(symbol) + len(size), mark, _U)
-    data[begin[text] + back] = symbol
-    return Symbols(data, text, begin[text] + back, back)
-
-
 #: Shared symbol and mark of a beginning, as hashes.
 _OTHER, _MARK = _U(0), _U(1)
 _STEP, _PAIR = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -227,7 +212,7 @@ class Pairs:
     which: np.ndarray  # the pair of each
     first: np.ndarray  # a row of each pair
     context: np.ndarray  # of each pair, in order
-    pair: np.ndarray
+    symbol: np.ndarray
     buckets: list[tuple[int, int, int]]
 
 
@@ -235,15 +220,23 @@ def _pairs(hashes: np.ndarray, tokens: np.ndarray, size: np.ndarray, alive: np.n
     """Pairs by context, then by symbol: every task that reads the block finds the same order."""
     kinds, _, kind = _grouped(hashes)
     symbol = kind[tokens]
-    s = _symbols(kinds[symbol], size, _MARK)
-    rows = np.flatnonzero(alive & (s.back >= d))
-    context = np.full(len(rows), d, _U)
+    # Each text begins with the mark, which is not predicted itself.
+    back = np.arange(1, len(symbol) + 1, dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+    rows = np.flatnonzero(alive & (back >= d)).astype(np.int32)
+    context, marked = np.full(len(rows), d, _U), np.append(kinds, _MARK)
     for k in range(d):
-        context = mix(context + s.data[s.at[rows] - 1 - k] * _STEP + _PAIR)
+        before = np.where(back[rows] == k + 1, len(kinds), symbol[np.maximum(rows - 1 - k, 0)])
+        context += marked[before] * _STEP
+        context += _PAIR
+        context = mix(context)
+    del back
     contexts, _, ranked = _grouped(context)
-    key, first, which = _grouped(ranked.astype(_U) << _U(32) | symbol[rows].astype(_U))
+    key = ranked.astype(_U) << _U(32)
+    del context, ranked
+    key |= symbol[rows].astype(_U)
+    key, first, which = _grouped(key)
     context = contexts[(key >> _U(32)).astype(np.int64)]
-    return Pairs(rows, which, first, context, mix(context * _PAIR + kinds[(key & _U(0xFFFFFFFF)).astype(np.int64)] * _STEP), _cuts(context, width))
+    return Pairs(rows, which, first, context, kinds[(key & _U(0xFFFFFFFF)).astype(np.int64)], _cuts(context, width))
 
 
 def _begin(row: dict, d: int, width: int) -> tuple[np.ndarray, Pairs, np.ndarray]:
@@ -261,12 +254,12 @@ def _asked(d: int, width: int):
     def run(batches):
         for row in _rows(batches):
             _, p, prob = _begin(row, d, width)
-            n = np.bincount(p.which, np.repeat(~np.array(row["held_out"], bool), row["n_tokens"])[p.rows], len(p.pair)).astype(np.uint32)
+            n = np.bincount(p.which, np.repeat(~np.array(row["held_out"], bool), row["n_tokens"])[p.rows], len(p.context)).astype(np.uint32)
             before = prob[p.first]
             for bucket, a, b in p.buckets:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (_zipped(p.context[a:b]), p.pair[a:b].tobytes(), _packed(n[a:b]), _packed(before[a:b]))]],
-                    ["block", "bucket", "context", "pair", "n", "before"])
+                    [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (_zipped(p.context[a:b]), _packed(p.symbol[a:b], SYMBOL_BYTES), _packed(n[a:b]), _packed(before[a:b]))]],
+                    ["block", "bucket", "context", "symbol", "n", "before"])
 
     return run
 
@@ -330,10 +323,11 @@ def _answer(least: int):
 
     def run(batches):
         for rows in _buckets(batches):
-            pair = np.concatenate([np.frombuffer(r["pair"], _U) for r in rows])
-            which = _grouped(np.concatenate([_unzipped(r["context"], _U) for r in rows]))[2]
+            context, symbol = (np.concatenate(x) for x in zip(*[(_unzipped(r["context"], _U), _unpacked(r["symbol"], _U, SYMBOL_BYTES)) for r in rows]))
+            which = _grouped(context)[2]
             n, before = (np.concatenate([_unpacked(r[k], kind) for r in rows]) for k, kind in (("n", np.uint32), ("before", np.float32)))
-            _, first, same = _grouped(pair)
+            _, first, same = _grouped(mix(context * _PAIR + symbol * _STEP))
+            del context, symbol
             total, seen = np.bincount(which, n), np.bincount(same, n)
             prob = (seen[same] + SMOOTHING * before) / (total[which] + SMOOTHING)
             share = seen / np.maximum(total[which[first]], 1)
@@ -341,7 +335,7 @@ def _answer(least: int):
             keep = (gain >= DIVERGENCE) & (gain * total >= EVIDENCE)
             prob = _rounded(np.where(keep[which], prob, before))
             prob = np.where(total[which] < least, np.float32(np.nan), np.where(seen[same] < least, -prob, prob))
-            ends = np.cumsum([len(r["pair"]) // 8 for r in rows])
+            ends = np.cumsum([len(_unzipped(r["context"], _U)) for r in rows])
             for r, part in zip(rows, np.split(prob, ends[:-1])):
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([_packed(part)], pa.binary())], ["block", "bucket", "prob"])
 
@@ -357,7 +351,7 @@ def _told(d: int, depth: int, width: int, train_tokens: int):
         for row in left.to_pylist():
             size = np.array(row["n_tokens"])
             alive, p, prob = _begin(row, d, width)
-            told = np.full(len(p.pair), np.nan, np.float32)
+            told = np.full(len(p.context), np.nan, np.float32)
             for bucket, a, b in p.buckets:
                 told[a:b] = _unpacked(answers[bucket], np.float32)
             told = told[p.which]
