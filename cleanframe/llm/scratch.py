@@ -35,6 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -45,8 +46,17 @@ class Scratch:
             df.write.mode("errorifexists").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_by(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """Write a table in buckets of ``key``, so that later joins and groups by the key need no shuffle of it."""
+        self.tables[name] = table = f"scratch_{uuid.uuid4().hex}"
+        with writing(self.spark):
+            df.write.mode("errorifexists").format("parquet").bucketBy(buckets, key).option("path", self.path(name)).saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE {self.tables.pop(name)}")
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

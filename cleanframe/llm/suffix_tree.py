@@ -12,8 +12,9 @@ one unknown token, as those of the unigram model are.
 All training texts are counted. Texts are cut into blocks; a block sends its distinct tokens, known by 64-bit hashes, in buckets of
 hashes to the task that has all of a bucket, which counts them over all blocks and answers with their counts, so that no token
 travels once for each time it is used. The tree is never gathered: for each length, a block sends its distinct (context, next
-symbol) by hash of the context in the same way, and the answer is the symbol's probability there. Contexts and pairs are
-64-bit hashes too. A context too rare to gather the evidence asked for, by a bound that holds for every distribution, is not asked about.
+symbol) by hash of the context in the same way, and the answer is the symbol's probability there. Contexts are 64-bit hashes
+too; the symbols that follow one context are told apart by 48 bits. Blocks are kept in tables bucketed by block, so only answers
+are shuffled to them. A context too rare to gather the evidence asked for, by a bound that holds for every distribution, is not asked about.
 A token without a longer context to ask about is summed up, and its probability no longer carried. Probabilities are kept to 15 bits
 after the leading one (an error of 7e-6 of a token's log10), so that tables and shuffles are small.
 
@@ -47,8 +48,10 @@ SMOOTHING = 20.0
 DISCOUNT = 0.75
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
+#: Tokens whose contexts are hashed at once.
+ROWS = 1 << 18
 #: Bytes of a symbol's hash that tell it from the others that follow a context.
-SYMBOL_BYTES = 7
+SYMBOL_BYTES = 6
 #: Buckets for each shuffle partition: a task answers one bucket after the other.
 BUCKETS = 4
 
@@ -69,7 +72,7 @@ def _packed(x: np.ndarray, width: int = 4) -> bytes:
     """Numbers of a few bytes, byte by byte, compressed: equal leading bytes lie together."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, -width:].T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)[:, -width:].T).tobytes())
 
 
 def _unpacked(blob: bytes, kind="<u4", width: int = 4) -> np.ndarray:
@@ -224,11 +227,10 @@ def _pairs(hashes: np.ndarray, tokens: np.ndarray, size: np.ndarray, alive: np.n
     back = np.arange(1, len(symbol) + 1, dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
     rows = np.flatnonzero(alive & (back >= d)).astype(np.int32)
     context, marked = np.full(len(rows), d, _U), np.append(kinds, _MARK)
-    for k in range(d):
-        before = np.where(back[rows] == k + 1, len(kinds), symbol[np.maximum(rows - 1 - k, 0)])
-        context += marked[before] * _STEP
-        context += _PAIR
-        context = mix(context)
+    for a in range(0, len(rows), ROWS):
+        at, h = rows[a : a + ROWS], context[a : a + ROWS]
+        for k in range(d):
+            h[:] = mix(h + marked[np.where(back[at] == k + 1, len(kinds), symbol[np.maximum(at - 1 - k, 0)])] * _STEP + _PAIR)
     del back
     contexts, _, ranked = _grouped(context)
     key = ranked.astype(_U) << _U(32)
@@ -282,7 +284,7 @@ _STATE_TYPES = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())
 
 def _by_text(size: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
     """Sums over the tokens of each text, or over those in ``rows``."""
-    text = np.repeat(np.arange(len(size)), size)
+    text = np.repeat(np.arange(len(size), dtype=np.int32), size)
     return np.bincount(text if rows is None else text[rows], x, len(size))
 
 
@@ -401,7 +403,7 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int =
     symbols = v_own + 1 - ends + 1  # the end has one, met or not, and the others share one
     least = least_count(n, symbols, min_count)
     begun = _begun(counts, symbols, min_count, least, width)
-    state = scratch.keep(blocks.drop("n").groupBy("block").cogroup(counted.filter("block is not null").select("block", "bucket", "c").groupBy("block")).applyInArrow(begun, _STATE), "state0")
+    state = scratch.keep_by(blocks.drop("n").groupBy("block").cogroup(counted.filter("block is not null").select("block", "bucket", "c").groupBy("block")).applyInArrow(begun, _STATE), "state0", "block", tasks)
     scratch.drop("blocks", "counted")
     for d in range(1, depth + 1):
         asked = state.select("block", "held_out", "n_tokens", "tokens", "symbols", "prob", "alive").mapInArrow(_asked(d, width), _ASKED)
@@ -410,5 +412,5 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int =
         told = state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(d, depth, width, n), _STATE if d < depth else _SCORED)
         if d == depth:
             return told
-        state = scratch.keep(told, f"state{d}")
+        state = scratch.keep_by(told, f"state{d}", "block", tasks)
         scratch.drop(f"state{d - 1}", f"answers{d}")
