@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,6 +76,34 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a reused Python worker would keep that of its largest task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def done(run: Callable, *args):
+    """The result of a call, whose working memory is given back."""
+    try:
+        return run(*args)
+    finally:
+        give_back()
+
+
+def released(run: Callable) -> Callable:
+    """A function over batches that gives its working memory back when it ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes each, so that working arrays stay small; a longer text stands alone."""
     offsets = raw(texts)[1]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .segment import mix, slices, span_hashes, words
+from .segment import done, mix, released, slices, span_hashes, words
 
 DEPTH = 3
 #: Times that a token with a symbol of its own, and a context, is met in training at least: what is met once cannot be met again.
@@ -123,7 +123,7 @@ def _blocks(batches):
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         texts = batch.column("text")
-        for low, high in slices(texts, BLOCK_BYTES):
+        for low, high in slices(texts, 2 * BLOCK_BYTES):  # a batch is a block, but for very long texts
             part = texts.slice(low, high - low)
             hashes, counts = [], []
             for a, b in slices(part):
@@ -313,7 +313,7 @@ def _begun(counts: dict[str, int], symbols: int, min_count: int, least: int, wid
             out.append(row | {"symbols": _zipped(np.where(own, hashes, _OTHER)), "sums": sums.tobytes(), "prob": _packed(root), "alive": np.packbits(alive).tobytes()})
         return pa.Table.from_pylist(out, _STATE_TYPES)
 
-    return run
+    return lambda left, right: done(run, left, right)
 
 
 def _answer(least: int):
@@ -376,7 +376,7 @@ def _told(d: int, depth: int, width: int, train_tokens: int):
                                      "train_tokens": np.full(len(size), train_tokens), "base_score": sums[1], "score": sums[2]}))
         return pa.Table.from_pylist(out, _STATE_TYPES) if d < depth else pa.concat_tables(out)
 
-    return run
+    return lambda left, right: done(run, left, right)
 
 
 def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int = MIN_COUNT) -> DataFrame:
@@ -394,10 +394,10 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int =
 
     def answered(asked: DataFrame, answer, schema: str, name: str) -> DataFrame:
         """Each bucket in one task, which answers it; kept, so that the questions' shuffle files go."""
-        return scratch.keep(asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, schema), name)
+        return scratch.keep(asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(released(answer), schema), name)
 
-    blocks = scratch.keep(docs.mapInArrow(_blocks, _BLOCKS), "blocks", 2 * BLOCK_BYTES)
-    counted = answered(blocks.select("block", "symbols", "n").mapInArrow(_listed(width), _LISTED), _counted(min_count), _COUNTED, "counted")
+    blocks = scratch.keep(docs.mapInArrow(released(_blocks), _BLOCKS), "blocks", BLOCK_BYTES)
+    counted = answered(blocks.select("block", "symbols", "n").mapInArrow(released(_listed(width)), _LISTED), _counted(min_count), _COUNTED, "counted")
     n, v, n_own, v_own, ends = counted.filter("block is null").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("train_tokens", "distinct", "own_tokens", "own_distinct", "ends")]).first()
     counts = {"train_tokens": n, "distinct": v, "other_tokens": n - n_own, "other_distinct": v - v_own}
     symbols = v_own + 1 - ends + 1  # the end has one, met or not, and the others share one
@@ -406,7 +406,7 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int =
     state = scratch.keep_by(blocks.drop("n").groupBy("block").cogroup(counted.filter("block is not null").select("block", "bucket", "c").groupBy("block")).applyInArrow(begun, _STATE), "state0", "block", tasks)
     scratch.drop("blocks", "counted")
     for d in range(1, depth + 1):
-        asked = state.select("block", "held_out", "n_tokens", "tokens", "symbols", "prob", "alive").mapInArrow(_asked(d, width), _ASKED)
+        asked = state.select("block", "held_out", "n_tokens", "tokens", "symbols", "prob", "alive").mapInArrow(released(_asked(d, width)), _ASKED)
         answers = answered(asked, _answer(least), _ANSWER, f"answers{d}")
         # A block finds its pairs again when their answers come.
         told = state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(d, depth, width, n), _STATE if d < depth else _SCORED)
