@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import writing
-from .segment import raw, slices, span_hashes
+from .segment import raw, released, slices, span_hashes
 
 #: The seekable zstandard format (fixed values).
 SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -249,7 +249,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 0, or
     by = [*[f"order{i}" for i in range(len(order))], F.xxhash64("text")]
     dealt = docs.repartitionByRange(files, *by).sortWithinPartitions(*by).select("doc_id", "text")
     with writing(spark):
-        dealt.mapInArrow(_write(f"{root}/data", tokenizer, end_id, frame_tokens), _INDEX).write.parquet(f"{root}/index")
+        dealt.mapInArrow(released(_write(f"{root}/data", tokenizer, end_id, frame_tokens)), _INDEX).write.parquet(f"{root}/index")
     return read_index(spark, root)
 
 
