@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .scratch import Scratch
-from .segment import gram_hashes, slices, words
+from .segment import gram_hashes, released, slices, words
 
 #: Hashed counters of n-gram frequency: 2^20 numbers, whatever the input.
 COUNTER_BITS = 20
@@ -245,7 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link; each row carries the two whole sets."""
     left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("grams_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(percent), "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(released(_verify(percent)), "a bigint, b bigint")
 
 
 def _can_link(percent: int):
@@ -291,19 +291,19 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = scratch.keep(docs.mapInArrow(_profile(n), _PROFILE), "profile")
+    profile = scratch.keep(docs.mapInArrow(released(_profile(n)), _PROFILE), "profile")
     rows = profile.filter("block is null").select("doc_id", "n_shingles", "cls")
 
     counters = spark.sparkContext.broadcast(_counters(profile))
-    postings = docs.select("text").mapInArrow(_postings(counters, n, percent, hot), _POSTING)
+    postings = docs.select("text").mapInArrow(released(_postings(counters, n, percent, hot)), _POSTING)
     width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    live = scratch.keep(postings.repartition(width, "gram", "salt").mapInArrow(_shared, "gram bigint, cls bigint, n int, pos int"), "live")
+    live = scratch.keep(postings.repartition(width, "gram", "salt").mapInArrow(released(_shared), "gram bigint, cls bigint, n int, pos int"), "live")
 
     # One document of each class that has a candidate; a null id is found by its text.
     chosen = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(live.select("cls").distinct(), "cls", "left_semi")
     chosen = _small(scratch.keep(chosen, "chosen"))
     whole = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"])).select("text", "cls")
-    sets = scratch.keep(whole.mapInArrow(_set_rows(n), _SETS), "sets")
+    sets = scratch.keep(whole.mapInArrow(released(_set_rows(n)), _SETS), "sets")
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -358,7 +358,7 @@ def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     shared = _small(shared)
     alone = docs.join(shared, "doc_id", "left_anti").join(gone, "doc_id", "left_anti")
     kind = T.StructType([*docs.schema.fields, T.StructField(CLASS, T.LongType())])
-    held = docs.join(shared, "doc_id", "left_semi").select(docs.columns).mapInArrow(_classed(n), kind)
+    held = docs.join(shared, "doc_id", "left_semi").select(docs.columns).mapInArrow(released(_classed(n)), kind)
     first = named.filter("component_id = doc_id").select(F.col("doc_id").alias(f"{CLASS}_id"), F.col("cls").alias(f"{CLASS}_set"), F.col("comp").alias(f"{CLASS}_group")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     kept = held.join(first, (F.col("doc_id") == F.col(f"{CLASS}_id")) & (F.col(CLASS) == F.col(f"{CLASS}_set")))
