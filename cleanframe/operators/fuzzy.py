@@ -4,8 +4,9 @@ Similarity is ``100 * (1 - edits / letters of the longer value)``, with the edit
 ``l`` letters may differ by ``k`` edits, which threshold and length give. It is cut into ``k + 1`` segments, so a value within
 ``k`` edits of it holds at least one segment unchanged, shifted by at most ``k`` letters. Segments are joined by hash and rough
 place with the substrings of values that are as long or shorter; place, length and hashed letter pairs rule out most of the
-candidates, each remaining pair is verified once, and no two values without a common segment ever meet. A segment
-that many values share is dealt to several tasks.
+candidates, the rest are verified where they meet, so that only similar pairs are shuffled, and no two values without a common
+segment ever meet. A run of common segments at one shift is verified at its first. A segment that many values share is dealt to
+several tasks. Only the list of such segments is broadcast, one of ``HOT`` segments at most.
 
 Values are counted first, so repeated rows cost nothing. The work grows with the letters of all distinct values: columns of names,
 addresses or titles suit it.
@@ -24,7 +25,7 @@ from ..functions.types import col, is_text, require_columns, text_columns
 from ..plans.fused import empty, union_all
 from ..sources.shared import shared_folder
 
-HOT = 5_000  # values that share a segment, in one task
+HOT = 4_000  # values that share a segment, in one task; a sort-merge join keeps 4,096 rows of a key at hand
 _PAIRS = "value_a string, value_b string, rows_a bigint, rows_b bigint, distance int, similarity double"
 
 
@@ -43,8 +44,8 @@ def _letter_pairs(value: str, seed: int) -> Column:
         "0L, (x, y) -> x | y)")
 
 
-def _candidates(values: DataFrame, slack: int) -> DataFrame:
-    """Pairs (long, short) of ids that share a segment and may lie within the edits that the longer one allows.
+def _pairs(values: DataFrame, slack: int) -> DataFrame:
+    """Pairs (long, short, distance) of ids that lie within the edits that the longer one allows.
 
     ``slack`` is the allowed share of edits in 1/10000.
     """
@@ -53,9 +54,9 @@ def _candidates(values: DataFrame, slack: int) -> DataFrame:
     # lengths from 2^size on share a grid of places
     width = "shiftleft(1L, greatest(size - 4, 3))"
     cut = known.withColumn("k", _long(edits("n"))).filter("k > 0").withColumn("size", F.expr("length(bin(n))"))
-    cut = cut.withColumn("segment", F.explode(F.expr("transform(sequence(0L, k), i -> struct(i * n div (k + 1) as at, (i + 1) * n div (k + 1) as upto))")))
+    cut = cut.withColumn("segment", F.explode(F.expr("transform(sequence(0L, k), i -> struct(greatest(i - 1, 0L) * n div (k + 1) as last, i * n div (k + 1) as at, (i + 1) * n div (k + 1) as upto))")))
     cut = cut.selectExpr(
-        "id", "n", "k", "s1", "s2", "segment.at as at",
+        "id", "normal", "n", "k", "s1", "s2", "segment.at as at", "cast(segment.at - segment.last as int) as back",
         f"xxhash64(xxhash64(substring(normal, cast(segment.at + 1 as int), cast(segment.upto - segment.at as int))), size, segment.at div {width}) as key")
     reach = f"(n * 10000 div {10000 - slack})"  # the longest value that may match
     held = known.withColumn("longest", _long(reach)).filter(edits("longest") + " > 0")
@@ -67,8 +68,9 @@ def _candidates(values: DataFrame, slack: int) -> DataFrame:
     held = held.withColumn("at", F.explode(F.expr("sequence(0L, n - part)")))
     held = held.withColumn("gram", F.expr("xxhash64(substring(normal, cast(at + 1 as int), cast(part as int)))"))
     held = held.withColumn("place", F.explode(F.expr(f"sequence(greatest(at - shift, 0L) div {width}, (at + shift) div {width})")))
-    held = held.selectExpr("id", "n", "s1", "s2", "at", "xxhash64(gram, size, place) as key")
+    held = held.selectExpr("id", "normal", "n", "s1", "s2", "at", "xxhash64(gram, size, place) as key")
     hot = cut.groupBy("key").agg(F.ceil(F.count("*") / F.lit(HOT)).cast("int").alias("parts")).filter("parts > 1")
+    hot = F.broadcast(hot)
     cut = cut.join(hot, "key", "left").withColumn("salt", F.expr("if(parts is null, 0, cast(pmod(xxhash64(id), parts) as int))")).drop("parts")
     held = held.join(hot, "key", "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
     a, b = cut.alias("a"), held.alias("b")
@@ -77,8 +79,12 @@ def _candidates(values: DataFrame, slack: int) -> DataFrame:
         "and abs(a.at - b.at) + abs((a.n - a.at) - (b.n - b.at)) <= a.k "
         # an edit changes at most two pairs of letters of either value
         "and bit_count(a.s1 & ~b.s1) <= 2 * a.k and bit_count(b.s1 & ~a.s1) <= 2 * a.k "
-        "and bit_count(a.s2 & ~b.s2) <= 2 * a.k and bit_count(b.s2 & ~a.s2) <= 2 * a.k")
-    return a.join(b, near).select(F.col("a.id").alias("long"), F.col("b.id").alias("short")).distinct()
+        "and bit_count(a.s2 & ~b.s2) <= 2 * a.k and bit_count(b.s2 & ~a.s2) <= 2 * a.k "
+        # where the segment before is common too, the pair has met there
+        "and (a.back = 0 or b.at < a.back or substring(a.normal, cast(a.at - a.back + 1 as int), a.back) <> substring(b.normal, cast(b.at - a.back + 1 as int), a.back)) "
+        "and levenshtein(b.normal, a.normal, cast(a.k as int)) >= 0")
+    # The right side of the join is the one whose rows of a key are bounded. Spark takes each side for as small as the values' files.
+    return b.join(a.hint("merge"), near).selectExpr("a.id as long", "b.id as short", "levenshtein(b.normal, a.normal, cast(a.k as int)) as distance").distinct()
 
 
 def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 90.0, normalise: bool = True) -> DataFrame:
@@ -97,25 +103,24 @@ def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 90.0, normal
     spelled = df.select(col(column).alias("spelling")).filter(F.col("spelling").isNotNull()).groupBy("spelling").agg(F.count("*").alias("n"))
     spelled = spelled.withColumn("normal", _normal(F.col("spelling")) if normalise else F.col("spelling")).filter(F.trim("normal") != "")
     best = F.min(F.struct((-F.col("n")).alias("minus_n"), F.col("spelling").alias("spelling"))).alias("best")
-    values = spelled.groupBy("normal").agg(best, F.sum("n").alias("rows"), F.count("*").alias("spellings"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many files, as each value makes hundreds of rows
+    values = spelled.repartition(tasks, "normal").groupBy("normal").agg(best, F.sum("n").alias("rows"), F.count("*").alias("spellings"))
     values = values.select(F.monotonically_increasing_id().alias("id"), "normal", F.col("best.spelling").alias("value"), -F.col("best.minus_n"), "rows", "spellings").toDF(
         "id", "normal", "value", "own_rows", "rows", "spellings")
     path = f"{shared_folder(df.sparkSession)}/fuzzy-{uuid.uuid4().hex}"  # ids must be the same in every use
     values.write.parquet(path)
     values = df.sparkSession.read.schema(values.schema).parquet(path)
-    pairs = _candidates(values, slack)
-    side = lambda name: values.select(F.col("id").alias(name), F.struct("normal", "value", "rows").alias(f"{name}_v"))
-    pairs = pairs.join(side("short"), "short").join(side("long"), "long")
-    allowed = f"cast(length(long_v.normal) * {slack} div 10000 as int)"
-    pairs = pairs.withColumn("distance", F.expr(f"levenshtein(short_v.normal, long_v.normal, {allowed})")).filter("distance >= 0")
-    similarity = 100.0 - 100.0 * F.col("distance") / F.length("long_v.normal")
+    # merged: well-packed files of many values look small, but would fill the driver in a broadcast
+    side = lambda name: values.select(F.col("id").alias(name), F.struct("value", "rows", F.length("normal").alias("n")).alias(f"{name}_v")).hint("merge")
+    pairs = _pairs(values, slack).join(side("short"), "short").join(side("long"), "long")
+    similarity = 100.0 - 100.0 * F.col("distance") / F.col("long_v.n")
     swap = F.col("short_v.value") <= F.col("long_v.value")
     first, last = (F.when(swap, F.col(x)).otherwise(F.col(y)) for x, y in (("short_v", "long_v"), ("long_v", "short_v")))
     similar = pairs.select(first.alias("a"), last.alias("b"), "distance", similarity.alias("similarity")).select(
         F.col("a.value").alias("value_a"), F.col("b.value").alias("value_b"), F.col("a.rows").alias("rows_a"), F.col("b.rows").alias("rows_b"), "distance", "similarity")
     if not normalise:
         return similar
-    several = values.filter("spellings > 1").select("normal", F.col("value").alias("value_a"), F.col("own_rows").alias("rows_a"))
+    several = values.filter("spellings > 1").select("normal", F.col("value").alias("value_a"), F.col("own_rows").alias("rows_a")).hint("merge")
     same = spelled.join(several, "normal").filter("spelling <> value_a").select(
         "value_a", F.col("spelling").alias("value_b"), "rows_a", F.col("n").alias("rows_b"), F.lit(0).alias("distance"), F.lit(100.0).alias("similarity"))
     return similar.unionByName(same)
@@ -128,12 +133,12 @@ def fuzzy_report(df: DataFrame, columns: Sequence[str] | None = None, threshold:
     if not names:
         return empty(df, schema)
     found = union_all([fuzzy_duplicates(df, c, threshold, normalise).withColumn("column", F.lit(c)) for c in names])
-    counted = found.groupBy("column").agg(
-        F.count_if(F.col("distance") > 0).alias("n_pairs"), F.count_if(F.col("distance") == 0).alias("n_spellings"),
-        F.max(F.when(F.col("distance") > 0, F.col("similarity"))).alias("max_similarity"))
-    ends = found.filter("distance > 0").select("column", F.explode(F.array("value_a", "value_b")).alias("value")).distinct()
-    ends = ends.groupBy("column").agg(F.count("*").alias("n_values"))
-    return counted.join(ends, "column", "left").select("column", "n_pairs", F.coalesce("n_values", F.lit(0)).alias("n_values"), "n_spellings", "max_similarity")
+    # both ends of a pair are counted by value, so that the pairs are found once
+    ends = found.select("column", F.explode(F.array("value_a", "value_b")).alias("value"), "distance", "similarity").groupBy("column", "value").agg(
+        F.count_if(F.col("distance") > 0).alias("pairs"), F.count_if(F.col("distance") == 0).alias("spellings"),
+        F.max(F.when(F.col("distance") > 0, F.col("similarity"))).alias("similarity"))
+    return ends.groupBy("column").agg(
+        F.expr("sum(pairs) div 2").alias("n_pairs"), F.count_if(F.col("pairs") > 0).alias("n_values"), F.expr("sum(spellings) div 2").alias("n_spellings"), F.max("similarity").alias("max_similarity"))
 
 
 def fuzzy_samples(df: DataFrame, column: str, key: str, threshold: float = 90.0, k: int = 5, normalise: bool = True) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fuzzy duplicates against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -81,6 +82,24 @@ def test_no_pair_of_values_without_a_common_segment(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_only_similar_pairs_leave_the_join_and_no_side_is_broadcast(spark):
+    """Spark takes the exploded sides for as small as the values' files, and would broadcast them."""
+    df = frame(spark, names())
+    for found, joins in ((cf.fuzzy_duplicates(df, "name"), 1), (cf.fuzzy_report(df, ["name"]), 1)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"BroadcastHashJoin .* Inner", plan)
+        assert len(re.findall(r"SortMergeJoin .*levenshtein", plan)) == joins  # verified there, once for the report
+
+
+def test_report_equals_the_pairs(spark):
+    rows = names(2)
+    want = brute(rows, 80)
+    pairs = [w for w in want if w[4] > 0]
+    row = cf.fuzzy_report(frame(spark, rows), ["name"], 80).first()
+    assert (row["n_pairs"], row["n_values"], row["n_spellings"], round(row["max_similarity"], 6)) == (
+        len(pairs), len({v for w in pairs for v in w[:2]}), len(want) - len(pairs), max(w[5] for w in pairs))
+
+
 def test_report_and_samples(spark):
     df = frame(spark, ["John Smith", "john smith ", "Jon Smith", "Jon Smith", "Someone Else"])
     assert [tuple(r) for r in cf.fuzzy_samples(df, "name", "id", 85).collect()] == [
