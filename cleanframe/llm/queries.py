@@ -75,7 +75,7 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = fit_toxicity(docs.filter(fold(5) != 0).join(labels, "doc_id"))
+    model = fit_toxicity(docs.filter(fold(5) != 0), labels=labels)
     return score_toxicity(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 

@@ -116,14 +116,28 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u4").astype(np.int64)
 
 
-def fit_toxicity(rows: DataFrame, per_label: int = PER_LABEL) -> ToxicityModel:
-    """Learn from (doc_id, text, label), label 0 or 1: a bounded sample of ``per_label`` rows of each label."""
-    rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label")).filter("label in (0, 1)")
-    counts = {r[0]: r[1] for r in rows.groupBy("label").agg(F.count("*")).collect()}
+def fit_toxicity(rows: DataFrame, per_label: int = PER_LABEL, labels: DataFrame | None = None) -> ToxicityModel:
+    """Learn from (doc_id, text, label), label 0 or 1: a bounded sample of ``per_label`` rows of each label.
+
+    With ``labels`` (doc_id, label), ``rows`` need no label, and only ids are shuffled: the sample's labels are broadcast to the texts.
+    """
+    label = F.col("label").cast("int").alias("label")
+    text = F.col("text").cast("string").alias("text")
+    if labels is None:
+        known = rows = rows.select("doc_id", text, label).filter("label in (0, 1)")
+    else:
+        rows, labels = rows.select("doc_id", text), labels.select("doc_id", label).filter("label in (0, 1)")
+        known = rows.select("doc_id").join(labels, "doc_id")
+    counts = {r[0]: r[1] for r in known.groupBy("label").agg(F.count("*")).collect()}
     if len(counts) < 2:
         share = 0.5 if not counts else float(next(iter(counts)))
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    got = labelled_sample(rows, "label", "doc_id", per_label).select("text", "label").mapInArrow(_sample_rows, "label int, slots binary").collect()
+    if labels is None:
+        sample = labelled_sample(rows, "label", "doc_id", per_label, counts)
+    else:  # a label of no row takes no part
+        chosen = labelled_sample(labels, "label", "doc_id", per_label, counts).join(rows.select("doc_id"), "doc_id", "left_semi")
+        sample = rows.join(F.broadcast(chosen), "doc_id")
+    got = sample.select("text", "label").mapInArrow(_sample_rows, "label int, slots binary").collect()
     got = sorted((r["label"], bytes(r["slots"])) for r in got)
     return fit([_unpack(b) for _, b in got], np.array([x for x, _ in got], float), counts[1] / sum(counts.values()))
 

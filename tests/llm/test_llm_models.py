@@ -109,6 +109,28 @@ def test_toxicity_edges(spark):
     assert score_toxicity(frame(spark, EDGES), fit_toxicity(train.limit(0))).agg(F.max("predicted")).first()[0] == 1  # 0.5 for all
 
 
+def test_toxicity_shuffles_ids_only(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(200)]), " ".join(rng.choice(["a", "bc", "vile", "d"]) for _ in range(9))) for _ in range(400)]
+    marked = [(rng.choice([None, *range(300)]), rng.choice([None, 0, 0, 1, 1, 2])) for _ in range(500)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marked, "doc_id bigint, label int")
+    plans, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for per_label in (30, 3000):
+            want = fit_toxicity(docs.join(labels, "doc_id"), per_label)
+            plans.clear()
+            got = fit_toxicity(docs, per_label, labels=labels)
+            assert got.bias == want.bias and got.slots.tolist() == want.slots.tolist() and got.weights.tolist() == want.weights.tolist()
+            lines = "\n".join(plans).split("\n")
+            shuffled = [below for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning" in line]
+            assert shuffled and not any("text#" in x for x in shuffled)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_mixture_deviates_by_less_than_a_block(spark):
     rows = [(i, f"t{i}", f"s{min(i % 17, 3)}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
