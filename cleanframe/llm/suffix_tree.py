@@ -47,7 +47,7 @@ SMOOTHING = 20.0
 #: Taken off each count of a token that shares its symbol, for tokens never met.
 DISCOUNT = 0.75
 #: Bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Tokens whose contexts are hashed at once.
 ROWS = 1 << 18
 #: Bytes of a symbol's hash that tell it from the others that follow a context.
@@ -108,8 +108,11 @@ def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new = np.ones(len(x), bool)
     np.not_equal(x[1:], x[:-1], out=new[1:])
     which = np.empty(len(x), np.int32)
-    which[order] = np.cumsum(new, dtype=np.int32) - 1
-    return x[new], order[new], which
+    which[order] = np.cumsum(new, dtype=np.int32)
+    which -= 1
+    x = x[new]  # frees what it replaces before the next one is made
+    order = order[new]
+    return x, order, which
 
 
 def _row(row: dict, schema: pa.Schema) -> pa.RecordBatch:

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,6 +15,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
+from cleanframe.llm import suffix_tree
 from cleanframe.llm.language import fit_language, identify, known_language
 from cleanframe.llm.mixing import cycle, mix_sources, target_quanta
 from cleanframe.llm.quality import FEATURES, fit_quality, score_quality, shape, text_shape
@@ -131,6 +133,18 @@ def test_toxicity_shuffles_ids_only(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_suffix_tree_groups_in_little_memory():
+    x = np.random.default_rng(1).integers(0, 1 << 60, 1 << 20, dtype=np.uint64)
+    tracemalloc.start()
+    try:
+        distinct, first, which = suffix_tree._grouped(x)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (x[first] == distinct).all() and (distinct[which] == x).all()
+    assert peak < 4 * x.nbytes
+
+
 def test_mixture_deviates_by_less_than_a_block(spark):
     rows = [(i, f"t{i}", f"s{min(i % 17, 3)}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
