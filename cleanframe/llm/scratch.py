@@ -40,17 +40,17 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES, **options: str) -> DataFrame:
         """Write a table and read it back."""
         with writing(self.spark, batch_bytes):
-            df.write.mode("errorifexists").parquet(self.path(name))
+            df.write.mode("errorifexists").options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def keep_by(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    def keep_by(self, df: DataFrame, name: str, key: str, buckets: int, **options: str) -> DataFrame:
         """Write a table in buckets of ``key``, so that later joins and groups by the key need no shuffle of it."""
         self.tables[name] = table = f"scratch_{uuid.uuid4().hex}"
         with writing(self.spark):
-            df.write.mode("errorifexists").format("parquet").bucketBy(buckets, key).option("path", self.path(name)).saveAsTable(table)
+            df.write.mode("errorifexists").format("parquet").bucketBy(buckets, key).options(**options).option("path", self.path(name)).saveAsTable(table)
         return self.spark.table(table)
 
     def drop(self, *names: str) -> None:

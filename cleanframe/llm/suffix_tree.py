@@ -14,9 +14,10 @@ hashes to the task that has all of a bucket, which counts them over all blocks a
 travels once for each time it is used. The tree is never gathered: for each length, a block sends its distinct (context, next
 symbol) by hash of the context in the same way, and the answer is the symbol's probability there. Contexts are 64-bit hashes
 too; the symbols that follow one context are told apart by 48 bits. Blocks are kept in tables bucketed by block, so only answers
-are shuffled to them. A context too rare to gather the evidence asked for, by a bound that holds for every distribution, is not asked about.
-A token without a longer context to ask about is summed up, and its probability no longer carried. Probabilities are kept to 15 bits
-after the leading one (an error of 7e-6 of a token's log10), so that tables and shuffles are small.
+are shuffled to them; their pairs are found some buckets at a time, so that working memory is a part of theirs. A context too rare to
+gather the evidence asked for, by a bound that holds for every distribution, is not asked about. A token without a longer context
+to ask about is summed up, and its probability no longer carried. Probabilities are kept to 15 bits after the leading one (an error of
+7e-6 of a token's log10), so that tables and shuffles are small.
 
 Edge cases. A null or empty text is the end token alone; a very long text is a block of its own. Repeated rows are each counted and scored; a null id is held out
 if the fold says so, else trained on. Without training texts the counts are 0 and the tree is uniform.
@@ -50,6 +51,8 @@ DISCOUNT = 0.75
 BLOCK_BYTES = 12 << 20
 #: Tokens whose contexts are hashed at once.
 ROWS = 1 << 18
+#: Ranges in which numbers are sorted, one after the other, from so many numbers on.
+RANGES, RANGED = 8, 1 << 16
 #: Bytes of a symbol's hash that tell it from the others that follow a context.
 SYMBOL_BYTES = 6
 #: Buckets for each shuffle partition: a task answers one bucket after the other.
@@ -102,17 +105,28 @@ def _rounded(p: np.ndarray) -> np.ndarray:
 
 
 def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct numbers in order, a place of each, and the number of each place. Smaller and faster than ``np.unique``, as any place will do."""
-    order = np.argsort(x)
-    x = x[order]
-    new = np.ones(len(x), bool)
-    np.not_equal(x[1:], x[:-1], out=new[1:])
+    """Distinct numbers in order, a place of each, and the number of each place. Smaller and faster than ``np.unique``, as any place will do
+    and only a range of the numbers is sorted at a time."""
+    some = np.sort(x[:: max(1, len(x) // 1024)]) if len(x) >= RANGED else x[:0]
+    edges = np.unique(some[len(some) // RANGES :: max(1, len(some) // RANGES)])
+    part = np.zeros(len(x), np.uint8)
+    for edge in edges:
+        part += x >= edge
     which = np.empty(len(x), np.int32)
-    which[order] = np.cumsum(new, dtype=np.int32)
-    which -= 1
-    x = x[new]  # frees what it replaces before the next one is made
-    order = order[new]
-    return x, order, which
+    distinct, first, n = [x[:0]], [which[:0]], 0
+    for k in range(len(edges) + 1):
+        at = np.flatnonzero(part == k).astype(np.int32)
+        held = x[at]
+        order = np.argsort(held)
+        held, at = held[order], at[order]
+        new = np.ones(len(held), bool)
+        np.not_equal(held[1:], held[:-1], out=new[1:])
+        which[at] = np.cumsum(new, dtype=np.int32) + np.int32(n - 1)
+        distinct.append(held[new])
+        first.append(at[new])
+        n += len(distinct[-1])
+    del part, at, held, order, new
+    return np.concatenate(distinct), np.concatenate(first), which
 
 
 def _row(row: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -133,20 +147,24 @@ def _blocks(batches):
                 w = words(part.slice(a, b - a))
                 hashes.append(w.hash)
                 counts.append(np.diff(w.first))
-            count = np.concatenate(counts)
-            distinct, _, which = _grouped(np.concatenate(hashes))
+            count, hashes = np.concatenate(counts), np.concatenate(hashes)
+            distinct, _, which = _grouped(hashes)
+            del w, hashes
             held = batch.column("held_out").slice(low, high - low).to_numpy(zero_copy_only=False).astype(bool)
-            trained = np.bincount(which, np.repeat(~held, count), minlength=len(distinct)).astype(np.int64)
+            trained = np.bincount(which[np.repeat(~held, count)], minlength=len(distinct))
             # Tokens by falling frequency, then the end; the end follows each document's words.
-            rank = np.empty(len(distinct), np.int64)
+            rank = np.empty(len(distinct), np.uint32)
             order = np.argsort(-np.bincount(which, minlength=len(distinct)), kind="stable")
             rank[order] = np.arange(len(distinct))
-            tokens = np.full(len(which) + len(count), len(distinct), np.int64)
-            tokens[np.arange(len(which)) + np.repeat(np.arange(len(count)), count)] = rank[which]
+            tokens = np.full(len(which) + len(count), len(distinct), "<u4")
+            word = np.ones(len(tokens), bool)
+            word[np.cumsum(count + 1) - 1] = False
+            tokens[word] = rank[which]
+            del which
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([batch.column("doc_id").slice(low, high - low).to_pylist()], pa.list_(pa.int64())),
                  pa.array([held.tolist()]), pa.array([(count + 1).tolist()], pa.list_(pa.int64())),
-                 *[pa.array([x], pa.binary()) for x in (_packed(tokens.astype("<u4")), np.append(distinct[order], END).tobytes(), _zipped(np.append(trained[order], int((~held).sum()))))]],
+                 *[pa.array([x], pa.binary()) for x in (_packed(tokens), np.append(distinct[order], END).tobytes(), _zipped(np.append(trained[order], int((~held).sum()))))]],
                 ["block", "doc_id", "held_out", "n_tokens", "tokens", "symbols", "n"])
             number += 1
 
@@ -167,9 +185,14 @@ def _buckets(rows) -> Iterator[list[dict]]:
     return (list(part) for _, part in groupby(_rows(rows), itemgetter("bucket")))
 
 
+def _bucket(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A bucket is a range of hashes."""
+    return (hashes >> _U(32)) * _U(width) >> _U(32)
+
+
 def _cuts(hashes: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Buckets of hashes in order, with the range of each. A bucket is a range of hashes."""
-    at = np.searchsorted((hashes >> _U(32)) * _U(width) >> _U(32), np.arange(width + 1, dtype=_U))
+    """Buckets of hashes in order, with the range of each."""
+    at = np.searchsorted(_bucket(hashes, width), np.arange(width + 1, dtype=_U))
     return [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
 
 
@@ -212,45 +235,52 @@ def _counted(min_count: int):
 
 @dataclass
 class Pairs:
-    """Distinct (context, next symbol) of a block at one length, where the context may be met often enough."""
+    """Distinct (context, next symbol) of some buckets of a block at one length, where the context may be met often enough."""
 
-    rows: np.ndarray  # predicted symbols that have such a context
+    at: np.ndarray  # which of the predicted symbols that have such a context
     which: np.ndarray  # the pair of each
-    first: np.ndarray  # a row of each pair
+    first: np.ndarray  # the first of ``at`` for each pair, or any other
     context: np.ndarray  # of each pair, in order
     symbol: np.ndarray
     buckets: list[tuple[int, int, int]]
 
 
-def _pairs(hashes: np.ndarray, tokens: np.ndarray, size: np.ndarray, alive: np.ndarray, d: int, width: int) -> Pairs:
-    """Pairs by context, then by symbol: every task that reads the block finds the same order."""
-    kinds, _, kind = _grouped(hashes)
-    symbol = kind[tokens]
-    # Each text begins with the mark, which is not predicted itself.
-    back = np.arange(1, len(symbol) + 1, dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
-    rows = np.flatnonzero(alive & (back >= d)).astype(np.int32)
-    context, marked = np.full(len(rows), d, _U), np.append(kinds, _MARK)
-    for a in range(0, len(rows), ROWS):
-        at, h = rows[a : a + ROWS], context[a : a + ROWS]
-        for k in range(d):
-            h[:] = mix(h + marked[np.where(back[at] == k + 1, len(kinds), symbol[np.maximum(at - 1 - k, 0)])] * _STEP + _PAIR)
-    del back
-    contexts, _, ranked = _grouped(context)
-    key = ranked.astype(_U) << _U(32)
-    del context, ranked
-    key |= symbol[rows].astype(_U)
-    key, first, which = _grouped(key)
-    context = contexts[(key >> _U(32)).astype(np.int64)]
-    return Pairs(rows, which, first, context, kinds[(key & _U(0xFFFFFFFF)).astype(np.int64)], _cuts(context, width))
-
-
-def _begin(row: dict, d: int, width: int) -> tuple[np.ndarray, Pairs, np.ndarray]:
-    """Which tokens of a block are asked about at length ``d``, their pairs, and their probabilities so far."""
-    tokens, size = _unpacked(row["tokens"]), np.array(row["n_tokens"])
-    alive = np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=len(tokens)).astype(bool)
-    p = _pairs(_unzipped(row["symbols"], _U), tokens, size, alive, d, width)
-    prob = _unpacked(row["prob"], np.float32)
-    return alive, p, prob[tokens[p.rows]] if d == 1 else prob  # at the root, by token
+class Block:
+    """A block at length ``d``: the tokens asked about, ``rows``, and their probabilities so far."""
+
+    def __init__(self, row: dict, d: int, width: int):
+        self.d, self.width, self.size = d, width, np.array(row["n_tokens"])
+        self.alive = np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=int(self.size.sum())).astype(bool)
+        # Each text begins with the mark, which is not predicted itself.
+        back = self._back()
+        self.rows = np.flatnonzero(self.alive & (back >= d)).astype(np.int32)
+        self.kinds, first, kind = _grouped(_unzipped(row["symbols"], _U))
+        self.symbol = kind.astype(np.uint32)[_unpacked(row["tokens"])]
+        self.prob = _unpacked(row["prob"], np.float32)
+        if d == 1:  # at the root, by token
+            self.prob = self.prob[first][self.symbol[self.rows]]
+
+    def _back(self) -> np.ndarray:
+        back = np.arange(1, int(self.size.sum()) + 1, dtype=np.int32)
+        back -= np.repeat((np.cumsum(self.size) - self.size).astype(np.int32), self.size)
+        return back
+
+    def pairs(self) -> Iterator[Pairs]:
+        """Pairs by context, then by symbol, some buckets at a time: every task that reads the block finds the same order."""
+        back, rows, symbol, marked = self._back(), self.rows, self.symbol, np.append(self.kinds, _MARK)
+        context, part = np.full(len(rows), self.d, _U), np.empty(len(rows), np.uint8)
+        for a in range(0, len(rows), ROWS):
+            at, h = rows[a : a + ROWS], context[a : a + ROWS]
+            for k in range(self.d):
+                h[:] = mix(h + marked[np.where(back[at] == k + 1, len(self.kinds), symbol[np.maximum(at - 1 - k, 0)])] * _STEP + _PAIR)
+            part[a : a + ROWS] = _bucket(h, self.width) * _U(RANGES) // _U(self.width)
+        del back
+        for k in range(RANGES):
+            at = np.flatnonzero(part == k).astype(np.int32)
+            contexts, _, ranked = _grouped(context[at])
+            key, first, which = _grouped((ranked.astype(_U) << _U(32)) | symbol[rows[at]])
+            held = contexts[(key >> _U(32)).astype(np.int64)]
+            yield Pairs(at, which, first, held, self.kinds[(key & _U(0xFFFFFFFF)).astype(np.int64)], _cuts(held, self.width))
 
 
 def _asked(d: int, width: int):
@@ -258,13 +288,15 @@ def _asked(d: int, width: int):
 
     def run(batches):
         for row in _rows(batches):
-            _, p, prob = _begin(row, d, width)
-            n = np.bincount(p.which, np.repeat(~np.array(row["held_out"], bool), row["n_tokens"])[p.rows], len(p.context)).astype(np.uint32)
-            before = prob[p.first]
-            for bucket, a, b in p.buckets:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (_zipped(p.context[a:b]), _packed(p.symbol[a:b], SYMBOL_BYTES), _packed(n[a:b]), _packed(before[a:b]))]],
-                    ["block", "bucket", "context", "symbol", "n", "before"])
+            block = Block(row, d, width)
+            trained = np.repeat(~np.array(row["held_out"], bool), block.size)[block.rows]
+            for p in block.pairs():
+                n = np.bincount(p.which[trained[p.at]], minlength=len(p.context)).astype(np.uint32)
+                before = block.prob[p.at[p.first]]
+                for bucket, a, b in p.buckets:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (_zipped(p.context[a:b]), _packed(p.symbol[a:b], SYMBOL_BYTES), _packed(n[a:b]), _packed(before[a:b]))]],
+                        ["block", "bucket", "context", "symbol", "n", "before"])
 
     return run
 
@@ -288,7 +320,9 @@ _STATE_TYPES = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())
 def _by_text(size: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
     """Sums over the tokens of each text, or over those in ``rows``."""
     text = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    return np.bincount(text if rows is None else text[rows], x, len(size))
+    if rows is not None:
+        text = text[rows]
+    return np.bincount(text, x, len(size))
 
 
 def _begun(counts: dict[str, int], symbols: int, min_count: int, least: int, width: int):
@@ -311,8 +345,10 @@ def _begun(counts: dict[str, int], symbols: int, min_count: int, least: int, wid
             # A symbol met too seldom is no context of the next one. The mark is met as often as the end.
             alive = np.ones(len(tokens), bool)
             alive[1:] = ~(own & (c < least))[tokens[:-1]]
-            log = np.where(own, 0.0, np.log10(within))[tokens] + np.where(alive, 0.0, np.log10(root.astype(np.float64))[tokens])
-            sums = np.array([_by_text(size, (c > 0)[tokens]), _by_text(size, base[tokens]), _by_text(size, log)])
+            sums = [_by_text(size, (c > 0)[tokens]), _by_text(size, base[tokens])]
+            log = np.where(own, 0.0, np.log10(within))[tokens]
+            log[~alive] += np.log10(root.astype(np.float64))[tokens[~alive]]
+            sums = np.array([*sums, _by_text(size, log)])
             out.append(row | {"symbols": _zipped(np.where(own, hashes, _OTHER)), "sums": sums.tobytes(), "prob": _packed(root), "alive": np.packbits(alive).tobytes()})
         return pa.Table.from_pylist(out, _STATE_TYPES)
 
@@ -354,24 +390,27 @@ def _told(d: int, depth: int, width: int, train_tokens: int):
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("prob").to_pylist()))
         out = []
         for row in left.to_pylist():
-            size = np.array(row["n_tokens"])
-            alive, p, prob = _begin(row, d, width)
-            told = np.full(len(p.context), np.nan, np.float32)
-            for bucket, a, b in p.buckets:
-                told[a:b] = _unpacked(answers[bucket], np.float32)
-            told = told[p.which]
-            prob = np.where(np.isnan(told), prob, np.abs(told))
+            block = Block(row, d, width)
+            size, rows, alive, prob = block.size, block.rows, block.alive, block.prob
             # A context and its last symbol are a context of the symbol that follows, met no more often than those it ends with.
             longer = np.zeros(len(alive) + 1, bool)
+            for p in block.pairs():
+                told = np.full(len(p.context), np.nan, np.float32)
+                for bucket, a, b in p.buckets:
+                    told[a:b] = _unpacked(answers[bucket], np.float32)
+                told = told[p.which]
+                prob[p.at] = np.where(np.isnan(told), prob[p.at], np.abs(told))
+                if d < depth:
+                    longer[rows[p.at] + 1] = told > 0
+            del block
             if d < depth:
-                longer[p.rows + 1] = told > 0
                 longer[:-1] &= alive
                 begin = np.cumsum(size) - size
                 for k in range(d):  # the first tokens of a text have no context of that length
                     longer[(begin + k)[size > k]] = False
-            stays = longer[p.rows]
+            stays = longer[rows]
             sums = np.frombuffer(row["sums"]).reshape(3, -1).copy()
-            sums[2] += _by_text(size, np.log10(prob[~stays].astype(np.float64)), p.rows[~stays])
+            sums[2] += _by_text(size, np.log10(prob[~stays].astype(np.float64)), rows[~stays])
             if d < depth:
                 out.append(row | {"sums": sums.tobytes(), "prob": _packed(prob[stays]), "alive": np.packbits(longer[:-1]).tobytes()})
             else:
@@ -397,16 +436,16 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int =
 
     def answered(asked: DataFrame, answer, schema: str, name: str) -> DataFrame:
         """Each bucket in one task, which answers it; kept, so that the questions' shuffle files go."""
-        return scratch.keep(asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(released(answer), schema), name)
+        return scratch.keep(asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(released(answer), schema), name, compression="none")
 
-    blocks = scratch.keep(docs.mapInArrow(released(_blocks), _BLOCKS), "blocks", BLOCK_BYTES)
+    blocks = scratch.keep(docs.mapInArrow(released(_blocks), _BLOCKS), "blocks", BLOCK_BYTES, compression="none")
     counted = answered(blocks.select("block", "symbols", "n").mapInArrow(released(_listed(width)), _LISTED), _counted(min_count), _COUNTED, "counted")
     n, v, n_own, v_own, ends = counted.filter("block is null").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("train_tokens", "distinct", "own_tokens", "own_distinct", "ends")]).first()
     counts = {"train_tokens": n, "distinct": v, "other_tokens": n - n_own, "other_distinct": v - v_own}
     symbols = v_own + 1 - ends + 1  # the end has one, met or not, and the others share one
     least = least_count(n, symbols, min_count)
     begun = _begun(counts, symbols, min_count, least, width)
-    state = scratch.keep_by(blocks.drop("n").groupBy("block").cogroup(counted.filter("block is not null").select("block", "bucket", "c").groupBy("block")).applyInArrow(begun, _STATE), "state0", "block", tasks)
+    state = scratch.keep_by(blocks.drop("n").groupBy("block").cogroup(counted.filter("block is not null").select("block", "bucket", "c").groupBy("block")).applyInArrow(begun, _STATE), "state0", "block", tasks, compression="none")
     scratch.drop("blocks", "counted")
     for d in range(1, depth + 1):
         asked = state.select("block", "held_out", "n_tokens", "tokens", "symbols", "prob", "alive").mapInArrow(released(_asked(d, width)), _ASKED)
@@ -415,5 +454,5 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH, min_count: int =
         told = state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(d, depth, width, n), _STATE if d < depth else _SCORED)
         if d == depth:
             return told
-        state = scratch.keep_by(told, f"state{d}", "block", tasks)
+        state = scratch.keep_by(told, f"state{d}", "block", tasks, compression="none")
         scratch.drop(f"state{d - 1}", f"answers{d}")

@@ -145,6 +145,68 @@ def test_suffix_tree_groups_in_little_memory():
     assert peak < 4 * x.nbytes
 
 
+def test_suffix_tree_groups_by_ranges():
+    rng = np.random.default_rng(2)
+    kinds = rng.integers(0, 1 << 63, 1 << 18, dtype=np.uint64)
+    x = kinds[rng.integers(0, len(kinds), 1 << 20)]
+    tracemalloc.start()
+    try:
+        suffix_tree._grouped(x)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2 * x.nbytes
+    hot = np.where(rng.random(1 << 18) < 0.9, np.uint64(5), rng.integers(0, 9, 1 << 18, dtype=np.uint64))
+    for x in (x, hot, np.zeros(1 << 17, np.uint64), np.arange(1 << 17, dtype=np.uint64)[::-1], np.zeros(1, np.uint64), np.zeros(0, np.uint64)):
+        distinct, first, which = suffix_tree._grouped(x)
+        assert (distinct == np.unique(x)).all() and (x[first] == distinct).all() and (distinct[which] == x).all()
+
+
+def block_row(texts, kinds):
+    """A block of texts of random tokens, all asked about, as its table holds it."""
+    rng = np.random.default_rng(3)
+    size = np.full(texts, 1 << 10)
+    symbols = rng.integers(2, 1 << 63, kinds, dtype=np.uint64)
+    tokens = np.minimum(rng.zipf(1.3, size.sum()), kinds).astype("<u4") - np.uint32(1)
+    return {"block": 7, "n_tokens": size.tolist(), "held_out": [k % 5 == 1 for k in range(texts)], "tokens": suffix_tree._packed(tokens), "symbols": suffix_tree._zipped(symbols),
+            "prob": suffix_tree._packed(np.linspace(0.1, 0.9, kinds, dtype=np.float32)), "alive": np.packbits(np.ones(len(tokens), bool)).tobytes()}, tokens, symbols
+
+
+@pytest.mark.parametrize("width", [3, 48, 204])
+def test_a_block_asks_each_bucket_once_about_every_pair(width):
+    row, tokens, symbols = block_row(20, 300)
+    asked = [r for b in suffix_tree._asked(1, width)(iter([pa.RecordBatch.from_pylist([row])])) for r in b.to_pylist()]
+    assert len({r["bucket"] for r in asked}) == len(asked) and [r["bucket"] for r in asked] == sorted(r["bucket"] for r in asked)
+    n = np.concatenate([suffix_tree._unpacked(r["n"]) for r in asked])
+    context = np.concatenate([suffix_tree._unzipped(r["context"], np.uint64) for r in asked])
+    bucket = np.concatenate([np.full(len(suffix_tree._unpacked(r["n"])), r["bucket"]) for r in asked])
+    assert (suffix_tree._bucket(context, width) == bucket).all() and (np.diff(context.astype(object)) >= 0).all()
+    pairs = Counter()
+    for k, text in enumerate(tokens.reshape(20, -1).tolist()):
+        for pair in zip([-1, *text[:-1]], text):
+            pairs[pair] += k % 5 != 1
+    assert sorted(n.tolist()) == sorted(pairs.values()) and len(set(context.tolist())) == len({c for c, _ in pairs})
+    symbol = np.concatenate([suffix_tree._unpacked(r["symbol"], np.uint64, suffix_tree.SYMBOL_BYTES) for r in asked])
+    before = np.concatenate([suffix_tree._unpacked(r["before"], np.float32) for r in asked])
+    keep = np.uint64((1 << 8 * suffix_tree.SYMBOL_BYTES) - 1) << np.uint64(64 - 8 * suffix_tree.SYMBOL_BYTES)
+    prob = dict(zip((symbols & keep).tolist(), suffix_tree._unpacked(row["prob"], np.float32).tolist()))
+    assert [prob[x] for x in symbol.tolist()] == before.tolist()
+
+
+def test_a_block_asks_in_little_memory():
+    row, tokens, _ = block_row(1 << 10, 1 << 17)
+    batch = pa.RecordBatch.from_pylist([row])
+    del row
+    tracemalloc.start()
+    try:
+        for _ in suffix_tree._asked(1, 48)(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 50 * len(tokens)
+
+
 def test_mixture_deviates_by_less_than_a_block(spark):
     rows = [(i, f"t{i}", f"s{min(i % 17, 3)}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
