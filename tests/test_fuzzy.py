@@ -8,6 +8,7 @@ import pytest
 
 import cleanframe as cf
 import cleanframe.operators.fuzzy as fuzzy
+import cleanframe.operators.fuzzy_blocks as blocks
 
 
 def edits(a, b):
@@ -118,3 +119,37 @@ def test_what_cannot_be_compared(spark):
         with pytest.raises(ValueError):
             cf.fuzzy_duplicates(df, "name", threshold)
     assert cf.fuzzy_report(df.select("id")).collect() == []
+
+
+def urls(n=200, seed=3):
+    rng = random.Random(seed)
+    return [f"{rng.choice(['http', 'https'])}://blog.tionble.example.com/{rng.choice(['en', 'de', 'fr'])}/{rng.randrange(300000)}{rng.choice(['', '/', '.html', '#top', '?page=2&ref=x'])}" for _ in range(n)]
+
+
+def test_values_of_few_edits_are_not_joined_pair_by_pair(spark):
+    """Each url of a host was joined with all others of it, and most of these pairs were verified."""
+    plan = cf.fuzzy_duplicates(frame(spark, urls()), "name", 90)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"MapInArrow run\(.*\bsets", plan)
+    assert len(re.findall(r"Filter .* > 89\)", plan)) >= 2  # the join sees longer ones, and what may match these
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_few_pairs_of_urls_are_verified(spark, monkeypatch, batch):
+    rows = sorted(set(urls()))
+    values = spark.createDataFrame(list(enumerate(rows)), "id bigint, normal string")
+    values = values.mapInArrow(blocks.with_sets(89), "id bigint, normal string, sets binary")
+    batches = fuzzy._short_rows(values, 1000, 89, 1).toArrow().combine_chunks().to_batches(batch)
+    verified, check = [], blocks._verified
+    monkeypatch.setattr(blocks, "_verified", lambda rows, x, y: verified.append(len(x)) or check(rows, x, y))
+    found = {(max(a, b), min(a, b), d) for r in blocks.pairs_of_blocks(1000, 89)(iter(batches)) for a, b, d in zip(*r.to_pydict().values())}
+    want = {(i, j, d) for i, a in enumerate(rows) for j, b in enumerate(rows[:i])
+            if abs(len(a) - len(b)) <= (k := max(len(a), len(b)) // 10) and (d := edits(a, b)) <= k}
+    assert found == want and len(want) > 200
+    assert sum(verified) < len(rows) * (len(rows) - 1) / 2 * 0.6
+
+
+@pytest.mark.parametrize("normalise", [True, False])
+def test_letters_beyond_sixteen_bits_and_zeros(spark, normalise):
+    base = "the 😀 quick 𝔘nicode \x00 value of 日本 letters"
+    rows = [base, base + "\x00", base[:-1], base.replace("😀", "😁"), "\x00" + base, base.replace("日", "本"), "ascii only value of some letters", "ascii only value of some letterz"]
+    assert got(cf.fuzzy_duplicates(frame(spark, rows), "name", 80, normalise)) == brute(rows, 80, normalise)
