@@ -26,7 +26,7 @@ from ..functions.text import strip
 from ..functions.types import col, is_text, require_columns, text_columns
 from ..plans.fused import empty, union_all
 from ..sources.shared import shared_folder
-from .fuzzy_blocks import MOST, PAIR, WIDEST, pairs_of_blocks, with_sets
+from .fuzzy_blocks import MOST, WIDEST, pairs_of_blocks, with_sets
 
 HOT = 4_000  # values that share a segment, in one task; a sort-merge join keeps 4,096 rows of a key at hand
 _PAIRS = "value_a string, value_b string, rows_a bigint, rows_b bigint, distance int, similarity double"
@@ -66,33 +66,32 @@ def _short_rows(values: DataFrame, slack: int, shortest: int, tasks: int) -> Dat
     many follow as segments stand behind it. Both numbers bound its shift.
     """
     edits = lambda n: f"(({n}) * {slack} div 10000)"
-    known = values.filter("sets is not null").selectExpr("id", "normal", "cast(length(normal) as bigint) as n", "sets")
+    known = values.filter("sets is not null").selectExpr("id", "normal", "nullif(value, normal) as shown", "rows", "cast(length(normal) as bigint) as n", "sets")
     bounds = "greatest(i - 1, 0L) * {n} div (k + 1) as last", "i * {n} div (k + 1) as at", "(i + 1) * {n} div (k + 1) as upto"
     text = lambda at, size: f"xxhash64(substring(normal, cast({at} + 1 as int), cast({size} as int)))"
-    kept = ("id", "normal", "n", "sets")
+    kept = ("id", "normal", "shown", "rows", "n", "sets")
     cut = known.withColumn("k", _long(edits("n"))).filter("k > 0").withColumn("i", F.explode(F.expr("sequence(0L, k)")))
     cut = cut.selectExpr(*kept, "k", "i", *(b.format(n="n") for b in bounds))
-    cut = cut.selectExpr(*kept, f"if(i = 0, 0L, {text('last', 'at - last')}) as back", f"xxhash64({text('at', 'upto - at')}, n, i) as key")
+    cut = cut.selectExpr(*kept, "i as spot", f"if(i = 0, 0L, {text('last', 'at - last')}) as back", f"xxhash64({text('at', 'upto - at')}, n, i) as key")
     held = known.withColumn("l", F.explode(F.expr(f"sequence(n, least(n * 10000 div {10000 - slack}, {shortest}L))"))).withColumn("k", _long(edits("l"))).filter("k > 0")
     held = held.withColumn("i", F.explode(F.expr("sequence(0L, k)"))).selectExpr(*kept, "l", "k", "i", *(b.format(n="l") for b in bounds))
     low, high = "greatest(at - i, at + n - l - (k - i), 0L)", "least(at + i, at + n - l + (k - i), n - (upto - at))"
     held = held.filter(f"{low} <= {high}").withColumn("place", F.explode(F.expr(f"sequence({low}, {high})")))
     # where the segment before is common too, at a shift allowed to it, the pair has met there
     held = held.selectExpr(
-        *kept, f"if(i > 0 and place >= at - last and abs(place - at) < i, {text('place - (at - last)', 'at - last')}, 1L) as back",
+        *kept, "place as spot", f"if(i > 0 and place >= at - last and abs(place - at) < i, {text('place - (at - last)', 'at - last')}, 1L) as back",
         f"xxhash64({text('place', 'upto - at')}, l, i) as key")
     cut, held = _dealt(cut, held)
     rows = cut.withColumn("side", F.lit(0)).unionByName(held.withColumn("side", F.lit(1)))
     return rows.repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "side")
 
 
-def _pairs(values: DataFrame, slack: int, tasks: int) -> DataFrame:
-    """Pairs (long, short, distance) of ids that lie within the edits that the longer one allows.
+def _long_pairs(values: DataFrame, slack: int, shortest: int) -> DataFrame:
+    """Pairs (long, short, distance) of ids that lie within the edits that the longer one, of more than ``shortest`` letters, allows.
 
     ``slack`` is the allowed share of edits in 1/10000.
     """
     edits = lambda n: f"(({n}) * {slack} div 10000)"
-    shortest = _shortest(slack)
     known = values.select("id", "normal", _long("length(normal)").alias("n"), _letter_pairs("normal", 1).alias("s1"), _letter_pairs("normal", 2).alias("s2"))
     # lengths from 2^size on share a grid of places
     width = "shiftleft(1L, greatest(size - 4, 3))"
@@ -124,8 +123,7 @@ def _pairs(values: DataFrame, slack: int, tasks: int) -> DataFrame:
         "and (a.back = 0 or b.at < a.back or substring(a.normal, cast(a.at - a.back + 1 as int), a.back) <> substring(b.normal, cast(b.at - a.back + 1 as int), a.back)) "
         "and levenshtein(b.normal, a.normal, cast(a.k as int)) >= 0")
     # The right side of the join is the one whose rows of a key are bounded. Spark takes each side for as small as the values' files.
-    return b.join(a.hint("merge"), near).selectExpr("a.id as long", "b.id as short", "levenshtein(b.normal, a.normal, cast(a.k as int)) as distance").unionByName(
-        _short_rows(values, slack, shortest, tasks).mapInArrow(pairs_of_blocks(slack, shortest), PAIR))
+    return b.join(a.hint("merge"), near).selectExpr("a.id as long", "b.id as short", "levenshtein(b.normal, a.normal, cast(a.k as int)) as distance").distinct()
 
 
 def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 90.0, normalise: bool = True) -> DataFrame:
@@ -141,6 +139,7 @@ def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 90.0, normal
     slack = 10_000 - round(threshold * 100)
     if not 0 <= slack < 10_000:
         raise ValueError("threshold must be above 0 and at most 100")
+    shortest = _shortest(slack)
     spelled = df.select(col(column).alias("spelling")).filter(F.col("spelling").isNotNull()).groupBy("spelling").agg(F.count("*").alias("n"))
     spelled = spelled.withColumn("normal", _normal(F.col("spelling")) if normalise else F.col("spelling")).filter(F.trim("normal") != "")
     best = F.min(F.struct((-F.col("n")).alias("minus_n"), F.col("spelling").alias("spelling"))).alias("best")
@@ -148,18 +147,19 @@ def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 90.0, normal
     values = spelled.repartition(tasks, "normal").groupBy("normal").agg(best, F.sum("n").alias("rows"), F.count("*").alias("spellings"))
     values = values.select(F.monotonically_increasing_id().alias("id"), "normal", F.col("best.spelling").alias("value"), -F.col("best.minus_n"), "rows", "spellings").toDF(
         "id", "normal", "value", "own_rows", "rows", "spellings")
-    values = values.mapInArrow(with_sets(_shortest(slack)), T.StructType([*values.schema.fields, T.StructField("sets", T.BinaryType())]))
+    values = values.mapInArrow(with_sets(shortest), T.StructType([*values.schema.fields, T.StructField("sets", T.BinaryType())]))
     path = f"{shared_folder(df.sparkSession)}/fuzzy-{uuid.uuid4().hex}"  # ids must be the same in every use
     values.write.parquet(path)
     values = df.sparkSession.read.schema(values.schema).parquet(path)
     # merged: well-packed files of many values look small, but would fill the driver in a broadcast
     side = lambda name: values.select(F.col("id").alias(name), F.struct("value", "rows", F.length("normal").alias("n")).alias(f"{name}_v")).hint("merge")
-    pairs = _pairs(values, slack, tasks).repartition("short").distinct().join(side("short"), "short").join(side("long"), "long")
+    pairs = _long_pairs(values, slack, shortest).join(side("short"), "short").join(side("long"), "long")
     similarity = 100.0 - 100.0 * F.col("distance") / F.col("long_v.n")
     swap = F.col("short_v.value") <= F.col("long_v.value")
     first, last = (F.when(swap, F.col(x)).otherwise(F.col(y)) for x, y in (("short_v", "long_v"), ("long_v", "short_v")))
     similar = pairs.select(first.alias("a"), last.alias("b"), "distance", similarity.alias("similarity")).select(
         F.col("a.value").alias("value_a"), F.col("b.value").alias("value_b"), F.col("a.rows").alias("rows_a"), F.col("b.rows").alias("rows_b"), "distance", "similarity")
+    similar = similar.unionByName(_short_rows(values, slack, shortest, tasks).mapInArrow(pairs_of_blocks(slack, shortest), _PAIRS))
     if not normalise:
         return similar
     several = values.filter("spellings > 1").select("normal", F.col("value").alias("value_a"), F.col("own_rows").alias("rows_a")).hint("merge")

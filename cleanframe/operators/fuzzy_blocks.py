@@ -17,11 +17,11 @@ MOST = 8  # edits of a value whose pairs are verified here
 WIDEST = 128  # its letters
 CELLS = 1 << 17  # pairs looked at at once
 BATCH = 1 << 15  # pairs verified at once
-PAIR = "long bigint, short bigint, distance int"
 _FAR = 100  # with WIDEST additions still a byte
-_NUMBERS = ("key", "salt", "side", "id", "n", "back")
+_NUMBERS = ("key", "salt", "side", "id", "n", "rows", "spot", "back")  # spot: number of a cut value's segment, place in one that holds it
+_NAMES = ["value_a", "value_b", "rows_a", "rows_b", "distance", "similarity"]
 
-Rows = dict[str, np.ndarray]
+Rows = dict  # NumPy arrays, and an Arrow one of the values shown
 
 
 def _letters(texts: pa.Array, sizes: np.ndarray) -> np.ndarray:
@@ -70,6 +70,7 @@ def with_sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def _read(batch: pa.RecordBatch, width: int) -> Rows:
     rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _NUMBERS}
+    rows["shown"] = pc.coalesce(batch.column("shown"), batch.column("normal"))
     sets = batch.column("sets")
     first = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset]
     sets = np.frombuffer(sets.buffers()[2], np.uint64, 8 * len(sets), first).reshape(-1, 8)
@@ -116,12 +117,38 @@ def _common(rows: Rows, side: str, x: np.ndarray, y: np.ndarray, width: int) ->
     return (letters[x] != letters[y]).argmax(axis=1)
 
 
+def _meets(rows: Rows, x: np.ndarray, y: np.ndarray, i: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Whether segment ``i`` of rows ``x`` stands in rows ``y`` so much later, at a shift that is allowed to it."""
+    n, m, k = rows["n"][x], rows["n"][y], rows["k"][x].astype(np.int64)
+    at, upto = i * n // (k + 1), (i + 1) * n // (k + 1)
+    met = (i <= k) & (abs(shift) <= i) & (abs(shift - m + n) <= k - i) & (at + shift >= 0) & (upto + shift <= m)
+    some = np.flatnonzero(met)
+    if len(some):
+        at, size, shift = at[some, None], (upto - at)[some, None], shift[some, None]
+        place = np.minimum(np.arange(int(size.max())), size - 1)
+        met[some] = (rows["ahead"][x[some, None], at + place] == rows["ahead"][y[some, None], at + shift + place]).all(axis=1)
+    return met
+
+
+def _met_here(rows: Rows, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether a pair, whose first segment is not common, meets here and in no segment or place before."""
+    n, k, i = rows["n"][x], rows["k"][x].astype(np.int64), rows["spot"][x]
+    shift = rows["spot"][y] - i * n // (k + 1)
+    here = _meets(rows, x, y, i, shift)
+    for j in range(1, int(i.max(initial=0)) + 1):
+        for s in range(-j, j + 1):
+            at = np.flatnonzero(here & ((j < i) | ((j == i) & (s < shift))))
+            here[at] = ~_meets(rows, x[at], y[at], np.full(len(at), j), np.full(len(at), s))
+    return here
+
+
 def _verified(rows: Rows, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs of rows ``x`` and ``y``, where ``x`` is as long or longer, those that are similar and do not meet in the first segment, and their edits."""
+    """Of the pairs of rows ``x`` and ``y``, where ``x`` is as long or longer, those that are similar and first meet here, and their edits."""
     width = int(rows["n"][x].max(initial=0))
     begin = np.minimum(_common(rows, "ahead", x, y, width), rows["n"][y])
-    here = (rows["back"][x] == 0) | (begin < rows["n"][x] // (rows["k"][x] + np.int64(1)))
-    x, y, begin = x[here], y[here], begin[here]
+    first = rows["spot"][x] == 0
+    here = first == (begin >= rows["n"][x] // (rows["k"][x] + np.int64(1)))
+    x, y, begin, first = x[here], y[here], begin[here], first[here]
     na, nb, k = rows["n"][x], rows["n"][y], rows["k"][x]
     end = np.minimum(_common(rows, "behind", x, y, width), nb - begin)
     na, nb = na - begin - end, nb - begin - end
@@ -134,9 +161,19 @@ def _verified(rows: Rows, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.
             places = np.minimum(begin[at, None] + np.arange(min(most, int(na[at].max()))), rows["ahead"].shape[1] - 1)
             found[at] = _distances(rows["ahead"][x[at, None], places], rows["ahead"][y[at, None], places], na[at], nb[at], int(k[at].max()))
     ok = found <= k
+    later = np.flatnonzero(ok & ~first)
+    ok[later] = _met_here(rows, x[later], y[later])
     return x[ok], y[ok], found[ok]
 
 
+def _shown(rows: Rows, long: np.ndarray, short: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+    a, b = rows["shown"].take(pa.array(short)), rows["shown"].take(pa.array(long))
+    swap, some = pc.less_equal(a, b), (pa.array(rows["rows"][short]), pa.array(rows["rows"][long]))
+    similarity = 100.0 - 100.0 * distance / rows["n"][long]
+    sides = [pc.if_else(swap, *two) for two in ((a, b), (b, a), some, some[::-1])]
+    return pa.RecordBatch.from_arrays([*sides, pa.array(distance.astype(np.int32)), pa.array(similarity)], _NAMES)
+
+
 def _candidates(rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (cut, held) of one key that may be similar by their letters, of which the pair has not met before."""
     held = rows["side"] == 1
@@ -194,7 +231,7 @@ def _similar(rows: Rows) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(x), BATCH):
             a, b, distance = _verified(rows, x[at : at + BATCH], y[at : at + BATCH])
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(rows["id"][a]), pa.array(rows["id"][b]), pa.array(distance.astype(np.int32))], ["long", "short", "distance"])
+                yield _shown(rows, a, b, distance)
 
     xs, ys, n = [], [], 0
     for x, y in _candidates(rows):
@@ -218,9 +255,9 @@ def pairs_of_blocks(slack: int, width: int) -> Callable[[Iterator[pa.RecordBatch
             rows = _read(batch, width)
             rows["k"] = (rows["n"] * slack // 10_000).astype(np.uint8)
             if open_key is not None:
-                rows = {c: np.concatenate((open_key[c], rows[c])) for c in rows}
+                rows = {c: pa.concat_arrays((open_key[c], v)) if c == "shown" else np.concatenate((open_key[c], v)) for c, v in rows.items()}
             yield from _similar(rows)
             last = (rows["key"] == rows["key"][-1]) & (rows["salt"] == rows["salt"][-1]) & (rows["side"] == 0)
-            open_key = {c: v[last] for c, v in rows.items()}
+            open_key = {c: v.filter(pa.array(last)) if c == "shown" else v[last] for c, v in rows.items()}
 
     return run
