@@ -1,10 +1,14 @@
 """Fuzzy duplicates against brute force."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
+from pyspark import cloudpickle
 
 import cleanframe as cf
 import cleanframe.operators.fuzzy as fuzzy
@@ -153,3 +157,11 @@ def test_letters_beyond_sixteen_bits_and_zeros(spark, normalise):
     base = "the 😀 quick 𝔘nicode \x00 value of 日本 letters"
     rows = [base, base + "\x00", base[:-1], base.replace("😀", "😁"), "\x00" + base, base.replace("日", "本"), "ascii only value of some letters", "ascii only value of some letterz"]
     assert got(cf.fuzzy_duplicates(frame(spark, rows), "name", 80, normalise)) == brute(rows, 80, normalise)
+
+
+def test_blocks_run_where_the_package_is_not_on_the_path(tmp_path):
+    (tmp_path / "run").write_bytes(cloudpickle.dumps([blocks.pairs_of_blocks(1000, 89), blocks.with_sets(89)]))
+    code = "import pickle, pyarrow as pa; a, b = pickle.load(open('run', 'rb')); print(len(list(a(b(iter([pa.record_batch({'normal': pa.array(['x'])}).slice(1)])))))) "
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.strip() == "0", done.stderr
